@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, mixing, pii, quality_rules, token_counts
+from pagemill.llm import decontaminate, licenses, mixing, pii, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
+    "op5_license_scan": licenses.op5_license_scan,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_counts": token_counts.op10_token_counts,
 }
