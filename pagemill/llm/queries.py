@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, licenses, mixing, pii, quality_rules, similarity_join, token_counts
+from pagemill.llm import decontaminate, licenses, mixing, pii, quality_rules, similarity_join, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,7 +10,8 @@ QUERIES = {
     "op4_pii": pii.op4_pii,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_jaccard_join": similarity_join.op6_jaccard_join,
+    "op7_warc": warc.op7_warc,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op6_jaccard_join": similarity_join.OP6_SQL, "op9_mix_sources": mixing.OP9_SQL}
+ORACLE_SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op6_jaccard_join": similarity_join.OP6_SQL, "op7_warc": warc.OP7_SQL, "op9_mix_sources": mixing.OP9_SQL}
