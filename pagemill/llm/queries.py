@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, licenses, mixing, pii, quality_rules, similarity_join, token_counts, warc
+from pagemill.llm import decontaminate, licenses, mixing, pii, quality_crf, quality_rules, similarity_join, token_counts, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_license_scan": licenses.op5_license_scan,
     "op6_jaccard_join": similarity_join.op6_jaccard_join,
     "op7_warc": warc.op7_warc,
+    "op8_quality_crf": quality_crf.op8_quality_crf,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_counts": token_counts.op10_token_counts,
 }
