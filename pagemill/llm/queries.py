@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontaminate, licenses, mixing, pii, quality_crf, quality_rules, similarity_join, token_counts, warc
+from pagemill.llm import (
+    decontaminate,
+    licenses,
+    lm_scoring,
+    mixing,
+    pii,
+    quality_crf,
+    quality_rules,
+    similarity_join,
+    token_counts,
+    warc,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_pii": pii.op4_pii,
     "op5_license_scan": licenses.op5_license_scan,
@@ -15,4 +27,9 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLE_SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op6_jaccard_join": similarity_join.OP6_SQL, "op7_warc": warc.OP7_SQL, "op9_mix_sources": mixing.OP9_SQL}
+ORACLE_SQL = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
+    "op6_jaccard_join": similarity_join.OP6_SQL,
+    "op7_warc": warc.OP7_SQL,
+    "op9_mix_sources": mixing.OP9_SQL,
+}
