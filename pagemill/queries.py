@@ -2,11 +2,412 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagemill.functions import quality as Q
+from pagemill.functions import text as T
+from pagemill.functions import urls as U
+from pagemill.operators import chunking, crawl, extract, metadata, stats, strategy, structure
+from pagemill.sources.pages import basic_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(source: str, sql: str | None = None):
+    """Register ``f(table)`` under the function's name, with its SQL."""
+
+    def register(f: Callable[[DataFrame], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(table(spark, sf_dir, source))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    """Pages to text to chunks, with the size of each site's output."""
+    chunks = page_chunks_by_size(table(spark, sf_dir, "pages"))
+    return chunks.groupBy("host").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
+
+
+_ABS = r"'^([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]+))?([^?#]*)(\?[^#]*)?(?:#.*)?$'"
+_HOST = f"lower(regexp_extract(url, {_ABS}, 2))"
+_NORM = f"""lower(regexp_extract({{0}}, {_ABS}, 1)) || '://' || regexp_replace(lower(regexp_extract({{0}}, {_ABS}, 2)), '^www\\.', '')
+ || CASE WHEN regexp_extract({{0}}, {_ABS}, 3) IN ('', CASE lower(regexp_extract({{0}}, {_ABS}, 1)) WHEN 'http' THEN '80' WHEN 'https' THEN '443' END) THEN '' ELSE ':' || regexp_extract({{0}}, {_ABS}, 3) END
+ || CASE WHEN regexp_extract({{0}}, {_ABS}, 4) IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace(regexp_extract({{0}}, {_ABS}, 4), '/+$', ''), '//+', '/', 'g') END
+ || regexp_extract({{0}}, {_ABS}, 5)"""
+_STRIP = "regexp_replace(html, '<[^>]*>', '', 'g')"
+_DECODE = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
+_TEXT = f"trim({_DECODE.format(_STRIP)}, E' \\t\\n\\r')"
+_WORDS = "len(regexp_extract_all({0}, '[^ \\t\\n\\r]+'))::BIGINT"
+
+
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '" + w.replace("'", "''") + "')" for w in words) + ")"
+
+
+# URLs, links and crawling
+
+
+@query("pages", f"SELECT page_id, {_NORM.format('url')} AS normalized FROM pages")
+def url_normalize(pages):
+    return pages.select("page_id", U.normalize(F.col("url")).alias("normalized"))
+
+
+@query("pages", f"SELECT page_id, {_HOST} AS domain, lower(regexp_extract(regexp_extract(url, {_ABS}, 4), '\\.[^./]+$')) AS extension FROM pages")
+def url_parts(pages):
+    return pages.select("page_id", U.domain_key(F.col("url")).alias("domain"), U.extension(F.col("url")).alias("extension"))
+
+
+_LINKS = r"""
+WITH r AS (SELECT page_id, url, unnest(list_filter(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"'']*)["'']', 1),
+   lambda x: NOT regexp_matches(x, '(?i)^(javascript|mailto|tel):|^\s*$|^#'))) AS h FROM pages),
+a AS (SELECT page_id, url, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^([^:]+:)', 1) || h
+   WHEN starts_with(h, '/') THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*') || h
+   WHEN starts_with(h, '?') THEN regexp_replace(url, '[?#].*$', '') || h
+   ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS link FROM r)
+"""
+
+
+@query("pages", _LINKS + "SELECT page_id, link, count(*)::BIGINT AS n FROM a WHERE regexp_matches(link, '(?i)^https?://') GROUP BY ALL")
+def extract_links(pages):
+    links = pages.select("page_id", F.explode(U.extract_links(F.col("html"), F.col("url"))).alias("link"))
+    return links.groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pages", _LINKS + f"""SELECT page_id, link, (lower(regexp_extract(link, {_ABS}, 2)) = {_HOST}
+   AND lower(regexp_extract(regexp_extract(link, {_ABS}, 4), '\\.[^./]+$')) NOT IN ({", ".join(f"'{e}'" for e in U.EXCLUDED_EXTENSIONS)})) AS wanted
+   FROM (SELECT DISTINCT page_id, url, link FROM a WHERE regexp_matches(link, '(?i)^https?://'))""")
+def should_crawl(pages):
+    links = pages.select("page_id", "url", F.explode(F.array_distinct(U.extract_links(F.col("html"), F.col("url")))).alias("link"))
+    return links.select("page_id", "link", U.should_crawl(F.col("link"), F.col("url")).alias("wanted"))
+
+
+@query("pages", _LINKS + f"""SELECT DISTINCT {_NORM.format('link')} AS next_url FROM a WHERE regexp_matches(link, '(?i)^https?://')
+   AND {_NORM.format('link')} NOT IN (SELECT {_NORM.format('url')} FROM pages)""")
+def crawl_frontier(pages):
+    """Not yet visited links: an anti join on the normalized URL."""
+    links = pages.select(F.explode(U.extract_links(F.col("html"), F.col("url"))).alias("link")).select(U.normalize(F.col("link")).alias("next_url"))
+    return links.join(pages.select(U.normalize(F.col("url")).alias("next_url")), "next_url", "left_anti").distinct()
+
+
+@query("pages", _LINKS + f"""SELECT node, sum(o)::BIGINT AS out_links, sum(i)::BIGINT AS in_links FROM (
+   SELECT {_NORM.format('url')} AS node, 1 AS o, 0 AS i FROM a WHERE regexp_matches(link, '(?i)^https?://')
+   UNION ALL SELECT {_NORM.format('link')}, 0, 1 FROM a WHERE regexp_matches(link, '(?i)^https?://')) GROUP BY node""")
+def link_degree(pages):
+    links = pages.select(U.normalize(F.col("url")).alias("source"), F.explode(U.extract_links(F.col("html"), F.col("url"))).alias("link"))
+    return stats.link_degrees(links.select("source", U.normalize(F.col("link")).alias("target")), "source", "target")
+
+
+@query("pages", f"SELECT {_HOST} AS domain, count(*)::BIGINT AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1")
+def count_by_domain(pages):
+    return pages.groupBy(U.domain_key(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"))
+
+
+# Text
+
+
+@query("pages", "SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'Untitled') AS title FROM pages")
+def page_title(pages):
+    return pages.select("page_id", T.title_of(F.col("html")).alias("title"))
+
+
+@query("pages", f"""SELECT page_id, {_TEXT} AS text, {_WORDS.format(_TEXT)} AS words,
+   greatest(1.0, round_even({_WORDS.format(_TEXT)} / 200.0, 1))::DOUBLE AS minutes FROM pages""")
+def basic_page_text(pages):
+    text = basic_text(F.col("html"), F.lit("text/html"))
+    return pages.select("page_id", text.alias("text")).withColumn("words", T.word_count(F.col("text"))).withColumn("minutes", T.reading_minutes(F.col("words")).cast("double"))
+
+
+_TOKENS = "CASE WHEN trim({0}, E' \\t\\n\\r') = '' THEN 0 ELSE ceil((length({0}) - len(regexp_extract_all({0}, '[가-힣一-鿿぀-ゟ゠-ヿ]'))) / 4.0 + len(regexp_extract_all({0}, '[가-힣一-鿿぀-ゟ゠-ヿ]')) / 1.5)::BIGINT END"
+
+
+@query("documents", f"""SELECT doc_id, {_WORDS.format('text')} AS words, {_TOKENS.format('text')} AS tokens,
+   greatest(1, ceil({_WORDS.format('text')} / 200.0))::BIGINT AS minutes FROM documents""")
+def document_counts(docs):
+    words = T.word_count(F.col("text"))
+    return docs.select("doc_id", words.alias("words"), T.token_estimate(F.col("text")).alias("tokens"), T.reading_minutes_whole(words).alias("minutes"))
+
+
+@query("documents", "SELECT doc_id, CASE WHEN regexp_matches(text, '[가-힣]') THEN 'ko' WHEN regexp_matches(text, '[぀-ゟ゠-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS by_presence, 'en' AS by_share FROM documents")
+def language_guess(docs):
+    return docs.select("doc_id", T.language_by_presence(F.col("text")).alias("by_presence"), T.language_by_share(F.col("text")).alias("by_share"))
+
+
+@query("documents", f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[\\pL\\pN_]+'), 1) AS pos FROM documents),
+   c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) > 2 AND word NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}) GROUP BY ALL)
+   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank, word, n FROM c QUALIFY rank <= 10""")
+def keywords_top(docs):
+    return stats.keywords(docs, "doc_id")
+
+
+@query("documents", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '#{1,6}\s*', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]+)`', '\1', 'g'), E' \n\t\r') AS plain FROM documents""")
+def plain_text_clean(docs):
+    return docs.select("doc_id", F.regexp_replace(T.plain_text(F.col("text")), r"^[ \n\t\r]+|[ \n\t\r]+$", "").alias("plain"))
+
+
+@query("documents", r"""SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x, E' \t\r')), lambda x: x <> '' AND NOT starts_with(x, '#')), 1, 3), ' ')[:300]
+   || CASE WHEN length(array_to_string(list_slice(list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x, E' \t\r')), lambda x: x <> '' AND NOT starts_with(x, '#')), 1, 3), ' ')) > 300 THEN '...' ELSE '' END AS description FROM documents""")
+def document_description(docs):
+    return docs.select("doc_id", T.description_of(F.col("text")).alias("description"))
+
+
+# Quality
+
+
+def _page_text(pages):
+    return pages.select("page_id", "url", "html", T.strip_tags(F.col("html"), " ").alias("text"), T.title_of(F.col("html")).alias("title"))
+
+
+_PT = "WITH p AS (SELECT page_id, url, html, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), 'Untitled') AS title FROM pages) "
+
+
+@query("pages", _PT + f"""SELECT page_id, {_any("lower(html || ' ' || text)", Q.PAYWALL)} AS paywall, {_any("lower(html || ' ' || text)", Q.LOGIN)} AS login,
+   {_any("lower(html)", Q.AGE)} AS age, {_any("lower(html)", Q.STRUCTURED)} AS structured, {_any("text", Q.CITATIONS)} AS citations FROM p""")
+def page_flags(pages):
+    html, text = F.col("html"), F.col("text")
+    return _page_text(pages).select(
+        "page_id", Q.has_paywall(html, text).alias("paywall"), Q.requires_login(html, text).alias("login"), Q.age_restricted(html).alias("age"),
+        Q.has_structured_data(html).alias("structured"), Q.has_citations(text).alias("citations"),
+    )
+
+
+_TYPE = "CASE " + " ".join(f"""WHEN {_any("lower(title || ' ' || text || ' ' || url)", ws)} THEN '{k}'""" for k, ws in Q.CONTENT_TYPES.items()) + " ELSE 'general' END"
+_ADS = "least(1.0, (len(regexp_extract_all(html, '(?i)<(ins|iframe)[^>]*(adsense|doubleclick|googlesyndication)[^>]*>')) + " + " + ".join(
+    f"(length(html) - length(replace(lower(html), '{w}', ''))) / {len(w)}" for w in Q.ADS
+) + ") / 20.0)::DOUBLE"
+_RATIO = "least(1.0, length(text)::DOUBLE / length(html) * 3)"
+
+
+@query("pages", _PT + f"SELECT page_id, {_TYPE} AS content_type, round({_ADS}, 6) AS ad_density, round({_RATIO}, 6) AS content_ratio FROM p")
+def page_measures(pages):
+    measured = _page_text(pages)
+    return measured.select(
+        "page_id", Q.content_type(F.col("title"), F.col("text"), F.col("url")).alias("content_type"),
+        F.round(Q.ad_density(F.col("html")), 6).alias("ad_density"), F.round(Q.content_ratio(F.col("html"), F.col("text")), 6).alias("content_ratio"),
+    )
+
+
+@query("pages", _PT + f""", m AS (SELECT page_id, {_ADS} AS ads, {_RATIO} AS ratio, {_WORDS.format('text')} AS words, {_TOKENS.format('text')} AS tokens,
+   {_any("lower(html || ' ' || text)", Q.PAYWALL)} AS paywall, {_any("lower(html || ' ' || text)", Q.LOGIN)} AS login FROM p),
+   s AS (SELECT *, greatest(0.0, least(1.0, 0.5 - CASE WHEN paywall THEN 0.3 ELSE 0 END - CASE WHEN login THEN 0.2 ELSE 0 END - ads * 0.2 + ratio * 0.2
+     + CASE WHEN words BETWEEN 100 AND 5000 THEN 0.1 WHEN words > 5000 THEN 0.05 ELSE 0 END)) AS overall,
+     greatest(0.0, least(1.0, 0.5 + ratio * 0.3 - ads * 0.2 + CASE WHEN words BETWEEN 500 AND 3000 THEN 0.2 WHEN words < 500 THEN -0.1 ELSE 0 END
+     + CASE WHEN tokens <= 8000 THEN 0.1 WHEN tokens > 32000 THEN -0.2 ELSE 0 END)) AS llm FROM m)
+   SELECT page_id, round(overall, 6)::DOUBLE AS overall, round(llm, 6)::DOUBLE AS llm_suitability, CASE WHEN round(overall, 9) >= 0.8 THEN 'Excellent' WHEN round(overall, 9) >= 0.6 THEN 'Good' WHEN round(overall, 9) >= 0.4 THEN 'Fair' WHEN round(overall, 9) >= 0.2 THEN 'Poor' ELSE 'VeryPoor' END AS grade FROM s""")
+def page_quality(pages):
+    made = _page_text(pages)
+    q = Q.quality(F.col("html"), F.col("text"), F.col("title"), F.col("url"), F.lit(0), F.lit(False))
+    scored = made.select("page_id", q["overall_score"].alias("o"), q["llm_suitability"].alias("l"))
+    return scored.select("page_id", F.round("o", 6).alias("overall"), F.round("l", 6).alias("llm_suitability"), Q.grade(F.round("o", 9)).alias("grade"))
+
+
+@query("pages", r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<(?:h[1-6])[\s/>]'))::BIGINT AS headings, len(regexp_extract_all(html, '(?i)<(?:p)[\s/>]'))::BIGINT AS paragraphs,
+   len(regexp_extract_all(html, '(?i)<(?:a)[\s/>]'))::BIGINT AS links, len(regexp_extract_all(html, '(?i)<(?:ul|ol)[\s/>]'))::BIGINT AS lists FROM pages""")
+def structure_counts(pages):
+    shape = pages.select("page_id", metadata.structure(F.col("html")).alias("s"))
+    return shape.select("page_id", *[F.col(f"s.{c}").alias(c) for c in ("headings", "paragraphs", "links", "lists")])
+
+
+@query("pages", """SELECT page_id, starts_with(lower(url), 'https://') AS https, contains(lower(html), '<noscript') AS needs_javascript,
+   lower(regexp_extract(html, '(?is)<html[^>]*\\blang\\s*=\\s*["'']([^"'']*)["'']', 1)) AS language FROM pages""")
+def technical_flags(pages):
+    made = pages.select("page_id", metadata.technical(F.col("html"), F.col("url")).alias("t"), metadata.language(F.col("html"), F.col("html")).alias("l"))
+    return made.select("page_id", "t.https", "t.needs_javascript", "l.language")
+
+
+# Chunks
+
+
+def page_chunks_by_size(pages):
+    text = pages.select("page_id", U.host(F.col("url")).alias("host"), basic_text(F.col("html"), F.lit("text/html")).alias("text"))
+    chunks = text.select("page_id", "host", F.posexplode(T.split_by_size(F.col("text"), 1500)).alias("seq", "content"))
+    return chunks.select("page_id", "host", F.col("seq").cast("long").alias("seq"), F.length("content").cast("long").alias("chars"), "content")
+
+
+@query("pages")
+def chunk_by_size(pages):
+    return page_chunks_by_size(pages)
+
+
+def _auto_sql() -> str:
+    has = lambda text, words: _any(text, words)
+    count = " + ".join(f"contains(lower(text), '{w}')::INT" for w in strategy.TECHNICAL)
+    return f"""WITH a AS (SELECT doc_id, length(text)::BIGINT AS length, ({count}) >= 3 AS technical,
+   CASE WHEN {has('lower(text)', strategy.ACADEMIC)} THEN 'Academic' WHEN {has('lower(text)', strategy.NEWS)} THEN 'News' WHEN {has('lower(text)', strategy.TECHNICAL)} THEN 'Technical'
+   WHEN contains(lower(source), 'doc') OR contains(lower(source), 'api') THEN 'Documentation' WHEN contains(lower(source), 'blog') THEN 'Blog' ELSE 'Article' END AS kind FROM documents),
+   s AS (SELECT a.*, s.name, s.place,
+     CASE WHEN name = 'MemoryOptimized' AND length > 100000 THEN 0.9 WHEN name = 'Smart' AND length > 50000 THEN 0.8 WHEN name = 'Paragraph' AND length > 5000 THEN 0.7 WHEN name = 'FixedSize' AND length <= 5000 THEN 0.6 ELSE 0.3 END * 0.20
+     + CASE WHEN name = 'FixedSize' THEN 0.5 ELSE 0.3 END * 0.25
+     + CASE WHEN name = 'Semantic' AND kind = 'Academic' THEN 0.9 WHEN name = 'Semantic' AND kind = 'Technical' THEN 0.8 WHEN name = 'Smart' AND kind = 'Documentation' THEN 0.9 WHEN name = 'Smart' AND kind = 'Technical' THEN 0.8
+       WHEN name = 'Paragraph' AND kind = 'Blog' THEN 0.7 WHEN name = 'Paragraph' AND kind = 'Article' THEN 0.6 ELSE 0.4 END * 0.30
+     + 0.5 * 0.15
+     + CASE WHEN name = 'Semantic' AND technical THEN 0.9 WHEN name = 'Smart' AND technical THEN 0.8 WHEN name = 'Paragraph' AND NOT technical THEN 0.6 WHEN name = 'FixedSize' AND NOT technical THEN 0.5 ELSE 0.4 END * 0.10 + 0.5 AS score
+     FROM a, (VALUES ('FixedSize', 0), ('Paragraph', 1), ('Smart', 2), ('Semantic', 3), ('MemoryOptimized', 4)) s(name, place))
+   SELECT doc_id, kind AS content_type, technical, name AS best, round(score, 6)::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, place) = 1"""
+
+
+@query("documents", _auto_sql())
+def auto_select(docs):
+    none = docs.withColumns({"__h": F.lit(0), "__i": F.lit(0)})
+    made = strategy.scored(none, "text", "source", "__h", "__i").withColumn("b", strategy.best(F.col("scores")))
+    return made.select("doc_id", "content_type", "technical", F.col("b.strategy").alias("best"), F.round("b.score", 6).alias("score"))
+
+
+_REC = " + ".join("contains(lower(text), '" + w + "')::INT" for w in strategy.RECOMMEND_TECHNICAL)
+
+
+@query("documents", f"""SELECT doc_id, CASE WHEN length(text) > 100000 THEN 'MemoryOptimized' WHEN ({_REC}) >= 3 THEN 'Smart' WHEN length(text) > 10000 THEN 'Semantic' ELSE 'Paragraph' END AS recommended FROM documents""")
+def recommend_strategy(docs):
+    return docs.select("doc_id", strategy.recommend(F.col("text"), F.lit(None).cast("string"), F.col("source"), F.lit(0), F.lit(0)).alias("recommended"))
+
+
+@query("conversations", """WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+   s AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(nxt), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS b FROM t WHERE nxt IS NOT NULL)
+   SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE len(list_intersect(a, b))::DOUBLE / greatest(len(a) + len(b) - len(list_intersect(a, b)), 1) END, 6)::DOUBLE AS similarity FROM s""")
+def adjacent_jaccard(turns):
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    pairs = turns.withColumn("next", following).where("next is not null")
+    return pairs.select("conv_id", "turn", F.round(T.jaccard(T.words(F.col("text")), T.words(F.col("next"))), 6).alias("similarity"))
+
+
+@query("conversations", """SELECT conv_id, count(*)::BIGINT AS chunks, round(CASE WHEN count(*) < 2 THEN 1.0 ELSE greatest(0.0, 1 - stddev_pop(length(text)) / nullif(avg(length(text)), 0)) END, 6)::DOUBLE AS size_consistency FROM conversations GROUP BY conv_id""")
+def size_consistency(turns):
+    made = strategy.chunk_quality(turns, "conv_id", "turn", "text")
+    return made.select("conv_id", "chunks", F.round("size_consistency", 6).alias("size_consistency"))
+
+
+@query("embeddings", """WITH p AS (SELECT vec_id, embedding::DOUBLE[] AS a, lead(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS b FROM embeddings)
+   SELECT vec_id, round(list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)), 6)::DOUBLE AS similarity FROM p WHERE b IS NOT NULL""")
+def embedding_neighbours(vectors):
+    """Cosine of each vector and the next id's: ids are consecutive, so an equi join finds it."""
+    later = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").cast("array<double>").alias("b"))
+    both = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("a")).join(later, "vec_id")
+    return both.select("vec_id", F.round(chunking.cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+# Statistics over events: users stand for sites, errors for failures, values for times
+
+
+def _requests(events):
+    return events.select("event_id", "user_id", "ts", F.col("event_type").alias("kind"), (F.col("event_type") != "error").alias("ok"), "value")
+
+
+@query("events", """SELECT count(*)::BIGINT AS total, count(*) FILTER (event_type <> 'error')::BIGINT AS succeeded, count(*) FILTER (event_type = 'error')::BIGINT AS failed,
+   round(avg(value) FILTER (event_type <> 'error'), 4) AS avg_ms, min(value) FILTER (event_type <> 'error') AS min_ms, max(value) FILTER (event_type <> 'error') AS max_ms,
+   sum(length(props)) FILTER (event_type <> 'error')::BIGINT AS chars, count(*) FILTER (event_type = 'view')::BIGINT AS cache_hits, round((count(*) FILTER (event_type = 'view'))::DOUBLE / count(*), 6) AS hit_rate FROM events""")
+def batch_statistics(events):
+    rows = events.select((F.col("event_type") != "error").alias("ok"), F.col("value").alias("ms"), F.length("props").alias("chars"), (F.col("event_type") == "view").alias("cached"))
+    made = stats.batch_statistics(rows)
+    return made.withColumns({"avg_ms": F.round("avg_ms", 4), "hit_rate": F.round("hit_rate", 6)})
+
+
+@query("events", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def event_type_counts(events):
+    return stats.count_by(events, "event_type")
+
+
+@query("events", """SELECT event_id, count(*) OVER w AS done, (sum((event_type = 'error')::INT) OVER w)::BIGINT AS failed, round(avg(CASE WHEN value > 0 THEN value END) OVER w, 2) AS mean_ms,
+   min(CASE WHEN value > 0 THEN value END) OVER w AS min_ms, max(CASE WHEN value > 0 THEN value END) OVER w AS max_ms FROM events
+   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def progress_running(events):
+    made = stats.progress(_requests(events).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "ok", "value")
+    return made.select("event_id", "done", "failed", F.round("mean_ms", 2).alias("mean_ms"), "min_ms", "max_ms")
+
+
+@query("events", """WITH r AS (SELECT user_id, ts, event_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS run FROM events)
+   SELECT user_id, min(event_id)::BIGINT AS low_id, count(*)::BIGINT AS failures, count(*) >= 3 AS opens FROM r WHERE failed GROUP BY user_id, run""")
+def breaker_runs(events):
+    rows = _requests(events).withColumn("failed", ~F.col("ok")).withColumn("at", F.struct("ts", "event_id"))
+    at = Window.partitionBy("user_id").orderBy("at")
+    run = F.row_number().over(at) - F.row_number().over(Window.partitionBy("user_id", "failed").orderBy("at"))
+    marked = rows.withColumn("run", run).where("failed").groupBy("user_id", "run").agg(F.min("event_id").alias("low_id"), F.count(F.lit(1)).alias("failures"))
+    return marked.select("user_id", "low_id", "failures", (F.col("failures") >= 3).alias("opens"))
+
+
+@query("events", """WITH a AS (SELECT event_id, user_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) * 1000 AS p FROM events)
+   SELECT event_id, (max(t - p) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + p)::BIGINT AS start_ms FROM a""")
+def rate_limit_starts(events):
+    requests = events.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival"))
+    return stats.rate_limit_starts(requests, "user_id", "event_id", "arrival").select("event_id", F.col("start_ms").cast("long").alias("start_ms"))
+
+
+@query("events", """WITH c AS (SELECT event_id, (event_id % 7) AS k FROM events)
+   SELECT event_id, CASE k WHEN 0 THEN 'NotFound' WHEN 1 THEN 'Blocked' WHEN 2 THEN 'Blocked' WHEN 3 THEN 'Blocked' WHEN 4 THEN 'ServerError' WHEN 5 THEN 'ServerError' ELSE 'Unknown' END AS code, pow(2, event_id % 4)::DOUBLE AS wait FROM c""")
+def error_codes(events):
+    status = F.get(F.array(*map(F.lit, (404, 401, 403, 429, 500, 503, 302))), (F.col("event_id") % 7).cast("int"))
+    made = events.select("event_id", status.alias("status"), (F.col("event_id") % 4).alias("attempt"))
+    return made.select("event_id", crawl.error_code(F.col("status")).alias("code"), crawl.retry_schedule(made).alias("wait"))
+
+
+# Operators without an SQL form
+
+
+@query("pages")
+def html_extract(pages):
+    return extract.extract_pages(pages).select("page_id", "title", "raw_markdown", "fit_markdown", "word_count", "reading_minutes", "description")
+
+
+@query("pages")
+def density_filter(pages):
+    return extract.density_scores(pages, "page_id")
+
+
+@query("pages")
+def chunk_dom(pages):
+    return chunking.chunk(pages, "DomStructure")
+
+
+def _documents_as_pages(docs):
+    return docs.select(F.col("doc_id").cast("string").alias("url"), "text")
+
+
+@query("documents")
+def chunk_paragraph(docs):
+    return chunking.chunk(_documents_as_pages(docs), "Paragraph")
+
+
+@query("documents")
+def chunk_fixed(docs):
+    return chunking.chunk(_documents_as_pages(docs), "FixedSize")
+
+
+@query("documents")
+def chunk_smart(docs):
+    return chunking.chunk(_documents_as_pages(docs), "Smart")
+
+
+@query("documents")
+def chunk_auto(docs):
+    return chunking.chunk(_documents_as_pages(docs), "Auto")
+
+
+@query("documents")
+def chunk_semantic(docs):
+    return chunking.semantic(_documents_as_pages(docs), chunking.hash_embedder)
+
+
+@query("pages")
+def metadata_full(pages):
+    made = metadata.describe(pages)
+    return made.select("page_id", "basic.title", "basic.charset", F.col("structure.words").alias("words"), F.col("accessibility.score").alias("accessibility"), F.round("quality_score", 6).alias("quality_score"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("documents")
+def markdown_structure(docs):
+    return docs.select("doc_id", *[v.alias(k) for k, v in structure.elements(F.col("text")).items()])
+
+
+@query("pages")
+def crawl_site(pages):
+    """Breadth-first crawl from every page of one host's root upwards: level 0 is the table itself."""
+    return crawl.crawl(pages, pages.select("url"), max_depth=1, max_pages=1_000_000).select("start", "depth", "place", "url")
