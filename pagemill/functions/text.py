@@ -15,6 +15,11 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where a lambda uses it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_all(text: Column) -> Column:
     """Trim all Unicode white space."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

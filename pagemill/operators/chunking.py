@@ -58,11 +58,14 @@ def _plain(contents: Column, kind: str = "Text") -> Column:
 def fixed_size(text: Column, options: ChunkOptions) -> Column:
     """Greedy packing of words; each chunk but the first repeats the end of the one before."""
     room = 4 * (options.max_tokens - options.overlap)
-    parts = T.split_by_size(text, room)
+    whole = T.split_by_size(text, room)
     if not options.overlap:
-        return _plain(parts)
+        return _plain(whole)
     tail = lambda prior: F.regexp_extract(F.right(prior, F.lit(4 * options.overlap)), r"(?s)\s(.*)$", 1)
-    return _plain(F.transform(parts, lambda c, i: F.when(i == 0, c).otherwise(F.ltrim(F.concat_ws(" ", tail(F.get(parts, i - 1)), c)))))
+    joined = lambda parts: F.transform(
+        parts, lambda c, i: F.when(i == 0, c).otherwise(F.ltrim(F.concat_ws(" ", tail(F.get(parts, i - 1)), c)))
+    )
+    return _plain(T.let(whole, joined))
 
 
 def paragraphs(text: Column, options: ChunkOptions) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pagemill.functions import quality as Q
 from pagemill.functions import text as T
 from pagemill.functions import urls as U
-from pagemill.operators import chunking, crawl, extract, metadata, stats, strategy, structure
-from pagemill.sources.pages import basic_text
+from pagemill.operators import chunking, crawl, enrich, extract, metadata, stats, strategy, structure
+from pagemill.sources.pages import basic_text, fetch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -316,12 +316,13 @@ def event_type_counts(events):
     return stats.count_by(events, "event_type")
 
 
-@query("events", """SELECT event_id, count(*) OVER w AS done, (sum((event_type = 'error')::INT) OVER w)::BIGINT AS failed, round(avg(CASE WHEN value > 0 THEN value END) OVER w, 2) AS mean_ms,
-   min(CASE WHEN value > 0 THEN value END) OVER w AS min_ms, max(CASE WHEN value > 0 THEN value END) OVER w AS max_ms FROM events
+@query("events", """SELECT event_id, count(*) OVER w AS done, (sum((event_type = 'error')::INT) OVER w)::BIGINT AS failed, avg(CASE WHEN cents > 0 THEN cents END) OVER w AS mean_cents,
+   min(CASE WHEN cents > 0 THEN cents END) OVER w AS min_cents, max(CASE WHEN cents > 0 THEN cents END) OVER w AS max_cents FROM (SELECT *, round(value * 100)::BIGINT AS cents FROM events)
    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def progress_running(events):
-    made = stats.progress(_requests(events).withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "ok", "value")
-    return made.select("event_id", "done", "failed", F.round("mean_ms", 2).alias("mean_ms"), "min_ms", "max_ms")
+    rows = _requests(events).withColumns({"at": F.struct("ts", "event_id"), "cents": F.round(F.col("value") * 100).cast("long")})
+    made = stats.progress(rows, "user_id", "at", "ok", "cents")
+    return made.select("event_id", "done", "failed", F.col("mean_ms").alias("mean_cents"), F.col("min_ms").alias("min_cents"), F.col("max_ms").alias("max_cents"))
 
 
 @query("events", """WITH r AS (SELECT user_id, ts, event_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type = 'error' ORDER BY ts, event_id) AS run FROM events)
@@ -334,7 +335,7 @@ def breaker_runs(events):
     return marked.select("user_id", "low_id", "failures", (F.col("failures") >= 3).alias("opens"))
 
 
-@query("events", """WITH a AS (SELECT event_id, user_id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) * 1000 AS p FROM events)
+@query("events", """WITH a AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) * 1000 AS p FROM events)
    SELECT event_id, (max(t - p) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + p)::BIGINT AS start_ms FROM a""")
 def rate_limit_starts(events):
     requests = events.select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("arrival"))
@@ -349,6 +350,41 @@ def error_codes(events):
     return made.select("event_id", crawl.error_code(F.col("status")).alias("code"), crawl.retry_schedule(made).alias("wait"))
 
 
+@query("pages", _LINKS + f"""SELECT page_id, coalesce(array_to_string(list_sort(list(path)), ' '), '') AS related FROM (
+   SELECT DISTINCT page_id, path FROM (SELECT page_id, url, regexp_extract(link, {_ABS}, 4) AS path FROM a
+   WHERE regexp_matches(link, '(?i)^https?://') AND lower(regexp_extract(link, {_ABS}, 2)) = {_HOST} AND regexp_extract(link, {_ABS}, 4) <> regexp_extract(url, {_ABS}, 4))) GROUP BY page_id""")
+def related_pages(pages):
+    made = pages.select("page_id", F.array_join(F.array_sort(U.related_pages(F.col("html"), F.col("url"))), " ").alias("related"))
+    return made.where("related <> ''")
+
+
+@query("documents", """SELECT doc_id, CASE WHEN length(text) > 10000 THEN 'Summarize' WHEN doc_id % 10 < 3 THEN 'Rewrite' WHEN length(text) < 500 THEN 'Expand' ELSE 'Rewrite' END AS strategy FROM documents""")
+def rewrite_strategy(docs):
+    quality = (F.col("doc_id") % 10) / 5.0  # stands for a score
+    return docs.select("doc_id", enrich.choose(F.length("text"), quality, F.lit(0), F.lit(0)).alias("strategy"))
+
+
+@query("documents", """SELECT a.doc_id, coalesce(nullif(trim(CASE WHEN a.doc_id % 3 = 0 THEN '' ELSE a.lang END), ''), b.source) AS lang,
+   CASE WHEN a.doc_id % 3 <> 0 THEN 'first' ELSE 'second' END AS lang_from FROM documents a LEFT JOIN documents b USING (doc_id)""")
+def html_first_merge(docs):
+    """Blank values of one extraction filled from another: a left join and coalesce."""
+    first = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")).alias("lang"))
+    return stats.filled(first, docs.select("doc_id", F.col("source").alias("lang")), "doc_id", ["lang"])
+
+
+@query("documents", r"""SELECT doc_id, len(regexp_extract_all(text, '(?m)^>'))::BIGINT AS quotes, len(regexp_extract_all(text, '(?m)^[ \t]*(?:[-*+]|\d+\.)[ \t]+\S'))::BIGINT AS list_items, len(string_split(text, E'\n'))::BIGINT AS lines, length(text)::BIGINT AS characters FROM documents""")
+def markdown_counts(docs):
+    parts, counts = structure.elements(F.col("text")), structure.text_statistics(F.col("text"))
+    return docs.select("doc_id", parts["quotes"].alias("quotes"), parts["list_items"].alias("list_items"), counts["lines"].alias("lines"), counts["characters"].alias("characters"))
+
+
+@query("pages", f"""SELECT page_id, status, CASE WHEN status <> 200 THEN 'NotFound' END AS error_code FROM (SELECT page_id, CASE WHEN {_NORM.format('url')} IN (SELECT {_NORM.format('url')} FROM pages WHERE page_id % 2 = 0) THEN 200 ELSE 404 END AS status FROM pages)""")
+def fetch_urls(pages):
+    """Wanted URLs joined with a store that holds every second page."""
+    got = fetch(pages.select("page_id", "url"), pages.where("page_id % 2 = 0").select(F.col("url"), "html"))
+    return got.select("page_id", "status", "error_code")
+
+
 # Operators without an SQL form
 
 
