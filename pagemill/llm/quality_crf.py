@@ -147,7 +147,7 @@ def forward_backward(score: np.ndarray, lengths: np.ndarray, stay: float) -> tup
     b[:, 1] += score[k]
     f = forward[k - 1]
     equal[k] = np.exp(np.logaddexp(f[:, 0] + b[:, 0], f[:, 1] + b[:, 1]) + stay - total[k])
-    return good, equal, total[starts + size - 1]
+    return good, equal, total[np.cumsum(lengths) - 1]
 
 
 def train(x: np.ndarray, lengths: np.ndarray, good: np.ndarray, size: np.ndarray, steps: int = 150, rate: float = 0.15, l2: float = 1e-3) -> Chain:
