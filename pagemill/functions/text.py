@@ -87,6 +87,18 @@ def description_of(md: Column) -> Column:
     return truncate(F.array_join(F.slice(F.transform(lines, trim_all), 1, 3), " "), 300)
 
 
+def title_from_text(text: Column) -> Column:
+    """The first line that isn't blank, to 100 characters."""
+    lines = F.filter(F.transform(F.split(text, "\n"), trim_all), lambda x: x != "")
+    return truncate(F.get(lines, F.lit(0)), 100)
+
+
+def description_from_text(text: Column) -> Column:
+    """The first two sentences, to 300 characters."""
+    parts = F.filter(F.transform(F.split(text, r"[.!?]"), trim_all), lambda x: x != "")
+    return truncate(F.array_join(F.slice(parts, 1, 2), ". "), 300)
+
+
 def normalize_markdown(md: Column) -> Column:
     return trim_all(F.regexp_replace(md, r"\n{3,}", "\n\n"))
 

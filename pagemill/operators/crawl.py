@@ -152,3 +152,23 @@ def retry_schedule(attempts: DataFrame, attempt: str = "attempt", retry_after: s
 
 def error_code(status: Column) -> Column:
     return F.when(status == 404, "NotFound").when(status.isin(401, 403, 429), "Blocked").when(status.between(500, 599), "ServerError").otherwise("Unknown")
+
+
+#: What an error of a kind means for a caller.
+ERRORS = {
+    "Timeout": ("Network", "Warning", True), "Connection": ("Network", "Error", True), "Blocked": ("Http", "Warning", True), "NotFound": ("Http", "Error", False),
+    "ServerError": ("Http", "Error", True), "Parse": ("Content", "Error", False), "Validation": ("Input", "Error", False), "Unknown": ("Unknown", "Error", False),
+}
+
+
+def error_facts(code: Column) -> Column:
+    """(category, severity, retryable) of an error code."""
+    table = F.create_map(*[x for k, (c, s, r) in ERRORS.items() for x in (F.lit(k), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(r).alias("retryable")))])
+    return F.coalesce(F.try_element_at(table, code), F.try_element_at(table, F.lit("Unknown")))
+
+
+def delays(policy: str, attempt: Column, base: float = 1.0, most: float = 60.0, jitter: float = 0.0, key: Column | None = None) -> Column:
+    """Seconds before an attempt: fixed, linear or exponential, capped; jitter follows a hash of ``key``."""
+    plain = {"fixed": F.lit(base), "linear": F.lit(base) * attempt, "exponential": F.lit(base) * F.pow(F.lit(2.0), attempt - 1)}[policy]
+    spread = F.pmod(F.xxhash64(key, attempt), F.lit(1000)) / 1000.0 * jitter if key is not None and jitter else F.lit(0.0)
+    return F.least(F.lit(most), plain * (1 + spread))

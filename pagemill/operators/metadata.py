@@ -128,3 +128,48 @@ def describe(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     )
     ld = F.regexp_count(page, F.lit(r"(?i)application/ld\+json"))
     return made.withColumns(scores(*[F.col(c) for c in ("basic", "open_graph", "structure", "technical", "accessibility")], ld))
+
+
+def site_context(html: Column, url: Column) -> Column:
+    """Breadcrumbs (structured data first, else the breadcrumb list), previous, next, feed and language variants."""
+    script = F.regexp_extract(html, r"(?is)<script[^>]*application/ld\+json[^>]*>((?:(?!</script>).)*?BreadcrumbList.*?)</script>", 1)
+    items = F.from_json(
+        F.regexp_extract(script, r"(?s)\"itemListElement\"\s*:\s*(\[.*\])", 1), "array<struct<position:int,name:string,item:string>>"
+    )
+    named = F.transform(F.array_sort(items), lambda x: F.struct(x["name"].alias("name"), x["item"].alias("url")))
+    block = F.regexp_extract(html, r"(?is)<(?:nav|ol|ul|div)[^>]*breadcrumb[^>]*>(.*?)</(?:nav|ol|ul|div)>", 1)
+    listed = F.transform(
+        F.regexp_extract_all(block, F.lit(r"(?is)<(?:a|li|span)[^>]*>([^<]+)<"), F.lit(1)), lambda x: F.struct(trim_all(x).alias("name"), F.lit(None).cast("string").alias("url"))
+    )
+    variants = F.regexp_extract_all(html, F.lit(r"(?i)hreflang\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    feed = F.regexp_extract(html, r"(?is)<link[^>]*application/(?:rss|atom)\+xml[^>]*href\s*=\s*[\"']([^\"']*)[\"']", 1)
+    return F.struct(
+        F.when(F.size(named) > 0, named).otherwise(F.filter(listed, lambda x: x["name"] != "")).alias("breadcrumbs"),
+        link(html, "prev").alias("previous"), link(html, "next").alias("next"), none_if_blank(feed).alias("feed"), F.array_distinct(variants).alias("variants"),
+    )
+
+
+def navigation(html: Column) -> Column:
+    """Links of each region of a page, in order, repeats kept."""
+    inside = lambda tag: F.regexp_extract_all(
+        F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), F.lit(r"(?i)href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)
+    )
+    return F.struct(*[inside(tag).alias(tag) for tag in ("header", "nav", "aside", "footer")])
+
+
+def classification(html: Column, ld_type: Column) -> Column:
+    """Kind of page (article, product, documentation or web page), its categories and tags."""
+    kind = (
+        F.when(ld_type.isin("Article", "BlogPosting", "NewsArticle") | F.lower(html).rlike(r"<article[\s>]"), "Article")
+        .when((ld_type == "Product") | F.lower(html).rlike(r"itemtype=[\"'][^\"']*product"), "Product")
+        .when(F.lower(html).rlike(r"class=[\"'][^\"']*\b(docs?|documentation)\b"), "Documentation").otherwise("Webpage")
+    )
+    tags = F.filter(F.transform(F.split(F.coalesce(meta(html, "keywords"), F.lit("")), ","), trim_all), lambda x: x != "")
+    return F.struct(kind.alias("kind"), meta(html, "article:section").alias("category"), F.array_distinct(tags).alias("tags"))
+
+
+def faq(html: Column) -> Column:
+    """(question, answer) pairs of marked-up questions."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<[^>]*class=[\"'][^\"']*question[^\"']*[\"'][^>]*>([^<]+)<"), F.lit(1))
+    replies = F.regexp_extract_all(html, F.lit(r"(?is)<[^>]*class=[\"'][^\"']*answer[^\"']*[\"'][^>]*>([^<]+)<"), F.lit(1))
+    return F.zip_with(found, F.slice(replies, F.lit(1), F.size(found)), lambda q, a: F.struct(trim_all(q).alias("question"), trim_all(a).alias("answer")))

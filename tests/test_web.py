@@ -147,6 +147,25 @@ def test_metadata(spark):
     assert [(r.type, r.headline, r.author) for r in ld] == [("Article", "H", "N")]
 
 
+def test_site_context(spark):
+    html = (
+        "<html><head><link rel='next' href='/2'><link rel='alternate' type='application/rss+xml' href='/feed'><meta name='keywords' content='a, b,a'>"
+        '<script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"position":2,"name":"B","item":"/b"},{"position":1,"name":"A","item":"/"}]}</script>'
+        "</head><body><nav><a href='/x'>x</a></nav><article>t</article><p class='question'>Q?</p><p class='answer'>R.</p></body></html>"
+    )
+    context = one(spark, metadata.site_context, html, "u")
+    assert [(b.name, b.url) for b in context.breadcrumbs] == [("A", "/"), ("B", "/b")] and (context.next, context.feed) == ("/2", "/feed")
+    kind = one(spark, metadata.classification, html, "x")
+    assert kind.kind == "Article" and kind.tags == ["a", "b"] and one(spark, metadata.navigation, html).nav == ["/x"]
+    assert [tuple(x) for x in one(spark, metadata.faq, html)] == [("Q?", "R.")]
+
+
+def test_errors_and_delays(spark):
+    assert one(spark, crawl.error_facts, "Blocked").retryable and one(spark, crawl.error_facts, "?").category == "Unknown"
+    assert [one(spark, lambda a: crawl.delays("exponential", a, 1.0, 5.0), k) for k in (1, 2, 3, 4)] == [1.0, 2.0, 4.0, 5.0]
+    assert one(spark, text.title_from_text, "\n  First \nx") == "First" and one(spark, text.description_from_text, "A b. C! D") == "A b. C"
+
+
 def test_structure(spark):
     md = "---\ntitle: \"My page\"\ntags: x\n---\n# A b?\n## C\n```\n# no\n```\n- [x] t\n| a | b |\n|---|---|\n"
     assert one(spark, structure.front_matter, md) == {"title": "My page", "tags": "x"}
