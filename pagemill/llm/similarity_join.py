@@ -37,9 +37,10 @@ from pagemill.llm.components import components
 
 SHINGLE = 5
 #: Bits of a leaf's bitmap in 64-bit words; leaves of a node; compared neighbours.
-WORDS, FANOUT, BESIDE = 16, 16, 8
+WORDS, FANOUT, BESIDE = 64, 16, 16
 LOW = (1 << 62) - 1
-HOT = 1 << 62
+#: Bits of the filter that spares texts the shuffle.
+FILTER = 1 << 20
 
 
 def let(value: Column, body) -> Column:
@@ -51,18 +52,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(text), f"[{SPACE}]+"), lambda w: w != "")
 
 
-def shingles(text: Column) -> Column:
-    """Distinct hashes (62 bits) of the 5-word shingles, ascending; null text gives none."""
-    hashed = lambda ws: F.xxhash64(ws).bitwiseAND(F.lit(LOW))
-    windows = lambda ws: F.transform(
-        F.sequence(F.lit(1), F.size(ws) - (SHINGLE - 1)), lambda i: hashed(F.slice(ws, i, F.lit(SHINGLE)))
+def all_shingles(text: Column) -> Column:
+    """Hashes (62 bits) of the 5-word shingles in order, repeats included; null text gives none."""
+    cut = lambda h: h.bitwiseAND(F.lit(LOW))
+    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
+    windows = lambda hs: F.transform(
+        F.sequence(F.lit(0), F.size(hs) - SHINGLE), lambda i: cut(F.xxhash64(*[F.get(hs, i + k) for k in range(SHINGLE)]))
     )
     none = F.array().cast("array<bigint>")
-    each = let(
-        words_of(F.coalesce(text, F.lit(""))),
-        lambda ws: F.when(F.size(ws) >= SHINGLE, windows(ws)).when(F.size(ws) > 0, F.array(hashed(ws))).otherwise(none),
+    return let(
+        let(words_of(F.coalesce(text, F.lit(""))), hashed),
+        lambda hs: F.when(F.size(hs) >= SHINGLE, windows(hs)).when(F.size(hs) > 0, F.array(cut(F.xxhash64(hs)))).otherwise(none),
     )
-    return F.sort_array(F.array_distinct(each))
+
+
+def shingles(text: Column) -> Column:
+    """The distinct shingle hashes of a text, ascending."""
+    return F.sort_array(F.array_distinct(all_shingles(text)))
 
 
 def _bit(t: Column, mask: int) -> Column:
@@ -74,14 +80,14 @@ def hot_slots(docs: DataFrame, text: str, slots: int) -> list[int]:
 
     All tokens of all documents are counted by slot; the result has ``slots`` bits, whatever the input.
     """
-    tokens = docs.select(F.explode(shingles(F.col(text))).alias("t"))
+    tokens = docs.select(F.explode(all_shingles(F.col(text))).alias("t"))
     counts = tokens.groupBy(_bit(F.col("t"), slots - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     middle = F.percentile_approx("n", 0.5).alias("n")
     counts = saved(counts)
     usual = counts.agg(middle).first()["n"] or 0
     bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
     found = (
-        counts.where(F.col("n") > usual + usual / 4 + 64)
+        counts.where(F.col("n") > usual + 3 * usual**0.5 + 8)
         .groupBy((F.col("slot") / 64).cast("int").alias("word"))
         .agg(F.bit_or(bits).alias("bits"))
         .collect()  # at most slots / 64 rows
@@ -93,37 +99,57 @@ def hot_slots(docs: DataFrame, text: str, slots: int) -> list[int]:
     return words
 
 
-def _key(t: Column, hot: list[int], slots: int) -> Column:
-    """The token in the order of the prefix: hot ones after all others."""
+def _hot(t: Column, hot: list[int], slots: int) -> Column:
+    word = F.get(F.lit(hot).cast("array<bigint>"), (_bit(t, slots - 1) / 64).cast("int"))
+    return F.call_function("getbit", word, _bit(t, 63)) == 1
+
+
+def prefix(tokens: Column, length: Column, hot: list[int], slots: int) -> Column:
+    """The first ``length`` of ascending tokens when hot ones come after all others."""
     if not any(hot):
-        return t
-    word = F.get(F.lit(hot).cast("array<bigint>"), _bit(t, slots - 1) / 64)
-    return F.when(F.call_function("getbit", word, _bit(t, 63)) == 1, t.bitwiseOR(F.lit(HOT))).otherwise(t)
+        return F.slice(tokens, F.lit(1), length)
+    usual = F.filter(tokens, lambda t: ~_hot(t, hot, slots))
+    return let(
+        usual,
+        lambda u: F.when(F.size(u) >= length, F.slice(u, F.lit(1), length)).otherwise(
+            F.slice(F.concat(u, F.filter(tokens, lambda t: _hot(t, hot, slots))), F.lit(1), length)
+        ),
+    )
 
 
 def bitmap(tokens: Column) -> Column:
-    def word(w):
-        mine = lambda t: F.call_function("shiftright", t, F.lit(6)).bitwiseAND(F.lit(WORDS - 1)) == w
-        one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), _bit(t, 63))
-        return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: F.when(mine(t), acc.bitwiseOR(one(t))).otherwise(acc))
+    """Bits of ascending tokens: the six highest bits name the word, the next six the bit.
 
-    return F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word)
+    Tokens of a word stand together, so each word is one fold over its stretch.
+    """
+    place = lambda t: F.call_function("shiftright", t, F.lit(56)).cast("int")
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.call_function("shiftright", t, F.lit(50)), 63))
+    n = F.size(tokens)
+    first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (place(F.get(tokens, i - 1)) != place(F.get(tokens, i - 2))))
+    folded = lambda a, b: F.aggregate(F.slice(tokens, a, b - a), F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(one(t)))
+    words = let(
+        first,
+        lambda at: F.map_from_entries(
+            F.transform(at, lambda a, k: F.struct(place(F.get(tokens, a - 1)), folded(a, F.coalesce(F.get(at, k + 1), n + 1))))
+        ),
+    )
+    dense = let(words, lambda m: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.try_element_at(m, w), F.lit(0).cast("long"))))
+    return F.when(n > 0, dense).otherwise(F.array_repeat(F.lit(0).cast("long"), F.lit(WORDS)))
 
 
 def features(docs: DataFrame, key: str, text: str, hot: list[int], slots: int) -> DataFrame:
-    """(id, n, s1, s2, prefix, bits): set size, two hashes of the set, its prefix and the prefix's bitmap."""
+    """(id, n, s1, s2, prefix, bits): set size, two hashes of the set, its prefix and its bitmap."""
     sets = docs.select(F.col(key).alias("id"), shingles(F.col(text)).alias("set"))
-    ordered = F.sort_array(F.transform("set", lambda t: _key(t, hot, slots)))
     n = F.size("set")
     length = n - F.floor((4 * n + 4) / 5).cast("int") + 1
-    cut = sets.select(
+    return sets.select(
         "id",
         n.cast("long").alias("n"),
         F.xxhash64("set").alias("s1"),
         F.xxhash64(F.lit(1), "set").alias("s2"),
-        F.when(n > 0, F.slice(ordered, F.lit(1), length)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
+        F.when(n > 0, prefix(F.col("set"), length, hot, slots)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
+        bitmap(F.col("set")).alias("bits"),
     )
-    return cut.withColumn("bits", bitmap(F.col("prefix")))
 
 
 def _common_bits(a: str, b: str) -> Column:
@@ -131,32 +157,47 @@ def _common_bits(a: str, b: str) -> Column:
     return F.aggregate(both, F.lit(0), lambda acc, x: acc + x)
 
 
-def _needed(most: Column, other_least: Column) -> Column:
-    """Least tokens of a prefix that the other set must have: the prefix less what may be missing.
+def _can_link(a: str, b: str) -> Column:
+    """Whether leaves or nodes with size range, bits and spare (tokens beyond one a bit) may hold a link.
 
-    ``most``: the largest size of the side whose prefix ends first; the bound falls with it.
+    Two sets share at most a token for each bit that both have, and the spare ones of either.
     """
-    return 1 - F.floor((4 * most + 4) / 5) + F.ceil(4 * (most + other_least) / 9)
-
-
-def _can_link(a: str, b: str) -> Column:
-    """Whether leaves or nodes with size range, bits and spare (tokens beyond one a bit) may hold a link."""
     at = lambda side, c: F.col(f"{side}.{c}")
     sizes = (5 * at(a, "hi") >= 4 * at(b, "lo")) & (5 * at(b, "hi") >= 4 * at(a, "lo"))
-    least = F.least(_needed(at(a, "hi"), at(b, "lo")), _needed(at(b, "hi"), at(a, "lo")))
-    overlap = _common_bits(f"{a}.bits", f"{b}.bits") + F.greatest(at(a, "spare"), at(b, "spare"))
-    return sizes & (overlap >= least)
+    most = _common_bits(f"{a}.bits", f"{b}.bits") + F.least(at(a, "spare"), at(b, "spare"))
+    return sizes & (9 * most >= 4 * (at(a, "lo") + at(b, "lo")))
 
 
 def _leaf(name: str) -> Column:
     own = F.aggregate(F.transform("bits", lambda x: F.bit_count(x)), F.lit(0), lambda acc, x: acc + x)
-    return F.struct(F.col("n").alias("lo"), F.col("n").alias("hi"), "bits", (F.size("prefix") - own).alias("spare")).alias(name)
+    return F.struct(F.col("n").alias("lo"), F.col("n").alias("hi"), "bits", (F.col("n") - own).alias("spare")).alias(name)
+
+
+def _likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` may be among ``ids``: a filter of fixed size that spares the shuffle most others.
+
+    One bit a hash slot, so it lets some more pass, never fewer; a join decides.
+    """
+    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER - 1)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot("id").bitwiseAND(F.lit(63)))
+    found = ids.groupBy((slot("id") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most FILTER / 64 rows
+    words = [0] * (FILTER // 64)
+    for row in found:
+        words[row["word"]] = row["bits"]
+    word = F.get(F.lit(words).cast("array<bigint>"), (slot(column) / 64).cast("int"))
+    return rows.where(F.call_function("getbit", word, slot(column).bitwiseAND(F.lit(63))) == 1)
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs (a, b) of ids whose whole sets have Jaccard 0.8 or more."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    pairs = saved(pairs)
+    wanted = _ids(pairs)
+    likely = _likely(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted, "id")
+    texts = likely.join(wanted, "id", "left_semi")
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingles(F.col("text_a")).alias("x"), shingles(F.col("text_b")).alias("y"))
@@ -170,6 +211,19 @@ def _free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ids are in different components."""
+    one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    known = pairs.join(one, "a", "left").join(two, "b", "left")
+    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """Known components as links, so that more links only have to join them."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def links(docs: DataFrame, found: DataFrame, classes: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Links that make up the components, and those components (node, root)."""
     spark = docs.sparkSession
@@ -178,17 +232,26 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, key: str, text:
     order = Window.partitionBy("token").orderBy("n", "id")
     before = F.collect_list(F.struct("id", "n")).over(order.rowsBetween(-BESIDE, -1))
     total = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    fits = lambda x: (5 * x["n"] >= 4 * F.col("n")) & (x["id"] != F.col("id"))
     trees = saved(
         spots.withColumn("before", before)
         .withColumn("leaves", total)
         .where("leaves > 1")
-        .withColumn("before", F.transform(F.filter("before", lambda x: (5 * x["n"] >= 4 * F.col("n")) & (x["id"] != F.col("id"))), lambda x: x["id"]))
+        .withColumn("before", F.transform(F.filter("before", fits), lambda x: x["id"]))
     )
     _free(spark)
-    beside = trees.select(F.explode("before").alias("other"), "id").select(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b")).distinct()
-    first = saved(_linked(_pruned(beside, found), docs, key, text))
+    beside = trees.select(F.explode("before").alias("other"), "id").groupBy(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b"))
+    beside = saved(_pruned(beside.agg(F.count(F.lit(1)).alias("trees")), found))
+    # first the neighbour met in most trees, then the others outside the component
+    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("trees"), "a"))
+    first = saved(_linked(beside.withColumn("best", best).where("best = 1").select("a", "b"), docs, key, text))
     near = components(first)
     _free(spark)
+    rest = saved(_linked(_between(beside.select("a", "b"), near), docs, key, text))
+    every = first.union(rest)
+    near = components(_stars(near).union(rest))
+    forget(beside)
+    _free(spark)
     # trees of more leaves than are compared at once, not yet in one component
     large = (
         trees.where(F.col("leaves") > BESIDE + 1)
@@ -198,72 +261,71 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, key: str, text:
     )
     parts = large.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     large = saved(large.join(parts.where("low != high").select("token"), "token", "left_semi"))
-    if large.isEmpty():
-        forget(trees)
-        return first, near
-    second = saved(_linked(_traversed(large, found), docs, key, text))
     forget(trees)
-    every = first.union(second)
-    return every, components(every)
+    if large.isEmpty():
+        return every, near
+    last = saved(_linked(_traversed(large, found), docs, key, text))
+    return every.union(last), components(_stars(near).union(last))
 
 
 def _pruned(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of leaves whose sizes and bitmaps allow a link."""
-    shape = found.select("id", _leaf("leaf")).dropDuplicates(["id"])
+    pairs = saved(pairs)
+    wanted = _ids(pairs)
+    shape = _likely(found, wanted, "id").select("id", _leaf("leaf")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
     one = shape.select(F.col("id").alias("a"), F.col("leaf").alias("x"))
     two = shape.select(F.col("id").alias("b"), F.col("leaf").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(_can_link("x", "y")).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(_can_link("x", "y")).drop("x", "y")
 
 
 def _traversed(large: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of leaves left by the dual traversal of each token's tree."""
-    shape = found.select("id", _leaf("leaf")).dropDuplicates(["id"])
+    shape = _likely(found, large.select("id").distinct(), "id").select("id", _leaf("s")).dropDuplicates(["id"])
     order = Window.partitionBy("token").orderBy("n", "root", "id")
-    leaves = (
-        large.join(shape, "id")
-        .withColumn("place", F.row_number().over(order) - 1)
-        .select(
-            "token", "id", F.col("place").cast("long").alias("node"),
-            F.struct(F.col("leaf.*"), F.col("root").alias("from"), F.col("root").alias("to")).alias("s"),
-        )
-    )
-    levels = [saved(leaves)]
-    for _ in range(2):
-        levels.append(saved(_parents(levels[-1])))
-    pairs = _node_pairs(levels[2].select("token", F.col("node").alias("p")), levels[2].select("token", F.col("node").alias("q")), "p <= q", levels[2])
-    for level in (levels[1], levels[0]):
-        children = level.select("token", F.floor(F.col("node") / FANOUT).alias("parent"), "node")
-        left = pairs.join(children.withColumnsRenamed({"parent": "p", "node": "p1"}), ["token", "p"]).select("token", "q", "p1")
-        both = left.join(children.withColumnsRenamed({"parent": "q", "node": "q1"}), ["token", "q"])
-        last = level is levels[0]
-        pairs = both.where("p1 < q1" if last else "p1 <= q1").select("token", F.col("p1").alias("p"), F.col("q1").alias("q"))
-        pairs = _open_pairs(pairs, level)
-    ids = levels[0].select("token", "node", "id")
-    named = pairs.join(ids.withColumnsRenamed({"node": "p", "id": "a"}), ["token", "p"]).join(ids.withColumnsRenamed({"node": "q", "id": "b"}), ["token", "q"])
-    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    leaves = saved(large.withColumn("node", (F.row_number().over(order) - 1).cast("long")))
+    narrow = leaves.select("token", "node", "id", F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("root").alias("low"), F.col("root").alias("high"))
+    lower = saved(_parents(narrow.join(shape, "id").select("token", "node", "lo", "hi", "low", "high", "s")))
+    upper = saved(_parents(lower))
+    pairs = _open_pairs(upper.select("token", F.col("node").alias("p")).join(upper.select("token", F.col("node").alias("q")), "token").where("p <= q"), upper)
+    pairs = _open_pairs(_children(pairs, lower).where("p <= q"), lower)
+    pairs = _apart(_children(pairs, narrow).where("p < q"), narrow, "id")
+    # a pair stands in many trees: once is enough for its bitmaps
+    met = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a != b").distinct()
+    return _pruned(met, found)
 
 
 def _parents(level: DataFrame) -> DataFrame:
     ored = F.array(*[F.bit_or(F.get("s.bits", F.lit(w))) for w in range(WORDS)])
-    return level.groupBy("token", F.floor(F.col("node") / FANOUT).alias("node")).agg(
-        F.lit(None).cast("long").alias("id"),
-        F.struct(
-            F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi"), ored.alias("bits"), F.max("s.spare").alias("spare"),
-            F.min("s.from").alias("from"), F.max("s.to").alias("to"),
-        ).alias("s"),
-    ).select("token", "id", "node", "s")
+    grouped = level.groupBy("token", F.floor(F.col("node") / FANOUT).alias("node")).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high"), ored.alias("bits"), F.max("s.spare").alias("spare")
+    )
+    return grouped.select("token", "node", "lo", "hi", "low", "high", F.struct("lo", "hi", "bits", "spare").alias("s"))
+
+
+def _children(pairs: DataFrame, level: DataFrame) -> DataFrame:
+    """Pairs of the children of each pair's nodes."""
+    nodes = level.select("token", F.floor(F.col("node") / FANOUT).alias("up"), "node")
+    left = pairs.join(nodes.withColumnsRenamed({"up": "p", "node": "p1"}), ["token", "p"])
+    both = left.join(nodes.withColumnsRenamed({"up": "q", "node": "q1"}), ["token", "q"])
+    return both.select("token", F.col("p1").alias("p"), F.col("q1").alias("q"))
 
 
-def _node_pairs(one: DataFrame, two: DataFrame, order: str, level: DataFrame) -> DataFrame:
-    return _open_pairs(one.join(two, "token").where(order), level)
+def _apart(pairs: DataFrame, level: DataFrame, *more: str) -> DataFrame:
+    """Node pairs whose size ranges fit and whose leaves aren't all in one component."""
+    facts = F.struct("lo", "hi", "low", "high", *more)
+    one = level.select("token", F.col("node").alias("p"), facts.alias("x"))
+    two = level.select("token", F.col("node").alias("q"), facts.alias("y"))
+    together = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    fit = F.expr("5 * x.hi >= 4 * y.lo and 5 * y.hi >= 4 * x.lo")
+    return pairs.join(one, ["token", "p"]).join(two, ["token", "q"]).where(fit & ~together)
 
 
 def _open_pairs(pairs: DataFrame, level: DataFrame) -> DataFrame:
     """Node pairs that may hold a link between two components."""
+    pairs = _apart(pairs, level).select("token", "p", "q")
     one = level.select("token", F.col("node").alias("p"), F.col("s").alias("x"))
     two = level.select("token", F.col("node").alias("q"), F.col("s").alias("y"))
-    known = (F.col("x.from") == F.col("x.to")) & (F.col("y.from") == F.col("y.to")) & (F.col("x.from") == F.col("y.from"))
-    return pairs.join(one, ["token", "p"]).join(two, ["token", "q"]).where(~known & _can_link("x", "y")).select("token", "p", "q")
+    return pairs.join(one, ["token", "p"]).join(two, ["token", "q"]).where(_can_link("x", "y")).select("token", "p", "q")
 
 
 def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int | None = None) -> DataFrame:
