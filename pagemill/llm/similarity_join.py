@@ -40,7 +40,7 @@ SHINGLE = 5
 WORDS, FANOUT, BESIDE = 64, 16, 16
 LOW = (1 << 62) - 1
 #: Bits of the filter that spares texts the shuffle.
-FILTER = 1 << 20
+FILTER = 1 << 17
 
 
 def let(value: Column, body) -> Column:
@@ -282,9 +282,12 @@ def _traversed(large: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of leaves left by the dual traversal of each token's tree."""
     shape = _likely(found, large.select("id").distinct(), "id").select("id", _leaf("s")).dropDuplicates(["id"])
     order = Window.partitionBy("token").orderBy("n", "root", "id")
-    leaves = saved(large.withColumn("node", (F.row_number().over(order) - 1).cast("long")))
-    narrow = leaves.select("token", "node", "id", F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("root").alias("low"), F.col("root").alias("high"))
-    lower = saved(_parents(narrow.join(shape, "id").select("token", "node", "lo", "hi", "low", "high", "s")))
+    stands = large.groupBy("id").agg(F.count(F.lit(1)).alias("trees"))
+    leaves = saved(large.join(stands, "id").withColumn("node", (F.row_number().over(order) - 1).cast("long")))
+    narrow = leaves.select(
+        "token", "node", "id", F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("root").alias("low"), F.col("root").alias("high"), "trees"
+    )
+    lower = saved(_parents(narrow.join(shape, "id").select("token", "node", "lo", "hi", "low", "high", "trees", "s")))
     upper = saved(_parents(lower))
     pairs = _open_pairs(upper.select("token", F.col("node").alias("p")).join(upper.select("token", F.col("node").alias("q")), "token").where("p <= q"), upper)
     pairs = _open_pairs(_children(pairs, lower).where("p <= q"), lower)
@@ -297,9 +300,9 @@ def _traversed(large: DataFrame, found: DataFrame) -> DataFrame:
 def _parents(level: DataFrame) -> DataFrame:
     ored = F.array(*[F.bit_or(F.get("s.bits", F.lit(w))) for w in range(WORDS)])
     grouped = level.groupBy("token", F.floor(F.col("node") / FANOUT).alias("node")).agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high"), ored.alias("bits"), F.max("s.spare").alias("spare")
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("trees").alias("trees"), ored.alias("bits"), F.max("s.spare").alias("spare")
     )
-    return grouped.select("token", "node", "lo", "hi", "low", "high", F.struct("lo", "hi", "bits", "spare").alias("s"))
+    return grouped.select("token", "node", "lo", "hi", "low", "high", "trees", F.struct("lo", "hi", "bits", "spare").alias("s"))
 
 
 def _children(pairs: DataFrame, level: DataFrame) -> DataFrame:
@@ -311,13 +314,20 @@ def _children(pairs: DataFrame, level: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, level: DataFrame, *more: str) -> DataFrame:
-    """Node pairs whose size ranges fit and whose leaves aren't all in one component."""
-    facts = F.struct("lo", "hi", "low", "high", *more)
+    """Node pairs whose size ranges fit, whose leaves aren't all in one component, and that may stand in large trees only.
+
+    Of the prefix that ends first, all but ``n - overlap`` tokens are in the other prefix too,
+    so a linked pair stands together in at least ``1 - ceil(0.8 n) + 4 (n + m) / 9`` trees, n
+    being the larger size.  A pair of which one leaf is in fewer large trees than that also
+    stands in a tree of at most ``BESIDE + 1`` leaves, where it was compared already.
+    """
+    facts = F.struct("lo", "hi", "low", "high", "trees", *more)
     one = level.select("token", F.col("node").alias("p"), facts.alias("x"))
     two = level.select("token", F.col("node").alias("q"), facts.alias("y"))
     together = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
     fit = F.expr("5 * x.hi >= 4 * y.lo and 5 * y.hi >= 4 * x.lo")
-    return pairs.join(one, ["token", "p"]).join(two, ["token", "q"]).where(fit & ~together)
+    new = F.expr("1 - floor((4 * greatest(x.hi, y.hi) + 4) / 5) + ceil(4 * (x.lo + y.lo) / 9) <= least(x.trees, y.trees)")
+    return pairs.join(one, ["token", "p"]).join(two, ["token", "q"]).where(fit & new & ~together)
 
 
 def _open_pairs(pairs: DataFrame, level: DataFrame) -> DataFrame:
