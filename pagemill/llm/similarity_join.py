@@ -227,7 +227,8 @@ def _stars(roots: DataFrame) -> DataFrame:
 def links(docs: DataFrame, found: DataFrame, classes: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Links that make up the components, and those components (node, root)."""
     spark = docs.sparkSession
-    leaves = found.where("n > 0").join(classes.select(F.col("class").alias("id")), "id", "left_semi")
+    own = classes.select(F.col("class").alias("id"), "s1", "s2", "n")
+    leaves = found.where("n > 0").join(own, ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id", "s1", "s2", "n"])
     spots = leaves.select("id", "n", F.explode("prefix").alias("token"))
     order = Window.partitionBy("token").orderBy("n", "id")
     before = F.collect_list(F.struct("id", "n")).over(order.rowsBetween(-BESIDE, -1))
@@ -268,19 +269,24 @@ def links(docs: DataFrame, found: DataFrame, classes: DataFrame, key: str, text:
     return every.union(last), components(_stars(near).union(last))
 
 
+def _shapes(found: DataFrame, name: str) -> DataFrame:
+    """(id, ``name``): the leaf of each text of an id, repeated rows once."""
+    return found.dropDuplicates(["id", "s1", "s2", "n"]).select("id", _leaf(name))
+
+
 def _pruned(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of leaves whose sizes and bitmaps allow a link."""
     pairs = saved(pairs)
     wanted = _ids(pairs)
-    shape = _likely(found, wanted, "id").select("id", _leaf("leaf")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    shape = _shapes(_likely(found, wanted, "id").join(wanted, "id", "left_semi"), "leaf")
     one = shape.select(F.col("id").alias("a"), F.col("leaf").alias("x"))
     two = shape.select(F.col("id").alias("b"), F.col("leaf").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(_can_link("x", "y")).drop("x", "y")
+    return pairs.join(one, "a").join(two, "b").where(_can_link("x", "y")).drop("x", "y").distinct()
 
 
 def _traversed(large: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of leaves left by the dual traversal of each token's tree."""
-    shape = _likely(found, large.select("id").distinct(), "id").select("id", _leaf("s")).dropDuplicates(["id"])
+    shape = _shapes(_likely(found, large.select("id").distinct(), "id"), "s")
     order = Window.partitionBy("token").orderBy("n", "root", "id")
     stands = large.groupBy("id").agg(F.count(F.lit(1)).alias("trees"))
     leaves = saved(large.join(stands, "id").withColumn("node", (F.row_number().over(order) - 1).cast("long")))

@@ -310,6 +310,14 @@ def test_similarity_join_large_trees(spark, monkeypatch):
     check_groups(spark, texts)
 
 
+def test_similarity_join_repeated_ids(spark):
+    """Repeated rows are one leaf; rows of one id with several texts are one node."""
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, one), (1, one), (1, two), (2, one + " z"), (3, two + " z"), (4, "other text of five words")]
+    found = similarity_join.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4)]
+
+
 def test_drop_near_copies(spark, docs, none):
     odd = docs.union(spark.createDataFrame([(None, "one", None, None, None), (3, "one", "en", "s0", 3)], SCHEMA))
     kept = similarity_join.drop_near_copies(clashing(odd))
