@@ -5,10 +5,12 @@ target model counts the documents labelled good, the background model all docume
 score of a text is its mean loss per token under the target less that under the background,
 in bits: the lower, the more the text reads like the target.
 
-The vocabulary is the ``VOCABULARY`` most frequent words of all documents, others being one
-unknown word, so both models are dense tables of a fixed size whatever the input: that is the
-bound which lets them be sent to every task.  Counting adds up in tasks first and then by
-shuffle; the totals of the fixed table are the only thing the driver sees, packed by rows.
+``corpus_scores``, which the query uses, gives every word of the documents an id of its own (a
+63-bit hash) and counts every pair of words (by a 64-bit hash), so its models grow with the
+input; they are never in one place.  A document is scored under counts that include itself.
+
+``fit`` and ``scored`` are the dense form for a model that is sent to every task: words beyond the
+``VOCABULARY`` most frequent are one unknown word there.  No query uses it.
 
 Cases: null or empty texts have 0 tokens and null scores; texts are read whole; repeated rows
 count each time they occur and get equal scores; without target documents the target model is
@@ -20,11 +22,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +149,196 @@ def scored(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "te
     return docs.select(key, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
+# Models of every word: counts stay in Spark tables, and blocks of documents ask for theirs
+
+#: Bytes of text in a block, in a shard of word pairs and in a shard of words: their numbers grow with the input.
+BLOCK_BYTES, PAIR_SHARD_BYTES, WORD_SHARD_BYTES = 16 << 20, 16 << 20, 64 << 20
+ROW = "shard int, block int, body binary"
+
+
+class Hashes(dict):
+    """63-bit hash of each word met; 0 is left for a text's start."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1) or 1
+        return found
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([a.nbytes for a in arrays], np.int64).tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def unpack(body: bytes, kinds: str) -> list[np.ndarray]:
+    """The arrays of ``pack``, by their type codes; ``n`` stands for counts packed by ``small``, ``k`` for keys by ``short``."""
+    plain = kinds.replace("n", "Bq").replace("k", "HI")
+    ends = np.cumsum(np.frombuffer(body, np.int64, len(plain))) + 8 * len(plain)
+    parts = iter([np.frombuffer(body[a:b], kind) for kind, a, b in zip(plain, [8 * len(plain), *ends], ends)])
+    out = []
+    for kind in kinds:
+        part = next(parts)
+        if kind == "n":
+            low, part = part, part.astype(np.int64)
+            part[low == 255] = next(parts)
+        elif kind == "k":
+            part = part.astype(np.int64) << 32 | next(parts)
+        out.append(part)
+    return out
+
+
+def small(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for each count; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8), counts[counts >= 255].astype(np.int64)
+
+
+def short(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 48 bits of each key: of the pairs of one shard, a few million, they tell each from the others."""
+    return (keys >> np.uint64(48)).astype(np.uint16), (keys >> np.uint64(16)).astype(np.uint32)
+
+
+class Block(NamedTuple):
+    words: np.ndarray  # hashes, in order
+    before: np.ndarray  # of each distinct pair, in order: places in ``words``
+    after: np.ndarray
+    tokens: np.ndarray  # the pair of each token
+    lengths: np.ndarray  # tokens of each text
+
+    def keys(self) -> np.ndarray:
+        """64-bit hash of each pair."""
+        x = self.words[self.before].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) + self.words[self.after].view(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+HASHES = Hashes()
+
+
+def block_of(texts: pa.ChunkedArray) -> Block:
+    found, lengths = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        words = words_of(text.as_py())
+        lengths[k] = len(words)
+        own = np.zeros(len(words) + 1, np.int64)
+        own[1:] = np.fromiter(map(HASHES.__getitem__, words), np.int64, len(words))
+        found.append(own)
+    words, stream = np.unique(np.concatenate(found), return_inverse=True)
+    inner = np.ones(len(stream), bool)
+    inner[np.cumsum(lengths + 1) - lengths - 1] = False
+    at = np.flatnonzero(inner)
+    pairs, tokens = np.unique(stream[at - 1] * max(len(words), 1) + stream[at], return_inverse=True)
+    return Block(words, pairs // max(len(words), 1), pairs % max(len(words), 1), tokens, lengths)
+
+
+def dealt(hashes: np.ndarray, shards: int) -> list[np.ndarray]:
+    """The places of each shard's hashes, in order."""
+    own = (hashes.view(np.uint64) % np.uint64(shards)).astype(np.uint32)
+    order = np.argsort(own, kind="stable")
+    return np.split(order, np.searchsorted(own[order], np.arange(1, shards)))
+
+
+def rows_of(shards: list[int], blocks: list[int], bodies: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(shards, pa.int32()), pa.array(blocks, pa.int32()), pa.array(bodies, pa.binary())], ["shard", "block", "body"])
+
+
+def summed(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at, counts, size).astype(np.int64)  # exact below 2 ** 53
+
+
+def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """(key, n_tokens, target_bits, background_bits, difference) under models of all words and pairs of ``docs``.
+
+    Documents are dealt to blocks by a hash of the key.  A block sends each shard of pairs its distinct ones with their
+    counts and gets back the counts of the corpus, so a frequent pair is one row a block wherever it is counted.  The
+    lowest block that holds a pair then adds its counts to those of its two words, which shards of words sum up likewise.
+    """
+    kind = docs.schema[key].dataType
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    blocks, pair_shards, word_shards = (int(size // x) + 1 for x in (BLOCK_BYTES, PAIR_SHARD_BYTES, WORD_SHARD_BYTES))
+    block = F.pmod(F.xxhash64(F.col("id")), F.lit(blocks)).cast("int").alias("block")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")).select(block, "id", "text").groupBy("block")
+    good = labels.where(F.col(label) == 1).select(F.col(key).cast(kind).alias("id")).select(block, "id").groupBy("block")
+
+    def ask_pairs(name: tuple, own: pa.Table, good: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return rows_of([], [], [])
+        found = block_of(own["text"])
+        target = pc.is_in(own["id"], value_set=good["id"].combine_chunks(), skip_nulls=True).to_numpy()
+        n = np.bincount(found.tokens, minlength=len(found.before))
+        t = np.bincount(found.tokens[np.repeat(target, found.lengths)], minlength=len(found.before))
+        keys = found.keys()
+        asked = {k: pack(*short(keys[at]), *small(n[at]), *small(t[at])) for k, at in enumerate(dealt(keys, pair_shards)) if len(at)}
+        return rows_of(list(asked), [name[0].as_py()] * len(asked), list(asked.values()))
+
+    def joined(rows: pa.Table, kinds: str) -> tuple[list[np.ndarray], np.ndarray]:
+        """The arrays of all requests, end to end, and the ends of the requests."""
+        parts = [unpack(x.as_py(), kinds) for x in rows["body"]]
+        return [np.concatenate(x) for x in zip(*parts)], np.cumsum([len(x[0]) for x in parts])
+
+    def answer_pairs(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("block")
+        (keys, n, t), ends = joined(rows, "knn")
+        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        n, t = (summed(at, x, len(first))[at] for x in (n, t))
+        mine = np.zeros(len(keys), bool)
+        mine[first] = True
+        bodies = [pack(*small(n[a:b]), *small(t[a:b]), np.packbits(mine[a:b])) for a, b in zip([0, *ends], ends)]
+        return rows_of(rows["shard"].to_pylist(), rows["block"].to_pylist(), bodies)
+
+    def pairs_of(found: Block, bodies: dict[int, pa.BinaryScalar]) -> np.ndarray:
+        """Of each pair its counts, in all and in the target, and whether this block is the one to tell them to its words."""
+        pairs = np.zeros((3, len(found.before)), np.int64)
+        for shard, at in enumerate(dealt(found.keys(), pair_shards)):
+            if len(at):
+                n, t, mine = unpack(bodies[shard].as_py(), "nnB")
+                pairs[:, at] = n, t, np.unpackbits(mine, count=len(at))
+        return pairs
+
+    def ask_words(name: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return rows_of([], [], [])
+        found = block_of(own["text"])
+        n, t, mine = pairs_of(found, dict(zip(answers["shard"].to_pylist(), answers["body"])))
+        sums = [(found.after, n), (found.after, t), (found.before, n), (found.before, t), (found.before, mine), (found.before, t > 0)]
+        counts = [summed(at, x * mine, len(found.words)) for at, x in sums]
+        # an empty request too: the answer brings the shard's totals
+        bodies = [pack(found.words[at], *(y for x in counts for y in small(x[at]))) for at in dealt(found.words, word_shards)]
+        return rows_of(list(range(word_shards)), [name[0].as_py()] * word_shards, bodies)
+
+    def answer_words(rows: pa.Table) -> pa.Table:
+        (words, *counts), ends = joined(rows, "qnnnnnn")
+        known, at = np.unique(words, return_inverse=True)
+        counts = [summed(at, x, len(known)) for x in counts]
+        totals = np.array([np.count_nonzero(known), counts[0].sum(), counts[1].sum()], np.int64)
+        bodies = [pack(totals, *(y for x in counts for y in small(x[at[a:b]]))) for a, b in zip([0, *ends], ends)]
+        return rows_of([pair_shards + x for x in rows["shard"].to_pylist()], rows["block"].to_pylist(), bodies)
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        found = block_of(own["text"])
+        bodies = dict(zip(answers["shard"].to_pylist(), answers["body"]))
+        pairs, words, totals = pairs_of(found, bodies), np.zeros((6, len(found.words))), np.zeros(3)
+        for shard, at in enumerate(dealt(found.words, word_shards), pair_shards):
+            own_totals, *counts = unpack(bodies[shard].as_py(), "qnnnnnn")
+            totals += own_totals
+            words[:, at] = counts
+        ends, mean = np.cumsum(found.lengths), []
+        for k in (1, 0):  # the target, then the background
+            plain = (words[k] + 1) / (totals[1 + k] + totals[0] + 2)  # the words, the start and an unknown one
+            kinds = np.maximum(words[4 + k], 1)[found.before]
+            bits = -np.log2((pairs[k] + kinds * plain[found.after]) / (words[2 + k][found.before] + kinds))
+            sums = np.concatenate([[0.0], np.cumsum(bits[found.tokens])])
+            mean.append((sums[ends] - sums[ends - found.lengths]) / np.maximum(found.lengths, 1))
+        none = found.lengths == 0
+        columns = [pa.array(x, pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1])]
+        return pa.table([own["id"], pa.array(found.lengths), *columns], [key, "n_tokens", "target_bits", "background_bits", "difference"])
+
+    pairs = texts.cogroup(good).applyInArrow(ask_pairs, ROW).groupBy("shard").applyInArrow(answer_pairs, ROW)
+    words = texts.cogroup(pairs.groupBy("block")).applyInArrow(ask_words, ROW).groupBy("shard").applyInArrow(answer_words, ROW)
+    schema = f"`{key}` {kind.simpleString()}, n_tokens long, target_bits double, background_bits double, difference double"
+    return texts.cogroup(pairs.union(words).groupBy("block")).applyInArrow(score, schema)
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return corpus_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

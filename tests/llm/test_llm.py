@@ -141,6 +141,49 @@ def test_language_models(spark, docs, none):
     assert empty.ids == {} and lm_scoring.scored(none, empty).count() == 0
 
 
+def brute_scores(rows, good):
+    """Witten-Bell over add-one unigrams of all words, from plain dictionaries."""
+    models, vocabulary = [], {w for _, t in rows for w in lm_scoring.words_of((t or "").encode())}
+    for some in ([r for r in rows if r[0] in good], rows):
+        pairs = Counter(p for _, t in some for ws in [lm_scoring.words_of((t or "").encode())] for p in zip([None, *ws], ws))
+        words, after, kinds = Counter(), Counter(), Counter(p for p, _ in pairs)
+        for (p, c), n in pairs.items():
+            words[c] += n
+            after[p] += n
+        models.append((pairs, words, after, kinds, sum(words.values()) + len(vocabulary) + 2))
+    for key, t in rows:
+        ws = lm_scoring.words_of((t or "").encode())
+        means = []
+        for pairs, words, after, kinds, total in models:
+            bits = [-np.log2((pairs[p, c] + max(kinds[p], 1) * (words[c] + 1) / total) / (after[p] + max(kinds[p], 1))) for p, c in zip([None, *ws], ws)]
+            means.append(np.mean(bits) if bits else None)
+        yield key, len(ws), means
+
+
+@pytest.mark.parametrize("sizes", [(8 << 20, 32 << 20, 128 << 20), (9_000, 20_000, 50_000)])
+def test_corpus_scores(spark, rows, docs, none, monkeypatch, sizes):
+    for name, size in zip(("BLOCK_BYTES", "PAIR_SHARD_BYTES", "WORD_SHARD_BYTES"), sizes):
+        monkeypatch.setattr(lm_scoring, name, size)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)] + [(3, None), (None, 1), (5, 1)], "doc_id int, quality int")
+    again = [(5, "one more text"), (None, "a text without an id")]
+    both = clashing(docs).select("doc_id", "text", "size").union(spark.createDataFrame([(*x, 7) for x in again], "doc_id long, text string, size int"))
+    found = sorted(map(str, ((r.doc_id, r.n_tokens, *(x and round(x, 6) for x in (r.target_bits, r.background_bits, r.difference))) for r in lm_scoring.corpus_scores(both, labels).collect())))
+    want = brute_scores([r[:2] for r in rows] + again, {i for i in range(1, 60, 2)})
+    assert found == sorted(map(str, ((key, n, *(x and round(float(x), 6) for x in (t, b, b and t - b))) for key, n, (t, b) in want)))
+    assert lm_scoring.corpus_scores(none, labels).count() == 0
+    assert lm_scoring.corpus_scores(docs, labels.limit(0)).where("n_tokens > 0 and target_bits is null").count() == 0
+
+
+def test_corpus_scores_tell_rare_words_apart(spark):
+    """Beyond the 2,046 most frequent words too, those of the target score lower."""
+    common = " ".join(f"w{i}" for i in range(3000))
+    texts = [common, common, common] + [" ".join(f"{kind}{k}x{i}" for i in range(20)) for k in range(2) for kind in ("good", "bad") for _ in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (7, 1)], "doc_id long, quality int")
+    found = {r.doc_id: r.difference for r in lm_scoring.corpus_scores(docs, labels).collect()}
+    assert max(found[i] for i in (3, 4, 7, 8)) < min(found[i] for i in (5, 6, 9, 10))
+
+
 # 3
 
 
