@@ -24,77 +24,99 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def crawl(
-    pages: DataFrame, seeds: DataFrame, url: str = "url", html: str = "html", max_depth: int = 3, max_pages: int = 100,
+def _linked(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(key, url, links) of each page once, written: what the levels of a crawl join."""
+    known = pages.select(normalize(F.col(url)).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).dropDuplicates(["key"])
+    return _written(known.select("key", "url", extract_links(F.col("html"), F.col("url")).alias("links")))
+
+
+def crawl_order(
+    pages: DataFrame, seeds: DataFrame, url: str = "url", html: str = "html", max_depth: int = 3, max_pages: int | None = None,
     include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), robots: DataFrame | None = None, agent: str = "*",
 ) -> DataFrame:
-    """Breadth-first crawl of each seed's site: (start, depth, place, url, html, parent).
+    """Breadth-first crawl of each seed's site: (start, depth, place, key, url, parent).
 
     A level is one join of the frontier with the pages, and an anti join with what was seen;
-    the driver only counts.  ``place`` follows the order in which a queue would have met the
-    pages: depth, place of the parent, position of the link.  ``max_pages`` counts over all.
+    the driver only asks whether a level is empty.  ``place`` follows the order in which a queue
+    would have met the pages: depth, place of the parent, position of the link.  ``max_pages``
+    counts over the levels of a start; None takes all pages.
     """
-    known = pages.select(normalize(F.col(url)).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).dropDuplicates(["key"])
+    known = _linked(pages, url, html)
     order = Window.partitionBy("start").orderBy("up", "at")
     frontier = seeds.select(F.col(url).alias("start"), normalize(F.col(url)).alias("key"), F.lit(None).cast("string").alias("parent")).withColumns(
         {"up": F.lit(0).cast("long"), "at": F.lit(0)}
     )
-    seen, levels, found = frontier.select("start", "key").distinct(), [], 0
+    seen, levels, out = frontier.select("start", "key").distinct(), [], None
     for depth in range(max_depth + 1):
-        level = frontier.join(known, "key").withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn("depth", F.lit(depth))
-        level = _written(level.orderBy("start", "place").limit(max_pages - found))
+        level = frontier.join(known.drop("links"), "key").withColumn("place", F.row_number().over(order).cast("long") - 1).withColumn("depth", F.lit(depth))
+        if max_pages is not None:
+            taken = out.groupBy("start").agg(F.count(F.lit(1)).alias("taken")) if levels else seen.select("start", F.lit(0).alias("taken")).distinct()
+            level = level.join(taken, "start").where(F.col("place") + F.col("taken") < max_pages)
+        level = _written(level.select("start", "depth", "place", "key", "url", "parent"))
         levels.append(level)
-        found += level.count()
-        if depth == max_depth or found >= max_pages or level.isEmpty():
+        out = level if out is None else out.union(level)
+        if depth == max_depth or level.isEmpty():
             break
-        links = level.select("start", F.col("url").alias("parent"), F.col("place").alias("up"), F.posexplode(extract_links(F.col("html"), F.col("url"))).alias("at", "link"))
+        links = level.join(known.select("key", "links"), "key").select("start", F.col("url").alias("parent"), F.col("place").alias("up"), F.posexplode("links").alias("at", "link"))
         links = links.where(should_crawl(F.col("link"), F.col("start"), include, exclude))
         if robots is not None:
             links = allowed(links, robots, "link", agent)
         first = Window.partitionBy("start", "key").orderBy("up", "at")
         fresh = links.withColumn("key", normalize(F.col("link"))).withColumn("rank", F.row_number().over(first)).where("rank = 1")
         frontier = _written(fresh.join(seen, ["start", "key"], "left_anti").select("start", "key", "parent", "up", "at"))
-        seen = _written(seen.union(frontier.select("start", "key")))
+        seen = seen.union(frontier.select("start", "key"))
         gc.collect()
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out.select("start", "depth", "place", "url", "html", "parent")
+    return out
+
+
+def crawl(
+    pages: DataFrame, seeds: DataFrame, url: str = "url", html: str = "html", max_depth: int = 3, max_pages: int | None = 100,
+    include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), robots: DataFrame | None = None, agent: str = "*",
+) -> DataFrame:
+    """``crawl_order`` with the pages: (start, depth, place, url, html, parent)."""
+    order = crawl_order(pages, seeds, url, html, max_depth, max_pages, include, exclude, robots, agent)
+    texts = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).dropDuplicates(["url"])
+    return order.join(texts, "url").select("start", "depth", "place", "url", "html", "parent")
 
 
 def crawl_depth_first(pages: DataFrame, seeds: DataFrame, url: str = "url", html: str = "html", max_depth: int = 3, max_pages: int = 100) -> DataFrame:
-    """Visit order of a depth-first crawl, a site to a task: (start, visit, depth, url).
+    """Visit order of a depth-first crawl, a start to a task: (start, visit, depth, url).
 
-    The order is sequential by nature; the link table of a site is made by Spark, and a site's
-    walk stops at ``max_pages``, which bounds what it holds.
+    The order is sequential by nature; joins by level find the pages that a start can reach in
+    ``max_depth`` steps, whose links are all that its walk holds.  It stops at ``max_pages``.
     """
-    from pagemill.functions.urls import host
-
-    links = pages.select(
-        host(F.col(url)).alias("host"), normalize(F.col(url)).alias("key"), F.col(url).alias("url"),
-        F.filter(extract_links(F.col(html), F.col(url)), lambda x: should_crawl(x, F.col(url))).alias("raw"),
-    ).select("host", "key", "url", F.transform("raw", normalize).alias("links"))
-    starts = seeds.select(host(F.col(url)).alias("host"), F.col(url).alias("start"), normalize(F.col(url)).alias("first"))
+    known = _linked(pages, url, html)
+    known = _written(known.select("key", "url", F.transform(F.filter("links", lambda x: should_crawl(x, F.col("url"))), normalize).alias("links")))
+    starts = seeds.groupBy(F.col(url).alias("start")).agg(F.count(F.lit(1)).alias("copies")).withColumn("key", normalize(F.col("start")))
+    reached = frontier = starts.select("start", "key")
+    for _ in range(max_depth):
+        fresh = frontier.join(known, "key").select("start", F.explode("links").alias("key")).distinct()
+        frontier = _written(fresh.join(reached, ["start", "key"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = reached.union(frontier)
+    first = starts.select("start", "copies", F.col("key").alias("first"))
+    tables = reached.join(known, "key").join(first, "start")
 
-    def walk(sites, table):
+    def walk(table):
         import pandas as pd
 
         rows = []
         by_key = {k: (u, list(x)) for k, u, x in zip(table["key"], table["url"], table["links"])}
-        for start, first in zip(sites["start"], sites["first"]):
-            stack, seen, visit = [(first, 0)], set(), 0
-            while stack and visit < max_pages:
-                key, depth = stack.pop()
-                if key in seen or key not in by_key:
-                    continue
-                seen.add(key)
-                rows.append((start, visit, depth, by_key[key][0]))
-                visit += 1
-                if depth < max_depth:
-                    stack += [(x, depth + 1) for x in reversed(by_key[key][1]) if x not in seen]
+        start, copies = table["start"].iloc[0], table["copies"].iloc[0]
+        stack, seen, visit = [(table["first"].iloc[0], 0)], set(), 0
+        while stack and visit < max_pages:
+            key, depth = stack.pop()
+            if key in seen or key not in by_key:
+                continue
+            seen.add(key)
+            rows += [(start, visit, depth, by_key[key][0])] * copies
+            visit += 1
+            if depth < max_depth:
+                stack += [(x, depth + 1) for x in reversed(by_key[key][1]) if x not in seen]
         return pd.DataFrame(rows, columns=["start", "visit", "depth", "url"])
 
-    return starts.groupBy("host").cogroup(links.groupBy("host")).applyInPandas(walk, "start string, visit long, depth int, url string")
+    return tables.groupBy("start").applyInPandas(walk, "start string, visit long, depth int, url string")
 
 
 def robots_rules(sites: DataFrame, key: str = "host", body: str = "body") -> DataFrame:

@@ -445,5 +445,5 @@ def markdown_structure(docs):
 
 @query("pages")
 def crawl_site(pages):
-    """Breadth-first crawl from every page of one host's root upwards: level 0 is the table itself."""
-    return crawl.crawl(pages, pages.select("url"), max_depth=1, max_pages=1_000_000).select("start", "depth", "place", "url")
+    """Breadth-first crawl from every page, to the default depth and with no cap: level 0 is the table itself."""
+    return crawl.crawl_order(pages, pages.select("url")).select("start", "depth", "place", "url")

@@ -74,6 +74,20 @@ def test_crawls(spark):
     assert [r.url[13:] for r in deep] == ["/", "/a", "/c", "/e", "/b"] or [r.url.removeprefix("https://s.com") for r in deep] == ["/", "/a", "/c", "/e", "/b"]
 
 
+def test_crawl_caps_are_of_a_start(spark, tmp_path):
+    pages = spark.createDataFrame(list(SITE.items()), "url string, html string")
+    every = pages.select("url")
+    count = lambda df: {r.start.removeprefix("https://s.com"): r["count"] for r in df.groupBy("start").count().collect()}
+    assert count(crawl.crawl(pages, every, max_pages=2)) == {"/": 2, "/a": 2, "/b": 2, "/c": 2, "/e": 1}
+    assert count(crawl.crawl(pages, every, max_pages=3)) == {"/": 3, "/a": 3, "/b": 3, "/c": 2, "/e": 1}
+    whole = {"/": 5, "/a": 5, "/b": 3, "/c": 2, "/e": 1}
+    assert count(crawl.crawl(pages, every, max_pages=None)) == whole == count(crawl.crawl_depth_first(pages, every))
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    assert count(queries.QUERIES["crawl_site"](spark, str(tmp_path))) == whole
+    deep = crawl.crawl_depth_first(pages, every.where("url like '%/'").union(every.where("url like '%/'")), max_depth=1)
+    assert sorted((r.visit, r.depth, r.url.removeprefix("https://s.com")) for r in deep.collect()) == [(0, 0, "/")] * 2 + [(1, 1, "/a")] * 2 + [(2, 1, "/b")] * 2
+
+
 def test_sitemaps(spark):
     assert one(spark, urls.sitemap_locs, "<urlset xmlns='x'><url><loc> https://a/1 </loc></url><url><loc>https://a/2</loc></url></urlset>") == ["https://a/1", "https://a/2"]
     assert one(spark, urls.sitemap_locs, "<broken><loc>https://a/3</loc>") == ["https://a/3"]
