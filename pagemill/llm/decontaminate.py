@@ -2,8 +2,9 @@
 
 Each shard (the documents of one Arrow batch, cut at ``SHARD_BYTES``) gets a suffix array
 over its words.  Every test suffix is looked up in it by binary search: its range holds all
-places where the next ``WINDOW`` words occur, and each place is extended to its longest
-verbatim match.  Documents with a match are contaminated.
+places where the next ``WINDOW`` words occur.  The union of these windows gives the words hit;
+a document with any is contaminated.  ``matches``, a report of its own that the query doesn't
+use, extends each place to its longest verbatim match.
 
 A training suffix that shares no opening ``PROBE`` words with any test suffix can't match,
 so the array holds the stretches around suffixes that do: a lossless cut, found by hash
