@@ -355,6 +355,10 @@ def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text
     classes = saved(named.groupBy("s1", "s2", "n").agg(F.min("id").alias("class")))
     _free(docs.sparkSession)
     _, roots = links(docs, found.where("id is not null"), classes, key, text)
+    of_id = named.join(classes, ["s1", "s2", "n"]).groupBy("id").agg(F.collect_set("class").alias("own")).where("size(own) > 1")
+    shared = saved(of_id.select(F.col("id").alias("a"), F.explode("own").alias("b")).where("a != b"))
+    if not shared.isEmpty():  # an id with several texts is one node
+        roots = components(_stars(roots).union(shared))
     placed = (
         found.select("id", "n", "s1", "s2")
         .join(classes, ["s1", "s2", "n"], "left")

@@ -361,6 +361,16 @@ def test_similarity_join_repeated_ids(spark):
     assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 4)]
 
 
+def test_similarity_join_ids_between_texts(spark):
+    """An id links the classes of its texts where it is the smallest of none or only one."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(5, one), (7, one), (7, two), (9, two + " z"), (3, three), (8, three), (8, two), (11, "other text of five words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = similarity_join.near_copy_components(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(3, 3), (5, 3), (7, 3), (7, 3), (8, 3), (8, 3), (9, 3), (11, 11)]
+    assert sorted(r.doc_id for r in similarity_join.drop_near_copies(docs).collect()) == [3, 11]
+
+
 def test_drop_near_copies(spark, docs, none):
     odd = docs.union(spark.createDataFrame([(None, "one", None, None, None), (3, "one", "en", "s0", 3)], SCHEMA))
     kept = similarity_join.drop_near_copies(clashing(odd))
