@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 #: ASCII white space for ``bytes`` methods; ``bytes.split()`` uses the same set.
 SPACE_BYTES = b" \t\n\v\f\r"
+#: Maps bytes to themselves, A-Z lower-cased.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Maps bytes to item words: A-Z lower-cased, ASCII other than letters and digits to a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
@@ -26,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is unset (local tests), the session gets a temporary folder.
+    Where the setting is unset, a local session gets a temporary folder; on a cluster that
+    would be a folder of each machine, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-pagemill-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
@@ -61,3 +69,37 @@ def ascii_lower(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     pure = F.octet_length(text) == F.length(text)
     return F.when(pure, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+class WordHashes(dict):
+    """64-bit hash of each word met, in a bounded cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """The arrays end to end after their lengths in bytes."""
+    return b"".join([np.array([a.nbytes for a in arrays], np.int64).tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def unpack(body: bytes, kinds: str) -> list[np.ndarray]:
+    """The arrays of ``pack``, by their type codes."""
+    ends = np.cumsum(np.frombuffer(body, np.int64, len(kinds))) + 8 * len(kinds)
+    return [np.frombuffer(body[a:b], kind) for kind, a, b in zip(kinds, [8 * len(kinds), *ends], ends)]
+
+
+def narrow(numbers: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in a small type; those at its end or beyond follow in full."""
+    end = np.iinfo(kind).max
+    return np.minimum(numbers, end).astype(kind), numbers[numbers >= end].astype(np.int64)
+
+
+def widen(low: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """The numbers of ``narrow``."""
+    out = low.astype(np.int64)
+    out[low == np.iinfo(low.dtype).max] = rest
+    return out

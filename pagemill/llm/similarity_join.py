@@ -1,378 +1,474 @@
 """Operator 6: n-gram Jaccard self-join by signature trees, and its components.
 
-Texts with equal shingle sets are one class, so copies cost one row each.  Two classes of
-Jaccard 0.8 or more share a token among the first ``n - ceil(0.8 n) + 1`` tokens of their
-sets, in any order of all tokens; so each class stands as a leaf under the tokens of that
-prefix, and every token is the root of a tree.  Tokens of many documents come last in the
-order (a sketch of fixed size counts all tokens), so they root a tree only for texts that
-consist of them.
-
-A tree's leaves are ordered by set size.  A node has the range of its leaves' sizes and the
-OR of their token bitmaps.  ``BESIDE`` neighbours in the order are compared at once, which is
-all there is in most trees, and linked classes are joined to components.  Larger trees whose
-leaves are then still in several components are traversed from pairs of nodes down, each pair
-pruned when its sizes can't reach the ratio, when all leaves are in one component already,
-or when the bits that both have allow too small an overlap.  Pairs of leaves that remain are
-decided on whole sets of both texts.
-
-Scale: one shuffle of a fifth of the tokens; no group is gathered, no pair inside a component
-is looked for once it is known, texts move only for classes in a candidate pair.
-
-Only DataFrame functions.  Cases: null or empty texts have no shingles and are linked with
-nothing; a text of fewer than five words is one shingle; null ids are linked with nothing
-(component null); repeated rows get equal results; rows of one id with several texts are
-one node; an empty table gives an empty result; other columns are kept by
-``drop_near_copies``.
+1. Counting.  Documents are dealt to blocks; a block asks shards of tokens how many documents
+   hold each of its tokens.  A text of which less than four fifths of the tokens are in
+   another text links with nothing, so only the others go on; equal sets are one class.
+2. Trees.  Two linked classes share a token among the first ``n - ceil(0.8 n) + 1`` of their
+   tokens, rarest first; each such token has a tree, whose leaves are the classes that hold it
+   there.  A node holds its leaves' size range, the OR of their token bitmaps and the largest
+   size that a partner of theirs may have.  A dual traversal starts from the pair of each
+   tree's root with itself.  It prunes node pairs by sizes, by the most tokens that the bitmaps
+   let them share, and where all leaves are linked already; whole sets decide pairs of leaves.
+3. Rounds.  The first has the trees of each class's first tokens that others hold, a large one
+   cut into parts on their own: it links most copies.  The second has all trees in which
+   several components still meet, each pair of parts of a large one by itself.
+
+A partner's largest size: of a class of ``n`` tokens that stands under its token number ``i``
+(from 0), at most ``n - i`` tokens are shared with a class that it meets there first, and
+``9 (n - i) >= 4 (n + m)`` must hold for the other's size ``m``.
+
+Scale: texts are shuffled once, and two bytes and a count for each distinct token of a block.
+A token that many documents hold is one entry a block.  Trees are dealt in parts of at most
+twice ``leaves`` leaves; those of the component that has most leaves in a large tree are not
+compared with each other.  No group of copies is expanded into pairs: links are those that
+join components.
+
+Cases: null or empty texts have no shingles and are linked with nothing; a text of fewer than
+five words is one shingle; null ids are linked with nothing (component null); repeated rows
+get equal results; rows of one id with several texts are one node; an empty table gives an
+empty result; other columns, whatever their names, are kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
-import gc
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SPACE, ascii_lower, forget, saved, table
+from pagemill.llm.common import LOWER, WordHashes, narrow, pack, saved, table, unpack, widen
 from pagemill.llm.components import components
 
 SHINGLE = 5
-#: Bits of a leaf's bitmap in 64-bit words; leaves of a node; compared neighbours.
-WORDS, FANOUT, BESIDE = 64, 16, 16
-LOW = (1 << 62) - 1
-#: Bits of the filter that spares texts the shuffle.
-FILTER = 1 << 17
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), f"[{SPACE}]+"), lambda w: w != "")
-
-
-def all_shingles(text: Column) -> Column:
-    """Hashes (62 bits) of the 5-word shingles in order, repeats included; null text gives none."""
-    cut = lambda h: h.bitwiseAND(F.lit(LOW))
-    hashed = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
-    windows = lambda hs: F.transform(
-        F.sequence(F.lit(0), F.size(hs) - SHINGLE), lambda i: cut(F.xxhash64(*[F.get(hs, i + k) for k in range(SHINGLE)]))
-    )
-    none = F.array().cast("array<bigint>")
-    return let(
-        let(words_of(F.coalesce(text, F.lit(""))), hashed),
-        lambda hs: F.when(F.size(hs) >= SHINGLE, windows(hs)).when(F.size(hs) > 0, F.array(cut(F.xxhash64(hs)))).otherwise(none),
-    )
-
-
-def shingles(text: Column) -> Column:
-    """The distinct shingle hashes of a text, ascending."""
-    return F.sort_array(F.array_distinct(all_shingles(text)))
-
-
-def _bit(t: Column, mask: int) -> Column:
-    return t.bitwiseAND(F.lit(mask)).cast("int")
-
-
-def hot_slots(docs: DataFrame, text: str, slots: int) -> list[int]:
-    """A bit for each slot whose tokens occur in unusually many documents, as 64-bit words.
-
-    All tokens of all documents are counted by slot; the result has ``slots`` bits, whatever the input.
-    """
-    tokens = docs.select(F.explode(all_shingles(F.col(text))).alias("t"))
-    counts = tokens.groupBy(_bit(F.col("t"), slots - 1).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    middle = F.percentile_approx("n", 0.5).alias("n")
-    counts = saved(counts)
-    usual = counts.agg(middle).first()["n"] or 0
-    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
-    found = (
-        counts.where(F.col("n") > usual + 3 * usual**0.5 + 8)
-        .groupBy((F.col("slot") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(bits).alias("bits"))
-        .collect()  # at most slots / 64 rows
-    )
-    forget(counts)
-    words = [0] * (slots // 64)
-    for row in found:
-        words[row["word"]] = row["bits"]
-    return words
-
-
-def _hot(t: Column, hot: list[int], slots: int) -> Column:
-    word = F.get(F.lit(hot).cast("array<bigint>"), (_bit(t, slots - 1) / 64).cast("int"))
-    return F.call_function("getbit", word, _bit(t, 63)) == 1
-
-
-def prefix(tokens: Column, length: Column, hot: list[int], slots: int) -> Column:
-    """The first ``length`` of ascending tokens when hot ones come after all others."""
-    if not any(hot):
-        return F.slice(tokens, F.lit(1), length)
-    usual = F.filter(tokens, lambda t: ~_hot(t, hot, slots))
-    return let(
-        usual,
-        lambda u: F.when(F.size(u) >= length, F.slice(u, F.lit(1), length)).otherwise(
-            F.slice(F.concat(u, F.filter(tokens, lambda t: _hot(t, hot, slots))), F.lit(1), length)
-        ),
-    )
-
-
-def bitmap(tokens: Column) -> Column:
-    """Bits of ascending tokens: the six highest bits name the word, the next six the bit.
-
-    Tokens of a word stand together, so each word is one fold over its stretch.
+#: Bits of a token's slot in its shard; two tokens in a slot only count as more frequent.
+SLOT = 28
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+class Sizes(NamedTuple):
+    """Sizes of what one task holds; numbers of blocks, shards and parts follow the input."""
+
+    block: int = 16 << 20  # bytes of text in a block
+    shard: int = 32 << 20  # bytes of text whose tokens are counted in a shard
+    forest: int = 16 << 20  # bytes of sets in a task that holds trees
+    leaves: int = 512  # leaves of a part of a tree
+    first: int = 2  # trees of a class in the first round
+    fanout: int = 8
+    pairs: int = 1 << 14  # node pairs that are compared at once
+
+
+SIZES = Sizes()
+HASHES = WordHashes()
+
+
+def sets_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, ascending, one text after another; and their numbers."""
+    words, lengths = [], np.zeros(len(texts), np.int64)
+    for k, text in enumerate(texts):
+        found = (text.as_py() or b"").translate(LOWER).split()
+        lengths[k] = len(found)
+        words.append(np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found)))
+    every = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    n = max(len(every) - SHINGLE + 1, 0)
+    codes = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        codes = (codes ^ every[k : k + n]) * _MIX
+        codes ^= codes >> np.uint64(29)
+    out = []
+    for start, length in zip((np.cumsum(lengths) - lengths).tolist(), lengths.tolist()):
+        if length >= SHINGLE:
+            own = np.sort(codes[start : start + length - SHINGLE + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        else:
+            whole = np.full(min(length, 1), length, np.uint64)
+            for word in every[start : start + length]:
+                whole = (whole ^ word) * _MIX2
+                whole ^= whole >> np.uint64(31)
+            out.append(whole)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.fromiter(map(len, out), np.int64, len(out))
+
+
+# counting
+
+
+class Asked(NamedTuple):
+    """The distinct tokens of a block, by shard and slot."""
+
+    slots: np.ndarray
+    counts: np.ndarray  # documents of the block that hold each
+    of_token: np.ndarray  # place of each token of the block
+    ends: np.ndarray  # of the shards
+
+    @staticmethod
+    def of(tokens: np.ndarray, shards: int) -> Asked:
+        distinct, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        shard = distinct % np.uint64(shards)
+        slots = (distinct >> np.uint64(32)) & np.uint64((1 << SLOT) - 1)
+        order = np.lexsort((slots, shard))
+        place = np.zeros(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ends = np.searchsorted(shard[order], np.arange(shards, dtype=np.uint64), "right")
+        return Asked(slots[order].astype(np.int64), counts[order], place[back], ends)
+
+
+REQUEST = "shard int, block int, body binary"
+
+
+def _requests(shards, blocks, bodies) -> pa.Table:
+    return pa.table([pa.array(shards, pa.int32()), pa.array(blocks, pa.int32()), pa.array(bodies, pa.binary())], ["shard", "block", "body"])
+
+
+def ask(block: int, texts, shards: int) -> pa.Table:
+    """For each shard the block's slots, as gaps, and how many documents hold each."""
+    asked = Asked.of(sets_of(texts)[0], shards)
+    found = {}
+    for shard, (a, b) in enumerate(zip([0, *asked.ends], asked.ends)):
+        if a < b:
+            gaps = np.diff(asked.slots[a:b], prepend=0)
+            found[shard] = pack(*narrow(gaps, np.uint16), *narrow(asked.counts[a:b], np.uint8))
+    return _requests(list(found), [block] * len(found), list(found.values()))
+
+
+def answer(requests: pa.Table) -> pa.Table:
+    """For each request the frequency class of its slots: 0 where one document holds it, then 1 for 2, 2 for 3 and 4, ..."""
+    parts = [unpack(x.as_py(), "HqBq") for x in requests["body"]]
+    slots = [np.cumsum(widen(gaps, more)) for gaps, more, _, _ in parts]
+    counts = np.concatenate([widen(n, more) for _, _, n, more in parts])
+    _, back = np.unique(np.concatenate(slots), return_inverse=True)
+    total = np.bincount(back, counts).astype(np.int64)
+    classes = np.frexp(total - 1)[1].astype(np.uint8)[back]
+    ends = np.cumsum([len(x) for x in slots])
+    bodies = [classes[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+    return _requests(requests["shard"].to_pylist(), requests["block"].to_pylist(), bodies)
+
+
+def sketches(texts, answers: pa.Table, shards: int) -> dict[str, pa.Array]:
+    """Of each text its size, the tokens that no other has, hashes of its set; of those that may link the prefix and the set."""
+    tokens, sizes = sets_of(texts)
+    asked = Asked.of(tokens, shards)
+    classes = np.zeros(len(asked.slots), np.uint8)
+    for shard, body in zip(answers["shard"].to_pylist(), answers["body"]):
+        start = int(asked.ends[shard - 1]) if shard else 0
+        classes[start : int(asked.ends[shard])] = np.frombuffer(body.as_py(), np.uint8)
+    classes = classes[asked.of_token]
+    ends = np.cumsum(sizes)
+    alone = np.concatenate([[0], np.cumsum(classes == 0)])
+    alone = alone[ends] - alone[ends - sizes]
+    hashes = [(tokens * _MIX) ^ (tokens >> np.uint64(31)), (tokens ^ (tokens >> np.uint64(27))) * _MIX2]
+    totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)]) for h in hashes]
+    prefixes, sets = [], []
+    for end, n, u in zip(ends.tolist(), sizes.tolist(), alone.tolist()):
+        if not n or u > n // 5:
+            prefixes.append(None)
+            sets.append(None)
+            continue
+        own, kind = tokens[end - n : end], classes[end - n : end]
+        shared = own[kind > 0]
+        order = np.lexsort((shared, kind[kind > 0]))[: n // 5 + 1 - u]
+        prefixes.append(shared[order].view(np.int64))
+        sets.append(own.tobytes())
+    return {
+        "n": pa.array(sizes),
+        "alone": pa.array(alone),
+        **{f"s{k}": pa.array((t[ends] - t[ends - sizes]).view(np.int64)) for k, t in enumerate(totals)},
+        "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+        "set": pa.array(sets, pa.binary()),
+    }
+
+
+def sketched(docs: DataFrame, key: str, text: str, sizes: Sizes) -> DataFrame:
+    """(id, n, alone, s0, s1, prefix, set) of each row; prefix and set are null where no link can be."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    blocks, shards = int(size // sizes.block) + 1, int(size // sizes.shard) + 1
+    own = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
+    texts = own.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text").groupBy("block")
+    kind = docs.schema[key].dataType.simpleString()
+
+    def asking(name: tuple, rows: pa.Table) -> pa.Table:
+        return ask(name[0].as_py(), rows["text"], shards)
+
+    def sketching(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.table({"id": rows["id"], **sketches(rows["text"], answers, shards)})
+
+    answers = texts.applyInArrow(asking, REQUEST).groupBy("shard").applyInArrow(answer, REQUEST)
+    schema = f"id {kind}, n long, alone long, s0 long, s1 long, prefix array<long>, set binary"
+    return texts.cogroup(answers.groupBy("block")).applyInArrow(sketching, schema)
+
+
+# trees
+
+
+class Level(NamedTuple):
+    """Nodes of one depth of all trees of a task."""
+
+    tree: np.ndarray
+    low: np.ndarray  # sizes of the leaves below
+    high: np.ndarray
+    reach: np.ndarray  # largest size of a partner
+    bits: np.ndarray  # OR of the token bitmaps
+    spare: np.ndarray  # most tokens of a leaf beyond one a bit
+    child: np.ndarray  # first child of each, and the end
+
+
+def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """A row of 64-bit words for each set: the highest bits of a token name its bit."""
+    shift = np.uint64(65 - bits.bit_length())
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for k in range(0, len(sets), 256):
+        part = sets[k : k + 256]
+        flags = np.zeros((len(part), bits), bool)
+        flags[np.repeat(np.arange(len(part)), [len(s) for s in part]), (np.concatenate(part) >> shift).astype(np.int64)] = True
+        out[k : k + 256] = np.packbits(flags, axis=1).view(np.uint64)
+    return out
+
+
+class Forest:
+    """The signature trees of one task, and the components of their leaves as far as known."""
+
+    def __init__(self, rows: pa.Table, sizes: Sizes):
+        self.sizes = sizes
+        rows = rows.combine_chunks()
+        size, places = rows["n"].to_numpy(), [rows[c].to_numpy() for c in ("j", "i", "token")]
+        ids = [np.array(rows[c].to_pylist()) for c in ("id", "root")]
+        self.names, codes = np.unique(np.concatenate(ids), return_inverse=True)  # in the order of the ids
+        code, root = np.split(codes.ravel(), 2)
+        self.root = np.arange(len(self.names))
+        self.root[code] = root
+        self.known = self.root.copy()
+        # leaves of a tree: those alone in their component by size, then the others by component
+        several = np.bincount(self.root[np.unique(code)], minlength=len(self.names)) > 1
+        order = np.lexsort((code, size, np.where(several[root], root + 1, 0), *places))
+        new = np.any([np.diff(x[order]) != 0 for x in places], axis=0)
+        self.code, self.size = code[order], size[order]
+        sets = rows["set"].to_pylist()
+        self.sets = [np.frombuffer(sets[k], np.uint64) for k in order]
+        bits = bitmaps(self.sets, 1 << int(np.clip((4 * int(size.max()) - 1).bit_length(), 9, 15)))
+        self.levels = [
+            Level(
+                np.concatenate([[0], np.cumsum(new)]), self.size, self.size, rows["reach"].to_numpy()[order],
+                bits, self.size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), np.arange(len(order) + 1),
+            )
+        ]
+        while len(self.levels[-1].tree) > self.levels[-1].tree[-1] + 1:
+            self.levels.append(self.above(self.levels[-1]))
+
+    def above(self, level: Level) -> Level:
+        number = np.arange(len(level.tree))
+        first = np.flatnonzero((number - np.searchsorted(level.tree, level.tree)) % self.sizes.fanout == 0)
+        least, most = np.minimum.reduceat, np.maximum.reduceat
+        return Level(
+            level.tree[first], least(level.low, first), most(level.high, first), most(level.reach, first),
+            np.bitwise_or.reduceat(level.bits, first, axis=0), most(level.spare, first), np.append(first, len(number)),
+        )
+
+    def spans(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level the lowest and highest component of each node's leaves."""
+        found = [(self.root[self.code],) * 2]
+        for level in self.levels[1:]:
+            low, high = found[-1]
+            found.append((np.minimum.reduceat(low, level.child[:-1]), np.maximum.reduceat(high, level.child[:-1])))
+        return found
+
+    def open(self, depth: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The node pairs that may hold a link between two components."""
+        x, (low, high) = self.levels[depth], self.span[depth]
+        one = (low[p] == high[p]) & (low[q] == high[q]) & (low[p] == low[q])
+        fit = (x.low[p] <= x.reach[q]) & (x.low[q] <= x.reach[p]) & (5 * x.high[p] >= 4 * x.low[q]) & (5 * x.high[q] >= 4 * x.low[p])
+        p, q = p[fit & ~one], q[fit & ~one]
+        shared = np.bitwise_count(x.bits[p] & x.bits[q]).sum(axis=1, dtype=np.int64) + np.minimum(x.spare[p], x.spare[q])
+        enough = 9 * shared >= 4 * (x.low[p] + x.low[q])
+        return p[enough], q[enough]
+
+    def below(self, depth: int, p: np.ndarray, q: np.ndarray) -> tuple[tuple, tuple]:
+        """Pairs of the children: of different nodes, and of nodes with themselves."""
+        child = self.levels[depth].child
+        step = np.arange(self.sizes.fanout)
+        i, j = child[p][:, None, None] + step[:, None], child[q][:, None, None] + step
+        there = (i < child[p + 1][:, None, None]) & (j < child[q + 1][:, None, None]) & ((p != q)[:, None, None] | (i <= j))
+        i, j = (np.broadcast_to(x, there.shape)[there] for x in (i, j))
+        same = i == j
+        return (i[~same], j[~same]), (i[same], j[same])
+
+    def traverse(self) -> None:
+        """From each root with itself down, a node with itself first, so that later pairs meet known components."""
+        top = len(self.levels) - 1
+        roots = np.arange(len(self.levels[top].tree))
+        stack = [(top, roots, roots)] if top else []
+        self.span, most = self.spans(), self.sizes.pairs
+        while stack:
+            depth, p, q = stack.pop()
+            if len(p) > most:
+                stack.append((depth, p[most:], q[most:]))
+                p, q = p[:most], q[:most]
+            p, q = self.open(depth, p, q)
+            if not len(p):
+                continue
+            if depth:
+                apart, same = self.below(depth, p, q)
+                stack.append((depth - 1, *apart))
+                if depth > 1:
+                    stack.append((depth - 1, *same))
+            elif self.decide(p, q):
+                self.span = self.spans()
+
+    def decide(self, p: np.ndarray, q: np.ndarray) -> bool:
+        """Compare leaves on whole sets, few partners of each at first: a link spares the others."""
+        order = np.argsort(q, kind="stable")
+        p, q, linked, turn = p[order], q[order], False, 1
+        while len(p):
+            apart = self.root[self.code[p]] != self.root[self.code[q]]
+            p, q = p[apart], q[apart]
+            now = np.arange(len(q)) - np.searchsorted(q, q) < turn
+            met = [(self.code[a], self.code[b]) for a, b in zip(p[now].tolist(), q[now].tolist()) if self.alike(a, b)]
+            for a, b in met:
+                x, y = self.find(a), self.find(b)
+                self.root[max(x, y)] = min(x, y)
+            if met:
+                linked = True
+                while (self.root != (up := self.root[self.root])).any():
+                    self.root = up
+            p, q, turn = p[~now], q[~now], 4 * turn
+        return linked
+
+    def find(self, code: int) -> int:
+        while self.root[code] != code:
+            code = self.root[code]
+        return code
+
+    def alike(self, a: int, b: int) -> bool:
+        x, y = self.sets[a], self.sets[b]
+        shared = np.count_nonzero(y.take(y.searchsorted(x), mode="clip") == x)
+        return 9 * shared >= 4 * (len(x) + len(y))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each component that turned out to be part of a lower one, with that."""
+        moved = np.flatnonzero((self.known == np.arange(len(self.known))) & (self.root != self.known))
+        return self.names[moved], self.names[self.root[moved]]
+
+
+def forest_links(rows: pa.Table, sizes: Sizes) -> pa.Table:
+    forest = Forest(rows, sizes)
+    forest.traverse()
+    kind = rows.schema.field("id").type
+    return pa.table([pa.array(x.tolist(), kind) for x in forest.links()], ["a", "b"])
+
+
+# rounds
+
+
+def _spots(heads: DataFrame) -> DataFrame:
+    """(token, id, s0, n, root, reach): each class under the tokens of its prefix."""
+    each = heads.select("id", "s0", "n", "alone", "root", F.posexplode("prefix").alias("k", "token"))
+    reach = F.floor((5 * F.col("n") - 9 * (F.col("alone") + F.col("k"))) / 4)
+    return each.select("token", "id", "s0", "n", "root", reach.alias("reach"))
+
+
+def _met(spots: DataFrame) -> DataFrame:
+    """The rows that may have a partner in another component by size."""
+    facts = spots.groupBy("token").agg(F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+    facts = facts.where("low != high").select("token", "least")
+    return spots.join(facts.hint("merge"), "token").where("reach >= least").drop("least")
+
+
+def _part(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("id", "token"), parts)
+
+
+CELL = ("id", "s0", "n", "root", "reach")
+
+
+def first_cells(spots: DataFrame, sizes: Sizes) -> DataFrame:
+    """Each tree, a large one in parts on their own: (token, i, j) and the leaf."""
+    parts = spots.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / sizes.leaves).alias("parts"))
+    part = _part(F.col("parts"))
+    return spots.join(parts.hint("merge"), "token").select("token", part.alias("i"), part.alias("j"), *CELL)
+
+
+def all_cells(spots: DataFrame, sizes: Sizes) -> DataFrame:
+    """Each tree, a large one as pairs of its parts: (token, i, j) and the leaf.
+
+    The leaves of the component that has most in a large tree have parts of their own, numbered
+    after the others, and those are not paired with each other.
     """
-    place = lambda t: F.call_function("shiftright", t, F.lit(56)).cast("int")
-    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.call_function("shiftright", t, F.lit(50)), 63))
-    n = F.size(tokens)
-    first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (place(F.get(tokens, i - 1)) != place(F.get(tokens, i - 2))))
-    folded = lambda a, b: F.aggregate(F.slice(tokens, a, b - a), F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(one(t)))
-    words = let(
-        first,
-        lambda at: F.map_from_entries(
-            F.transform(at, lambda a, k: F.struct(place(F.get(tokens, a - 1)), folded(a, F.coalesce(F.get(at, k + 1), n + 1))))
-        ),
+    counts = spots.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    facts = counts.groupBy("token").agg(
+        F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.count(F.lit(1)).alias("roots")
     )
-    dense = let(words, lambda m: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.try_element_at(m, w), F.lit(0).cast("long"))))
-    return F.when(n > 0, dense).otherwise(F.array_repeat(F.lit(0).cast("long"), F.lit(WORDS)))
-
-
-def features(docs: DataFrame, key: str, text: str, hot: list[int], slots: int) -> DataFrame:
-    """(id, n, s1, s2, prefix, bits): set size, two hashes of the set, its prefix and its bitmap."""
-    sets = docs.select(F.col(key).alias("id"), shingles(F.col(text)).alias("set"))
-    n = F.size("set")
-    length = n - F.floor((4 * n + 4) / 5).cast("int") + 1
-    return sets.select(
-        "id",
-        n.cast("long").alias("n"),
-        F.xxhash64("set").alias("s1"),
-        F.xxhash64(F.lit(1), "set").alias("s2"),
-        F.when(n > 0, prefix(F.col("set"), length, hot, slots)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
-        bitmap(F.col("set")).alias("bits"),
+    large = F.col("all") > sizes.leaves
+    facts = facts.where("roots > 1").select(
+        "token",
+        F.when(large, F.col("main")).alias("main"),
+        F.when(large, F.ceil((F.col("all") - F.col("most")) / sizes.leaves)).otherwise(1).alias("others"),
+        F.when(large, F.ceil(F.col("most") / sizes.leaves)).otherwise(0).alias("mains"),
     )
+    joined = spots.join(facts.hint("merge"), "token")
+    is_main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    own = F.when(is_main, F.col("others") + _part(F.greatest("mains", F.lit(1)))).otherwise(_part(F.col("others")))
+    last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    others = F.sequence(F.lit(0).cast("long"), last.cast("long"))
+    each = joined.select("token", *CELL, own.cast("long").alias("own"), F.explode(others).alias("other"))
+    return each.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *CELL)
 
 
-def _common_bits(a: str, b: str) -> Column:
-    both = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y)))
-    return F.aggregate(both, F.lit(0), lambda acc, x: acc + x)
-
-
-def _can_link(a: str, b: str) -> Column:
-    """Whether leaves or nodes with size range, bits and spare (tokens beyond one a bit) may hold a link.
-
-    Two sets share at most a token for each bit that both have, and the spare ones of either.
-    """
-    at = lambda side, c: F.col(f"{side}.{c}")
-    sizes = (5 * at(a, "hi") >= 4 * at(b, "lo")) & (5 * at(b, "hi") >= 4 * at(a, "lo"))
-    most = _common_bits(f"{a}.bits", f"{b}.bits") + F.least(at(a, "spare"), at(b, "spare"))
-    return sizes & (9 * most >= 4 * (at(a, "lo") + at(b, "lo")))
-
-
-def _leaf(name: str) -> Column:
-    own = F.aggregate(F.transform("bits", lambda x: F.bit_count(x)), F.lit(0), lambda acc, x: acc + x)
-    return F.struct(F.col("n").alias("lo"), F.col("n").alias("hi"), "bits", (F.col("n") - own).alias("spare")).alias(name)
-
-
-def _likely(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` may be among ``ids``: a filter of fixed size that spares the shuffle most others.
-
-    One bit a hash slot, so it lets some more pass, never fewer; a join decides.
-    """
-    slot = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER - 1)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot("id").bitwiseAND(F.lit(63)))
-    found = ids.groupBy((slot("id") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).collect()  # at most FILTER / 64 rows
-    words = [0] * (FILTER // 64)
-    for row in found:
-        words[row["word"]] = row["bits"]
-    word = F.get(F.lit(words).cast("array<bigint>"), (slot(column) / 64).cast("int"))
-    return rows.where(F.call_function("getbit", word, slot(column).bitwiseAND(F.lit(63))) == 1)
-
-
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets have Jaccard 0.8 or more."""
-    pairs = saved(pairs)
-    wanted = _ids(pairs)
-    likely = _likely(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), wanted, "id")
-    texts = likely.join(wanted, "id", "left_semi")
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingles(F.col("text_a")).alias("x"), shingles(F.col("text_b")).alias("y"))
-    shared = sets.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("o"))
-    return shared.where("100 * o >= 80 * (n - o) and n > 0").select("a", "b")
-
-
-def _free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that are written and done with."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose ids are in different components."""
-    one = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    two = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    known = pairs.join(one, "a", "left").join(two, "b", "left")
-    return known.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-
-def _stars(roots: DataFrame) -> DataFrame:
-    """Known components as links, so that more links only have to join them."""
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-
-
-def links(docs: DataFrame, found: DataFrame, classes: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Links that make up the components, and those components (node, root)."""
-    spark = docs.sparkSession
-    own = classes.select(F.col("class").alias("id"), "s1", "s2", "n")
-    leaves = found.where("n > 0").join(own, ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id", "s1", "s2", "n"])
-    spots = leaves.select("id", "n", F.explode("prefix").alias("token"))
-    order = Window.partitionBy("token").orderBy("n", "id")
-    before = F.collect_list(F.struct("id", "n")).over(order.rowsBetween(-BESIDE, -1))
-    total = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    fits = lambda x: (5 * x["n"] >= 4 * F.col("n")) & (x["id"] != F.col("id"))
-    trees = saved(
-        spots.withColumn("before", before)
-        .withColumn("leaves", total)
-        .where("leaves > 1")
-        .withColumn("before", F.transform(F.filter("before", fits), lambda x: x["id"]))
-    )
-    _free(spark)
-    beside = trees.select(F.explode("before").alias("other"), "id").groupBy(F.least("other", "id").alias("a"), F.greatest("other", "id").alias("b"))
-    beside = saved(_pruned(beside.agg(F.count(F.lit(1)).alias("trees")), found))
-    # first the neighbour met in most trees, then the others outside the component
-    best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("trees"), "a"))
-    first = saved(_linked(beside.withColumn("best", best).where("best = 1").select("a", "b"), docs, key, text))
-    near = components(first)
-    _free(spark)
-    rest = saved(_linked(_between(beside.select("a", "b"), near), docs, key, text))
-    every = first.union(rest)
-    near = components(_stars(near).union(rest))
-    forget(beside)
-    _free(spark)
-    # trees of more leaves than are compared at once, not yet in one component
-    large = (
-        trees.where(F.col("leaves") > BESIDE + 1)
-        .select("token", "id", "n")
-        .join(near.select(F.col("node").alias("id"), "root"), "id", "left")
-        .withColumn("root", F.coalesce("root", "id"))
-    )
-    parts = large.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    large = saved(large.join(parts.where("low != high").select("token"), "token", "left_semi"))
-    forget(trees)
-    if large.isEmpty():
-        return every, near
-    last = saved(_linked(_traversed(large, found), docs, key, text))
-    return every.union(last), components(_stars(near).union(last))
-
-
-def _shapes(found: DataFrame, name: str) -> DataFrame:
-    """(id, ``name``): the leaf of each text of an id, repeated rows once."""
-    return found.dropDuplicates(["id", "s1", "s2", "n"]).select("id", _leaf(name))
-
-
-def _pruned(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of leaves whose sizes and bitmaps allow a link."""
-    pairs = saved(pairs)
-    wanted = _ids(pairs)
-    shape = _shapes(_likely(found, wanted, "id").join(wanted, "id", "left_semi"), "leaf")
-    one = shape.select(F.col("id").alias("a"), F.col("leaf").alias("x"))
-    two = shape.select(F.col("id").alias("b"), F.col("leaf").alias("y"))
-    return pairs.join(one, "a").join(two, "b").where(_can_link("x", "y")).drop("x", "y").distinct()
-
-
-def _traversed(large: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of leaves left by the dual traversal of each token's tree."""
-    shape = _shapes(_likely(found, large.select("id").distinct(), "id"), "s")
-    order = Window.partitionBy("token").orderBy("n", "root", "id")
-    stands = large.groupBy("id").agg(F.count(F.lit(1)).alias("trees"))
-    leaves = saved(large.join(stands, "id").withColumn("node", (F.row_number().over(order) - 1).cast("long")))
-    narrow = leaves.select(
-        "token", "node", "id", F.col("n").alias("lo"), F.col("n").alias("hi"), F.col("root").alias("low"), F.col("root").alias("high"), "trees"
-    )
-    lower = saved(_parents(narrow.join(shape, "id").select("token", "node", "lo", "hi", "low", "high", "trees", "s")))
-    upper = saved(_parents(lower))
-    pairs = _open_pairs(upper.select("token", F.col("node").alias("p")).join(upper.select("token", F.col("node").alias("q")), "token").where("p <= q"), upper)
-    pairs = _open_pairs(_children(pairs, lower).where("p <= q"), lower)
-    pairs = _apart(_children(pairs, narrow).where("p < q"), narrow, "id")
-    # a pair stands in many trees: once is enough for its bitmaps
-    met = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).where("a != b").distinct()
-    return _pruned(met, found)
-
-
-def _parents(level: DataFrame) -> DataFrame:
-    ored = F.array(*[F.bit_or(F.get("s.bits", F.lit(w))) for w in range(WORDS)])
-    grouped = level.groupBy("token", F.floor(F.col("node") / FANOUT).alias("node")).agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("trees").alias("trees"), ored.alias("bits"), F.max("s.spare").alias("spare")
-    )
-    return grouped.select("token", "node", "lo", "hi", "low", "high", "trees", F.struct("lo", "hi", "bits", "spare").alias("s"))
+def links(cells: DataFrame, leaves: DataFrame, sizes: Sizes) -> DataFrame:
+    """(a, b): components that the trees of ``cells`` link."""
+    cells = saved(cells)
+    size = cells.agg(F.sum("n")).first()[0] or 0
+    forests = int(8 * size // sizes.forest) + 1
+    rows = cells.join(leaves.select("id", "s0", "set").hint("merge"), ["id", "s0"]).drop("s0")
+    rows = rows.withColumn("forest", F.pmod(F.xxhash64("token", "i", "j"), F.lit(forests)).cast("int"))
+    kind = cells.schema["id"].dataType.simpleString()
 
+    def traverse(rows: pa.Table) -> pa.Table:
+        return forest_links(rows, sizes)
 
-def _children(pairs: DataFrame, level: DataFrame) -> DataFrame:
-    """Pairs of the children of each pair's nodes."""
-    nodes = level.select("token", F.floor(F.col("node") / FANOUT).alias("up"), "node")
-    left = pairs.join(nodes.withColumnsRenamed({"up": "p", "node": "p1"}), ["token", "p"])
-    both = left.join(nodes.withColumnsRenamed({"up": "q", "node": "q1"}), ["token", "q"])
-    return both.select("token", F.col("p1").alias("p"), F.col("q1").alias("q"))
+    return rows.groupBy("forest").applyInArrow(traverse, f"a {kind}, b {kind}")
 
 
-def _apart(pairs: DataFrame, level: DataFrame, *more: str) -> DataFrame:
-    """Node pairs whose size ranges fit, whose leaves aren't all in one component, and that may stand in large trees only.
-
-    Of the prefix that ends first, all but ``n - overlap`` tokens are in the other prefix too,
-    so a linked pair stands together in at least ``1 - ceil(0.8 n) + 4 (n + m) / 9`` trees, n
-    being the larger size.  A pair of which one leaf is in fewer large trees than that also
-    stands in a tree of at most ``BESIDE + 1`` leaves, where it was compared already.
-    """
-    facts = F.struct("lo", "hi", "low", "high", "trees", *more)
-    one = level.select("token", F.col("node").alias("p"), facts.alias("x"))
-    two = level.select("token", F.col("node").alias("q"), facts.alias("y"))
-    together = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
-    fit = F.expr("5 * x.hi >= 4 * y.lo and 5 * y.hi >= 4 * x.lo")
-    new = F.expr("1 - floor((4 * greatest(x.hi, y.hi) + 4) / 5) + ceil(4 * (x.lo + y.lo) / 9) <= least(x.trees, y.trees)")
-    return pairs.join(one, ["token", "p"]).join(two, ["token", "q"]).where(fit & new & ~together)
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, root) whose roots were linked to lower ones: ``more`` (node, root)."""
+    up = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(more)
 
 
-def _open_pairs(pairs: DataFrame, level: DataFrame) -> DataFrame:
-    """Node pairs that may hold a link between two components."""
-    pairs = _apart(pairs, level).select("token", "p", "q")
-    one = level.select("token", F.col("node").alias("p"), F.col("s").alias("x"))
-    two = level.select("token", F.col("node").alias("q"), F.col("s").alias("y"))
-    return pairs.join(one, ["token", "p"]).join(two, ["token", "q"]).where(_can_link("x", "y")).select("token", "p", "q")
+def _with_ids_between(may_link: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components after ids with several texts have linked the classes of these."""
+    several = may_link.groupBy("id").agg(F.min("s0").alias("low"), F.max("s0").alias("high")).where("low != high").select("id")
+    stands = may_link.join(several.hint("merge"), "id", "left_semi").join(classes, ["s0", "s1", "n"])
+    between = saved(stands.select(F.col("id").alias("a"), F.col("class").alias("b")).where("a != b").distinct())
+    if between.isEmpty():
+        return roots
+    return components(between.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
-def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int | None = None) -> DataFrame:
+def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sizes = SIZES) -> DataFrame:
     """(key, n_shingles, component_id) for each row: components of the links of Jaccard 0.8 or more."""
-    if slots is None:
-        # a slot for each document, between 2^18 and 2^20: some hundred tokens each
-        slots = 1 << min(20, max(18, (docs.count() - 1).bit_length()))
-    hot = hot_slots(docs, text, slots)
-    found = saved(features(docs, key, text, hot, slots))
-    named = found.where("n > 0 and id is not null")
-    classes = saved(named.groupBy("s1", "s2", "n").agg(F.min("id").alias("class")))
-    _free(docs.sparkSession)
-    _, roots = links(docs, found.where("id is not null"), classes, key, text)
-    of_id = named.join(classes, ["s1", "s2", "n"]).groupBy("id").agg(F.collect_set("class").alias("own")).where("size(own) > 1")
-    shared = saved(of_id.select(F.col("id").alias("a"), F.explode("own").alias("b")).where("a != b"))
-    if not shared.isEmpty():  # an id with several texts is one node
-        roots = components(_stars(roots).union(shared))
-    placed = (
-        found.select("id", "n", "s1", "s2")
-        .join(classes, ["s1", "s2", "n"], "left")
-        .join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-    )
-    component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("root", "class", "id"))
-    return placed.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    found = saved(sketched(docs, key, text, sizes))
+    may_link = found.where("set is not null and id is not null")
+    classes = saved(may_link.groupBy("s0", "s1", "n").agg(F.min("id").alias("class")))
+    own = classes.select("s0", "s1", "n", F.col("class").alias("id"))
+    leaves = may_link.join(own.hint("merge"), ["id", "s0", "s1", "n"], "left_semi").dropDuplicates(["id", "s0", "s1", "n"])
+    leaves = saved(leaves.select("id", "s0", "n", "alone", "prefix", "set"))
+    heads = leaves.drop("set")
+    opening = _spots(heads.withColumns({"root": F.col("id"), "prefix": F.slice("prefix", 1, sizes.first)}))
+    near = components(links(first_cells(_met(opening), sizes), leaves, sizes))
+    placed = heads.join(near.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = components(links(all_cells(saved(_met(_spots(placed))), sizes), leaves, sizes))
+    near = _with_ids_between(may_link, classes, _merged(near, rest))
+    placed = classes.join(near.withColumnRenamed("node", "class"), "class", "left").select("s0", "s1", "n", F.coalesce("root", "class").alias("root"))
+    every = found.select("id", "n", "s0", "s1").join(placed, ["s0", "s1", "n"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
+    return every.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", sizes: Sizes = SIZES) -> DataFrame:
     """One document of each component: that of the smallest id.  Rows without an id stay."""
-    found = near_copy_components(docs.select(key, text), key, text)
+    found = near_copy_components(docs.select(key, text), key, text, sizes)
     kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    named = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    named = docs.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key])
     return named.unionByName(docs.where(F.col(key).isNull()))
 
 

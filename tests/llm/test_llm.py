@@ -326,31 +326,64 @@ def brute_groups(texts):
     return [(len(s), find(i)) for i, s in enumerate(sets)]
 
 
-def check_groups(spark, texts):
+SMALL = similarity_join.Sizes(block=9_000, shard=20_000, forest=50_000, leaves=4, first=1, fanout=2, pairs=16)
+
+
+def check_groups(spark, texts, sizes=similarity_join.SIZES):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = similarity_join.near_copy_components(clashing(df).drop("doc_idx")).orderBy("doc_id").collect()
+    found = similarity_join.near_copy_components(clashing(df), sizes=sizes).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in found] == brute_groups(texts)
 
 
-def test_similarity_join(spark, rows):
-    check_groups(spark, [t for _, t, *_ in rows])
+@pytest.mark.parametrize("sizes", [similarity_join.SIZES, SMALL])
+def test_similarity_join(spark, rows, sizes):
+    check_groups(spark, [t for _, t, *_ in rows], sizes)
 
 
-def test_similarity_join_large_trees(spark, monkeypatch):
-    """More leaves under a token than are compared at once: links are left to the traversal."""
-    r = random.Random(6)
-    monkeypatch.setattr(similarity_join, "BESIDE", 1)
-    monkeypatch.setattr(similarity_join, "FANOUT", 2)
+@pytest.mark.parametrize("seed", [6, 7])
+def test_similarity_join_large_trees(spark, seed):
+    """More leaves under a token than a part holds, copies at both sides of the threshold, and sizes at its ends."""
+    r = random.Random(seed)
     base = prose(r, 60).split()
     texts = []
-    for k in range(24):
+    for k in range(40):
         ws = list(base)
-        for _ in range(r.randint(0, 3)):
+        for _ in range(r.randint(0, 4)):
             ws[r.randrange(60)] = f"n{k}"
-        texts.append(" ".join(ws))
+        texts.append(" ".join(ws[: r.choice([60, 60, 60, 52, 49, 48])]))
     texts += [" ".join(base[:30]) + " " + prose(r, 40) for _ in range(8)]
+    texts += ["a b c d e f g h", "a b c d e f g h i", "a b c d e f g", "x y", "x y", "x"]
     r.shuffle(texts)
-    check_groups(spark, texts)
+    check_groups(spark, texts, SMALL)
+
+
+def test_forest_against_all_pairs():
+    """One task's trees link what all pairs under their tokens link, whatever is known before."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    pool = np.sort(r.integers(0, 2**64 - 1, 4000, dtype=np.uint64))
+    sets = []
+    for _ in range(60):
+        base = r.choice(pool, r.integers(4, 120), replace=False)
+        for _ in range(r.integers(1, 6)):
+            own = base.copy()
+            own[r.random(len(base)) < 0.06] = r.choice(pool, 1)
+            sets.append(np.unique(own))
+    tokens = r.integers(0, 3, len(sets))
+    alike = lambda a, b: 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if tokens[i] == tokens[j] and alike(sets[i], sets[j])]
+    root = list(range(len(sets)))
+    for i, j in pairs[:7]:
+        root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    n = [len(s) for s in sets]
+    rows = pa.table({"token": tokens, "i": [0] * len(sets), "j": [0] * len(sets), "id": range(len(sets)), "n": n, "root": root, "reach": [5 * x // 4 for x in n], "set": [s.tobytes() for s in sets]})
+    found = similarity_join.forest_links(rows, SMALL).to_pylist()
+    want = list(root)
+    for i, j in pairs:
+        want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    up = {x["a"]: x["b"] for x in found}
+    assert [up.get(x, x) for x in root] == want and len(pairs) > 50
 
 
 def test_similarity_join_repeated_ids(spark):
