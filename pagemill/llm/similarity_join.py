@@ -54,7 +54,7 @@ class Sizes(NamedTuple):
     shard: int = 32 << 20  # bytes of text whose tokens are counted in a shard
     forest: int = 16 << 20  # bytes of sets in a task that holds trees
     leaves: int = 512  # leaves of a part of a tree
-    first: int = 2  # trees of a class in the first round
+    first: int = 4  # trees of a class in the first round
     fanout: int = 8
     pairs: int = 1 << 14  # node pairs that are compared at once
 
@@ -227,8 +227,12 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
 class Forest:
     """The signature trees of one task, and the components of their leaves as far as known."""
 
-    def __init__(self, rows: pa.Table, sizes: Sizes):
+    def __init__(self, rows: pa.Table, sets: pa.Table, sizes: Sizes):
         self.sizes = sizes
+        named = zip(*(sets[c].to_pylist() for c in ("leaf", "hash", "set")))
+        self.sets = {(key, s0): np.frombuffer(own, np.uint64) for key, s0, own in named}
+        number = {key: k for k, key in enumerate(self.sets)}
+        self.sets = list(self.sets.values())
         rows = rows.combine_chunks()
         size, places = rows["n"].to_numpy(), [rows[c].to_numpy() for c in ("j", "i", "token")]
         ids = [np.array(rows[c].to_pylist()) for c in ("id", "root")]
@@ -242,13 +246,15 @@ class Forest:
         order = np.lexsort((code, size, np.where(several[root], root + 1, 0), *places))
         new = np.any([np.diff(x[order]) != 0 for x in places], axis=0)
         self.code, self.size = code[order], size[order]
-        sets = rows["set"].to_pylist()
-        self.sets = [np.frombuffer(sets[k], np.uint64) for k in order]
+        own = np.fromiter((number[key] for key in zip(rows["id"].to_pylist(), rows["s0"].to_pylist())), np.int64, len(code))
+        self.own = own[order]
+        self.unlike: set[int] = set()
         bits = bitmaps(self.sets, 1 << int(np.clip((4 * int(size.max()) - 1).bit_length(), 9, 15)))
+        spare = np.fromiter(map(len, self.sets), np.int64, len(self.sets)) - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.levels = [
             Level(
                 np.concatenate([[0], np.cumsum(new)]), self.size, self.size, rows["reach"].to_numpy()[order],
-                bits, self.size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), np.arange(len(order) + 1),
+                bits[self.own], spare[self.own], np.arange(len(order) + 1),
             )
         ]
         while len(self.levels[-1].tree) > self.levels[-1].tree[-1] + 1:
@@ -321,9 +327,9 @@ class Forest:
             apart = self.root[self.code[p]] != self.root[self.code[q]]
             p, q = p[apart], q[apart]
             now = np.arange(len(q)) - np.searchsorted(q, q) < turn
-            met = [(self.code[a], self.code[b]) for a, b in zip(p[now].tolist(), q[now].tolist()) if self.alike(a, b)]
+            met = [(a, b) for a, b in zip(p[now].tolist(), q[now].tolist()) if self.alike(self.own[a], self.own[b])]
             for a, b in met:
-                x, y = self.find(a), self.find(b)
+                x, y = self.find(self.code[a]), self.find(self.code[b])
                 self.root[max(x, y)] = min(x, y)
             if met:
                 linked = True
@@ -338,9 +344,15 @@ class Forest:
         return code
 
     def alike(self, a: int, b: int) -> bool:
+        pair = int(min(a, b)) * len(self.sets) + int(max(a, b))
+        if pair in self.unlike:  # compared in another tree
+            return False
         x, y = self.sets[a], self.sets[b]
         shared = np.count_nonzero(y.take(y.searchsorted(x), mode="clip") == x)
-        return 9 * shared >= 4 * (len(x) + len(y))
+        if 9 * shared >= 4 * (len(x) + len(y)):
+            return True
+        self.unlike.add(pair)
+        return False
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Each component that turned out to be part of a lower one, with that."""
@@ -348,8 +360,8 @@ class Forest:
         return self.names[moved], self.names[self.root[moved]]
 
 
-def forest_links(rows: pa.Table, sizes: Sizes) -> pa.Table:
-    forest = Forest(rows, sizes)
+def forest_links(rows: pa.Table, sets: pa.Table, sizes: Sizes) -> pa.Table:
+    forest = Forest(rows, sets, sizes)
     forest.traverse()
     kind = rows.schema.field("id").type
     return pa.table([pa.array(x.tolist(), kind) for x in forest.links()], ["a", "b"])
@@ -365,11 +377,27 @@ def _spots(heads: DataFrame) -> DataFrame:
     return each.select("token", "id", "s0", "n", "root", reach.alias("reach"))
 
 
-def _met(spots: DataFrame) -> DataFrame:
-    """The rows that may have a partner in another component by size."""
-    facts = spots.groupBy("token").agg(F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
-    facts = facts.where("low != high").select("token", "least")
-    return spots.join(facts.hint("merge"), "token").where("reach >= least").drop("least")
+def _merged_trees(spots: DataFrame) -> DataFrame:
+    """(token, id, s0, n, root, reach) of trees in which components may meet, by size.
+
+    Tokens that the same leaves have are one tree, named by the lowest; a leaf has its largest reach there.
+    """
+    facts = spots.groupBy("token").agg(
+        F.min("n").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.count(F.lit(1)).alias("leaves"), F.min(F.struct("n", "reach")).alias("small"), F.max(F.struct("n", "reach")).alias("large"),
+    )
+    apart = (F.col("leaves") == 2) & ((F.col("small.reach") < F.col("large.n")) | (F.col("large.reach") < F.col("small.n")))
+    facts = facts.where((F.col("low") != F.col("high")) & ~apart).select("token", "least")
+    met = saved(spots.join(facts.hint("merge"), "token").where("reach >= least").drop("least"))
+    leaf = F.xxhash64("id", "s0")
+    same = met.groupBy("token").agg(
+        F.count(F.lit(1)).alias("leaves"), F.bit_xor(leaf).alias("x"), F.sum(F.pmod(leaf, F.lit((1 << 31) - 1))).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    trees = same.where("low != high").select("token", F.struct("leaves", "x", "y").alias("tree"))
+    names = trees.groupBy("tree").agg(F.min("token").alias("name"))
+    named = trees.join(names.hint("merge"), "tree").select("token", "name")
+    rows = met.join(named.hint("merge"), "token").groupBy(F.col("name").alias("token"), "id", "s0", "n", "root")
+    return rows.agg(F.max("reach").alias("reach"))
 
 
 def _part(parts: Column) -> Column:
@@ -380,25 +408,27 @@ CELL = ("id", "s0", "n", "root", "reach")
 
 
 def first_cells(spots: DataFrame, sizes: Sizes) -> DataFrame:
-    """Each tree, a large one in parts on their own: (token, i, j) and the leaf."""
-    parts = spots.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / sizes.leaves).alias("parts"))
+    """Each tree, a large one in parts on their own: (home, token, i, j) and the leaf."""
+    parts = spots.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / sizes.leaves).alias("parts"), F.xxhash64(F.min("id")).alias("home"))
     part = _part(F.col("parts"))
-    return spots.join(parts.hint("merge"), "token").select("token", part.alias("i"), part.alias("j"), *CELL)
+    return spots.join(parts.hint("merge"), "token").select("home", "token", part.alias("i"), part.alias("j"), *CELL)
 
 
 def all_cells(spots: DataFrame, sizes: Sizes) -> DataFrame:
-    """Each tree, a large one as pairs of its parts: (token, i, j) and the leaf.
+    """Each tree, a large one as pairs of its parts: (home, token, i, j) and the leaf.
 
     The leaves of the component that has most in a large tree have parts of their own, numbered
     after the others, and those are not paired with each other.
     """
-    counts = spots.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    counts = spots.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
     facts = counts.groupBy("token").agg(
-        F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.count(F.lit(1)).alias("roots")
+        F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.count(F.lit(1)).alias("roots"),
+        F.xxhash64(F.min("low")).alias("home"),
     )
     large = F.col("all") > sizes.leaves
     facts = facts.where("roots > 1").select(
         "token",
+        "home",
         F.when(large, F.col("main")).alias("main"),
         F.when(large, F.ceil((F.col("all") - F.col("most")) / sizes.leaves)).otherwise(1).alias("others"),
         F.when(large, F.ceil(F.col("most") / sizes.leaves)).otherwise(0).alias("mains"),
@@ -408,23 +438,29 @@ def all_cells(spots: DataFrame, sizes: Sizes) -> DataFrame:
     own = F.when(is_main, F.col("others") + _part(F.greatest("mains", F.lit(1)))).otherwise(_part(F.col("others")))
     last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
     others = F.sequence(F.lit(0).cast("long"), last.cast("long"))
-    each = joined.select("token", *CELL, own.cast("long").alias("own"), F.explode(others).alias("other"))
-    return each.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *CELL)
+    each = joined.select("home", "token", *CELL, own.cast("long").alias("own"), F.explode(others).alias("other"))
+    return each.select("home", "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *CELL)
 
 
 def links(cells: DataFrame, leaves: DataFrame, sizes: Sizes) -> DataFrame:
-    """(a, b): components that the trees of ``cells`` link."""
+    """(a, b): components that the trees of ``cells`` link.
+
+    Whole trees of the same lowest leaf meet in a task, which gets each leaf's set once: trees of the
+    tokens that some copies share have many leaves in common.
+    """
     cells = saved(cells)
     size = cells.agg(F.sum("n")).first()[0] or 0
-    forests = int(8 * size // sizes.forest) + 1
-    rows = cells.join(leaves.select("id", "s0", "set").hint("merge"), ["id", "s0"]).drop("s0")
-    rows = rows.withColumn("forest", F.pmod(F.xxhash64("token", "i", "j"), F.lit(forests)).cast("int"))
+    forests = F.lit(int(8 * size // sizes.forest) + 1)
+    spread = F.when((F.col("i") == 0) & (F.col("j") == 0), F.col("home")).otherwise(F.xxhash64("token", "i", "j"))
+    cells = cells.withColumn("forest", F.pmod(spread, forests).cast("int")).drop("home")
+    wanted = cells.select("forest", "id", "s0").distinct().join(leaves.select("id", "s0", "set").hint("merge"), ["id", "s0"])
+    sets = wanted.select(F.col("forest").alias("held_by"), F.col("id").alias("leaf"), F.col("s0").alias("hash"), "set")
     kind = cells.schema["id"].dataType.simpleString()
 
-    def traverse(rows: pa.Table) -> pa.Table:
-        return forest_links(rows, sizes)
+    def traverse(rows: pa.Table, sets: pa.Table) -> pa.Table:
+        return forest_links(rows, sets, sizes)
 
-    return rows.groupBy("forest").applyInArrow(traverse, f"a {kind}, b {kind}")
+    return cells.groupBy("forest").cogroup(sets.groupBy("held_by")).applyInArrow(traverse, f"a {kind}, b {kind}")
 
 
 def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
@@ -454,9 +490,9 @@ def near_copy_components(docs: DataFrame, key: str = "doc_id", text: str = "text
     leaves = saved(leaves.select("id", "s0", "n", "alone", "prefix", "set"))
     heads = leaves.drop("set")
     opening = _spots(heads.withColumns({"root": F.col("id"), "prefix": F.slice("prefix", 1, sizes.first)}))
-    near = components(links(first_cells(_met(opening), sizes), leaves, sizes))
+    near = components(links(first_cells(saved(_merged_trees(opening)), sizes), leaves, sizes))
     placed = heads.join(near.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rest = components(links(all_cells(saved(_met(_spots(placed))), sizes), leaves, sizes))
+    rest = components(links(all_cells(saved(_merged_trees(_spots(placed))), sizes), leaves, sizes))
     near = _with_ids_between(may_link, classes, _merged(near, rest))
     placed = classes.join(near.withColumnRenamed("node", "class"), "class", "left").select("s0", "s1", "n", F.coalesce("root", "class").alias("root"))
     every = found.select("id", "n", "s0", "s1").join(placed, ["s0", "s1", "n"], "left")

@@ -377,8 +377,9 @@ def test_forest_against_all_pairs():
     for i, j in pairs[:7]:
         root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
     n = [len(s) for s in sets]
-    rows = pa.table({"token": tokens, "i": [0] * len(sets), "j": [0] * len(sets), "id": range(len(sets)), "n": n, "root": root, "reach": [5 * x // 4 for x in n], "set": [s.tobytes() for s in sets]})
-    found = similarity_join.forest_links(rows, SMALL).to_pylist()
+    rows = pa.table({"token": tokens, "i": [0] * len(sets), "j": [0] * len(sets), "id": range(len(sets)), "n": n, "root": root, "reach": [5 * x // 4 for x in n], "s0": n})
+    whole = pa.table({"leaf": range(len(sets)), "hash": n, "set": [s.tobytes() for s in sets]})
+    found = similarity_join.forest_links(rows, whole, SMALL).to_pylist()
     want = list(root)
     for i, j in pairs:
         want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
