@@ -103,3 +103,16 @@ def widen(low: np.ndarray, rest: np.ndarray) -> np.ndarray:
     out = low.astype(np.int64)
     out[low == np.iinfo(low.dtype).max] = rest
     return out
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

@@ -2,9 +2,11 @@
 
 Each shard (the documents of one Arrow batch, cut at ``SHARD_BYTES``) gets a suffix array
 over its words.  Every test suffix is looked up in it by binary search: its range holds all
-places where the next ``WINDOW`` words occur.  The union of these windows gives the words hit;
-a document with any is contaminated.  ``matches``, a report of its own that the query doesn't
-use, extends each place to its longest verbatim match.
+places where its next ``WINDOW`` words occur.  The range is then narrowed by one more word at a
+time, suffixes with the same words together, until no place is left; so each place gets its
+longest verbatim match.  The union of the matches gives the words hit; a document with any is
+contaminated, and the report has its longest match with its place.  ``matches`` lists the maximal
+matches with every item.
 
 A training suffix that shares no opening ``PROBE`` words with any test suffix can't match,
 so the array holds the stretches around suffixes that do: a lossless cut, found by hash
@@ -12,7 +14,8 @@ and then decided by comparing words.
 
 Scale: a narrow map over documents, no shuffle.  The benchmark is the stated query set; it
 is read in blocks of at most ``BLOCK_BYTES``, each broadcast on its own and applied in turn
-to all rows.  A shard's memory is bounded by its size, not by the number of matches:
+to all rows; after ``BLOCKS`` of them the table so far is written and read again, so a task never
+holds more.  A shard's memory is bounded by its size, not by the number of matches:
 the places of a window are counted once, whatever number of items hold it.
 
 Cases: null texts have no words and match nothing; an item of fewer than ten words is one
@@ -31,14 +34,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import FOLD, table
+from pagemill.llm.common import FOLD, free_name, own_columns, saved, table
 
 WINDOW, PROBE = 10, 4
-BLOCK_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+BLOCK_BYTES, SHARD_BYTES, BLOCKS = 16 << 20, 4 << 20, 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +70,8 @@ class Tests(NamedTuple):
     windows: dict[int, np.ndarray]  # window length: a start of each distinct window
     holders: dict[int, list[np.ndarray]]  # window length: for each of those, its items
     longest: int
+    suffixes: np.ndarray  # start of each whole window
+    opening: np.ndarray  # and its number among the distinct ones
 
     @staticmethod
     def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> Tests:
@@ -83,12 +88,14 @@ class Tests(NamedTuple):
             at += len(ws) + 1
         ids, item = np.array(parts, np.int32), np.array(number, np.int32)
         probes: dict[int, list[np.ndarray]] = {}
-        windows, holders = {}, {}
+        windows, holders, suffixes, opening = {}, {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
         for length, places in starts.items():
             rows = ids[np.array(places)[:, None] + np.arange(length)]
             _, first, back = np.unique(rows, axis=0, return_index=True, return_inverse=True)
             back = back.ravel()
             windows[length] = np.array(places)[first]
+            if length == window:
+                suffixes, opening = np.array(places), back
             order = np.argsort(back, kind="stable")
             split = np.split(item[np.array(places)[order]], np.cumsum(np.bincount(back))[:-1])
             holders[length] = [np.unique(x) for x in split]
@@ -96,7 +103,7 @@ class Tests(NamedTuple):
             # every suffix of a match has to be kept down to its last PROBE words
             probes.setdefault(q, []).append(_windows_codes(ids, places, length, q))
         longest = max((len(ws) for _, ws in items), default=0)
-        return Tests(vocabulary, ids, item, names, {q: np.unique(np.concatenate(v)) for q, v in probes.items()}, windows, holders, longest)
+        return Tests(vocabulary, ids, item, names, {q: np.unique(np.concatenate(v)) for q, v in probes.items()}, windows, holders, longest, suffixes, opening)
 
 
 def _windows_codes(ids: np.ndarray, places: list[int], length: int, q: int) -> np.ndarray:
@@ -149,12 +156,50 @@ class SuffixArray(NamedTuple):
         return low
 
 
+    def narrowed(self, low: np.ndarray, high: np.ndarray, depth: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of each range, whose suffixes share ``depth`` words, that goes on with the word."""
+        last = len(self.words) - 1
+
+        def bound(after: bool) -> np.ndarray:
+            a, b = low.copy(), high.copy()
+            while (open_ := a < b).any():
+                middle = np.where(open_, (a + b) // 2, 0)
+                seen = self.words[np.minimum(self.order[middle] + depth, last)]
+                right = open_ & ((seen < words) | (after & (seen == words)))
+                a, b = np.where(right, middle + 1, a), np.where(open_ & ~right, middle, b)
+            return a
+
+        return bound(False), bound(True)
+
+
+def longest_matches(array: SuffixArray, tests: Tests, low: np.ndarray, high: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """For each place of the array the words of its longest match with a test suffix, 0 for none.
+
+    ``low``, ``high``: the range of each distinct window.  Test suffixes that share their words so far are one range.
+    """
+    most = np.zeros(len(array.words), np.int64)
+    group, suffix, depth = tests.opening, tests.suffixes, window
+    while len(suffix):
+        held = high > low
+        sizes = np.where(held, high - low, 0)
+        offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        most[array.order[np.repeat(low, sizes) + offset]] = depth
+        word = tests.ids[np.minimum(suffix + depth, len(tests.ids) - 1)]
+        on = held[group] & (word > 0)
+        group, suffix, word = group[on], suffix[on], word[on]
+        kinds, group = np.unique(group.astype(np.int64) << 32 | word.astype(np.int64), return_inverse=True)
+        low, high = array.narrowed(low[kinds >> 32], high[kinds >> 32], depth, (kinds & 0xFFFFFFFF).astype(array.words.dtype))
+        depth += 1
+    return most
+
+
 class Found(NamedTuple):
     """Places of one shard where a window occurs: parallel arrays."""
 
     place: np.ndarray  # in the shard's words, documents one after another
     length: np.ndarray  # of the window
     window: np.ndarray  # its number among the distinct windows of that length
+    match: np.ndarray  # words of the longest match that starts there
 
 
 def search(ids: np.ndarray, tests: Tests) -> Found:
@@ -173,21 +218,23 @@ def search(ids: np.ndarray, tests: Tests) -> Found:
             keep[maybe + k] = True
     kept = np.flatnonzero(keep[: len(ids)])
     if not len(kept):
-        return Found(*[np.zeros(0, np.int64)] * 3)
+        return Found(*[np.zeros(0, np.int64)] * 4)
     # stretches one after another, each closed by a 0
     gap = np.concatenate([[0], np.cumsum(np.diff(kept) > 1)])
     words = np.zeros(len(kept) + int(gap[-1]) + 1, ids.dtype)
     words[np.arange(len(kept)) + gap] = ids[kept]
     origin = np.full(len(words), -1, np.int64)
     origin[np.arange(len(kept)) + gap] = kept
-    array = SuffixArray.build(words, min(tests.longest, 4 * WINDOW))
+    array = SuffixArray.build(words, tests.longest)
     found = []
     for length, starts in tests.windows.items():
         low, high = array.ranges(tests.ids[starts[:, None] + np.arange(length)])
         number = high - low
         which = np.repeat(np.arange(len(starts)), number)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
-        found.append(Found(origin[array.order[np.repeat(low, number) + offset]], np.full(len(which), length), which))
+        place = array.order[np.repeat(low, number) + offset]
+        match = longest_matches(array, tests, low, high)[place] if length == WINDOW else np.full(len(which), length)
+        found.append(Found(origin[place], np.full(len(which), length), which, match))
     return Found(*map(np.concatenate, zip(*found)))
 
 
@@ -230,29 +277,41 @@ def blocks(benchmark: DataFrame, key: str, text: str, most: int = BLOCK_BYTES) -
         yield block
 
 
-HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+HIT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("longest_start", T.LongType())])
 MATCH = "array<struct<item_id:string,item_start:int,doc_start:int,n_words:int>>"
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with ``__hits``: n_words, hit (spans as start, end, start, ... in words) and items.
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "hits") -> DataFrame:
+    """``docs`` with ``into``: n_words, hit (spans as start, end, start, ... in words), items, longest and longest_start.
 
-    One struct for each block of the benchmark, in an array.
+    One struct for each block of the benchmark, in an array; longest is 0 and its start null where nothing is hit.
     """
     spark = docs.sparkSession
-    columns = []
-    for block in blocks(benchmark, item, item_text):
+    found, waiting, part = docs, [], free_name(docs, into + "_part")
+
+    def column(block: list) -> Column:
         shared = spark.sparkContext.broadcast(Tests.build(block))
-        columns.append(F.arrow_udf(_hit_udf(shared), HIT).asNondeterministic()(F.col(text).cast("binary")))
-    if not columns:
-        columns.append(F.arrow_udf(_hit_udf(spark.sparkContext.broadcast(Tests.build([]))), HIT).asNondeterministic()(F.col(text).cast("binary")))
-    return docs.withColumn("__hits", F.array(*columns))
+        return F.arrow_udf(_hit_udf(shared), HIT).asNondeterministic()(F.col(text).cast("binary"))
+
+    def joined(found: DataFrame, columns: list[Column]) -> DataFrame:
+        more = found.select("*", F.array(*columns).alias(part))
+        if into not in found.columns:
+            return more.withColumnRenamed(part, into)
+        return more.withColumn(into, F.concat(into, part)).drop(part)
+
+    for block in blocks(benchmark, item, item_text):
+        if len(waiting) == BLOCKS:
+            found, waiting = saved(joined(found, waiting)), []
+        waiting.append(column(block))
+    if waiting or into not in found.columns:
+        found = joined(found, waiting or [column([])])
+    return found
 
 
 def _hit_udf(shared: Broadcast):
     def run(texts: pa.Array) -> pa.Array:
         tests: Tests = shared.value
-        n_words, spans, items = [], [], []
+        n_words, spans, items, longest, start = [], [], [], [], []
         for shard in _shards(texts):
             ids, starts = _ids(shard, tests.vocabulary)
             n_words += map(len, shard)
@@ -271,12 +330,17 @@ def _hit_udf(shared: Broadcast):
             seen = np.unique(np.stack([of_place, found.length, found.window]), axis=1) if len(of_place) else np.zeros((3, 0), int)
             for d, length, w in seen.T.tolist():
                 items_of.setdefault(d, set()).update(tests.holders[length][w].tolist())
+            best = np.lexsort((found.place, -found.match, of_place))  # of each document the longest match, then the first
+            best = best[np.concatenate([[True], np.diff(of_place[best]) != 0])] if len(best) else best
+            most = {d: (n, at - int(starts[d])) for d, n, at in zip(of_place[best].tolist(), found.match[best].tolist(), found.place[best].tolist())}
             for d in range(len(shard)):
+                longest.append(most.get(d, (0, None))[0])
+                start.append(most.get(d, (0, None))[1])
                 spans.append(spans_of.get(d, []))
                 items.append(sorted(tests.names[k] for k in items_of.get(d, ())))
         return pa.StructArray.from_arrays(
-            [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-            ["n_words", "hit", "items"],
+            [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(longest, pa.int64()), pa.array(start, pa.int64())],
+            ["n_words", "hit", "items", "longest", "longest_start"],
         )
 
     return run
@@ -337,8 +401,11 @@ def _inside(ids: np.ndarray, length: int) -> np.ndarray:
 
 
 def removed_report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_hit, n_items, items, contaminated) for each document."""
-    found = hits(docs.select(key, text), benchmark, text)
+    """(key, n_words, n_hit, n_items, items, contaminated, longest, longest_start) for each document.
+
+    longest: words of its longest verbatim match with an item, 0 for none; longest_start: the first word of the first such one.
+    """
+    found = hits(docs.select(key, text), benchmark, text, into="hits")
 
     def add(total, span):
         start = F.greatest(span["a"], total["end"])
@@ -353,28 +420,32 @@ def removed_report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
         )
         return F.when(n > 0, each).otherwise(empty)
 
-    spans = F.array_sort(F.flatten(F.transform("__hits", pairs)))
+    spans = F.array_sort(F.flatten(F.transform("hits", pairs)))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    items = F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda b: b["items"]))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda b: b["items"]))))
+    best = F.array_max(F.transform("hits", lambda b: F.struct(b["longest"].alias("n"), (-b["longest_start"]).alias("before"))))
     counted = found.select(
         key,
-        F.get("__hits", F.lit(0))["n_words"].alias("n_words"),
+        F.get("hits", F.lit(0))["n_words"].alias("n_words"),
         F.aggregate(spans, zero, add)["n"].cast("long").alias("n_hit"),
         items.alias("items"),
+        best["n"].alias("longest"),
+        (-best["before"]).alias("longest_start"),
     )
-    return counted.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return counted.select(key, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_start")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, with their own columns."""
-    found = hits(docs, benchmark, text)
-    return found.where(~F.exists("__hits", lambda b: F.size(b["hit"]) > 0)).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of ``docs`` without any match of the benchmark, with their own columns."""
+    into = free_name(docs, "hits")
+    found = hits(docs, benchmark, text, into=into)
+    return found.where(~F.exists(into, lambda b: F.size(b["hit"]) > 0)).select(*own_columns(docs))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removed_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "longest", "longest_start")
 
 
 OP3_SQL = r"""
@@ -396,8 +467,18 @@ dg AS (
   FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k)),
 m AS (SELECT dg.r, dg.i, dg.k, win.item_id FROM dg JOIN win USING (k, g)),
 h AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+p AS (
+  SELECT item, k, j, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM (SELECT *, row_number() OVER () AS item FROM bl))),
+l AS (
+  SELECT r, k, min(i) AS i, count(*) + k - 1 AS n FROM (
+    SELECT DISTINCT r, k, item, dg.i, dg.i - j AS diagonal, dg.i - dense_rank() OVER (PARTITION BY r, k, item, dg.i - j ORDER BY dg.i) AS run
+    FROM dg JOIN p USING (k, g)) GROUP BY r, k, item, diagonal, run),
+b AS (SELECT r, max(n)::BIGINT AS longest FROM l GROUP BY r),
+f AS (SELECT r, longest, min(i)::BIGINT - 1 AS longest_start FROM b JOIN l USING (r) WHERE n = longest GROUP BY r, longest),
 t AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest, 0) AS longest, longest_start
+FROM dw LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN f USING (r)
 """

@@ -1,16 +1,14 @@
 """Operator 2: language-model scores by cross-entropy difference.
 
 Two bigram models over one vocabulary, smoothed alike (Witten-Bell over add-one unigrams): the
-target model counts the documents labelled good, the background model all documents.  The
-score of a text is its mean loss per token under the target less that under the background,
-in bits: the lower, the more the text reads like the target.
+target model counts the documents labelled good, the background model all others.  The score of
+a text is its mean loss per token under the target less that under the background, in bits:
+the lower, the more the text reads like the target.
 
-``corpus_scores``, which the query uses, gives every word of the documents an id of its own (a
-63-bit hash) and counts every pair of words (by a 64-bit hash), so its models grow with the
-input; they are never in one place.  A document is scored under counts that include itself.
-
-``fit`` and ``scored`` are the dense form for a model that is sent to every task: words beyond the
-``VOCABULARY`` most frequent are one unknown word there.  No query uses it.
+``corpus_scores`` gives every word of the documents an id of its own (a 63-bit hash) and counts
+every pair of words (by a 64-bit hash), so its models grow with the input; they are never in
+one place.  A document's own counts are left out of the model that has them while it is scored,
+so a document of the target is not told by having been counted there.
 
 Cases: null or empty texts have 0 tokens and null scores; texts are read whole; repeated rows
 count each time they occur and get equal scores; without target documents the target model is
@@ -20,10 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -34,123 +29,11 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import FOLD, table
 
-#: Words with an id of their own; id 0 is a text's start, 1 the unknown word.
-VOCABULARY = 2046
-SIZE = VOCABULARY + 2
-START, UNKNOWN = 0, 1
-
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(FOLD).split()
 
 
-def vocabulary(docs: DataFrame, text: str = "text", most: int = VOCABULARY) -> dict[bytes, int]:
-    """The most frequent words, ties in byte order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[bytes] = Counter()
-            for value in batch.column(0):
-                counts.update(words_of(value.as_py()))
-            yield pa.record_batch([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-    counted = docs.select(F.col(text).cast("binary")).mapInArrow(run, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
-    return {bytes(row["word"]): k for k, row in enumerate(top, 2)}
-
-
-def bigram_codes(texts: list[bytes | None], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """``previous * SIZE + current`` of each token, and the number of tokens of each text."""
-    found, lengths = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        words = words_of(text)
-        lengths[k] = len(words)
-        own = np.zeros(len(words) + 1, np.int64)
-        own[1:] = np.fromiter(map(ids.get, words, repeat(UNKNOWN)), np.int64, len(words))
-        found.append(own[:-1] * SIZE + own[1:])
-    return np.concatenate(found) if found else np.zeros(0, np.int64), lengths
-
-
-def bigram_counts(docs: DataFrame, ids, text: str = "text", target: str = "target") -> np.ndarray:
-    """Counts of all bigrams, [background, target] x SIZE x SIZE; ``ids`` is the broadcast vocabulary."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SIZE * SIZE), np.int64)
-        for batch in batches:
-            texts, flags = [t.as_py() for t in batch.column(0)], batch.column(1).to_pylist()
-            codes, lengths = bigram_codes(texts, ids.value)
-            total[0] += np.bincount(codes, minlength=SIZE * SIZE)
-            total[1] += np.bincount(codes[np.repeat(np.array(flags, bool), lengths)], minlength=SIZE * SIZE)
-        codes = np.flatnonzero(total[0])
-        for k in range(0, len(codes), 200_000):
-            part = codes[k : k + 200_000]
-            yield pa.record_batch([pa.array(part), pa.array(total[0, part]), pa.array(total[1, part])], ["code", "n", "t"])
-
-    partial = docs.select(F.col(text).cast("binary"), target).mapInArrow(count, "code long, n long, t long")
-    summed = partial.groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [np.asarray(c, np.int64).tobytes() for c in batch.columns]
-            yield pa.record_batch([pa.array([c], pa.binary()) for c in columns], ["code", "n", "t"])
-
-    counts = np.zeros((2, SIZE * SIZE))
-    for row in summed.mapInArrow(pack, "code binary, n binary, t binary").collect():  # at most SIZE ** 2 counts
-        code = np.frombuffer(row["code"], np.int64)
-        counts[0, code], counts[1, code] = np.frombuffer(row["n"], np.int64), np.frombuffer(row["t"], np.int64)
-    return counts.reshape(2, SIZE, SIZE)
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Bits of each word after each word, Witten-Bell over add-one unigrams."""
-    words = counts.sum(axis=0)
-    plain = (words + 1) / (words.sum() + SIZE)
-    after = counts.sum(axis=1, keepdims=True)
-    kinds = (counts > 0).sum(axis=1, keepdims=True)
-    mixed = (counts + np.maximum(kinds, 1) * plain) / (after + np.maximum(kinds, 1))
-    return -np.log2(mixed).astype(np.float32)
-
-
-class Models(NamedTuple):
-    ids: dict[bytes, int]
-    target: np.ndarray  # bits, flat
-    background: np.ndarray
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Models:
-    spark = docs.sparkSession
-    ids = vocabulary(docs, text)
-    good = labels.where(F.col(label) == 1).select(key, F.lit(True).alias("target")).distinct()
-    # labels grow with the corpus: the same plan at every size, never a broadcast of them
-    marked = docs.select(key, text).join(good.hint("merge"), key, "left").select(text, F.coalesce("target", F.lit(False)).alias("target"))
-    background, target = bigram_counts(marked, spark.sparkContext.broadcast(ids), text)
-    return Models(ids, losses(target).ravel(), losses(background).ravel())
-
-
-def scored(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, target_bits, background_bits, difference): means per token, null without tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            codes, lengths = bigram_codes([t.as_py() for t in batch.column(1)], models.ids)
-            ends = np.cumsum(lengths)
-            mean = []
-            for bits in (models.target, models.background):
-                sums = np.concatenate([[0.0], np.cumsum(bits[codes], dtype=np.float64)])
-                mean.append((sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1))
-            none = lengths == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1])]
-            yield pa.record_batch([batch.column(0), pa.array(lengths), *columns], [key, "n_tokens", "target_bits", "background_bits", "difference"])
-
-    schema = f"`{key}` {kind}, n_tokens long, target_bits double, background_bits double, difference double"
-    return docs.select(key, F.col(text).cast("binary")).mapInArrow(run, schema)
-
-
-# Models of every word: counts stay in Spark tables, and blocks of documents ask for theirs
-
 #: Bytes of text in a block, in a shard of word pairs and in a shard of words: their numbers grow with the input.
 BLOCK_BYTES, PAIR_SHARD_BYTES, WORD_SHARD_BYTES = 16 << 20, 16 << 20, 64 << 20
 ROW = "shard int, block int, body binary"
@@ -270,6 +153,8 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         t = np.bincount(found.tokens[np.repeat(target, found.lengths)], minlength=len(found.before))
         keys = found.keys()
         asked = {k: pack(*short(keys[at]), *small(n[at]), *small(t[at])) for k, at in enumerate(dealt(keys, pair_shards)) if len(at)}
+        # which of the block's documents are the target, to the block itself
+        asked[-1 - name[0].as_py()] = "\n".join({str(x) for x, y in zip(own["id"].to_pylist(), target) if y and x is not None}).encode()
         return rows_of(list(asked), [name[0].as_py()] * len(asked), list(asked.values()))
 
     def joined(rows: pa.Table, kinds: str) -> tuple[list[np.ndarray], np.ndarray]:
@@ -278,6 +163,8 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         return [np.concatenate(x) for x in zip(*parts)], np.cumsum([len(x[0]) for x in parts])
 
     def answer_pairs(rows: pa.Table) -> pa.Table:
+        if rows["shard"][0].as_py() < 0:
+            return rows
         rows = rows.sort_by("block")
         (keys, n, t), ends = joined(rows, "knn")
         _, first, at = np.unique(keys, return_index=True, return_inverse=True)
@@ -301,7 +188,7 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             return rows_of([], [], [])
         found = block_of(own["text"])
         n, t, mine = pairs_of(found, dict(zip(answers["shard"].to_pylist(), answers["body"])))
-        sums = [(found.after, n), (found.after, t), (found.before, n), (found.before, t), (found.before, mine), (found.before, t > 0)]
+        sums = [(found.after, n), (found.after, t), (found.before, n), (found.before, t), (found.before, n > t), (found.before, t > 0)]
         counts = [summed(at, x * mine, len(found.words)) for at, x in sums]
         # an empty request too: the answer brings the shard's totals
         bodies = [pack(found.words[at], *(y for x in counts for y in small(x[at]))) for at in dealt(found.words, word_shards)]
@@ -323,12 +210,27 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             own_totals, *counts = unpack(bodies[shard].as_py(), "qnnnnnn")
             totals += own_totals
             words[:, at] = counts
+        good = set(filter(None, bodies[-1 - own["block"][0].as_py()].as_py().decode().split("\n")))
+        target = np.array([str(x) in good for x in own["id"].to_pylist()], bool)
         ends, mean = np.cumsum(found.lengths), []
-        for k in (1, 0):  # the target, then the background
-            plain = (words[k] + 1) / (totals[1 + k] + totals[0] + 2)  # the words, the start and an unknown one
-            kinds = np.maximum(words[4 + k], 1)[found.before]
-            bits = -np.log2((pairs[k] + kinds * plain[found.after]) / (words[2 + k][found.before] + kinds))
-            sums = np.concatenate([[0.0], np.cumsum(bits[found.tokens])])
+        text = np.repeat(np.arange(len(found.lengths)), found.lengths)
+        after, before = found.after[found.tokens], found.before[found.tokens]
+        _, first, at = np.unique(text * len(found.before) + found.tokens, return_index=True, return_inverse=True)
+        times = np.bincount(at)
+        _, of_after = np.unique(text * len(found.words) + after, return_inverse=True)
+        _, of_before = np.unique(text * len(found.words) + before, return_inverse=True)
+        for k in (1, 0):  # the target, then the background: all less the target
+            n, *counts = (x[k] if k else x[0] - x[1] for x in (pairs, words[:2], words[2:4], totals[1:]))
+            used, follows, total = counts
+            kinds = words[4 + k]
+            mine = target[text] == bool(k)  # tokens that this model has counted
+            last = mine[first] & (n[found.tokens[first]] == times)  # pairs that no other text has
+            own_kinds = np.bincount(of_before[first], last)[of_before]
+            left = lambda x, y: x - np.where(mine, y, 0)
+            plain = (left(used[after], np.bincount(of_after)[of_after]) + 1) / (left(total, found.lengths[text]) + totals[0] + 2)  # the words, the start and an unknown one
+            kinds = np.maximum(left(kinds[before], own_kinds), 1)
+            bits = -np.log2((left(n[found.tokens], times[at]) + kinds * plain) / (left(follows[before], np.bincount(of_before)[of_before]) + kinds))
+            sums = np.concatenate([[0.0], np.cumsum(bits)])
             mean.append((sums[ends] - sums[ends - found.lengths]) / np.maximum(found.lengths, 1))
         none = found.lengths == 0
         columns = [pa.array(x, pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1])]

@@ -14,7 +14,8 @@ each cell's start.  A source with a third of all rows is thus spread over all ta
 
 Cases: null text counts 0 words; a null source is one source, last in order; repeated
 rows are numbered one after another; a source without words is never taken; an empty
-table gives an empty result; other columns are kept by ``mix`` and ignored by the query.
+table gives an empty result; other columns, whatever their names, are kept by ``mix`` and ignored
+by the query.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import table, word_count
+from pagemill.llm.common import free_name, own_columns, table, word_count
 
 SALTS = 64
 SEED = "mix-1"
@@ -64,15 +65,16 @@ def source_targets(cells: DataFrame) -> DataFrame:
 
 
 def with_copies(
-    docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", salts: int = SALTS, seed: str = SEED
+    docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", salts: int = SALTS, seed: str = SEED, into: str = "mix"
 ) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` and ``__copies`` (0 to 3)."""
-    keyed = docs.withColumns(
-        {
-            "__size": word_count(F.col(text)),
-            "__src": F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source))),
-            "__salt": (_hex(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 8) % salts).cast("int"),
-        }
+    """``docs`` and a struct ``into`` of size, source_size, target and copies (0 to 3)."""
+    own = F.struct(*own_columns(docs))
+    keyed = docs.select(
+        own.alias("__row"),
+        word_count(F.col(text)).alias("__size"),
+        F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source))).alias("__src"),
+        (_hex(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))), 8) % salts).cast("int").alias("__salt"),
+        F.col(key).alias("__key"),
     ).withColumn("__class", size_class(F.col("__size")))
     cell = ["__src", "__class", "__salt"]
     cells = keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("__rows"), F.sum("__size").alias("__words"))
@@ -82,31 +84,27 @@ def with_copies(
         source_targets(cells).select("__src", F.col("source_size").alias("__source_size"), F.col("target").alias("__target")),
         "__src",
     )
-    inside = Window.partitionBy(*cell).orderBy(F.col(key).asc_nulls_first(), "__size")
+    inside = Window.partitionBy(*cell).orderBy(F.col("__key").asc_nulls_first(), "__size")
     ranked = keyed.withColumn("__n", F.row_number().over(inside)).join(begun, cell)
     rank = F.col("__start") + F.col("__n")
     rate = F.col("__target") / F.nullif(F.col("__source_size"), F.lit(0))
     offset = _hex(F.concat(F.lit(f"{seed}:"), "__src"), 5) / F.lit(1048576.0)
     crossed = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    return ranked.withColumn("__copies", F.coalesce(crossed, F.lit(0)).cast("long")).drop(*cell, "__start", "__n")
+    copies = F.coalesce(crossed, F.lit(0)).cast("long")
+    made = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"))
+    return ranked.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns], made.alias(into))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: ``docs``'s columns and ``copy``, one row for each copy taken."""
-    counted = with_copies(docs, **options).where("__copies > 0")
-    columns = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
-    return counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    """The mixed documents: ``docs``'s columns, and the copy's number as ``copy`` (``copy_`` where that is taken)."""
+    into, number = free_name(docs, "mix"), free_name(docs, "copy")
+    counted = with_copies(docs, into=into, **options).where(F.col(into)["copies"] > 0)
+    return counted.select(*own_columns(docs), F.explode(F.sequence(F.lit(1), F.col(into)["copies"].cast("int"))).alias(number))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return with_copies(docs).select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__copies") * F.col("__size")).alias("taken"),
-    )
+    return with_copies(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
 OP9_SQL = rf"""

@@ -1,14 +1,14 @@
 """Operator 8: document quality from a linear-chain CRF over lines.
 
 Every line is good or bad.  Features of the line and of its neighbours give each line's
-score, two transition weights tie neighbouring labels, and forward-backward gives each
-line's probability of being good.  A document's quality is the mean of these, weighted by
+score, two transition weights (bad after bad, good after good) tie neighbouring labels, and
+forward-backward gives each line's probability of being good.  A document's quality is the mean of these, weighted by
 line length, put on a scale where 0.3 is the cut learned from the training documents.
 
 Training: lines of a labelled document carry its label; the conditional likelihood is
 maximised by gradient steps, documents of both classes weighing the same in total.  Only rows
-with ``crc32(id) mod 5 <> 0`` are used, at most ``SAMPLE`` of them (lowest by hash of the id),
-whole texts of at most ``LINES`` lines: the one bounded sample.  Scoring reads whole texts, in a
+with ``crc32(id) mod 5 <> 0`` are used, lowest by hash of the id first: whole texts, as many as have
+``lines`` lines in all and ``sample`` rows at most.  This is the one bounded sample.  Scoring reads whole texts, in a
 narrow map without a shuffle.
 
 Cases: null text counts as one empty line, as does empty text; very long texts are one chain;
@@ -25,12 +25,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import SPACE_BYTES, table
 
-SAMPLE, LINES, FOLDS = 5_000, 256, 5
+SAMPLE, LINES, FOLDS = 5_000, 200_000, 5
 CUT = 0.3
 CHUNK = 4 << 20  # bytes of texts that are scored together
 _UPPER, _MARKS, _DIGITS, _SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!?", b"0123456789", b"#*$%&|<>"
@@ -99,7 +99,7 @@ def with_neighbours(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 class Chain(NamedTuple):
     weights: np.ndarray  # of the good label
-    stay: float  # added where neighbouring lines have equal labels
+    stay: tuple[float, float]  # added where neighbouring lines are both bad, both good
     cut: float  # document mean that is put at CUT
 
     def marginals(self, score: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -111,8 +111,8 @@ class Chain(NamedTuple):
         return np.clip(np.where(mean < self.cut, low, high), 0.0, 1.0)
 
 
-def forward_backward(score: np.ndarray, lengths: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """P(good) of each line, P(equal labels) of each pair of neighbours (at the later), log partition.
+def forward_backward(score: np.ndarray, lengths: np.ndarray, stay: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(good) of each line, P(both bad) and P(both good) of each pair of neighbours (at the later), log partitions.
 
     ``score``: each line's score for good over bad.  Chains are laid side by side, longest
     first, so one step works on all chains that still run.
@@ -128,26 +128,25 @@ def forward_backward(score: np.ndarray, lengths: np.ndarray, stay: float) -> tup
         at = starts[: running[t]] + t
         if t:
             f = forward[at - 1]
-            forward[at, 0] = np.logaddexp(f[:, 0] + stay, f[:, 1])
-            forward[at, 1] = np.logaddexp(f[:, 0], f[:, 1] + stay)
+            forward[at, 0] = np.logaddexp(f[:, 0] + stay[0], f[:, 1])
+            forward[at, 1] = np.logaddexp(f[:, 0], f[:, 1] + stay[1])
         forward[at, 1] += score[at]
     for t in range(most - 2, -1, -1):
         at = starts[: running[t + 1]] + t
         b0, b1 = backward[at + 1, 0], backward[at + 1, 1] + score[at + 1]
-        backward[at, 0] = np.logaddexp(b0 + stay, b1)
-        backward[at, 1] = np.logaddexp(b0, b1 + stay)
-    both = forward + backward
-    total = np.logaddexp(both[:, 0], both[:, 1])
-    good = np.exp(both[:, 1] - total)
+        backward[at, 0] = np.logaddexp(b0 + stay[0], b1)
+        backward[at, 1] = np.logaddexp(b0, b1 + stay[1])
+    each = forward + backward
+    total = np.logaddexp(each[:, 0], each[:, 1])
+    good = np.exp(each[:, 1] - total)
     later = np.ones(len(score), bool)
     later[starts] = False
     k = np.flatnonzero(later)
-    equal = np.zeros(len(score))
+    both = np.zeros((len(score), 2))
     b = backward[k].copy()
     b[:, 1] += score[k]
-    f = forward[k - 1]
-    equal[k] = np.exp(np.logaddexp(f[:, 0] + b[:, 0], f[:, 1] + b[:, 1]) + stay - total[k])
-    return good, equal, total[np.cumsum(lengths) - 1]
+    both[k] = np.exp(forward[k - 1] + b + np.array(stay) - total[k, None])
+    return good, both, total[np.cumsum(lengths) - 1]
 
 
 def train(x: np.ndarray, lengths: np.ndarray, good: np.ndarray, size: np.ndarray, steps: int = 150, rate: float = 0.15, l2: float = 1e-3) -> Chain:
@@ -160,15 +159,16 @@ def train(x: np.ndarray, lengths: np.ndarray, good: np.ndarray, size: np.ndarray
     weigh = each[chain]
     paired = np.ones(len(x))
     paired[starts] = 0
-    theta = np.zeros(x.shape[1] + 1)
+    seen = np.stack([1 - y, y], axis=1)  # the label that both of a pair have: a chain has one label
+    theta = np.zeros(x.shape[1] + 2)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        p, equal, _ = forward_backward(x @ theta[:-1], lengths, theta[-1])
-        slope = np.append(x.T @ (weigh * (p - y)), np.sum(weigh * paired * (equal - 1))) + l2 * theta
+        p, both, _ = forward_backward(x @ theta[:-2], lengths, theta[-2:])
+        slope = np.append(x.T @ (weigh * (p - y)), (weigh * paired) @ (both - seen)) + l2 * theta
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        theta[-1] = np.clip(theta[-1], 0.0, 1.5)  # a weak tie: line labels copy the document's
-    model = Chain(theta[:-1], float(theta[-1]), 0.5)
+        theta[-2:] = np.clip(theta[-2:], 0.0, 1.5)  # weak ties: line labels copy the document's
+    model = Chain(theta[:-2], (float(theta[-2]), float(theta[-1])), 0.5)
     means = document_means(model.marginals(x @ model.weights, lengths), size, lengths)
     return model._replace(cut=best_cut(means, good))
 
@@ -200,7 +200,7 @@ def _arranged(counts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return x, lengths, counts[:, 0].astype(float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Chain | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, lines: int = LINES) -> Chain | None:
     fold = F.crc32(F.col(key).cast("string")) % FOLDS
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold != 0))
@@ -209,9 +209,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .orderBy(F.xxhash64(key), key)
         .limit(sample)
     )
-    short = docs.select(key, text).where(F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)) <= LINES)
     # at most ``sample`` rows of two numbers: the bound that makes the broadcast safe
-    rows = short.join(F.broadcast(chosen), key).select("__label", F.col(text).cast("binary").alias("t"))
+    rows = docs.join(F.broadcast(chosen.withColumnRenamed(key, "__key")), F.col(key) == F.col("__key"))
+    rows = rows.select("__label", "__key", F.col(text).cast("binary").alias("__text"))
+    size = F.when(F.octet_length("__text") > 0, F.regexp_count(F.col("__text").cast("string"), F.lit("\n")) + 1).otherwise(1)
+    so_far = F.sum("__n").over(Window.orderBy(F.xxhash64("__key"), "__key", "__n", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # of at most ``sample`` rows, and those of a repeated key; texts over ``lines`` lines in all are left to scoring
+    rows = rows.withColumn("__n", size).withColumn("__sum", so_far).where(F.col("__sum") <= lines).select("__label", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,8 +2,9 @@
 
 Sequential covering: a rule grows condition by condition (``feature <= cut`` or
 ``feature > cut``, best FOIL gain) on two thirds of the labelled rows, is pruned from its end
-on the other third, and is kept while it is right more often than not there.  The rows it
-covers leave, and the next rule is learned.  The ordered rules become one Spark
+on the other third, and is kept if nine of ten rows that it covers there are bad ones: what a
+rule rejects is gone for good.  The rows it covers leave, and the next is
+learned.  The ordered rules become one Spark
 ``CASE WHEN`` chain over statistic columns, which anyone can read.
 
 The statistics of every text are counted in one narrow map (no shuffle).  Rules are learned
@@ -11,8 +12,9 @@ from at most ``SAMPLE`` labelled rows, the lowest by hash of their key: the one
 
 Cases: null text has no words; empty texts have all counts 0 and fail the base rule; texts
 are read whole; repeated rows get equal results; without labelled rows of both classes there
-are no learned rules and the base rule alone decides; null labels are not used; other columns
-are kept by ``keep_good`` and ignored by the query.
+are no learned rules and the base rule alone decides; null labels are not used, of several labels
+of a key the lowest is; other columns, whatever their names, are kept by ``keep_good`` and ignored
+by the query.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import SPACE_BYTES, table
+from pagemill.llm.common import SPACE_BYTES, free_name, own_columns, table
 
 SAMPLE = 20_000
 WINDOW = 8
@@ -163,7 +165,7 @@ def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
 
 
 def learn_rules(
-    x: np.ndarray, bad: np.ndarray, most_rules: int = 24, most_tests: int = 4, precision: float = 0.6, least: int = 5, points: int = 64, seed: int = 1
+    x: np.ndarray, bad: np.ndarray, most_rules: int = 24, most_tests: int = 4, precision: float = 0.9, least: int = 5, points: int = 64, seed: int = 1
 ) -> list[Rule]:
     """An ordered list of rules; a row that any rule covers is judged bad."""
     rules: list[Rule] = []
@@ -177,7 +179,7 @@ def learn_rules(
         rule = prune(grow(x[g], bad[g], cuts, most_tests), x[p], bad[p])
         held = covered(rule, x) & left if rule else np.zeros(len(x), bool)
         hit, right = int((held & p).sum()), int((held & p & bad).sum())
-        if not rule or int((held & bad).sum()) < least or right < precision * max(hit, 1):
+        if not rule or int((held & bad).sum()) < least or right < max(precision * hit, 1):
             break
         rules.append(rule)
         left &= ~held
@@ -217,21 +219,23 @@ def base_failed(stats: str) -> Column:
     return (n < 20) | (100 * F.col(f"{stats}.n_repeat_words") > 30 * n)
 
 
-def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """``docs`` with ``__s`` (the counts), ``__base_failed`` and ``__kept``."""
-    counted = docs.withColumn("__s", text_stats(F.col(text)))
-    return counted.withColumn("__base_failed", base_failed("__s")).withColumn(
-        "__kept", ~F.col("__base_failed") & verdict(rules, features("__s"))
-    )
+def judged(docs: DataFrame, rules: list[Rule], text: str = "text", into: str = "rules") -> DataFrame:
+    """``docs`` and a struct ``into`` of counts, base_failed and kept."""
+    counts = free_name(docs, into + "_counts")
+    counted = docs.withColumn(counts, text_stats(F.col(text)))
+    failed = base_failed(counts)
+    made = F.struct(F.col(counts).alias("counts"), failed.alias("base_failed"), (~failed & verdict(rules, features(counts))).alias("kept"))
+    return counted.select(*own_columns(docs), made.alias(into))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(docs, rules, text).where("__kept").select(*[f"`{c}`" for c in docs.columns])
+    into = free_name(docs, "rules")
+    return judged(docs, rules, text, into).where(F.col(into)["kept"]).select(*own_columns(docs))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = fit(docs, table(spark, sf_dir, "labels"))
-    counts = [F.col(f"__s.{c}").alias(c) for c in COUNTS[:5]]
-    return judged(docs, rules).select("doc_id", *counts, F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    counts = [F.col("rules")["counts"][c].alias(c) for c in COUNTS[:5]]
+    return judged(docs, rules).select("doc_id", *counts, "rules.base_failed", "rules.kept")

@@ -6,10 +6,13 @@ bytes; the first row is a ``response`` record and further ones its ``continuatio
 id is kept and the others are ``revisit`` records that refer to it.  Spark's text writer puts
 the rows into gzip files with the record separator.
 
-Reading: the files stream by as lines, whole files to a task and in order, and a small state
-machine follows Content-Length.  It emits a row per chunk with the running length and the
-SHA-1 of the payload up to there, so the last chunk's row has the payload's own.  No whole
-record is held: memory is one Arrow batch of lines.
+Reading: gzip archives stream by as lines, whole files to a task and in order, and a small state
+machine follows Content-Length.  It emits a row per chunk with its bytes, the running length and
+the SHA-1 of the payload up to there, so the last chunk's row has the payload's own.  No whole
+record of a written archive is held: a chunk is a record of its own there, and memory is one
+Arrow batch of lines.  (An archive of others may have a payload without line ends; Spark's text
+reader holds such a line whole.)  A record that breaks off, or whose length isn't a number, is a
+last row with an ``error``; reading goes on at the next record.
 
 Scale: a shuffle of digests to find equal payloads, and the join back; reading needs none but
 the lookup of revisits.  Archives go to the folder given, or to the shared folder.
@@ -37,7 +40,7 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 FIELDS = (
     "record_id string, record_type string, target_uri string, refers_to string, stated_digest string, "
-    "chunk_no int, chunk_bytes long, payload_bytes long, payload_digest string, last boolean"
+    "chunk_no int, chunk_bytes long, payload_bytes long, payload_digest string, last boolean, error string, data binary"
 )
 
 
@@ -105,14 +108,14 @@ def write_warc(pages: DataFrame, path: str, **options) -> None:
 class _Reader:
     """Follows the lines of one archive; ``rows`` gathers a tuple of FIELDS for each chunk."""
 
-    def __init__(self, chunk: int):
-        self.chunk, self.rows = chunk, []
+    def __init__(self, chunk: int, payload: bool):
+        self.chunk, self.payload, self.rows = chunk, payload, []
         self.head: dict[str, str] | None = None
         self.left = 0  # bytes of the block still to come
         self.http = False
         self.record: dict[str, str] = {}
-        self.sha, self.size, self.number, self.held = hashlib.sha1(), 0, 0, 0
-        self.in_record = False
+        self.sha, self.size, self.number, self.held, self.parts = hashlib.sha1(), 0, 0, 0, []
+        self.open_end = False  # further segments of the record follow
 
     def line(self, line: bytes) -> None:
         if self.left:
@@ -124,6 +127,9 @@ class _Reader:
         elif self.head is None:
             if line.startswith(b"WARC/"):
                 self.head = {}
+        elif line.startswith(b"WARC/") and self.head:  # the head before had no end
+            self.fail("head without end")
+            self.head = {}
         elif line.strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             self.head[name.strip().lower()] = value.strip()
@@ -132,10 +138,15 @@ class _Reader:
 
     def begin(self) -> None:
         head = self.head
-        self.left = int(head.get("content-length", 0))
-        number = int(head.get("warc-segment-number", 1))
+        length, number = head.get("content-length", "0"), head.get("warc-segment-number", "1")
+        if not (length.isascii() and length.isdigit() and number.isascii() and number.isdigit()):
+            self.fail("length or segment number isn't a number")
+            return
+        self.left, number = int(length), int(number)
         if number == 1:
-            self.record, self.sha, self.size, self.number, self.held = head, hashlib.sha1(), 0, 0, 0
+            if self.open_end:
+                self.broken("segments missing")
+            self.record, self.sha, self.size, self.number, self.held, self.parts = head, hashlib.sha1(), 0, 0, 0, []
             self.http = head.get("content-type", "").startswith("application/http") and self.left > 0
         self.open_end = "warc-segment-number" in head and "warc-segment-total-length" not in head
         if not self.left:
@@ -152,56 +163,87 @@ class _Reader:
             self.sha.update(part)
             self.size += len(part)
             self.held += len(part)
+            if self.payload:
+                self.parts.append(bytes(part))
             if self.held == self.chunk and (len(view) or self.left or self.open_end):
                 self.emit(False)
 
-    def emit(self, last: bool) -> None:
+    def emit(self, last: bool, error: str | None = None) -> None:
         r = self.record
         digest = self.sha.hexdigest()
         stated = r.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        data = b"".join(self.parts) if self.payload else None
         self.rows.append(
-            (r.get("warc-record-id"), r.get("warc-type"), r.get("warc-target-uri"), r.get("warc-refers-to"), stated, self.number, self.held, self.size, digest, last)
+            (r.get("warc-record-id"), r.get("warc-type"), r.get("warc-target-uri"), r.get("warc-refers-to"), stated, self.number, self.held, self.size, digest, last, error, data)
         )
-        self.number, self.held = self.number + 1, 0
+        self.number, self.held, self.parts = self.number + 1, 0, []
+
+    def broken(self, error: str) -> None:
+        """The record so far ends here, with an error."""
+        self.emit(True, error)
+        self.open_end = False
+
+    def fail(self, error: str) -> None:
+        """A record of which nothing but the head is read."""
+        if self.open_end:
+            self.broken("segments missing")
+        self.record, self.sha, self.size, self.number, self.held, self.parts = self.head, hashlib.sha1(), 0, 0, 0, []
+        self.broken(error)
+        self.head = None
 
     def close(self) -> None:
         if not self.open_end:
             self.emit(True)
         self.head = None
 
+    def end(self) -> list[tuple]:
+        """The rows left at the end of the archive."""
+        if self.left:
+            self.broken("archive ends inside the record")
+        elif self.head:
+            self.fail("archive ends inside the head")
+        elif self.open_end:
+            self.broken("segments missing")
+        return self.rows
+
+
+def read_warc(spark: SparkSession, path: str, chunk: int = CHUNK, payload: bool = True) -> DataFrame:
+    """A row for each chunk of each record of the gzip archives under ``path``; see FIELDS.
 
-def read_warc(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
-    """A row for each chunk of each record of the gzip archives under ``path``; see FIELDS."""
-    lines = spark.read.option("lineSep", "\n").text(path)
+    ``payload``: whether the rows carry the chunks' bytes.  Other files than ``*.gz`` are left out: they could be
+    split, and a part of an archive can't be read on its own.
+    """
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"))
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    kinds = [pa.string()] * 5 + [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.binary()]
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [()] * len(names)
         return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, reader = None, _Reader(chunk)
+        file, reader = None, _Reader(chunk, payload)
         for b in batches:
             done = []
             for line, of in zip(b.column(0), b.column(1).to_pylist()):
                 if of != file:
-                    done += reader.rows
-                    file, reader = of, _Reader(chunk)
+                    done += reader.end()
+                    file, reader = of, _Reader(chunk, payload)
                 reader.line(line.as_py())
             done += reader.rows
             reader.rows = []
             yield batch(done)
+        yield batch(reader.end())
 
     return lines.mapInArrow(run, FIELDS)
 
 
 def resolved(chunks: DataFrame) -> DataFrame:
-    """One row a record: (record_id, record_type, refers_to, payload_bytes, payload_digest); revisits get the payload they refer to."""
+    """One row a record: (record_id, record_type, refers_to, payload_bytes, payload_digest, error); revisits get the payload they refer to."""
     records = chunks.where("last")
     given = (
-        records.where("record_type = 'response'")
+        records.where("record_type = 'response' and error is null")
         .groupBy(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("stated_digest"))
         .agg(F.max("payload_bytes").alias("__bytes"))
     )
@@ -211,6 +253,7 @@ def resolved(chunks: DataFrame) -> DataFrame:
         "record_id", "record_type", "refers_to",
         F.when(again, F.col("__bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(again, F.col("stated_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "error",
     )
 
 
@@ -221,7 +264,7 @@ def _page(urn: Column) -> Column:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     write_warc(table(spark, sf_dir, "pages"), path)
-    found = resolved(read_warc(spark, path))
+    found = resolved(read_warc(spark, path, payload=False))
     return found.select(
         _page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page(F.col("refers_to")).alias("refers_to")
     )

@@ -54,7 +54,9 @@ def none(spark):
 
 def clashing(df):
     """Columns with names that the operators use themselves."""
-    return df.withColumns({c: F.lit(7) for c in ("n_words", "size", "copies", "set", "id", "token", "bits", "score", "target", "words", "label")})
+    plain = ("n_words", "size", "copies", "copy", "set", "id", "token", "root", "n", "score", "target", "words", "label", "a.b", "block")
+    inner = ("rules", "rules_counts", "hits", "hits_part", "spans", "redacted", "licenses", "licenses_words", "mix", "__label", "__key", "__size", "__src", "__row", "__n")
+    return df.withColumns({c: F.lit(7) for c in plain + inner})
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -107,16 +109,22 @@ def test_rules_learn_and_order():
 def test_rules_chain_equals_numpy(spark, docs):
     rules = [[quality_rules.Test(0, True, 50.0), quality_rules.Test(2, False, 0.1)], [quality_rules.Test(2, True, 0.5)]]
     made = quality_rules.judged(docs, rules)
-    found = made.select(*[c.alias(k) for k, c in quality_rules.features("__s").items()], quality_rules.verdict(rules, quality_rules.features("__s")).alias("k")).toPandas()
+    features = quality_rules.features("rules.counts")
+    found = made.select(*[c.alias(k) for k, c in features.items()], quality_rules.verdict(rules, features).alias("k"), F.col("rules.kept").alias("kept"), F.col("rules.base_failed").alias("failed")).toPandas()
+    assert (found.kept == (found.k & ~found.failed)).all()
+    found = found.drop(columns=["kept", "failed"])
     x = found.drop(columns="k").to_numpy()
     assert (found.k.to_numpy() == ~(quality_rules.covered(rules[0], x) | quality_rules.covered(rules[1], x))).all()
 
 
 def test_rules_cases(spark, docs, none):
-    assert set(quality_rules.keep_good(clashing(docs), []).columns) == set(clashing(docs).columns)
+    kept = quality_rules.keep_good(clashing(docs), [])
+    assert kept.columns == clashing(docs).columns and kept.where("rules = 7 and rules_counts = 7 and __n = 7").count() == kept.count()
     assert quality_rules.keep_good(none, []).count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality_rules.fit(docs, labels) == []
+    twice = spark.createDataFrame([(7, 1), (7, 0), (7, None), (None, 0), (8, 1), (8, 1)], "doc_id long, quality int")
+    assert quality_rules.fit(clashing(docs), twice) == []
     held = quality_rules.op1_quality_rules(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id")
     assert held.where("kept = (quality = 1) or base_failed").count() >= 0.95 * held.count()
 
@@ -124,37 +132,19 @@ def test_rules_cases(spark, docs, none):
 # 2
 
 
-def test_language_models(spark, docs, none):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)] + [(3, None)], "doc_id long, quality int")
-    models = lm_scoring.fit(docs, labels)
-    for bits in (models.target, models.background):
-        table = 2.0 ** -bits.reshape(lm_scoring.SIZE, -1)
-        assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
-    found = {r.doc_id: r for r in lm_scoring.scored(clashing(docs), models).collect()}
-    assert len(found) == docs.count() and found[0].difference is None and found[1].n_tokens == 0
-    for r in docs.collect()[3:40]:
-        ws = lm_scoring.words_of((r.text or "").encode())
-        ids = [0] + [models.ids.get(w, 1) for w in ws]
-        want = [np.mean([b[p * lm_scoring.SIZE + c] for p, c in zip(ids, ids[1:])]) for b in (models.target, models.background)]
-        assert np.allclose([found[r.doc_id].target_bits, found[r.doc_id].background_bits], want, atol=1e-4)
-    empty = lm_scoring.fit(none, labels)
-    assert empty.ids == {} and lm_scoring.scored(none, empty).count() == 0
-
-
 def brute_scores(rows, good):
-    """Witten-Bell over add-one unigrams of all words, from plain dictionaries."""
-    models, vocabulary = [], {w for _, t in rows for w in lm_scoring.words_of((t or "").encode())}
-    for some in ([r for r in rows if r[0] in good], rows):
-        pairs = Counter(p for _, t in some for ws in [lm_scoring.words_of((t or "").encode())] for p in zip([None, *ws], ws))
-        words, after, kinds = Counter(), Counter(), Counter(p for p, _ in pairs)
-        for (p, c), n in pairs.items():
-            words[c] += n
-            after[p] += n
-        models.append((pairs, words, after, kinds, sum(words.values()) + len(vocabulary) + 2))
-    for key, t in rows:
-        ws = lm_scoring.words_of((t or "").encode())
+    """Witten-Bell over add-one unigrams of all words, from plain dictionaries, each text's own counts left out."""
+    split = [(key, lm_scoring.words_of((t or "").encode())) for key, t in rows]
+    vocabulary = {w for _, ws in split for w in ws}
+    for mine, (key, ws) in enumerate(split):
         means = []
-        for pairs, words, after, kinds, total in models:
+        for target in (True, False):
+            pairs = Counter(p for k, (other, vs) in enumerate(split) if k != mine and (other in good) == target for p in zip([None, *vs], vs))
+            words, after, kinds = Counter(), Counter(), Counter(p for p, _ in pairs)
+            for (p, c), n in pairs.items():
+                words[c] += n
+                after[p] += n
+            total = sum(words.values()) + len(vocabulary) + 2
             bits = [-np.log2((pairs[p, c] + max(kinds[p], 1) * (words[c] + 1) / total) / (after[p] + max(kinds[p], 1))) for p, c in zip([None, *ws], ws)]
             means.append(np.mean(bits) if bits else None)
         yield key, len(ws), means
@@ -201,6 +191,25 @@ def brute_contamination(text, items):
     return len(w), len(hit), sorted(names)
 
 
+def brute_longest(text, items):
+    fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, best = fold(text), (0, None)
+    starts = {}
+    for i, x in enumerate(w):
+        starts.setdefault(x, []).append(i)
+    for name, body in items:
+        v = fold(body)
+        least = min(10, len(v))
+        for j in range(len(v) - least + 1 if v else 0):
+            for i in starts.get(v[j], ()):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                if n >= least and (n > best[0] or n == best[0] and i < best[1]):
+                    best = (n, i)
+    return best
+
+
 @pytest.mark.parametrize("block, shard", [(1 << 20, 1 << 20), (60, 300)])
 def test_decontamination(spark, rows, docs, monkeypatch, block, shard):
     r = random.Random(8)
@@ -213,8 +222,11 @@ def test_decontamination(spark, rows, docs, monkeypatch, block, shard):
     found = {x.doc_id: x for x in dec.removed_report(clashing(docs), benchmark).collect()}
     for i, t, *_ in rows:
         assert (found[i].n_words, found[i].n_hit, found[i]["items"]) == brute_contamination(t, items), i
-    kept = {x.doc_id for x in dec.remove_contaminated(docs, benchmark).collect()}
-    assert kept == {i for i, x in found.items() if not x.contaminated}
+    for i, t, *_ in rows:
+        assert (found[i].longest, found[i].longest_start) == brute_longest(t, items), i
+    kept = dec.remove_contaminated(clashing(docs), benchmark)
+    assert kept.columns == clashing(docs).columns and kept.where("hits = 7 and hits_part = 7").count() == kept.count()
+    assert {x.doc_id for x in kept.collect()} == {i for i, x in found.items() if not x.contaminated}
 
 
 def test_longest_matches(spark):
@@ -268,7 +280,7 @@ def test_pii(spark, docs):
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(1500)]
     texts += [None, "", "9" * 3000, "1." * 2000, "a." * 900 + "@" + "b." * 900 + "c", "+1" + "(" * 900, "1 " * 900, "text " * 9000 + "x@y.zz"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
-    found = df.select("text", F.transform(F.filter(pii.spans(F.col("text")), lambda s: s["kind"] != "iban"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])).alias("s"))
+    found = df.select("text", F.transform(F.filter(pii.spans(F.col("text")), lambda s: s["kind"].isin(*pii.BASE)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])).alias("s"))
     for row in found.collect():
         assert row.s == brute_spans(row.text), row.text[:80]
 
@@ -277,8 +289,13 @@ def test_pii_method_and_redaction(spark, docs, none):
     one = lambda t: [(s.kind, s.start, s.end, round(s.score, 1)) for s in spark.createDataFrame([(t,)], "t string").select(pii.spans(F.col("t")).alias("s")).first().s]
     assert one("IBAN GB82 WEST 1234 5698 7654 32") == [("iban", 5, 32, 0.9)]
     assert one("GB82 WEST 1234 5698 7654 33") == [] and one("card 4539578763621486")[0][3] > one("4539578763621486")[0][3]
+    assert one("IBAN AT61 1904 3002 3457 3201 PLEASE") == [("iban", 5, 29, 0.9)] and one("AT61 1904 3002 3457 320") == []
+    assert one("sample: AT61 1904 3002 3457 3201") == [] and one("an example account AT61 1904 3002 3457 3201") == []
+    assert one("SSN 123-45-6789") == [("ssn", 4, 15, 0.7)] and one("part 123-45-6789") == [] and one("SSN 666-45-6789") == []
+    assert one("NHS number 943 476 5919")[0][0] == "nhs" and one("call 943 476 5919") == [] and one("NHS number 943 476 5918") == []
+    assert [k for k, *_ in one("ssn a@b.co 123-45-6789")] == ["email", "ssn"]  # context beyond a neighbouring match
     clean = pii.redact(clashing(docs), chars="n_chars")
-    assert clean.columns == clashing(docs).columns and clean.count() == docs.count()
+    assert clean.columns == clashing(docs).columns and clean.where("spans = 7 and redacted = 7").count() == docs.count()
     last = clean.orderBy(F.desc("doc_id")).first()
     assert last.text == "[EMAIL] [IP] t [PHONE] c [CARD] i [IBAN]" and last.n_chars == len(last.text)
     assert clean.where("doc_id = 0").first().text is None and pii.redact(none).count() == 0
@@ -293,13 +310,54 @@ def test_licenses(spark, docs):
     texts = [None, "", "cc by " * 2000] + [" ".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(300)]
     texts += [f"foo bar {t.text.title()}, end." for t in licenses.TEMPLATES]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = licenses.with_licenses(clashing(df)).select("doc_id", "__words", "__places", "__templates").orderBy("doc_id").collect()
+    made = licenses.with_licenses(clashing(df), into="found")
+    assert made.columns == [*clashing(df).columns, "found"] and made.where("licenses_words = 7").count() == len(texts)
+    found = made.select("doc_id", "found.*").orderBy("doc_id").collect()
     for row, t in zip(found, texts):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         places = [(i, l) for i in range(len(w)) for p, l in licenses.PHRASES.items() if w[i : i + len(p.split())] == p.split()]
-        assert row["__words"] == len(w) and [tuple(p) for p in row["__places"]] == places
+        assert row["words"] == len(w) and [tuple(p) for p in row["places"]] == places
+        assert [(x.label, x.start, round(x.share, 6)) for x in row["templates"]] == brute_templates(w)
     for row, t in zip(found[-len(licenses.TEMPLATES) :], licenses.TEMPLATES):
-        assert [(x.label, x.start) for x in row["__templates"]] == [(t.label, 2)]
+        assert (t.label, 2) in [(x.label, x.start) for x in row["templates"]]
+
+
+def brute_templates(w):
+    """Starts of each template in ascending order, cut where they are more than SLACK apart."""
+    follows = lambda low, high, p: any(w[i : i + len(p.split())] == p.split() for i in range(max(low, 0), high + 1))
+    out = []
+    for k, t in enumerate(licenses.TEMPLATES):
+        at = {x: p for x, ps in licenses.INDEX.items() for j, p in ps if j == k}
+        runs = []
+        for start, p in sorted((i - at[x], at[x]) for i, x in enumerate(w) if x in at):
+            if runs and start - runs[-1][-1][0] <= licenses.SLACK:
+                runs[-1].append((start, p))
+            else:
+                runs.append([(start, p)])
+        ws, key = t.text.split(), t.key.split()
+        offset = next(i for i in range(len(ws)) if ws[i : i + len(key)] == key)
+        for run in runs:
+            n = len({p for _, p in run})
+            low, high = run[0][0] + offset - licenses.SLACK, run[-1][0] + offset + licenses.SLACK
+            if n >= 0.6 * len(at) and follows(low, high, t.key) and not any(follows(low, high, p) for p in t.excluded):
+                out.append((t.label, run[0][0], round(n / len(at), 6)))
+    return out
+
+
+def test_license_method(spark, none):
+    by = {t.label: t for t in licenses.TEMPLATES}
+    r = random.Random(11)
+    noisy = by["mit"].text.split()
+    for k in (12, 40, 70, 100):
+        noisy[k:k] = ["extra"] * r.randint(1, 3)
+    texts = [
+        "Copyright 2020 A. B.\n\n" + " ".join(noisy), by["cc-by"].text, by["cc-by-sa"].text.replace("sharealike", "ShareAlike"), by["agpl"].text,
+        "filler " * 20_000 + by["bsd"].text, by["apache"].text, by["apache"].text, " ".join(by["mit"].text.split()[::-1]),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [sorted({x.label for x in row.found.templates}) for row in licenses.with_licenses(df, into="found").orderBy("doc_id").collect()]
+    assert found == [["mit"], ["cc-by"], ["cc-by-sa"], ["agpl"], ["bsd"], ["apache"], ["apache"], []]
+    assert licenses.with_licenses(none).count() == 0
 
 
 # 6
@@ -451,6 +509,30 @@ def test_warc_reads_whole_records(spark, tmp_path):
     assert [(r.record_id, r.payload_bytes, r.payload_digest) for r in rows] == [(u, len(body), hashlib.sha1(body).hexdigest()) for u in ("<urn:x>", "<urn:y>")]
 
 
+def test_warc_payload_and_broken_records(spark, tmp_path):
+    """Payloads come back byte by byte; broken records are rows with an error, and reading goes on."""
+    import gzip
+
+    head = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%s>\r\nContent-Length: %s\r\n\r\n"
+    body = bytes(range(256)) * 9 + b"\xf0\x9f\n\n"
+    whole = lambda name: head % (name, str(len(body)).encode()) + body + b"\r\n\r\n"
+    broken = head % (b"bad", b"many") + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(whole(b"one") + broken + whole(b"two")))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole(b"three") + (head % (b"cut", b"5000") + body)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"WARC/1.0\r\nWARC-Record-ID: <urn:half>\r\nWARC-Type: resource"))
+    (tmp_path / "plain.warc").write_bytes(whole(b"plain"))
+    (tmp_path / "empty.warc.gz").write_bytes(gzip.compress(b""))
+    long = b"z" * 3_000_000  # one line
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(head % (b"long", str(len(long)).encode()) + long + b"\r\n\r\n"))
+    chunks = warc.read_warc(spark, str(tmp_path), 1000)
+    rows = {r.record_id: r for r in warc.resolved(chunks).collect()}
+    assert {k: bool(r.error) for k, r in rows.items()} == {"<urn:one>": False, "<urn:two>": False, "<urn:three>": False, "<urn:long>": False, "<urn:bad>": True, "<urn:cut>": True, "<urn:half>": True}
+    for name, want in (("one", body), ("two", body), ("cut", body), ("long", long)):
+        own = chunks.where(F.col("record_id") == f"<urn:{name}>").orderBy("chunk_no").collect()
+        assert b"".join(bytes(r.data) for r in own) == want and own[-1].payload_digest == hashlib.sha1(want).hexdigest() and max(r.chunk_bytes for r in own) <= 1000
+    assert warc.read_warc(spark, str(tmp_path), 1000, payload=False).where("data is not null").count() == 0
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).count() == 0
@@ -464,25 +546,68 @@ def test_forward_backward():
     r = np.random.default_rng(2)
     lengths = np.array([1, 4, 3])
     score = r.normal(size=8)
-    good, equal, total = quality_crf.forward_backward(score, lengths, 0.7)
+    good, both, total = quality_crf.forward_backward(score, lengths, (0.7, 0.4))
     at = 0
     for k, n in enumerate(lengths):
         s = score[at : at + n]
-        weight, marginal, same = 0.0, np.zeros(n), np.zeros(n)
+        weight, marginal, same = 0.0, np.zeros(n), np.zeros((n, 2))
         for bits in range(2**n):
             y = np.array([bits >> i & 1 for i in range(n)])
-            w = np.exp((s * y).sum() + 0.7 * (y[1:] == y[:-1]).sum())
+            pair = np.stack([(y[1:] == 0) & (y[:-1] == 0), (y[1:] == 1) & (y[:-1] == 1)], axis=1)
+            w = np.exp((s * y).sum() + pair.sum(axis=0) @ np.array([0.7, 0.4]))
             weight += w
             marginal += w * y
-            same[1:] += w * (y[1:] == y[:-1])
-        assert np.allclose(good[at : at + n], marginal / weight) and np.allclose(equal[at : at + n], same / weight) and np.isclose(total[k], np.log(weight))
+            same[1:] += w * pair
+        assert np.allclose(good[at : at + n], marginal / weight) and np.allclose(both[at : at + n], same / weight) and np.isclose(total[k], np.log(weight))
         at += n
 
 
+def brute_line(line, lines, before):
+    w, c = line.split(), len(re.sub(rb"[ \t-\r]", b"", line))
+    n, d = max(len(w), 1), len(set(w))
+    count = lambda p: len(re.findall(p, line))
+    return [
+        min(count(rb"[#*$%&|<>]") / n, 3) / 3, min(count(rb"[!?]") / n, 2) / 2, count(rb"[0-9]") / max(c, 1), count(rb"[A-Z]") / max(c, 1), 1 - d / n if len(w) > 7 else 0,
+        min(lines.count(line) - 1, 3) / 3 if w else 0, 1 / (1 + len(w) / 8), min(c / n, 16) / 16, line.rstrip()[-1:] in (b".", b"!", b"?"), not w, len(set(w) & before) / max(d, 1),
+    ]
+
+
+def test_crf_score_from_weights(spark):
+    """Features, marginals by all labellings, the weighted mean and the scale, redone line by line."""
+    r = np.random.default_rng(5)
+    model = quality_crf.Chain(r.normal(size=3 * len(quality_crf.NAMES) + 1), (0.6, 0.3), 0.45)
+    texts = ["One line. # 12 A!", "a b c\n\nsame line here\nsame line here\nlast one?", None, "", "x\n" * 5, "WORDS words " * 9 + "\nand $ more | 7 <b>"]
+    found = [x.score for x in quality_crf.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()]
+    for score, t in zip(found, texts):
+        lines, seen, own = (t or "").encode().split(b"\n"), set(), []
+        for line in lines:
+            own.append(brute_line(line, lines, seen))
+            seen |= set(line.split())
+        none = [0.0] * len(own[0])
+        s = [np.dot([*x, *(own[k - 1] if k else none), *(own[k + 1] if k + 1 < len(own) else none), 1], model.weights) for k, x in enumerate(own)]
+        weight, good = 0.0, np.zeros(len(s))
+        for bits in range(2 ** len(s)):
+            y = [bits >> i & 1 for i in range(len(s))]
+            w = np.exp(np.dot(s, y) + sum(model.stay[a] for a, b in zip(y, y[1:]) if a == b))
+            weight, good = weight + w, good + w * np.array(y)
+        size = np.array([len(x) + 1 for x in lines])
+        mean = (good / weight) @ size / size.sum()
+        assert np.isclose(score, 0.3 * mean / 0.45 if mean < 0.45 else 0.3 + 0.7 * (mean - 0.45) / 0.55), t
+
+
+def test_crf_long_texts(spark, docs):
+    """Texts of many lines are learned from and scored; a bound on lines takes whole texts."""
+    texts = [(i, ("good words stand here.\n" if i % 2 else "$$ ## !!\n") * 400, i % 2) for i in range(40)] + [(99, "x" * 300_000, 1)]
+    df, labels = spark.createDataFrame(texts, "doc_id long, text string, quality int").drop("quality"), spark.createDataFrame([(i, q) for i, _, q in texts], "doc_id long, quality int")
+    model = quality_crf.fit(clashing(df), labels)
+    found = {x.doc_id: x.score for x in quality_crf.scored(df, model).collect()}
+    assert all((found[i] >= 0.3) == bool(q) for i, _, q in texts[:-1]) and quality_crf.fit(df, labels, lines=500) is None
+
+
 def test_crf_quality(spark, docs, none):
     found = quality_crf.op8_quality_crf(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out")
     assert found.where("predicted = quality").count() >= 0.95 * found.count()
-    model = quality_crf.Chain(np.zeros(3 * len(quality_crf.NAMES) + 1), 0.5, 0.4)
+    model = quality_crf.Chain(np.zeros(3 * len(quality_crf.NAMES) + 1), (0.5, 0.2), 0.4)
     out = quality_crf.scored(clashing(docs), model).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
     assert quality_crf.scored(none, model).count() == 0 and {r.score for r in quality_crf.scored(docs, None).collect()} == {0.5}
@@ -492,7 +617,7 @@ def test_crf_quality(spark, docs, none):
 
 
 def test_mix(spark, docs, none, rows):
-    made = mixing.with_copies(clashing(docs).drop("size")).collect()
+    made = mixing.with_copies(clashing(docs), into="m").collect()
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
     source = {i: s for i, _, _, s, _ in rows}
     total = sum(sizes.values())
@@ -509,16 +634,18 @@ def test_mix(spark, docs, none, rows):
             break
         free -= over
     for r in made:
-        assert r["__size"] == sizes[r.doc_id] and r["__source_size"] == own[source[r.doc_id]] and np.isclose(r["__target"], target[source[r.doc_id]])
-        assert 0 <= r["__copies"] <= 3
-    assert sorted((r.doc_id, r["__copies"]) for r in made) == sorted((r.doc_id, r["__copies"]) for r in mixing.with_copies(docs.repartition(5)).collect())
-    assert mixing.mix(docs).count() == sum(r["__copies"] for r in made) and mixing.mix(none).count() == 0
+        assert r.m["size"] == sizes[r.doc_id] and r.m.source_size == own[source[r.doc_id]] and np.isclose(r.m.target, target[source[r.doc_id]])
+        assert 0 <= r.m.copies <= 3
+    assert sorted((r.doc_id, r.m.copies) for r in made) == sorted((r.doc_id, r["mix"].copies) for r in mixing.with_copies(docs.repartition(5)).collect())
+    mixed = mixing.mix(clashing(docs))
+    assert mixed.columns == [*clashing(docs).columns, "copy_"] and mixed.where("__n = 7 and __src = 7 and copy = 7 and mix = 7").count() == sum(r.m.copies for r in made)
+    assert mixing.mix(docs).columns == [*docs.columns, "copy"] and mixing.mix(none).count() == 0
 
 
 def test_mix_comes_near(spark):
     r = random.Random(1)
     df = spark.createDataFrame([(i, "w " * int(r.lognormvariate(4, 1)), r.choice("aaab")) for i in range(4000)], "doc_id long, text string, source string")
-    for row in mixing.with_copies(df).groupBy("source").agg(F.sum(F.col("__copies") * F.col("__size")).alias("t"), F.first("__target").alias("w")).collect():
+    for row in mixing.with_copies(df).groupBy("source").agg(F.sum(F.col("mix.copies") * F.col("mix.size")).alias("t"), F.first("mix.target").alias("w")).collect():
         assert abs(row.t / row.w - 1) < 0.02
 
 
