@@ -75,7 +75,7 @@ class WordHashes(dict):
     """64-bit hash of each word met, in a bounded cache."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

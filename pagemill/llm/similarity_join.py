@@ -50,13 +50,13 @@ _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Sizes(NamedTuple):
     """Sizes of what one task holds; numbers of blocks, shards and parts follow the input."""
 
-    block: int = 16 << 20  # bytes of text in a block
-    shard: int = 32 << 20  # bytes of text whose tokens are counted in a shard
-    forest: int = 16 << 20  # bytes of sets in a task that holds trees
+    block: int = 6 << 20  # bytes of text in a block
+    shard: int = 16 << 20  # bytes of text whose tokens are counted in a shard
+    forest: int = 8 << 20  # bytes of sets in a task that holds trees
     leaves: int = 512  # leaves of a part of a tree
     first: int = 4  # trees of a class in the first round
     fanout: int = 8
-    pairs: int = 1 << 14  # node pairs that are compared at once
+    pairs: int = 1 << 13  # node pairs that are compared at once
 
 
 SIZES = Sizes()
