@@ -677,6 +677,63 @@ def test_prefix_counts(spark, docs, none):
 # pipeline
 
 
+def brute_kept(text, rules):
+    """The base rule and the learned rules, from plain counts."""
+    t = text or ""
+    n, chars, symbols, dup, repeat = brute_counts(t)
+    lines, words = t.count("\n") + 1, re.findall(r"[^\x20\x09-\x0D]+", t)
+    over = lambda a, b: a / b if b else 0.0
+    count = lambda p: len(re.findall(p, t))
+    x = [n, over(chars, n), over(symbols, n), over(count("[!?]"), n), over(count("[0-9]"), chars), over(count("[A-Z]"), chars), over(dup, lines), over(repeat, n), over(len(set(words)), n), over(n, lines)]
+    fires = any(all(x[f] > cut if above else x[f] <= cut for f, above, cut in rule) for rule in rules)
+    return n >= 20 and 100 * repeat <= 30 * n and not fires
+
+
+def brute_mix(rows):
+    """(id, number) of each copy: targets by repeated sharing, then one running sum a source."""
+    md5 = lambda t, n: int(hashlib.md5(t.encode()).hexdigest()[:n], 16)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in rows}
+    names = sorted({s for *_, s in rows if s is not None}) + [None] * any(s is None for *_, s in rows)
+    own = {n: sum(size[i] for i, _, s in rows if s == n) for n in names}
+    target, free = {}, list(names)
+    while free:
+        left, weights = sum(own.values()) - sum(target.values()), sum(names.index(n) % 3 + 1 for n in free)
+        over = [n for n in free if left * (names.index(n) % 3 + 1) / weights >= 3 * own[n]]
+        target |= {n: 3.0 * own[n] for n in over} if over else {n: left * (names.index(n) % 3 + 1) / weights for n in free}
+        free = [n for n in free if n in over] and [n for n in free if n not in over]
+    out = []
+    for n in names:
+        key = "1" if n is None else "0" + n
+        bits = lambda s: s.bit_length() if s else 1
+        order = sorted((bits(size[i]) * 8 + (size[i] >> max(bits(size[i]) - 4, 0) & 7), md5(f"mix-1:{i}", 8) % 64, i) for i, _, s in rows if s == n)
+        rate, at = target[n] / own[n] if own[n] else 0.0, md5(f"mix-1:{key}", 5) / 1048576.0
+        for k, (_, _, i) in enumerate(order, 1):
+            out += [(i, c) for c in range(1, int(np.floor(k * rate + at) - np.floor((k - 1) * rate + at)) + 1)]
+    return sorted(out)
+
+
+def test_pipeline_odd_rows(spark, docs, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing names through all stages; then an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(12)
+    body = " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 4000)}" for _ in range(60_000))
+    whole = lambda a, b: " ".join(body.split()[a:b])
+    rows = [
+        (1, None, "en", "s0", 0), (2, "", "en", None, 0), (None, whole(0, 60), "en", "s1", 5), (None, whole(0, 60), "en", "s1", 5), (4, whole(100, 300), None, None, 7), (4, whole(100, 300), None, None, 7),
+        (5, whole(100, 299), "en", "s0", 7), (6, body, "en", "s0", 9), (7, whole(400, 480) + " mail me: a@b.co", "en", "s1", 3),
+    ]
+    for name, start, want in (("odd", spark.createDataFrame(rows, SCHEMA), {None, 4, 6, 7}), ("none", none, set())):
+        kept = clashing(start)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, kept, DATA).write.parquet(str(tmp_path / f"{name}{k}"))
+            kept = spark.read.parquet(str(tmp_path / f"{name}{k}"))
+            assert kept.columns == clashing(start).columns + ["copy_"] * (k == 4) and kept.where("hits = 7 and rules = 7 and __n = 7 and `a.b` = 7 and copy = 7").count() == kept.count()
+            found = [x.doc_id for x in kept.collect()]
+            if k in (1, 2, 3):
+                assert sorted(map(str, found)) == sorted(["None"] * 2 * bool(want) + [str(x) for x in want if x is not None])
+        assert set(found) <= want and (not want or len(found) > 0)
+
+
 def test_pipeline_stages(spark, docs, none, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     kept = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -685,6 +742,11 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
         path = str(tmp_path / name.replace(" ", "_"))
         out.write.parquet(path)
         before, kept = kept, spark.read.parquet(path)
+        if name == "quality rules":
+            rules = quality_rules.fit(before, spark.read.parquet(f"{DATA}/labels.parquet"))
+            assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in before.collect() if brute_kept(r.text, rules)}
+        if name == "mixing sources":
+            assert sorted((r.doc_id, r.copy) for r in kept.collect()) == brute_mix([(r.doc_id, r.text, r.source) for r in before.collect()])
         if name == "n-gram Jaccard join":
             texts = [(r.doc_id, r.text) for r in before.orderBy("doc_id").collect()]
             want = {texts[i][0] for i, (_, root) in enumerate(brute_groups([t for _, t in texts])) if i == root}
