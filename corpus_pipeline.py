@@ -1,6 +1,11 @@
 """From raw documents to a mixed training corpus, in five stages.
 
 Each stage is written as Parquet in the shared folder and read back as the next one's input.
+
+Cases: a null or empty text has no words, fails the base rule and goes in the first stage; a null id is near nothing and
+stays, a null source is a source; of repeated rows one stays; texts of any length are read whole; an empty table passes
+all stages as one, and without labels the base rule alone decides; without a benchmark nothing is contaminated.  Other
+columns, whatever their names, go through all stages as they are; the last one adds ``copy``, or ``copy_`` where that is taken.
 """
 
 from __future__ import annotations
