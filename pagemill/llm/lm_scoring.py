@@ -37,13 +37,15 @@ def words_of(text: bytes | None) -> list[bytes]:
 #: Bytes of text in a block, in a shard of word pairs and in a shard of words: their numbers grow with the input.
 BLOCK_BYTES, PAIR_SHARD_BYTES, WORD_SHARD_BYTES = 16 << 20, 16 << 20, 64 << 20
 ROW = "shard int, block int, body binary"
+#: Tokens of texts that are scored together (or one text).
+TOKENS = 1 << 17
 
 
 class Hashes(dict):
     """63-bit hash of each word met; 0 is left for a text's start."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1) or 1
         return found
@@ -130,6 +132,34 @@ def summed(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(at, counts, size).astype(np.int64)  # exact below 2 ** 53
 
 
+def text_losses(found: Block, texts: slice, at: slice, target: np.ndarray, pairs: np.ndarray, words: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Mean bits a token of some texts under the target and the background, without each text's own counts.
+
+    ``at``: the tokens of the texts; ``pairs``, ``words``, ``totals``: counts of the corpus, in all and in the target.
+    """
+    tokens, lengths = found.tokens[at], found.lengths[texts]
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    after, before = found.after[tokens], found.before[tokens]
+    _, first, of_pair = np.unique(text * len(found.before) + tokens, return_index=True, return_inverse=True)
+    times = np.bincount(of_pair)
+    _, of_after = np.unique(text * len(found.words) + after, return_inverse=True)
+    _, of_before = np.unique(text * len(found.words) + before, return_inverse=True)
+    own_after, own_before = np.bincount(of_after)[of_after], np.bincount(of_before)[of_before]
+    mean = np.zeros((2, len(lengths)))
+    for row, k in enumerate((1, 0)):  # the target, then the background: all less the target
+        n, used, follows = (x[k] if k else x[0] - x[1] for x in (pairs[:2, tokens], words[:2, after], words[2:4, before]))
+        total = totals[2] if k else totals[1] - totals[2]
+        mine = target[text] == bool(k)  # tokens that this model has counted
+        last = mine[first] & (n[first] == times)  # pairs that no other text has
+        own_kinds = np.bincount(of_before[first], last)[of_before] if len(first) else np.zeros(0)
+        left = lambda x, y: x - np.where(mine, y, 0)
+        plain = (left(used, own_after) + 1) / (left(total, lengths[text]) + totals[0] + 2)  # the words, the start and an unknown one
+        kinds = np.maximum(left(words[4 + k, before], own_kinds), 1)
+        bits = -np.log2((left(n, times[of_pair]) + kinds * plain) / (left(follows, own_before) + kinds))
+        mean[row] = np.bincount(text, bits, len(lengths)) / np.maximum(lengths, 1)
+    return mean
+
+
 def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(key, n_tokens, target_bits, background_bits, difference) under models of all words and pairs of ``docs``.
 
@@ -212,28 +242,16 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             words[:, at] = counts
         good = set(filter(None, bodies[-1 - own["block"][0].as_py()].as_py().decode().split("\n")))
         target = np.array([str(x) in good for x in own["id"].to_pylist()], bool)
-        ends, mean = np.cumsum(found.lengths), []
-        text = np.repeat(np.arange(len(found.lengths)), found.lengths)
-        after, before = found.after[found.tokens], found.before[found.tokens]
-        _, first, at = np.unique(text * len(found.before) + found.tokens, return_index=True, return_inverse=True)
-        times = np.bincount(at)
-        _, of_after = np.unique(text * len(found.words) + after, return_inverse=True)
-        _, of_before = np.unique(text * len(found.words) + before, return_inverse=True)
-        for k in (1, 0):  # the target, then the background: all less the target
-            n, *counts = (x[k] if k else x[0] - x[1] for x in (pairs, words[:2], words[2:4], totals[1:]))
-            used, follows, total = counts
-            kinds = words[4 + k]
-            mine = target[text] == bool(k)  # tokens that this model has counted
-            last = mine[first] & (n[found.tokens[first]] == times)  # pairs that no other text has
-            own_kinds = np.bincount(of_before[first], last)[of_before]
-            left = lambda x, y: x - np.where(mine, y, 0)
-            plain = (left(used[after], np.bincount(of_after)[of_after]) + 1) / (left(total, found.lengths[text]) + totals[0] + 2)  # the words, the start and an unknown one
-            kinds = np.maximum(left(kinds[before], own_kinds), 1)
-            bits = -np.log2((left(n[found.tokens], times[at]) + kinds * plain) / (left(follows[before], np.bincount(of_before)[of_before]) + kinds))
-            sums = np.concatenate([[0.0], np.cumsum(bits)])
-            mean.append((sums[ends] - sums[ends - found.lengths]) / np.maximum(found.lengths, 1))
+        mean = np.zeros((2, len(found.lengths)))
+        ends = np.cumsum(found.lengths)
+        first = 0
+        while first < len(ends):  # some texts at a time: what follows is an array of all their tokens, many times
+            start = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, start + TOKENS, "right")))
+            mean[:, first:last] = text_losses(found, slice(first, last), slice(start, int(ends[last - 1])), target[first:last], pairs, words, totals)
+            first = last
         none = found.lengths == 0
-        columns = [pa.array(x, pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1])]
+        columns = [pa.array(x, pa.float64(), mask=none) for x in (mean[0], mean[1], mean[0] - mean[1])]
         return pa.table([own["id"], pa.array(found.lengths), *columns], [key, "n_tokens", "target_bits", "background_bits", "difference"])
 
     pairs = texts.cogroup(good).applyInArrow(ask_pairs, ROW).groupBy("shard").applyInArrow(answer_pairs, ROW)
