@@ -134,12 +134,29 @@ def first(root: Node, *selectors: str) -> Node | None:
 
 
 def absolute(root: Node, base: str) -> None:
+    """Links and images made absolute; an image with a srcset gets its largest candidate as source."""
     for n in root.walk():
+        if n.tag == "img" and n.attrs.get("srcset"):
+            if best := best_source(n.attrs["srcset"]):
+                n.attrs["src"] = best
+                del n.attrs["srcset"]
         for name in ("href", "src"):
             if n.attrs.get(name) and n.tag in ("a", "img"):
                 n.attrs[name] = urljoin(base or "", n.attrs[name])
 
 
+def best_source(srcset: str) -> str | None:
+    """The widest candidate, the first of equals: by ``w``, or a density counted as a thousand, else 0."""
+    best, most = None, -1.0
+    for part in srcset.split(","):
+        url, _, size = part.strip().partition(" ")
+        found = re.fullmatch(r"(?:([0-9]+)w|([0-9.]+)x)", size.strip())
+        width = 0.0 if not found else float(found[1]) if found[1] else float(found[2]) * 1000
+        if url and width > most:
+            best, most = url, width
+    return best
+
+
 def flat(text: str) -> str:
     return re.sub(r"\s+", " ", text).strip()
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from html.entities import name2codepoint
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +14,9 @@ CJK = r"[가-힣一-鿿぀-ゟ゠-ヿ]"
 HANGUL, HAN, KANA = r"[가-힣]", r"[一-鿿]", r"[぀-ゟ゠-ヿ]"
 #: Words that keyword search leaves out.
 STOP_WORDS = (
-    "the be to of and a in that have i it for not on with he as you do at "
-    "는 은 이 가 을 를 에 의 와 과 으로 로 에서 까지 부터 하다 있다 없다 되다 아니다"
-).split()
+    "the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at",
+    "는", "은", "이", "가", "을", "를", "에", "의", "와", "과", "으로", "로", "에서", "까지", "부터", "하다", "있다", "없다", "되다", "아니다",
+)
 
 
 def let(value: Column, body) -> Column:
@@ -33,10 +37,25 @@ def truncate(text: Column, most: int, mark: str = "...") -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
 
 
-def decode_basic_entities(text: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+_ENTITY = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|([A-Za-z0-9]+));")
+
+
+def _character(found: re.Match) -> str:
+    decimal, hexadecimal, name = found.groups()
+    if name:
+        return {"apos": "'"}.get(name) or chr(name2codepoint[name]) if name in name2codepoint or name == "apos" else found[0]
+    code = int(decimal) if decimal else int(hexadecimal, 16)
+    return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else found[0]
+
+
+def _decoded(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _ENTITY.sub(_character, t) for t in texts.to_pylist()], pa.string())
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and numeric character references that end in a semicolon; others stay.  Only texts with ``&`` leave the JVM."""
+    needs = F.when(F.contains(text, F.lit("&")), text)
+    return F.coalesce(F.arrow_udf(_decoded, "string").asNondeterministic()(needs), text)
 
 
 def strip_tags(html: Column, by: str = "") -> Column:
@@ -55,6 +74,25 @@ def reading_minutes(count: Column) -> Column:
     return F.greatest(F.lit(1.0), F.bround(count / 200.0, 1))
 
 
+def reading_minutes_exact(count: Column) -> Column:
+    return F.greatest(F.lit(1.0), count / 200.0)
+
+
+def page_text(html: Column) -> Column:
+    """Text of a page with a space for each tag, white space collapsed, references decoded."""
+    return trim_all(decode_entities(F.regexp_replace(strip_tags(html, " "), r"(?U)\s+", " ")))
+
+
+def visible_share(text: Column) -> Column:
+    """Share of characters that aren't white space; 0 for an empty text."""
+    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, r"(?U)\s", "")) / F.length(text)).otherwise(0.0)
+
+
+def percent(value: Column) -> Column:
+    """A share as whole percent, cut off."""
+    return F.concat((value * 100).cast("int").cast("string"), F.lit("%"))
+
+
 def reading_minutes_whole(count: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(count / 200.0)).cast("long")
 
@@ -68,7 +106,7 @@ def best_title(html: Column) -> Column:
     """h1 inside article or main, then title, then any h1."""
 
     def text(pattern: str) -> Column:
-        return F.nullif(trim_all(decode_basic_entities(strip_tags(F.regexp_extract(html, pattern, 1)))), F.lit(""))
+        return F.nullif(trim_all(decode_entities(strip_tags(F.regexp_extract(html, pattern, 1)))), F.lit(""))
 
     inside = r"(?is)<(?:article|main)[^>]*>(?:(?!</(?:article|main)>).)*?<h1[^>]*>(.*?)</h1>"
     return F.coalesce(text(inside), text(r"(?is)<title[^>]*>(.*?)</title>"), text(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit("Untitled"))
@@ -141,6 +179,11 @@ def token_estimate(text: Column) -> Column:
     return F.when(F.coalesce(trim_all(text), F.lit("")) == "", 0).otherwise(guess).cast("long")
 
 
+def count_tokens(text: Column, counter=None) -> Column:
+    """Tokens by the caller's ``counter``, a column function such as a pandas UDF, else by estimate."""
+    return token_estimate(text) if counter is None else counter(F.coalesce(text, F.lit(""))).cast("long")
+
+
 def best_content(fit: Column, raw: Column, main: Column, text: Column) -> Column:
     return F.coalesce(*[none_if_blank(c) for c in (fit, raw, main, text)])
 
@@ -151,18 +194,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
 
 
+def packed(text: str, size: int) -> list[str]:
+    """Greedy packing of the words between spaces: a chunk closes when the next word would pass ``size``."""
+    out, start, n, at = [], 0, 0, 0
+    if not text.strip():
+        return out
+    for word in text.split(" "):
+        if n and n + len(word) > size:
+            out.append(text[start : at - 1])
+            start, n = at, 0
+        n += len(word) + 1
+        at += len(word) + 1
+    return [*out, text[start:]]
+
+
+def by_text(cut, kind: str = "array<string>"):
+    """A column function from ``cut``, a Python function from a text to a list, in Arrow batches; null gives an empty list."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([cut(t or "") for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def split_by_size(text: Column, size: int) -> Column:
-    """Greedy packing of words: a chunk closes when the next word would pass ``size``."""
-
-    def step(state, word):
-        full = (state["n"] + F.length(word) > size) & (state["n"] > 0)
-        return F.struct(
-            F.when(full, F.concat(state["out"], F.array(F.array_join(state["open"], " ")))).otherwise(state["out"]).alias("out"),
-            F.when(full, F.array(word)).otherwise(F.concat(state["open"], F.array(word))).alias("open"),
-            (F.when(full, 0).otherwise(state["n"]) + F.length(word) + 1).alias("n"),
-        )
-
-    none = F.array().cast("array<string>")
-    zero = F.struct(none.alias("out"), none.alias("open"), F.lit(0).alias("n"))
-    closed = lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["out"], F.array(F.array_join(s["open"], " ")))).otherwise(s["out"])
-    return F.when(F.coalesce(trim_all(text), F.lit("")) != "", F.aggregate(F.split(text, " "), zero, step, closed)).otherwise(none)
+    """``packed`` of a column; one pass over each text."""
+    return by_text(lambda t: packed(t, size))(text)

@@ -1,16 +1,21 @@
 """Chunkers: one row in, chunk rows out.
 
-Each strategy is an array expression over one document, exploded in place: no shuffle.  Rows:
+Each strategy walks a document once in an Arrow batch, and its chunks are exploded in place: no shuffle, time in
+proportion to the text.  Rows:
 source_url, sequence_number, content, chunk_type, heading_path, section_title, strategy, chunk_id.
 Sizes of token strategies are in estimated tokens, four characters each.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
@@ -18,7 +23,6 @@ from pagemill.operators import strategy
 from pagemill.operators.extract import dom_chunks
 
 PIECE = "array<struct<content:string,chunk_type:string,heading_path:array<string>,section_title:string>>"
-NO_PATH = "array<string>"
 
 
 @dataclass(frozen=True)
@@ -48,78 +52,99 @@ class ChunkOptions:
         return self
 
 
-def _plain(contents: Column, kind: str = "Text") -> Column:
-    return F.transform(
-        contents,
-        lambda c: F.struct(c.alias("content"), F.lit(kind).alias("chunk_type"), F.array().cast(NO_PATH).alias("heading_path"), F.lit(None).cast("string").alias("section_title")),
-    )
+Piece = tuple[str, str, list[str], str | None]
+KIND = pa.list_(pa.struct([("content", pa.string()), ("chunk_type", pa.string()), ("heading_path", pa.list_(pa.string())), ("section_title", pa.string())]))
+_TITLE = re.compile(r"^#{1,6}\s+([^\n]+)")
+_HEADING = re.compile(r"^#{1,6}[ \t]+.+$", re.MULTILINE)
+
+
+def _plain(contents: Iterable[str], kind: str = "Text") -> list[Piece]:
+    return [(c, kind, [], None) for c in contents]
 
 
-def fixed_size(text: Column, options: ChunkOptions) -> Column:
+def fixed_size(text: str, options: ChunkOptions) -> list[Piece]:
     """Greedy packing of words; each chunk but the first repeats the end of the one before."""
-    room = 4 * (options.max_tokens - options.overlap)
-    whole = T.split_by_size(text, room)
+    parts = T.packed(text, 4 * (options.max_tokens - options.overlap))
     if not options.overlap:
-        return _plain(whole)
-    tail = lambda prior: F.regexp_extract(F.right(prior, F.lit(4 * options.overlap)), r"(?s)\s(.*)$", 1)
-    joined = lambda parts: F.transform(
-        parts, lambda c, i: F.when(i == 0, c).otherwise(F.ltrim(F.concat_ws(" ", tail(F.get(parts, i - 1)), c)))
-    )
-    return _plain(T.let(whole, joined))
+        return _plain(parts)
+    ends = [re.split(r"\s", p[-4 * options.overlap :], maxsplit=1)[1:] for p in parts]
+    return _plain([*parts[:1], *(" ".join([*end, part]).lstrip(" ") for end, part in zip(ends, parts[1:]))])
 
 
-def paragraphs(text: Column, options: ChunkOptions) -> Column:
+def paragraphs(text: str, options: ChunkOptions) -> list[Piece]:
     """Blank-line paragraphs; small ones join the next, large ones are packed by words."""
-    whole = F.filter(F.transform(F.split(text, r"\n\s*\n"), T.trim_all), lambda p: p != "")
     most, least = 4 * options.max_tokens, 4 * options.min_tokens
+    merged, held, size = [], [], 0
+    for p in filter(None, map(str.strip, re.split(r"\n\s*\n", text))):
+        size += len(p) + 2 * bool(held)
+        held.append(p)
+        if size >= least:
+            merged.append("\n\n".join(held))
+            held, size = [], 0
+    if held:
+        merged.append("\n\n".join(held))
+    return _plain(c for p in merged for c in ([p] if len(p) <= most else T.packed(p, most)))
 
-    def step(state, p):
-        both = F.when(state["held"] == "", p).otherwise(F.concat(state["held"], F.lit("\n\n"), p))
-        small = F.length(both) < least
-        return F.struct(F.when(small, state["out"]).otherwise(F.concat(state["out"], F.array(both))).alias("out"), F.when(small, both).otherwise("").alias("held"))
-
-    zero = F.struct(F.array().cast(NO_PATH).alias("out"), F.lit("").alias("held"))
-    merged = F.aggregate(whole, zero, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
-    return _plain(F.flatten(F.transform(merged, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(T.split_by_size(p, most)))))
-
-
-def is_heading(line: Column) -> Column:
-    return F.startswith(line, F.lit("#")) | F.startswith(line, F.lit("<h")) | (F.length(line).between(1, 99) & ~F.contains(line, F.lit(".")))
-
-
-def smart(text: Column, has_headings: Column, options: ChunkOptions) -> Column:
-    """Sections that begin at each heading line (or blank-line paragraphs); large ones are packed."""
-
-    def step(out, line):
-        fresh = is_heading(T.trim_all(line)) | (F.size(out) == 0)
-        last = F.element_at(out, -1)
-        grown = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat(last, F.lit("\n"), line)))
-        return F.when(fresh, F.concat(out, F.array(line))).otherwise(grown)
-
-    by_heading = F.aggregate(F.split(text, "\n"), F.array().cast(NO_PATH), step)
-    sections = F.when(has_headings, by_heading).otherwise(F.split(text, r"\n\n"))
-    sections = F.filter(F.transform(sections, T.trim_all), lambda s: s != "")
-    title = lambda s: F.nullif(F.regexp_extract(s, r"^#{1,6}\s+([^\n]+)", 1), F.lit(""))
-    most = 4 * options.max_tokens
-    return F.flatten(
-        F.transform(
-            sections,
-            lambda s: F.transform(
-                F.when(F.length(s) <= most, F.array(s)).otherwise(T.split_by_size(s, most)),
-                lambda c: F.struct(
-                    c.alias("content"), F.lit("Section").alias("chunk_type"),
-                    F.when(title(s).isNotNull(), F.array(title(s))).otherwise(F.array().cast(NO_PATH)).alias("heading_path"), title(s).alias("section_title"),
-                ),
-            ),
-        )
-    )
 
+def is_heading(line: str) -> bool:
+    return line.startswith(("#", "<h")) or 0 < len(line) < 100 and "." not in line
 
-def dom_structure(html: Column, options: ChunkOptions) -> Column:
-    kind = pa.list_(pa.struct([("content", pa.string()), ("chunk_type", pa.string()), ("heading_path", pa.list_(pa.string())), ("section_title", pa.string())]))
 
+def smart(text: str, options: ChunkOptions) -> list[Piece]:
+    """Sections that begin at each heading line, or blank-line parts where there is no heading; large ones go to ``paragraphs``."""
+    if _HEADING.search(text):
+        sections: list[list[str]] = []
+        for line in text.split("\n"):
+            if is_heading(line.strip()) or not sections:
+                sections.append([])
+            sections[-1].append(line)
+        whole = ["\n".join(s) for s in sections]
+    else:
+        whole = text.split("\n\n")
+    out = []
+    for section in filter(None, map(str.strip, whole)):
+        title = _TITLE.match(section)
+        path = [title[1]] if title else []
+        parts = [section] if len(section) <= 4 * options.max_tokens else [c for c, *_ in paragraphs(section, options)]
+        out += [(c, "Section", path, title[1] if title else None) for c in parts]
+    return out
+
+
+CUTTERS = {"FixedSize": fixed_size, "MemoryOptimized": fixed_size, "Smart": smart, "Paragraph": paragraphs}
+
+
+def pieces(text: Column, name: Column, options: ChunkOptions) -> Column:
+    """The chunks of a text by the strategy named; each text is walked once."""
+    cutters = dict(CUTTERS)  # with the caller's own, which workers don't know
+
+    def run(texts: pa.Array, names: pa.Array) -> pa.Array:
+        made = (cutters[n](t or "", options) for t, n in zip(texts.to_pylist(), names.to_pylist()))
+        return pa.array([[dict(zip(("content", "chunk_type", "heading_path", "section_title"), c)) for c in cs] for cs in made], KIND)
+
+    return F.arrow_udf(run, PIECE).asNondeterministic()(text, name)
+
+
+def register_chunker(name: str, cut) -> None:
+    """A strategy of the caller's own: ``cut(text, options)`` gives (content, chunk_type, heading_path, section_title) tuples."""
+    CUTTERS[name] = cut
+
+
+def register_table_function(spark: SparkSession, name: str = "chunk_text", options: ChunkOptions = ChunkOptions()) -> None:
+    """An SQL table function ``name(text, strategy)``: (sequence_number, content, chunk_type, heading_path, section_title)."""
+    cutters = dict(CUTTERS)
+
+    class ChunkText:
+        def eval(self, text: str, strategy: str):
+            for k, piece in enumerate(cutters.get(strategy, cutters["Paragraph"])(text or "", options)):
+                yield (k, *piece)
+
+    made = F.udtf(ChunkText, returnType="sequence_number int, content string, chunk_type string, heading_path array<string>, section_title string")
+    spark.udtf.register(name, made)
+
+
+def dom_structure(html: Column, options: ChunkOptions) -> Column:
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([dom_chunks(h, options.min_chars, options.max_chars) for h in pages.to_pylist()], kind)
+        return pa.array([dom_chunks(h, options.min_chars, options.max_chars) for h in pages.to_pylist()], KIND)
 
     return F.arrow_udf(run, PIECE).asNondeterministic()(html)
 
@@ -142,19 +167,23 @@ def chunk(docs: DataFrame, name: str = "Paragraph", options: ChunkOptions = Chun
         raise ValueError("Semantic needs an embedder: use semantic()")
     body = F.coalesce(F.col(text), F.lit("")) if text in docs.columns else None
     if name == "DomStructure":
-        return rows(docs, dom_structure(F.col(html), options), F.lit(name), url)
-    headings = F.size(T.markdown_headings(body)) > 0
-    made = {
-        "FixedSize": lambda: fixed_size(body, options), "MemoryOptimized": lambda: fixed_size(body, options),
-        "Smart": lambda: smart(body, headings, options), "Paragraph": lambda: paragraphs(body, options),
-    }
+        plain = _plain_pieces(F.coalesce(F.col(text), F.lit("")), options) if text in docs.columns else F.array().cast(PIECE)
+        return rows(docs, F.when(T.trim_all(F.coalesce(F.col(html), F.lit(""))) != "", dom_structure(F.col(html), options)).otherwise(plain), F.lit(name), url)
     if name != "Auto":
-        return rows(docs, made.get(name, made["Paragraph"])(), F.lit(name if name in made else "Paragraph"), url)
+        known = F.lit(name if name in CUTTERS else "Paragraph")
+        return rows(docs, pieces(body, known, options), known, url)
     facts = docs.withColumns({"__h": F.size(T.markdown_headings(body)), "__i": F.size(T.markdown_images(body))})
     scored = strategy.scored(facts, text, url, "__h", "__i").withColumn("__best", strategy.best(F.col("scores"))["strategy"])
     chosen = F.when(F.col("__best") == "Semantic", "Paragraph").otherwise(F.col("__best"))  # no embedder here
-    pieces = F.when(chosen == "Smart", made["Smart"]()).when(chosen == "Paragraph", made["Paragraph"]()).otherwise(made["FixedSize"]())
-    return rows(scored, pieces, chosen, url)
+    return rows(scored, pieces(body, chosen, options), chosen, url)
+
+
+def _plain_pieces(text: Column, options: ChunkOptions) -> Column:
+    """Words packed by characters: what is left of a page without markup."""
+    return F.transform(
+        T.split_by_size(text, options.max_chars),
+        lambda c: F.struct(c.alias("content"), F.lit("Text").alias("chunk_type"), F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("string").alias("section_title")),
+    )
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -170,21 +199,37 @@ def semantic(docs: DataFrame, embed, options: ChunkOptions = ChunkOptions(), tex
     sentences = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+"), lambda s: T.trim_all(s) != "")
     seen = docs.select(url, sentences.alias("__s")).withColumn("__e", embed(F.col("__s")))
 
-    def step(out, k):
-        alike = (k > 0) & (cosine(F.get("__e", k - 1), F.get("__e", k)) >= options.threshold)
-        joined = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(out, -1), F.get("__s", k))))
-        return F.when(alike & (F.size(out) > 0), joined).otherwise(F.concat(out, F.array(F.get("__s", k))))
+    def run(texts: pa.Array, vectors: pa.Array) -> pa.Array:
+        made = (_plain(_runs(s or [], v or [], options.threshold)) for s, v in zip(texts.to_pylist(), vectors.to_pylist()))
+        return pa.array([[dict(zip(("content", "chunk_type", "heading_path", "section_title"), c)) for c in cs] for cs in made], KIND)
+
+    return rows(seen, F.arrow_udf(run, PIECE).asNondeterministic()(F.col("__s"), F.col("__e")), F.lit("Semantic"), url)
+
 
-    places = F.when(F.size("__s") > 0, F.sequence(F.lit(0), F.size("__s") - 1)).otherwise(F.array().cast("array<int>"))
-    return rows(seen, _plain(F.aggregate(places, F.array().cast(NO_PATH), step)), F.lit("Semantic"), url)
+def _runs(sentences: list[str], vectors: list[list[float]], threshold: float) -> list[str]:
+    """Neighbours whose cosine is at least the threshold, joined; a vector of zeros is like nothing."""
+    out: list[list[str]] = []
+    for k, sentence in enumerate(sentences):
+        a, b = np.array(vectors[k - 1] if k else []), np.array(vectors[k])
+        size = np.sqrt((a @ a) * (b @ b)) if k else 0.0
+        if size and (a @ b) / size >= threshold:
+            out[-1].append(sentence)
+        else:
+            out.append([sentence])
+    return [" ".join(x) for x in out]
 
 
 def hash_embedder(sentences: Column, size: int = 16) -> Column:
     """A test double: words hashed to ``size`` counts."""
-    return F.transform(
-        sentences,
-        lambda s: F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda k: F.size(F.filter(T.words(F.lower(s)), lambda w: F.pmod(F.xxhash64(w), F.lit(size)) == k)).cast("double"),
-        ),
-    )
+
+    def run(texts: pa.Array) -> pa.Array:
+        made = []
+        for each in texts.to_pylist():
+            rows = np.zeros((len(each or []), size))
+            for row, sentence in zip(rows, each or []):
+                for word in sentence.lower().split():
+                    row[zlib.crc32(word.encode()) % size] += 1
+            made.append(rows.tolist())
+        return pa.array(made, pa.list_(pa.list_(pa.float64())))
+
+    return F.arrow_udf(run, "array<array<double>>").asNondeterministic()(sentences)

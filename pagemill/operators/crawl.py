@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.urls import EXCLUDED_EXTENSIONS, extract_links, normalize, should_crawl
+from pagemill.functions.urls import extract_links, normalize, should_crawl, sitemap_locs
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -17,6 +17,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-crawl-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
@@ -65,7 +67,6 @@ def crawl_order(
         fresh = links.withColumn("key", normalize(F.col("link"))).withColumn("rank", F.row_number().over(first)).where("rank = 1")
         frontier = _written(fresh.join(seen, ["start", "key"], "left_anti").select("start", "key", "parent", "up", "at"))
         seen = seen.union(frontier.select("start", "key"))
-        gc.collect()
     return out
 
 
@@ -119,6 +120,24 @@ def crawl_depth_first(pages: DataFrame, seeds: DataFrame, url: str = "url", html
     return tables.groupBy("start").applyInPandas(walk, "start string, visit long, depth int, url string")
 
 
+def crawl_sitemap(sitemaps: DataFrame, pages: DataFrame, url: str = "url", xml: str = "xml", html: str = "html") -> DataFrame:
+    """The pages that sitemaps list, in their order: (sitemap, place, url, html); html is null where the page isn't known."""
+    listed = sitemaps.select(F.col(url).alias("sitemap"), F.posexplode(sitemap_locs(F.col(xml))).alias("place", "url"))
+    known = pages.select(normalize(F.col(url)).alias("key"), F.col(html).alias("html")).dropDuplicates(["key"])
+    return listed.withColumn("key", normalize(F.col("url"))).join(known, "key", "left").select("sitemap", F.col("place").cast("long").alias("place"), "url", "html")
+
+
+#: The crawls by name; one that needs a browser isn't here.
+CRAWLS = {"BreadthFirst": crawl, "DepthFirst": crawl_depth_first, "Sitemap": crawl_sitemap}
+
+
+def crawler(name: str):
+    """The crawl of a name: its function, or an error that says what there is."""
+    if name not in CRAWLS:
+        raise ValueError(f"no crawl named {name}; there are {', '.join(CRAWLS)}")
+    return CRAWLS[name]
+
+
 def robots_rules(sites: DataFrame, key: str = "host", body: str = "body") -> DataFrame:
     """(key, agent, kind, path, place) rows of robots files; agents in a run share the rules that follow.
 
@@ -164,29 +183,37 @@ def allowed(links: DataFrame, rules: DataFrame, url: str, agent: str = "*") -> D
     return joined.where(hit("allow") | ~hit("disallow")).drop("__host", "allow", "disallow")
 
 
-def retry_schedule(attempts: DataFrame, attempt: str = "attempt", retry_after: str | None = None) -> Column:
-    """Seconds to wait: Retry-After where given (60 if unreadable), else two to the attempt."""
+def retry_schedule(attempts: DataFrame, attempt: str = "attempt", retry_after: str | None = None, now: Column | None = None) -> Column:
+    """Seconds to wait: Retry-After where given, in seconds or as a date after ``now`` (60 if unreadable or past), else two to the attempt."""
     doubled = F.pow(F.lit(2.0), F.col(attempt))
     if retry_after is None:
         return doubled
-    return F.when(F.col(retry_after).isNotNull(), F.greatest(F.lit(0.0), F.coalesce(F.col(retry_after).try_cast("double"), F.lit(60.0)))).otherwise(doubled)
+    given = F.col(retry_after)
+    until = F.try_to_timestamp(F.regexp_replace(given, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    left = until.cast("double") - (F.current_timestamp() if now is None else now).cast("double")
+    wait = F.coalesce(given.try_cast("double"), F.when(left > 0, left), F.lit(60.0))
+    return F.when(given.isNotNull(), F.greatest(F.lit(0.0), wait)).otherwise(doubled)
 
 
 def error_code(status: Column) -> Column:
     return F.when(status == 404, "NotFound").when(status.isin(401, 403, 429), "Blocked").when(status.between(500, 599), "ServerError").otherwise("Unknown")
 
 
-#: What an error of a kind means for a caller.
+#: Category, severity and whether to try again, by the kind of an exception; and those of any other.
 ERRORS = {
-    "Timeout": ("Network", "Warning", True), "Connection": ("Network", "Error", True), "Blocked": ("Http", "Warning", True), "NotFound": ("Http", "Error", False),
-    "ServerError": ("Http", "Error", True), "Parse": ("Content", "Error", False), "Validation": ("Input", "Error", False), "Unknown": ("Unknown", "Error", False),
+    "HttpRequest": ("Network", "Error", True), "Timeout": ("Timeout", "Warning", True), "UnauthorizedAccess": ("Authentication", "Error", False), "Argument": ("Validation", "Warning", False),
+    "InvalidOperation": ("Configuration", "Error", True), "NotSupported": ("NotSupported", "Error", True), "OutOfMemory": ("Resource", "Critical", False),
 }
+OTHER = ("General", "Error", True)
 
 
-def error_facts(code: Column) -> Column:
-    """(category, severity, retryable) of an error code."""
-    table = F.create_map(*[x for k, (c, s, r) in ERRORS.items() for x in (F.lit(k), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(r).alias("retryable")))])
-    return F.coalesce(F.try_element_at(table, code), F.try_element_at(table, F.lit("Unknown")))
+def error_facts(kind: Column) -> Column:
+    """(category, severity, retryable, code) of an exception's name, with or without ``Exception`` at its end."""
+    bare = F.regexp_replace(kind, "Exception", "")
+    facts = lambda c, s, r: F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(r).alias("retryable"))
+    table = F.create_map(*[x for k, v in ERRORS.items() for x in (F.lit(k), facts(*v))])
+    found = F.coalesce(F.try_element_at(table, bare), facts(*OTHER))
+    return F.struct(found["category"].alias("category"), found["severity"].alias("severity"), found["retryable"].alias("retryable"), F.upper(bare).alias("code"))
 
 
 def delays(policy: str, attempt: Column, base: float = 1.0, most: float = 60.0, jitter: float = 0.0, key: Column | None = None) -> Column:

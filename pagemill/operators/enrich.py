@@ -74,3 +74,46 @@ def reconstruct(docs: DataFrame, strategy: str, complete: Complete | None = None
     ratio = F.length("result") / F.nullif(F.length(text), F.lit(0))
     tokens = F.floor((F.length(asked) + F.length("result")) / 4)
     return made.withColumns({"ratio": ratio, "tokens": tokens, "result_quality": quality_of(strategy, ratio)})
+
+
+# Metadata by schema
+
+#: The fields that each schema asks for, its own ones apart.
+SCHEMAS = {
+    "General": (("title", "description", "topics", "keywords", "contentType", "siteStructure", "language", "confidence"), ()),
+    "TechnicalDoc": (("title", "description", "topics", "keywords", "confidence"), ("libraries", "frameworks", "technologies", "apiVersion", "codeLanguages")),
+    "ProductManual": (("title", "description", "confidence"), ("productName", "company", "version", "model", "price", "currency", "categories")),
+    "Article": (("title", "description", "author", "publishedDate", "topics", "keywords", "confidence"), ("tags", "readingTimeMinutes", "articleType")),
+}
+
+
+def schema_prompt(schema: str, text: Column, url: Column, custom: tuple[str, ...] = (), title: Column | None = None) -> Column:
+    """The question to a model: the fields of a schema (``Custom``: the caller's own), the address, a hint and the text."""
+    if schema != "Custom" and schema not in SCHEMAS:
+        raise ValueError(f"no schema named {schema}; there are {', '.join([*SCHEMAS, 'Custom'])}")
+    fields, own = SCHEMAS.get(schema, (("confidence",), custom))
+    listed = "".join(f"- {f}\n" for f in fields) + "".join(f"- schemaSpecificData.{f}\n" for f in own)
+    hint = F.lit("") if title is None else F.coalesce(F.concat(F.lit("Title of the page: "), title, F.lit("\n")), F.lit(""))
+    return F.concat(F.lit(f"Return one JSON object with these fields of the page below:\n{listed}Address: "), url, F.lit("\n"), hint, F.lit("\n"), truncate(F.coalesce(text, F.lit("")), MOST))
+
+
+def with_schema(docs: DataFrame, schema: str, complete: Complete, custom: tuple[str, ...] = (), text: str = "text", url: str = "url") -> DataFrame:
+    """``docs`` (with title and description, null where the page has none) and ``enriched``: the page's values first, the model's for the others.
+
+    ``title_from`` and ``description_from`` say Html or Ai; ``specific`` holds the schema's own fields as texts; a reply that
+    is no JSON leaves the page's values.
+    """
+    reply = complete(schema_prompt(schema, F.col(text), F.col(url), custom, none_if_blank(F.col("title"))))
+    v = F.try_parse_json(none_if_blank(F.regexp_extract(reply, r"(?s)\{.*\}", 0)))
+    get = lambda path, kind="string": F.try_variant_get(v, f"$.{path}", kind)
+    many = lambda path: F.filter(get(path, "array<string>"), lambda x: none_if_blank(x).isNotNull())
+    own = {c: none_if_blank(F.col(c)) for c in ("title", "description")}
+    source = lambda c: F.when(own[c].isNotNull(), "Html").when(get(c).isNotNull(), "Ai").alias(f"{c}_from")
+    return docs.withColumn(
+        "enriched",
+        F.struct(
+            F.coalesce(own["title"], get("title")).alias("title"), source("title"), F.coalesce(own["description"], get("description")).alias("description"), source("description"),
+            get("author").alias("author"), get("language").alias("language"), many("topics").alias("topics"), many("keywords").alias("keywords"), get("contentType").alias("content_type"),
+            get("siteStructure").alias("site_structure"), get("publishedDate").alias("published"), get("schemaSpecificData", "map<string,string>").alias("specific"), get("confidence", "double").alias("confidence"),
+        ),
+    )

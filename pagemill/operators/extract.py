@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import dom
@@ -38,7 +39,9 @@ NOISE_TAGS = ("nav", "footer", "header", "aside", "form")
 GOOD_NAMES = ("content", "article", "body", "post", "text", "entry", "main", "story")
 BAD_NAMES = ("comment", "sidebar", "widget", "menu", "nav", "footer", "header", "ad", "social", "share", "related", "promo", "banner")
 MIN_TEXT, LINK_SHARE, TEXT_SHARE = 25, 0.5, 0.1
-BLOCKS = frozenset([*TAG_WEIGHTS, *NOISE_TAGS]) - {"code"}
+CONTAINERS = (
+    "div", "section", "article", "aside", "nav", "header", "footer", "main", "form", "table", "ul", "ol", "dl", "figure", "details", "fieldset", "address",
+)
 CONTENT = ("article", "main", "[role='main']", ".content", "#content", ".post-content", ".entry-content", ".article-content")
 EXCLUDED = (
     "nav", "footer", "header", "aside", ".sidebar", ".advertisement", ".ads", ".social-share", ".related-posts", ".comments", "#comments",
@@ -58,34 +61,82 @@ def clean(root: Node, base: str, main_only: bool = True, keep: tuple[str, ...] =
     return dom.first(root, "body") or root
 
 
-def density(node: Node) -> float:
+class Measure(NamedTuple):
+    """What an element holds: characters and white space at either end of its text, link text, markup, whether there are images."""
+
+    size: int = 0
+    lead: int = 0
+    trail: int = 0
+    links: int = 0
+    markup: int = 0
+    images: bool = False
+
+    @property
+    def trimmed(self) -> int:
+        return max(self.size - self.lead - self.trail, 0)
+
+    def then(self, other: Measure) -> Measure:
+        return Measure(
+            self.size + other.size,
+            self.lead + other.lead if self.lead == self.size else self.lead,
+            self.trail + other.trail if other.trail == other.size else other.trail,
+            self.links + other.links, self.markup + other.markup, self.images or other.images,
+        )
+
+
+def _of_text(text: str) -> Measure:
+    n = len(text)
+    return Measure(n, n - len(text.lstrip()), n - len(text.rstrip()), 0, len(text))
+
+
+def measures(root: Node) -> dict[int, Measure]:
+    """The measure of every element by its identity: one pass from the leaves up."""
+    found: dict[int, Measure] = {}
+    for node in reversed(list(root.walk())):  # children come after their parents in document order
+        inside = Measure()
+        for child in node.children:
+            if isinstance(child, str):
+                inside = inside.then(_of_text(child))
+                continue
+            own = found[id(child)]
+            tags = len(child.tag) + 2 + sum(len(k) + len(v) + 4 for k, v in child.attrs.items()) + (0 if child.tag in dom.VOID else len(child.tag) + 3)
+            inside = inside.then(own._replace(
+                links=own.links + (own.trimmed if child.tag == "a" else 0), markup=own.markup + tags, images=own.images or child.tag in ("img", "figure"),
+            ))
+        found[id(node)] = inside
+    return found
+
+
+def density(node: Node, m: Measure) -> float:
     """Content score of an element: positive for content, negative for boilerplate."""
-    size = len(node.text().strip())
-    if not size:
+    if not m.trimmed:
         return 0.0
-    below = [n for n in node.walk() if n is not node]
-    if size < MIN_TEXT and any(n.tag in ("img", "figure") for n in below):
+    short = MIN_TEXT if node.tag not in ("ul", "ol") else max(MIN_TEXT // 3, 8)
+    link_share, text_share = m.links / m.trimmed, m.trimmed / max(m.markup, 1)
+    if m.images and m.trimmed < MIN_TEXT:
         return 0.5
-    links = sum(len(n.text().strip()) for n in below if n.tag == "a") / size
-    share = size / max(node.html_length(), 1)
-    least = max(MIN_TEXT // 3, 8) if node.tag in ("ul", "ol") else MIN_TEXT
-    if size < least and links > LINK_SHARE:
+    if link_share > LINK_SHARE and m.trimmed < short:
         return -1.0
-    if links > 0.8:
+    if link_share > 0.8:
         return -0.5
-    if share < TEXT_SHARE and size < least:
+    if text_share < TEXT_SHARE and m.trimmed < short:
         return -0.3
     names = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower()
     held = lambda words: sum(bool(re.search(rf"(?:^|[ _-]){w}(?:[ _-]|$)", names)) for w in words)
     weight = 0.3 if node.tag in NOISE_TAGS else TAG_WEIGHTS.get(node.tag, 0.8)
-    return share * weight + 0.2 * held(GOOD_NAMES) - 0.3 * held(BAD_NAMES)
+    return text_share * weight + 0.2 * held(GOOD_NAMES) - 0.3 * held(BAD_NAMES)
+
+
+def scored(root: Node) -> list[tuple[Node, float]]:
+    """The containers of a tree in document order, each with its score."""
+    found = measures(root)
+    return [(n, density(n, found[id(n)])) for n in root.walk() if n.tag in CONTAINERS and n.parent]
 
 
 def dense(root: Node) -> Node:
-    """Drop block elements of negative score, the deepest first."""
-    blocks = [n for n in root.walk() if n.tag in BLOCKS and n.parent]
-    for node in reversed(blocks):  # children come after their parents in document order
-        if density(node) < 0:
+    """Drop the containers of negative score; all are scored before any goes."""
+    for node, score in reversed(scored(root)):
+        if score < 0:
             node.remove()
     return root
 
@@ -97,6 +148,12 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", main_o
     """``pages`` with title, Markdown before and after the density filter, text, headings, images and counts."""
 
     def one(page: str | None, address: str | None) -> tuple:
+        try:
+            return both(page, address)
+        except (ValueError, RecursionError):  # an address or a nesting that can't be read: the plain text remains
+            return None, None
+
+    def both(page: str | None, address: str | None) -> tuple:
         root = dom.parse(page)
         body = clean(root, address, main_only)
         raw = dom.markdown(body)
@@ -107,7 +164,8 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", main_o
         return pa.array([{"raw": r, "fit": f} for r, f in rows], pa.struct([("raw", pa.string()), ("fit", pa.string())]))
 
     made = pages.withColumn("__md", F.arrow_udf(convert, "raw string, fit string").asNondeterministic()(F.col(html), F.col(url)))
-    text = F.coalesce(T.normalize_markdown(T.best_content(F.col("fit_markdown"), F.col("raw_markdown"), F.lit(None), F.lit(None))), F.lit(""))
+    plain = F.when(F.col("raw_markdown").isNull(), T.trim_all(T.decode_entities(T.strip_tags(F.coalesce(F.col(html), F.lit(""))))))
+    text = F.coalesce(T.normalize_markdown(T.best_content(F.col("fit_markdown"), F.col("raw_markdown"), plain, F.lit(None))), F.lit(""))
     out = made.select("*", T.best_title(F.coalesce(F.col(html), F.lit(""))).alias("title"), F.col("__md.raw").alias("raw_markdown"), F.col("__md.fit").alias("fit_markdown")).drop("__md")
     out = out.withColumn("text", text)
     return out.withColumns(
@@ -122,18 +180,37 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", main_o
 
 
 def density_scores(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, place, tag, score) of every block element."""
+    """(key, place, tag, score) of every container."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, n.tag, density(n)) for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, n in enumerate(n for n in dom.parse(h).walk() if n.tag in BLOCKS)]
+            rows = [(k, i, n.tag, score) for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, (n, score) in enumerate(scored(dom.parse(h)))]
             columns = list(zip(*rows)) or [(), (), (), ()]
             yield pa.record_batch([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.float64())], [key, "place", "tag", "score"])
 
     return pages.select(key, html).mapInArrow(run, f"`{key}` {kind}, place int, tag string, score double")
 
 
+def faq(html: Column) -> Column:
+    """(question, answer) of each block for questions: its first heading, and its first part marked as an answer."""
+
+    def pairs(page: str | None) -> list[dict]:
+        out = []
+        for block in dom.select(dom.parse(page), ("div[class*='faq']", "div[class*='question']")):
+            below = [n for n in block.walk() if n is not block]
+            asked = next((n for n in below if n.tag in ("h3", "h4") or "question" in n.attrs.get("class", "")), None)
+            said = next((n for n in below if any(w in n.attrs.get("class", "") for w in ("answer", "response"))), None)
+            if asked and said and asked.text().strip() and said.text().strip():
+                out.append({"question": asked.text().strip(), "answer": said.text().strip()})
+        return out
+
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([pairs(h) for h in pages.to_pylist()], pa.list_(pa.struct([("question", pa.string()), ("answer", pa.string())])))
+
+    return F.arrow_udf(run, "array<struct<question:string,answer:string>>").asNondeterministic()(html)
+
+
 def dom_chunks(html: str | None, least: int = 100, most: int = 1500) -> list[dict]:
     """Chunks of a page by its structure: text, code, tables and lists, with the path of headings."""
     root = dom.parse(html)
@@ -160,7 +237,7 @@ def dom_chunks(html: str | None, least: int = 100, most: int = 1500) -> list[dic
         for child in node.children:
             if isinstance(child, str):
                 if child.strip():
-                    found.append(chunk("Text", dom.flat(child)))
+                    found.append(chunk("Text", child.strip()))
             elif re.fullmatch("h[1-6]", child.tag):
                 del path[int(child.tag[1]) - 1 :]
                 path.append(dom.flat(child.text()))

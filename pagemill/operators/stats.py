@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import STOP_WORDS
+
+_STOP = frozenset(STOP_WORDS)
+
 
 def _share(n: Column, d: Column) -> Column:
     return F.when(d > 0, n / d).otherwise(0.0)
@@ -27,7 +35,7 @@ def count_by(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def as_map(counted: DataFrame, key: str, value: str = "n") -> DataFrame:
-    """One row with a map; for few distinct keys."""
+    """One row with a map; for keys of a fixed kind (status codes, severities), not for keys that grow with the data."""
     return counted.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("map"))
 
 
@@ -84,15 +92,22 @@ def rate_limit_replay(requests: DataFrame, domain: str, order: str, arrival: str
     return shifted.withColumn("start_ms", head + F.col("__b")).withColumn("end_ms", F.col("start_ms") + F.col(duration)).drop("__b")
 
 
+_WORD = re.compile(r"\w+")
+
+
+def _top_words(text: str, most: int) -> list[tuple[str, int]]:
+    counts = Counter(w for w in _WORD.findall(text.lower()) if len(w) > 2 and w not in _STOP)
+    return sorted(counts.items(), key=lambda x: -x[1])[:most]  # a Counter keeps the order of first appearance, and sorting is stable
+
+
 def keywords(docs: DataFrame, key: str, text: str = "text", most: int = 10) -> DataFrame:
-    """(key, rank, word, n): the most frequent words of over two letters, ties by first appearance."""
-    from pagemill.functions.text import STOP_WORDS
+    """(key, rank, word, n): the most frequent words of over two letters, ties by first appearance; counted inside the row."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"word": w, "n": n} for w, n in _top_words(t or "", most)] for t in texts.to_pylist()], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
 
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    words = docs.select(key, F.posexplode(found).alias("at", "word")).where((F.length("word") > 2) & ~F.col("word").isin(*STOP_WORDS))
-    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at"))
-    return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select(key, "rank", "word", "n")
+    top = F.arrow_udf(run, "array<struct<word:string,n:long>>").asNondeterministic()(F.col(text))
+    return docs.select(key, F.posexplode(top).alias("at", "w")).select(key, (F.col("at") + 1).cast("long").alias("rank"), "w.word", "w.n")
 
 
 def filled(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -110,3 +125,73 @@ def link_degrees(links: DataFrame, source: str, target: str) -> DataFrame:
     out = links.select(F.col(source).alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
     into = links.select(F.col(target).alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
     return out.union(into).groupBy("node").agg(F.sum("o").alias("out_links"), F.sum("i").alias("in_links"))
+
+
+# Statistics of crawls, retries, limits, scores and issues
+
+
+def crawl_statistics(requests: DataFrame, domain: str = "domain", status: str = "status", ms: str = "ms", size: str = "bytes", at: str = "at") -> DataFrame:
+    """One row: pages, failures, mean time, bytes, requests a second between the first and the last."""
+    n, ok = F.count(F.lit(1)), F.col(status).between(200, 299)
+    seconds = (F.max(F.col(at).cast("double")) - F.min(F.col(at).cast("double")))
+    return requests.agg(
+        n.alias("total"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"), F.avg(ms).alias("mean_ms"), F.sum(size).alias("bytes"),
+        F.count_distinct(domain).alias("domains"), _share(n, seconds).alias("per_second"),
+    )
+
+
+def resilience_statistics(events: DataFrame, kind: str = "kind", ms: str = "ms") -> DataFrame:
+    """One row: events in all and of each kind, and their mean time."""
+    names = {"Success": "succeeded", "Failure": "failed", "Retry": "retries", "CircuitBreakerOpened": "breaker_openings", "Timeout": "timeouts", "BulkheadRejected": "rejections"}
+    return events.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(kind) == k).alias(n) for k, n in names.items()], F.coalesce(F.avg(ms), F.lit(0.0)).alias("mean_ms"))
+
+
+def limiter_statistics(waits: DataFrame, domain: str = "domain", wait_ms: str = "wait_ms") -> DataFrame:
+    """(domain, requests, delayed, wait_ms, mean_wait_ms) of a rate limiter."""
+    return waits.groupBy(domain).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col(wait_ms) > 0).alias("delayed"), F.sum(wait_ms).alias("wait_ms"), F.avg(wait_ms).alias("mean_wait_ms")
+    )
+
+
+def sum_by_category(scores: DataFrame, category: str = "category", value: str = "score") -> DataFrame:
+    return scores.groupBy(category).agg(F.sum(value).alias("score"), F.count(F.lit(1)).alias("parts"))
+
+
+def issue_counts(issues: DataFrame, severity: str = "severity") -> DataFrame:
+    """One row: issues in all and of each severity."""
+    names = ("Critical", "Error", "Warning", "Info")
+    return issues.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(severity) == n).alias(n.lower()) for n in names])
+
+
+def older_than(rows: DataFrame, at: str, now: Column, hours: float) -> DataFrame:
+    return rows.where(F.col(at) < now - F.make_dt_interval(secs=F.lit(hours * 3600)))
+
+
+def within_hours(at: Column, start: str, end: str) -> Column:
+    """Whether the time of day lies between two ``HH:mm:ss`` times, both included."""
+    time = F.date_format(at, "HH:mm:ss")
+    return (time >= start) & (time <= end)
+
+
+def score_summary(scores: DataFrame, key: str, category: str = "category", value: str = "score") -> DataFrame:
+    """(key, total, summary): the sum of each category as text, categories in order of name; ``1.00 (a: 0.40, b: 0.60)``."""
+    by = scores.groupBy(key, category).agg(F.sum(value).alias("sum"))
+    fixed = lambda c: F.format_string("%.2f", c)
+    parts = F.array_sort(F.collect_list(F.concat(F.col(category), F.lit(": "), fixed(F.col("sum")))))  # a part for each category
+    made = by.groupBy(key).agg(F.sum("sum").alias("total"), F.array_join(parts, ", ").alias("parts"))
+    return made.select(key, "total", F.concat(F.lit("Total: "), fixed(F.col("total")), F.lit(" ("), F.col("parts"), F.lit(")")).alias("summary"))
+
+
+def with_next(rows: DataFrame, key: str, value: str, into: str, block: int = 1 << 16) -> DataFrame:
+    """``rows`` with the ``value`` of the next larger ``key`` (a number), null at the end.
+
+    Keys are cut into blocks of ``block`` consecutive numbers; a row's next one is in its block, or the first of the next
+    block that has any: only one row a block is ordered in one place.
+    """
+    cut = rows.withColumn("__block", F.floor(F.col(key) / block))
+    inside = F.lead(value).over(Window.partitionBy("__block").orderBy(key))
+    last = F.lead(key).over(Window.partitionBy("__block").orderBy(key)).isNull()
+    firsts = cut.groupBy("__block").agg(F.min_by(F.struct(F.col(value).alias("v")), key).alias("first"))
+    after = firsts.withColumn("after", F.lead("first").over(Window.orderBy("__block"))).select("__block", "after")
+    joined = cut.withColumns({"__inside": inside, "__last": last}).join(after, "__block")
+    return joined.select(*rows.columns, F.when(F.col("__last"), F.col("after.v")).otherwise(F.col("__inside")).alias(into))

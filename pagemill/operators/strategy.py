@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,22 @@ RECOMMEND_TECHNICAL = ("class ", "function ", "method ", "api ", "```", "code",
 RICH_SITES = ("github.com", "stackoverflow.com", "medium.com", "dev.to", "docs.", "api.", "learn.", "guide.", "manual.")
 
 
+def _any_of(words: tuple[str, ...]) -> str:
+    """A pattern that finds each word where it stands, inside or beside others too; longer ones come first."""
+    return "|".join(re.escape(w).replace(r"\ ", " ") for w in sorted(words, key=len, reverse=True))
+
+
 def _has(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    return text.rlike(_any_of(words))
 
 
 def _count(text: Column, words: tuple[str, ...]) -> Column:
-    return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+    """How many of the words occur, in one pass: a lookahead, so that a word inside another one counts too."""
+    nested = [w for w in words if any(w != v and w in v for v in words)]
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_any_of(words)}))"), F.lit(1)))
+    inside = F.array(*[F.lit(w) for w in nested]) if nested else F.array().cast("array<string>")
+    held = F.filter(inside, lambda w: F.exists(found, lambda f: F.contains(f, w)))
+    return F.size(F.array_union(found, held))
 
 
 def analysis(text: Column, url: Column, headings: Column, images: Column) -> dict[str, Column]:
@@ -127,3 +136,23 @@ def chunk_quality(chunks: DataFrame, key: str, order: str, content: str) -> Data
         key, "chunks", size.alias("size_consistency"), cohesion.alias("cohesion"),
         (0.3 * F.coalesce(size, F.lit(0.0)) + 0.4 * cohesion + 0.2 * F.coalesce(structure, F.lit(0.0)) + 0.1 * 0.8).alias("quality"),
     )
+
+
+def content_metrics(text: Column, headings: Column) -> dict[str, Column]:
+    """Share of visible characters, heading density, similarity of neighbouring sentences, and ease of reading."""
+    from pagemill.functions.text import jaccard, trim_all, visible_share, words
+
+    body = F.coalesce(text, F.lit(""))
+    blank = trim_all(body) == ""
+    sentences = F.filter(F.split(body, "[.!?]"), lambda s: s != "")
+    parts = F.transform(sentences, lambda s: F.filter(F.split(F.lower(s), r"[ \t\n]+"), lambda w: w != ""))
+    pairs = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), jaccard)
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x) / F.size(xs)
+    tokens = words(body)
+    load = F.size(tokens) / F.nullif(F.size(sentences), F.lit(0)) * 0.1 + mean(F.transform(tokens, lambda w: F.length(w).cast("double"))) * 0.2
+    return {
+        "text_density": F.when(blank, 0.0).otherwise(visible_share(body)),
+        "structural_consistency": F.when(F.length(body) == 0, 0.0).when(headings == 0, 0.5).otherwise(F.least(F.lit(1.0), headings / (F.length(body) / 1000.0) * 0.1)),
+        "semantic_cohesion": F.when(F.size(sentences) < 2, 1.0).otherwise(mean(pairs)),
+        "readability": F.when(blank | (F.size(sentences) == 0) | (F.size(tokens) == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - load / 20.0)),
+    }
