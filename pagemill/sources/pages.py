@@ -18,17 +18,94 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumn("content_type", kind)
 
 
+def extractor_for(content_type: Column) -> Column:
+    """The extractor of a content type by what it contains: Html, Json, Xml, Markdown, Text or Default."""
+    kind = F.lower(T.trim_all(F.coalesce(content_type, F.lit(""))))
+    has = lambda *words: kind.rlike("|".join(words))
+    return F.when(has("html"), "Html").when(has("json"), "Json").when(has("xml"), "Xml").when(has("markdown", "md"), "Markdown").when(has("text/plain"), "Text").otherwise("Default")
+
+
+def exact_extractor(content_type: Column) -> Column:
+    """The extractor by the whole name, as the basic extractor chooses."""
+    table = {"text/html": "Html", "application/xhtml+xml": "Html", "text/markdown": "Markdown", "application/json": "Json", "application/xml": "Xml", "text/xml": "Xml"}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.lower(content_type)), F.lit("Text"))
+
+
 def basic_text(content: Column, content_type: Column) -> Column:
     """Plain text by content type: tags stripped from HTML, JSON written anew, others as they are."""
-    kind = F.lower(F.coalesce(content_type, F.lit("text/html")))
-    html = T.trim_all(T.decode_basic_entities(T.strip_tags(content)))
+    kind = extractor_for(F.coalesce(content_type, F.lit("text/html")))
+    html = T.trim_all(T.decode_entities(T.strip_tags(content)))
     json = F.coalesce(F.to_json(F.try_parse_json(content)), content)
-    return F.when(F.contains(kind, F.lit("html")), html).when(F.contains(kind, F.lit("json")), json).otherwise(content)
+    return F.when(kind == "Html", html).when(kind == "Json", json).otherwise(content)
+
+
+def basic_title(content: Column, content_type: Column) -> Column:
+    """The page's title, or the fixed one of its kind."""
+    kind = extractor_for(F.coalesce(content_type, F.lit("text/html")))
+    fixed = {"Json": "JSON Content", "Xml": "XML Content", "Markdown": "Markdown Content", "Text": "Text Content", "Default": "Text Content"}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair]), kind), T.title_of(content))
+
+
+#: Extractors of the caller's own, by name: column functions from content to text.
+EXTRACTORS: dict = {}
+
+
+def register_extractor(name: str, extract) -> None:
+    """``extract(content)`` is used where ``extractor_for`` gives ``name``; a pandas or Arrow UDF will do."""
+    EXTRACTORS[name] = extract
+
+
+def extracted_text(content: Column, content_type: Column) -> Column:
+    """``basic_text``, or the caller's extractor for the kind."""
+    kind, chain = extractor_for(content_type), basic_text(content, content_type)
+    for name, extract in EXTRACTORS.items():
+        chain = F.when(kind == name, extract(content)).otherwise(chain)
+    return chain
+
+
+def attempts(max_retries: int) -> Column:
+    """(attempt, wait): the tries of one fetch, and the seconds before each: 0, then 1, 2, 4, ..."""
+    return F.transform(F.sequence(F.lit(0), F.lit(max_retries)), lambda k: F.struct(k.alias("attempt"), F.when(k == 0, 0.0).otherwise(F.pow(F.lit(2.0), k - 1)).alias("wait")))
+
+
+def fetch_with_retries(urls: DataFrame, replies: DataFrame, url: str = "url", max_retries: int = 3) -> DataFrame:
+    """Each wanted URL with the reply that ended its tries: (url, attempts, waited, status, content_type, content, error_code).
+
+    ``replies`` (url, attempt, status, content_type, content) holds what each try got, from a log or a connector; a try
+    without a row had no reply.  The first success ends the tries, else the last one counts.
+    """
+    tries = urls.select(F.col(url).alias("url"), F.explode(attempts(max_retries)).alias("t")).select("url", "t.attempt", "t.wait")
+    got = tries.join(replies, ["url", "attempt"], "left").withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
+    last = F.struct((~F.col("ok")).alias("failed"), F.when(F.col("ok"), F.col("attempt")).otherwise(-F.col("attempt")).alias("place"), "attempt", "status", "content_type", "content")
+    best = got.groupBy("url").agg(F.min(last).alias("r"))
+    made = best.select("url", (F.col("r.attempt") + 1).alias("attempts"), (F.pow(F.lit(2.0), F.col("r.attempt")) - 1).alias("waited"), "r.status", "r.content_type", "r.content", ~F.col("r.failed"))
+    return made.toDF("url", "attempts", "waited", "status", "content_type", "content", "ok").withColumn(
+        "error_code",
+        F.when(F.col("ok") & (T.trim_all(F.coalesce("content", F.lit(""))) == ""), "EmptyContent").when(F.col("ok"), None).when(F.col("status").isNull(), "NetworkError").otherwise(error_code(F.col("status"))),
+    ).drop("ok")
+
+
+def extract_results(replies: DataFrame, output: str = "Markdown", max_length: int | None = None, images: bool = True, metadata: bool = True) -> DataFrame:
+    """A row for each reply, failures too: (url, title, text, images, metadata, error_code); the row of a failure has no text.
+
+    ``output``: Markdown as extracted, Html as it came, or PlainText without marks.
+    """
+    content, kind = F.coalesce("content", F.lit("")), F.col("content_type")
+    text = {"Markdown": extracted_text(content, kind), "Html": content, "PlainText": T.trim_all(T.plain_text(extracted_text(content, kind)))}[output]
+    text = F.left(text, F.lit(max_length)) if max_length is not None else text
+    ok = F.col("error_code").isNull()
+    pictures = F.array_distinct(F.regexp_extract_all(content, F.lit(r"(?i)<img[^>]*\bsrc\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1)))
+    return replies.select(
+        "url", F.when(ok, basic_title(content, kind)).alias("title"), F.when(ok, text).alias("text"),
+        F.when(ok & F.lit(images), pictures).otherwise(F.array().cast("array<string>")).alias("images"),
+        F.when(ok & F.lit(metadata), F.struct(kind.alias("content_type"), F.length(content).alias("characters"))).alias("metadata"), "error_code",
+    )
 
 
 def fetch(urls: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Each wanted URL with its page, or an error row: a left join on the normalized URL."""
-    stored = pages.select(normalize(F.col("url")).alias("__key"), F.col("html"), F.lit(200).alias("status")).dropDuplicates(["__key"])
+    """Each wanted URL with its page, or an error row: a left join on the normalized URL; of several pages the first by URL."""
+    stored = pages.groupBy(normalize(F.col("url")).alias("__key")).agg(F.min(F.struct("url", "html")).alias("p"))
+    stored = stored.select("__key", "p.html", F.lit(200).alias("status"))
     joined = urls.withColumn("__key", normalize(F.col(url))).join(stored, "__key", "left").drop("__key")
     status = F.coalesce("status", F.lit(404))
     return joined.withColumn("status", status).withColumn("error_code", F.when(status != 200, error_code(status)))
