@@ -43,6 +43,8 @@ CUTS = (
     rf"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+",
     rf"{SPACE_MARK}*[{WORD}]+|{SPACE_MARK}*[^{WORD}{SPACE_MARK}]+|{SPACE_MARK}+",
 )
+#: Texts that a model with a normaliser, user-defined pieces or another space mark counts otherwise.
+PROBES = ("\uff21\ufb01\u00bd \u2460", "a  b   c", " lead and trail ", "e\u0301 \u00e9", "x\ty\nz", "<s> </s> <unk>", "")
 #: Characters of texts that are counted together.
 CHUNK = 2_000_000
 
@@ -84,6 +86,8 @@ class PrefixCounter:
         self.longest = max(map(len, self.score))
         self.joins: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, bytes] = {}
+        if any(found.total() != len(model.encode(t)) for t, found in zip(PROBES, self.prefixes(list(PROBES)))):
+            raise ValueError("this model changes texts before it cuts them, or isn't a BPE of plain pieces")
 
     def encode(self, chars: str) -> list[str]:
         """BPE of a short string: the best-scored merge first, leftmost among equals."""
@@ -122,6 +126,8 @@ class PrefixCounter:
                 elif end - start == 1:  # bytes: joins nothing
                     counts.append(counts[start] + len(token.encode()))
                     break
+            else:
+                raise ValueError(f"no token of the vocabulary ends {piece[:end]!r}")
             last.append(token)
 
     def piece_counts(self, piece: str) -> list[int]:

@@ -652,6 +652,21 @@ def test_mix_comes_near(spark):
 # 10
 
 
+def test_other_models_are_refused(monkeypatch):
+    """A model that folds or drops characters first, and a vocabulary that can't end a prefix."""
+    import sentencepiece
+
+    plain = sentencepiece.SentencePieceProcessor.encode
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "encode", lambda self, t: plain(self, t.replace("  ", " ")))
+    with pytest.raises(ValueError, match="changes texts"):
+        token_counts.PrefixCounter(token_counts.default_model())
+    monkeypatch.undo()
+    count = token_counts.PrefixCounter(token_counts.default_model())
+    count.apart = lambda left, right: False
+    with pytest.raises(ValueError, match="no token"):
+        count.piece_counts("\u2581the")
+
+
 def test_prefix_counts(spark, docs, none):
     import sentencepiece
 
