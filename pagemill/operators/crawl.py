@@ -27,9 +27,9 @@ def _written(df: DataFrame) -> DataFrame:
 
 
 def _linked(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(key, url, links) of each page once, written: what the levels of a crawl join."""
-    known = pages.select(normalize(F.col(url)).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).dropDuplicates(["key"])
-    return _written(known.select("key", "url", extract_links(F.col("html"), F.col("url")).alias("links")))
+    """(key, url, links) of each page once, of several with one key the first by URL; written: what the levels of a crawl join."""
+    linked = pages.select(normalize(F.col(url)).alias("key"), F.col(url).alias("url"), extract_links(F.col(html), F.col(url)).alias("links"))
+    return _written(linked.groupBy("key").agg(F.min(F.struct("url", "links")).alias("p")).select("key", "p.url", "p.links"))
 
 
 def crawl_order(
@@ -76,7 +76,7 @@ def crawl(
 ) -> DataFrame:
     """``crawl_order`` with the pages: (start, depth, place, url, html, parent)."""
     order = crawl_order(pages, seeds, url, html, max_depth, max_pages, include, exclude, robots, agent)
-    texts = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).dropDuplicates(["url"])
+    texts = pages.groupBy(F.col(url).alias("url")).agg(F.min(html).alias("html"))
     return order.join(texts, "url").select("start", "depth", "place", "url", "html", "parent")
 
 
@@ -123,7 +123,7 @@ def crawl_depth_first(pages: DataFrame, seeds: DataFrame, url: str = "url", html
 def crawl_sitemap(sitemaps: DataFrame, pages: DataFrame, url: str = "url", xml: str = "xml", html: str = "html") -> DataFrame:
     """The pages that sitemaps list, in their order: (sitemap, place, url, html); html is null where the page isn't known."""
     listed = sitemaps.select(F.col(url).alias("sitemap"), F.posexplode(sitemap_locs(F.col(xml))).alias("place", "url"))
-    known = pages.select(normalize(F.col(url)).alias("key"), F.col(html).alias("html")).dropDuplicates(["key"])
+    known = pages.groupBy(normalize(F.col(url)).alias("key")).agg(F.min(F.struct(F.col(url), F.col(html).alias("html"))).alias("p")).select("key", "p.html")
     return listed.withColumn("key", normalize(F.col("url"))).join(known, "key", "left").select("sitemap", F.col("place").cast("long").alias("place"), "url", "html")
 
 

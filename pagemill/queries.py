@@ -658,7 +658,16 @@ def markdown_structure(docs):
     return docs.select("doc_id", *[v.alias(k) for k, v in structure.elements(F.col("text")).items()])
 
 
-@query("pages")
+_SAME_HOST = f"lower(regexp_extract(link, {_ABS}, 2)) = {_HOST.replace('url', 'start')} AND lower(regexp_extract(regexp_extract(link, {_ABS}, 4), '\\.[^./]+$')) NOT IN ({', '.join(f"'{e}'" for e in _EXTENSIONS)})"
+
+
+@query("pages", "WITH RECURSIVE " + _LINKS.replace("\nWITH r AS", "r AS", 1) + f""",
+   k AS (SELECT {_NORM.format('url')} AS key, min(url) AS url FROM pages GROUP BY 1),
+   e AS (SELECT DISTINCT {_NORM.format('url')} AS source, url AS page, link, {_NORM.format('link')} AS key FROM a WHERE regexp_matches(link, '(?i)^https?://')),
+   c AS (SELECT url AS start, {_NORM.format('url')} AS key, 0 AS depth FROM pages
+     UNION SELECT start, e.key, depth + 1 FROM c JOIN k ON k.key = c.key JOIN e ON e.source = c.key AND e.page = k.url WHERE depth < 3 AND {_SAME_HOST})
+   SELECT start, min(depth) AS depth, k.url, (SELECT count(*) FROM pages p WHERE p.url = start)::BIGINT AS copies FROM c JOIN k USING (key) GROUP BY start, key, k.url""")
 def crawl_site(pages):
     """Breadth-first crawl from every page, to the default depth and with no cap: level 0 is the table itself."""
-    return crawl.crawl_order(pages, pages.select("url")).select("start", "depth", "place", "url")
+    order = crawl.crawl_order(pages, pages.select("url"))
+    return order.groupBy("start", "url").agg(F.min("depth").alias("depth"), F.count(F.lit(1)).alias("copies")).select("start", "depth", "url", "copies")
