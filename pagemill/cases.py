@@ -677,9 +677,9 @@ def case_site_quality(rows):
     (1, 0.764706, 0.5, 0.166667, 0.965667), (2, 0.0, 0.0, 1.0, 0.0), (3, 1.0, 0.5, 1.0, 0.0), (4, 0.857143, 1.0, 1.0, 0.96),
 ])
 def case_content_metrics(rows):
-    m = strategy.content_metrics(F.col("text"), F.col("headings"))
+    made = rows.withColumn("m", strategy.content_metrics(F.col("text"), F.col("headings")))
     names = {"text_density": "density", "structural_consistency": "structure", "semantic_cohesion": "cohesion", "readability": "readability"}
-    return rows.select("id", *[F.round(m[c], 6).alias(n) for c, n in names.items()])
+    return made.select("id", *[F.round(f"m.{c}", 6).alias(n) for c, n in names.items()])
 
 
 @case("title string, description string, reply string", [("t", None, 'Sure: ```{"title":"X","description":"Y","topics":["a","b"]}```'), ("t", "d", "no json"), (None, None, '{"title":"Z"}'), (None, " ", "none")],

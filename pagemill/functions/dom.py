@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -103,9 +104,14 @@ def parse(html: str) -> Node:
 _SELECTOR = re.compile(r"^([a-z0-9]*)(?:\.([\w-]+)|#([\w-]+)|\[([\w-]+)(?:([\^*]?=)'([^']*)')?\])?$")
 
 
+@lru_cache(maxsize=1024)
+def _parts(selector: str) -> tuple:
+    return _SELECTOR.match(selector).groups()
+
+
 def matches(node: Node, selector: str) -> bool:
     """``tag``, ``.class``, ``#id``, ``[attr]``, ``[attr='v']``, ``[attr^='v']``, ``[attr*='v']``, with a tag before or not."""
-    tag, cls, ident, attr, how, value = _SELECTOR.match(selector).groups()
+    tag, cls, ident, attr, how, value = _parts(selector)
     if tag and node.tag != tag:
         return False
     if cls:

@@ -208,11 +208,16 @@ def semantic(docs: DataFrame, embed, options: ChunkOptions = ChunkOptions(), tex
 
 def _runs(sentences: list[str], vectors: list[list[float]], threshold: float) -> list[str]:
     """Neighbours whose cosine is at least the threshold, joined; a vector of zeros is like nothing."""
+    if not sentences:
+        return []
+    v = np.array(vectors, float)
+    size = np.sqrt((v * v).sum(axis=1))
+    both = size[1:] * size[:-1]
+    alike = (v[1:] * v[:-1]).sum(axis=1) / np.where(both > 0, both, 1.0)
+    joins = np.concatenate([[False], (both > 0) & (alike >= threshold)])
     out: list[list[str]] = []
-    for k, sentence in enumerate(sentences):
-        a, b = np.array(vectors[k - 1] if k else []), np.array(vectors[k])
-        size = np.sqrt((a @ a) * (b @ b)) if k else 0.0
-        if size and (a @ b) / size >= threshold:
+    for sentence, joined in zip(sentences, joins.tolist()):
+        if joined:
             out[-1].append(sentence)
         else:
             out.append([sentence])

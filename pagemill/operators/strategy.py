@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +35,39 @@ RECOMMEND_TECHNICAL = ("class ", "function ", "method ", "api ", "```", "code",
 RICH_SITES = ("github.com", "stackoverflow.com", "medium.com", "dev.to", "docs.", "api.", "learn.", "guide.", "manual.")
 
 
-def _any_of(words: tuple[str, ...]) -> str:
-    """A pattern that finds each word where it stands, inside or beside others too; longer ones come first."""
-    return "|".join(re.escape(w).replace(r"\ ", " ") for w in sorted(words, key=len, reverse=True))
+FACTS = "struct<technical:int,academic:boolean,news:boolean,code:int>"
 
 
-def _has(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike(_any_of(words))
+def keyword_facts(text: Column) -> Column:
+    """How many technical and code words a lower-case text holds anywhere, and whether it has academic or news words."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            t = t or ""
+            rows.append({"technical": sum(w in t for w in TECHNICAL), "academic": any(w in t for w in ACADEMIC), "news": any(w in t for w in NEWS), "code": sum(w in t for w in RECOMMEND_TECHNICAL)})
+        return pa.array(rows, pa.struct([("technical", pa.int32()), ("academic", pa.bool_()), ("news", pa.bool_()), ("code", pa.int32())]))
 
+    return F.arrow_udf(run, FACTS).asNondeterministic()(text)
 
-def _count(text: Column, words: tuple[str, ...]) -> Column:
-    """How many of the words occur, in one pass: a lookahead, so that a word inside another one counts too."""
-    nested = [w for w in words if any(w != v and w in v for v in words)]
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_any_of(words)}))"), F.lit(1)))
-    inside = F.array(*[F.lit(w) for w in nested]) if nested else F.array().cast("array<string>")
-    held = F.filter(inside, lambda w: F.exists(found, lambda f: F.contains(f, w)))
-    return F.size(F.array_union(found, held))
 
+def _has(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(map(re.escape, words)))
 
-def analysis(text: Column, url: Column, headings: Column, images: Column) -> dict[str, Column]:
-    low, address, length = F.lower(text), F.lower(F.coalesce(url, F.lit(""))), F.length(text)
+
+def analysis(text: Column, url: Column, headings: Column, images: Column, facts: Column) -> dict[str, Column]:
+    """``facts``: ``keyword_facts`` of the lower-case text, computed once."""
+    address, length = F.lower(F.coalesce(url, F.lit(""))), F.length(text)
     density = images / F.greatest(F.floor(length / 1000), F.lit(1))
     kind = (
-        F.when(_has(low, ACADEMIC), "Academic").when(_has(low, NEWS), "News").when(_has(low, TECHNICAL), "Technical")
+        F.when(facts["academic"], "Academic").when(facts["news"], "News").when(facts["technical"] > 0, "Technical")
         .when(_has(address, ("doc", "api")), "Documentation").when(_has(address, ("blog",)), "Blog").otherwise("Article")
     )
     complexity = (headings * 2 + images) / F.greatest(length / 1000.0, F.lit(1.0))
     return {
         "length": length.cast("long"),
         "image_density": density.cast("double"),
-        "technical": _count(low, TECHNICAL) >= 3,
+        "technical": facts["technical"] >= 3,
         "content_type": kind,
         "complexity": F.when(complexity >= 2.0, "High").when(complexity >= 0.5, "Medium").otherwise("Low"),
     }
@@ -98,7 +102,8 @@ def score(strategy: str, images: Column) -> Column:
 
 def scored(docs: DataFrame, text: str, url: str, headings: str, images: str) -> DataFrame:
     """``docs`` with the analysis columns and ``scores``: one (strategy, score) for each strategy, in order."""
-    facts = docs.withColumns(analysis(F.col(text), F.col(url), F.col(headings), F.col(images)))
+    known = docs.withColumn("__facts", keyword_facts(F.lower(text)))
+    facts = known.withColumns(analysis(F.col(text), F.col(url), F.col(headings), F.col(images), F.col("__facts"))).drop("__facts")
     each = [F.struct(F.lit(s).alias("strategy"), score(s, F.col(images)).alias("score")) for s in STRATEGIES]
     return facts.withColumn("scores", F.array(*each))
 
@@ -111,7 +116,7 @@ def best(scores: Column) -> Column:
 def recommend(text: Column, title: Column, url: Column, headings: Column, images: Column, little_memory: bool = False) -> Column:
     length = F.coalesce(F.length(text), F.lit(0))
     rich = _has(F.lower(F.coalesce(url, F.lit(""))), RICH_SITES) | (F.coalesce(title, F.lit("")) != "") | (headings > 0)
-    technical = _count(F.lower(F.coalesce(text, F.lit(""))), RECOMMEND_TECHNICAL) >= 3
+    technical = keyword_facts(F.lower(F.coalesce(text, F.lit(""))))["code"] >= 3
     return (
         F.when(F.lit(little_memory) | (length > 100_000), "MemoryOptimized").when(rich, "Auto").when((images > 0) & (length > 5_000), "Smart")
         .when(technical | (headings > 0), "Smart").when(length > 10_000, "Semantic").otherwise("Paragraph")
@@ -138,21 +143,26 @@ def chunk_quality(chunks: DataFrame, key: str, order: str, content: str) -> Data
     )
 
 
-def content_metrics(text: Column, headings: Column) -> dict[str, Column]:
-    """Share of visible characters, heading density, similarity of neighbouring sentences, and ease of reading."""
-    from pagemill.functions.text import jaccard, trim_all, visible_share, words
+def _metrics(text: str) -> dict[str, float]:
+    sentences = [s for s in re.split(r"[.!?]", text) if s]
+    words = [w for w in re.split(r"[ \t\n\r]+", text) if w]
+    sets = [{w for w in re.split(r"[ \t\n]+", s.lower()) if w} for s in sentences]
+    pairs = [len(a & b) / len(a | b) if a or b else 1.0 for a, b in zip(sets, sets[1:])]
+    readable = 0.0
+    if text.strip() and sentences and words:
+        load = len(words) / len(sentences) * 0.1 + sum(map(len, words)) / len(words) * 0.2
+        readable = max(0.0, 1.0 - load / 20.0)
+    return {"text_density": len("".join(text.split())) / len(text) if text.strip() else 0.0, "semantic_cohesion": sum(pairs) / len(pairs) if pairs else 1.0, "readability": readable}
 
-    body = F.coalesce(text, F.lit(""))
-    blank = trim_all(body) == ""
-    sentences = F.filter(F.split(body, "[.!?]"), lambda s: s != "")
-    parts = F.transform(sentences, lambda s: F.filter(F.split(F.lower(s), r"[ \t\n]+"), lambda w: w != ""))
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), jaccard)
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x) / F.size(xs)
-    tokens = words(body)
-    load = F.size(tokens) / F.nullif(F.size(sentences), F.lit(0)) * 0.1 + mean(F.transform(tokens, lambda w: F.length(w).cast("double"))) * 0.2
-    return {
-        "text_density": F.when(blank, 0.0).otherwise(visible_share(body)),
-        "structural_consistency": F.when(F.length(body) == 0, 0.0).when(headings == 0, 0.5).otherwise(F.least(F.lit(1.0), headings / (F.length(body) / 1000.0) * 0.1)),
-        "semantic_cohesion": F.when(F.size(sentences) < 2, 1.0).otherwise(mean(pairs)),
-        "readability": F.when(blank | (F.size(sentences) == 0) | (F.size(tokens) == 0), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - load / 20.0)),
-    }
+
+def content_metrics(text: Column, headings: Column) -> Column:
+    """A struct: share of visible characters, similarity of neighbouring sentences, ease of reading, and heading density."""
+    names = ("text_density", "semantic_cohesion", "readability")
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_metrics(t or "") for t in texts.to_pylist()], pa.struct([(n, pa.float64()) for n in names]))
+
+    size = F.length(F.coalesce(text, F.lit("")))
+    density = F.when(size == 0, 0.0).when(headings == 0, 0.5).otherwise(F.least(F.lit(1.0), headings / (size / 1000.0) * 0.1))
+    made = F.arrow_udf(run, "text_density double, semantic_cohesion double, readability double").asNondeterministic()(text)
+    return F.transform(F.array(made), lambda m: F.struct(*[m[n].alias(n) for n in names], density.alias("structural_consistency")))[0]

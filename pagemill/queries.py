@@ -633,8 +633,8 @@ def chunk_smart(docs):
      round(CASE WHEN len(ss) = 0 OR len(ws) = 0 THEN 0.0 ELSE greatest(0.0, 1 - (len(ws)::DOUBLE / len(ss) * 0.1 + list_sum(list_transform(ws, lambda w: length(w)))::DOUBLE / len(ws) * 0.2) / 20.0) END, 6) AS readability
    FROM s LEFT JOIN c USING (doc_id)""")
 def content_metrics(docs):
-    made = strategy.content_metrics(F.col("text"), F.lit(0))
-    return docs.select("doc_id", *[F.round(made[c], 6).alias(c) for c in ("text_density", "semantic_cohesion", "readability")])
+    made = docs.select("doc_id", strategy.content_metrics(F.col("text"), F.lit(0)).alias("m"))
+    return made.select("doc_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("text_density", "semantic_cohesion", "readability")])
 
 
 @query("documents")
