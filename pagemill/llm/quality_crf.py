@@ -210,8 +210,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .limit(sample)
     )
     # at most ``sample`` rows of two numbers: the bound that makes the broadcast safe
-    rows = docs.join(F.broadcast(chosen.withColumnRenamed(key, "__key")), F.col(key) == F.col("__key"))
-    rows = rows.select("__label", "__key", F.col(text).cast("binary").alias("__text"))
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
+    rows = texts.join(F.broadcast(chosen.withColumnRenamed(key, "__key")), "__key").select("__label", "__key", "__text")
     size = F.when(F.octet_length("__text") > 0, F.regexp_count(F.col("__text").cast("string"), F.lit("\n")) + 1).otherwise(1)
     so_far = F.sum("__n").over(Window.orderBy(F.xxhash64("__key"), "__key", "__n", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # of at most ``sample`` rows, and those of a repeated key; texts over ``lines`` lines in all are left to scoring
