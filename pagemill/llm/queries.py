@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pagemill.llm import (
     decontaminate,
+    lexical_search,
     licenses,
     lm_scoring,
     mixing,
@@ -12,7 +13,9 @@ from pagemill.llm import (
     quality_rules,
     similarity_join,
     token_counts,
+    vector_search,
     warc,
+    whitening,
 )
 
 QUERIES = {
@@ -26,10 +29,15 @@ QUERIES = {
     "op8_quality_crf": quality_crf.op8_quality_crf,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_vector_search": vector_search.op11_vector_search,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op6_jaccard_join": similarity_join.OP6_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op11_vector_search": vector_search.OP11_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
