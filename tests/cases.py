@@ -1,4 +1,4 @@
-"""Registered queries on small written-out inputs, with the rows that must come out as their SQL.
+"""Operators on small written-out inputs, with the rows that must come out as their SQL.
 
 For operators whose input the test tables don't hold (JSON-LD, tables, robots files, replies of servers, settings), and for
 those that SQL can't express.  The expected rows are written by hand from the rules.

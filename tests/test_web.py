@@ -4,10 +4,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill import cases, queries
+from pagemill import queries
 from pagemill.functions import dom, text, urls
 from pagemill.operators import chunking, crawl, enrich, extract, metadata, stats, strategy, structure
 from pagemill.sources import pages
+from tests import cases
 
 DATA = "/root/testdata/sf0.001"
 
