@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import extract_links, normalize, should_crawl, sitemap_locs
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a level by a table in the shared checkpoint folder."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-crawl-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pagemill.sources.shared import written
 
 
 def _linked(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(key, url, links) of each page once, of several with one key the first by URL; written: what the levels of a crawl join."""
     linked = pages.select(normalize(F.col(url)).alias("key"), F.col(url).alias("url"), extract_links(F.col(html), F.col(url)).alias("links"))
-    return _written(linked.groupBy("key").agg(F.min(F.struct("url", "links")).alias("p")).select("key", "p.url", "p.links"))
+    return written(linked.groupBy("key").agg(F.min(F.struct("url", "links")).alias("p")).select("key", "p.url", "p.links"))
 
 
 def crawl_order(
@@ -54,7 +37,7 @@ def crawl_order(
         if max_pages is not None:
             taken = out.groupBy("start").agg(F.count(F.lit(1)).alias("taken")) if levels else seen.select("start", F.lit(0).alias("taken")).distinct()
             level = level.join(taken, "start").where(F.col("place") + F.col("taken") < max_pages)
-        level = _written(level.select("start", "depth", "place", "key", "url", "parent"))
+        level = written(level.select("start", "depth", "place", "key", "url", "parent"))
         levels.append(level)
         out = level if out is None else out.union(level)
         if depth == max_depth or level.isEmpty():
@@ -65,7 +48,7 @@ def crawl_order(
             links = allowed(links, robots, "link", agent)
         first = Window.partitionBy("start", "key").orderBy("up", "at")
         fresh = links.withColumn("key", normalize(F.col("link"))).withColumn("rank", F.row_number().over(first)).where("rank = 1")
-        frontier = _written(fresh.join(seen, ["start", "key"], "left_anti").select("start", "key", "parent", "up", "at"))
+        frontier = written(fresh.join(seen, ["start", "key"], "left_anti").select("start", "key", "parent", "up", "at"))
         seen = seen.union(frontier.select("start", "key"))
     return out
 
@@ -87,12 +70,12 @@ def crawl_depth_first(pages: DataFrame, seeds: DataFrame, url: str = "url", html
     ``max_depth`` steps, whose links are all that its walk holds.  It stops at ``max_pages``.
     """
     known = _linked(pages, url, html)
-    known = _written(known.select("key", "url", F.transform(F.filter("links", lambda x: should_crawl(x, F.col("url"))), normalize).alias("links")))
+    known = written(known.select("key", "url", F.transform(F.filter("links", lambda x: should_crawl(x, F.col("url"))), normalize).alias("links")))
     starts = seeds.groupBy(F.col(url).alias("start")).agg(F.count(F.lit(1)).alias("copies")).withColumn("key", normalize(F.col("start")))
     reached = frontier = starts.select("start", "key")
     for _ in range(max_depth):
         fresh = frontier.join(known, "key").select("start", F.explode("links").alias("key")).distinct()
-        frontier = _written(fresh.join(reached, ["start", "key"], "left_anti"))
+        frontier = written(fresh.join(reached, ["start", "key"], "left_anti"))
         if frontier.isEmpty():
             break
         reached = reached.union(frontier)
@@ -183,16 +166,19 @@ def allowed(links: DataFrame, rules: DataFrame, url: str, agent: str = "*") -> D
     return joined.where(hit("allow") | ~hit("disallow")).drop("__host", "allow", "disallow")
 
 
+def retry_delay(given: Column, now: Column | None = None) -> Column:
+    """Seconds of a Retry-After header: a number, or a date after ``now``; 60 if unreadable or past."""
+    until = F.try_to_timestamp(F.regexp_replace(given, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    left = until.cast("double") - (F.current_timestamp() if now is None else now).cast("double")
+    return F.greatest(F.lit(0.0), F.coalesce(given.try_cast("double"), F.when(left > 0, left), F.lit(60.0)))
+
+
 def retry_schedule(attempts: DataFrame, attempt: str = "attempt", retry_after: str | None = None, now: Column | None = None) -> Column:
-    """Seconds to wait: Retry-After where given, in seconds or as a date after ``now`` (60 if unreadable or past), else two to the attempt."""
+    """Seconds to wait: Retry-After where given, else two to the attempt."""
     doubled = F.pow(F.lit(2.0), F.col(attempt))
     if retry_after is None:
         return doubled
-    given = F.col(retry_after)
-    until = F.try_to_timestamp(F.regexp_replace(given, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    left = until.cast("double") - (F.current_timestamp() if now is None else now).cast("double")
-    wait = F.coalesce(given.try_cast("double"), F.when(left > 0, left), F.lit(60.0))
-    return F.when(given.isNotNull(), F.greatest(F.lit(0.0), wait)).otherwise(doubled)
+    return F.when(F.col(retry_after).isNotNull(), retry_delay(F.col(retry_after), now)).otherwise(doubled)
 
 
 def error_code(status: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.functions.urls import normalize
-from pagemill.operators.crawl import error_code
+from pagemill.operators.crawl import error_code, retry_delay
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -63,26 +63,75 @@ def extracted_text(content: Column, content_type: Column) -> Column:
     return chain
 
 
-def attempts(max_retries: int) -> Column:
-    """(attempt, wait): the tries of one fetch, and the seconds before each: 0, then 1, 2, 4, ..."""
-    return F.transform(F.sequence(F.lit(0), F.lit(max_retries)), lambda k: F.struct(k.alias("attempt"), F.when(k == 0, 0.0).otherwise(F.pow(F.lit(2.0), k - 1)).alias("wait")))
-
-
-def fetch_with_retries(urls: DataFrame, replies: DataFrame, url: str = "url", max_retries: int = 3) -> DataFrame:
-    """Each wanted URL with the reply that ended its tries: (url, attempts, waited, status, content_type, content, error_code).
-
-    ``replies`` (url, attempt, status, content_type, content) holds what each try got, from a log or a connector; a try
-    without a row had no reply.  The first success ends the tries, else the last one counts.
+#: What a fetch has come to: its tries (outer) and requests of the try (inner), whether it ended, and the request that counts.
+_FETCH = "struct<tries:int,requests:int,waited:double,ended:boolean,at:int,cancelled:boolean>"
+
+
+def _fetch_step(max_retries: int, now: Column | None):
+    """One request's reply folded into the state of its fetch."""
+
+    def step(state: Column, reply: Column) -> Column:
+        status, error = reply["status"], F.lower(F.coalesce(reply["error"], F.lit("network")))
+        good, more = F.coalesce(status.between(200, 299), F.lit(False)), state["requests"] < max_retries
+        cancelled = status.isNull() & (error == "cancelled")
+        lost = status.isNull() & error.isin("network", "timeout")
+        again = more & (F.coalesce(status == 429, F.lit(False)) | lost)
+        wait = F.when(lost, F.pow(F.lit(2.0), state["requests"])).otherwise(retry_delay(F.coalesce(reply["retry_after"], F.lit("60")), now))
+        over = ~again & (state["tries"] >= max_retries)
+        ended = good | cancelled | over
+        waited = F.when(good | cancelled, 0.0).when(again, wait).when(over, 0.0).otherwise(F.pow(F.lit(2.0), state["tries"]))
+        new_try = ~ended & ~again
+        made = F.struct(
+            (state["tries"] + new_try.cast("int")).alias("tries"),
+            F.when(new_try, 0).when(again & ~ended, state["requests"] + 1).otherwise(state["requests"]).alias("requests"),
+            (state["waited"] + waited).alias("waited"),
+            ended.alias("ended"),
+            reply["attempt"].alias("at"),
+            cancelled.alias("cancelled"),
+        )
+        return F.when(state["ended"], state).otherwise(made).cast(_FETCH)
+
+    return step
+
+
+def fetch_with_retries(urls: DataFrame, replies: DataFrame, url: str = "url", max_retries: int = 3, now: Column | None = None) -> DataFrame:
+    """Each row of ``urls`` with the reply that ended its fetch: (url, attempts, waited, status, content_type, content, error_code).
+
+    ``replies`` (url, attempt, status, content_type, content, and where there are any retry_after and error) holds
+    what each request got, numbered from 0, from a log or a connector; a number that is left out is a request without
+    a reply.  A fetch makes up to ``max_retries`` more tries after the first, 1, 2, 4, ... seconds apart, and ends with
+    the first success.  Within a try a 429 is asked again after its Retry-After (60 seconds without one) and a lost
+    or timed-out request after 1, 2, 4, ... seconds, ``max_retries`` times; other statuses and errors end the try.
+    A cancelled request ends the fetch as ``Timeout``.  Of several replies to a request the best one by (success,
+    status) counts; repeated URLs each get a row.
+
+    The log is folded by URL over rows without contents, and joined once with the contents of the replies that count.
     """
-    tries = urls.select(F.col(url).alias("url"), F.explode(attempts(max_retries)).alias("t")).select("url", "t.attempt", "t.wait")
-    got = tries.join(replies, ["url", "attempt"], "left").withColumn("ok", F.coalesce(F.col("status").between(200, 299), F.lit(False)))
-    last = F.struct((~F.col("ok")).alias("failed"), F.when(F.col("ok"), F.col("attempt")).otherwise(-F.col("attempt")).alias("place"), "attempt", "status", "content_type", "content")
-    best = got.groupBy("url").agg(F.min(last).alias("r"))
-    made = best.select("url", (F.col("r.attempt") + 1).alias("attempts"), (F.pow(F.lit(2.0), F.col("r.attempt")) - 1).alias("waited"), "r.status", "r.content_type", "r.content", ~F.col("r.failed"))
-    return made.toDF("url", "attempts", "waited", "status", "content_type", "content", "ok").withColumn(
-        "error_code",
-        F.when(F.col("ok") & (T.trim_all(F.coalesce("content", F.lit(""))) == ""), "EmptyContent").when(F.col("ok"), None).when(F.col("status").isNull(), "NetworkError").otherwise(error_code(F.col("status"))),
-    ).drop("ok")
+    log = replies.select(
+        "url", F.col("attempt").cast("int").alias("attempt"), F.col("status").cast("int").alias("status"), "content_type", "content",
+        *[(F.col(c) if c in replies.columns else F.lit(None)).cast("string").alias(c) for c in ("retry_after", "error")],
+    )
+    most = (max_retries + 1) ** 2
+    log = log.where(F.col("attempt").between(0, most - 1) & F.col("url").isNotNull())
+    failed = ~F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    request = log.groupBy("url", "attempt").agg(F.min(F.struct(failed.alias("failed"), "status", "retry_after", "error")).alias("r"))
+    known = F.map_from_entries(F.collect_list(F.struct("attempt", "r")))  # (max_retries + 1)^2 entries at most
+    facts = request.groupBy("url").agg(known.alias("known"), F.max("attempt").alias("last"))
+    reply = lambda k: F.struct(*[F.try_element_at("known", k)[c].alias(c) for c in ("status", "retry_after", "error")], k.alias("attempt"))
+    begun = F.struct(F.lit(0), F.lit(0), F.lit(0.0), F.lit(False), F.lit(-1), F.lit(False)).cast(_FETCH)
+    folded = facts.select("url", F.aggregate(F.transform(F.sequence(F.lit(0), F.col("last")), reply), begun, _fetch_step(max_retries, now)).alias("s"))
+    folded = folded.select("url", (F.col("s.at") + 1).alias("attempts"), F.col("s.waited").alias("waited"), "s.cancelled", F.col("s.at").alias("attempt"))
+    body = log.groupBy("url", "attempt").agg(F.min(F.struct(failed.alias("failed"), "status", "content_type", "content")).alias("b"))
+    got = folded.join(body, ["url", "attempt"], "left").select(F.col("url").alias("__url"), "attempts", "waited", "cancelled", "b.status", "b.content_type", "b.content")
+    every = urls.select(F.col(url).alias("url")).join(got, F.col("url") == F.col("__url"), "left").drop("__url")
+    ok = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    code = F.when(ok & (T.trim_all(F.coalesce("content", F.lit(""))) == ""), "EmptyContent").when(ok, None).when(F.col("cancelled"), "Timeout")
+    code = code.when(F.col("status").isNull(), "NetworkError").otherwise(error_code(F.col("status")))
+    without = F.col("attempts").isNull()  # no reply at all: as many tries as are allowed
+    return every.select(
+        "url", F.when(without, max_retries + 1).otherwise(F.col("attempts")).alias("attempts"),
+        F.when(without, 2.0**max_retries - 1).otherwise(F.col("waited")).alias("waited"), "status", "content_type", "content", code.alias("error_code"),
+    )
 
 
 def extract_results(replies: DataFrame, output: str = "Markdown", max_length: int | None = None, images: bool = True, metadata: bool = True) -> DataFrame:

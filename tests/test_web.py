@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill import queries
+from pagemill import queries, source_queries
 from pagemill.functions import dom, text, urls
 from pagemill.operators import chunking, crawl, enrich, extract, metadata, stats, strategy, structure
 from pagemill.sources import pages
@@ -330,7 +330,8 @@ def test_next_rows_over_gaps(spark):
     assert found == {1: "v3", 3: "v10", 10: "v11", 11: "v500", 500: "v501", 501: "v90000", 90_000: None}
 
 
-SQL = queries.ORACLE_SQL | cases.ORACLE_SQL
+QUERIES = queries.QUERIES | source_queries.QUERIES | cases.QUERIES
+SQL = queries.ORACLE_SQL | source_queries.ORACLE_SQL | cases.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -338,7 +339,7 @@ def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "events", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    mine, theirs = (queries.QUERIES | cases.QUERIES)[name](spark, DATA).toPandas(), con.execute(SQL[name]).df()
+    mine, theirs = QUERIES[name](spark, DATA).toPandas(), con.execute(SQL[name]).df()
     columns = sorted(mine.columns)
     assert columns == sorted(theirs.columns)
     mine, theirs = (d[columns].sort_values(columns).reset_index(drop=True) for d in (mine, theirs))
