@@ -128,6 +128,18 @@ def rows_of(shards: list[int], blocks: list[int], bodies: list[bytes]) -> pa.Tab
     return pa.table([pa.array(shards, pa.int32()), pa.array(blocks, pa.int32()), pa.array(bodies, pa.binary())], ["shard", "block", "body"])
 
 
+def ids_sent(ids: pa.ChunkedArray) -> bytes:
+    """The distinct ids in Arrow's own form, whatever characters they hold."""
+    out, rows = pa.BufferOutputStream(), pa.table([ids.unique()], ["id"])
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def ids_got(body: bytes) -> pa.Array:
+    return pa.ipc.open_stream(body).read_all()["id"].combine_chunks()
+
+
 def summed(at: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(at, counts, size).astype(np.int64)  # exact below 2 ** 53
 
@@ -171,7 +183,9 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
     blocks, pair_shards, word_shards = (int(size // x) + 1 for x in (BLOCK_BYTES, PAIR_SHARD_BYTES, WORD_SHARD_BYTES))
     block = F.pmod(F.xxhash64(F.col("id")), F.lit(blocks)).cast("int").alias("block")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")).select(block, "id", "text").groupBy("block")
+    # rows without an id are dealt by their text: a null leaves the hash as it is
+    spread = F.pmod(F.xxhash64(F.col("id"), F.when(F.col("id").isNull(), F.col("text"))), F.lit(blocks)).cast("int").alias("block")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")).select(spread, "id", "text").groupBy("block")
     good = labels.where(F.col(label) == 1).select(F.col(key).cast(kind).alias("id")).select(block, "id").groupBy("block")
 
     def ask_pairs(name: tuple, own: pa.Table, good: pa.Table) -> pa.Table:
@@ -184,7 +198,7 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         keys = found.keys()
         asked = {k: pack(*short(keys[at]), *small(n[at]), *small(t[at])) for k, at in enumerate(dealt(keys, pair_shards)) if len(at)}
         # which of the block's documents are the target, to the block itself
-        asked[-1 - name[0].as_py()] = "\n".join({str(x) for x, y in zip(own["id"].to_pylist(), target) if y and x is not None}).encode()
+        asked[-1 - name[0].as_py()] = ids_sent(own["id"].filter(pa.array(target)))
         return rows_of(list(asked), [name[0].as_py()] * len(asked), list(asked.values()))
 
     def joined(rows: pa.Table, kinds: str) -> tuple[list[np.ndarray], np.ndarray]:
@@ -240,8 +254,8 @@ def corpus_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             own_totals, *counts = unpack(bodies[shard].as_py(), "qnnnnnn")
             totals += own_totals
             words[:, at] = counts
-        good = set(filter(None, bodies[-1 - own["block"][0].as_py()].as_py().decode().split("\n")))
-        target = np.array([str(x) in good for x in own["id"].to_pylist()], bool)
+        good = ids_got(bodies[-1 - own["block"][0].as_py()].as_py())
+        target = pc.is_in(own["id"], value_set=good, skip_nulls=True).to_numpy()
         mean = np.zeros((2, len(found.lengths)))
         ends = np.cumsum(found.lengths)
         first = 0

@@ -8,7 +8,7 @@ line length, put on a scale where 0.3 is the cut learned from the training docum
 Training: lines of a labelled document carry its label; the conditional likelihood is
 maximised by gradient steps, documents of both classes weighing the same in total.  Only rows
 with ``crc32(id) mod 5 <> 0`` are used, lowest by hash of the id first: whole texts, as many as have
-``lines`` lines in all and ``sample`` rows at most.  This is the one bounded sample.  Scoring reads whole texts, in a
+``lines`` lines in all and ``sample`` rows at most, one an id; a text of over a twentieth of ``lines`` is left out alone.  This is the one bounded sample.  Scoring reads whole texts, in a
 narrow map without a shuffle.
 
 Cases: null text counts as one empty line, as does empty text; very long texts are one chain;
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import SPACE_BYTES, table
+from pagemill.llm.common import SPACE_BYTES, saved, table
 
 SAMPLE, LINES, FOLDS = 5_000, 200_000, 5
 CUT = 0.3
@@ -190,6 +190,10 @@ def best_cut(means: np.ndarray, good: np.ndarray) -> float:
     return float(np.clip(cuts[widest], 0.01, 0.99))
 
 
+#: A labelled text of more than this part of all lines isn't learned from.
+LONGEST = 20
+
+
 def _prepared(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = [line_counts(t) for t in texts]
     return _arranged(np.array([c for r in rows for c in r], np.int64), np.array([len(r) for r in rows]))
@@ -209,13 +213,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .orderBy(F.xxhash64(key), key)
         .limit(sample)
     )
-    # at most ``sample`` rows of two numbers: the bound that makes the broadcast safe
+    # at most ``sample`` rows of two numbers: the bound that makes the broadcasts safe
     texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("binary").alias("__text"))
-    rows = texts.join(F.broadcast(chosen.withColumnRenamed(key, "__key")), "__key").select("__label", "__key", "__text")
+    joined = texts.join(F.broadcast(chosen.withColumnRenamed(key, "__key")), "__key")
+    rows = saved(joined.groupBy("__key", "__label").agg(F.min("__text").alias("__text")))  # of several texts of an id one
     size = F.when(F.octet_length("__text") > 0, F.regexp_count(F.col("__text").cast("string"), F.lit("\n")) + 1).otherwise(1)
-    so_far = F.sum("__n").over(Window.orderBy(F.xxhash64("__key"), "__key", "__n", "__text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # of at most ``sample`` rows, and those of a repeated key; texts over ``lines`` lines in all are left to scoring
-    rows = rows.withColumn("__n", size).withColumn("__sum", so_far).where(F.col("__sum") <= lines).select("__label", "__text")
+    # a text of more than a twentieth of ``lines`` is left out alone; of the others those whose lines, by hash of the id, fit in all
+    so_far = F.sum("__n").over(Window.orderBy(F.xxhash64("__key"), "__key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = rows.select("__key", size.alias("__n")).where(F.col("__n") <= max(lines // LONGEST, 1))
+    kept = sizes.withColumn("__sum", so_far).where(F.col("__sum") <= lines).select("__key")
+    rows = rows.join(F.broadcast(kept), "__key", "left_semi").select("__label", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

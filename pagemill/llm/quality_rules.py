@@ -208,7 +208,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         .limit(sample)
     )
     # at most ``sample`` rows of two numbers: the bound that makes the broadcast safe
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select("__label", text_stats(F.col(text)).alias("__s"))
+    joined = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen.withColumnRenamed(key, "__key")), "__key")
+    one = joined.groupBy("__key", "__label").agg(F.min("__text").alias("__text"))  # of several texts of an id one
+    rows = one.select("__label", text_stats(F.col("__text")).alias("__s"))
     found = rows.select("__label", *[v.alias(k) for k, v in features("__s").items()]).toPandas()
     found = found.sort_values(list(found.columns)).to_numpy(float)
     return learn_rules(found[:, 1:], found[:, 0] == 0)

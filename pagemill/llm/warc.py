@@ -25,6 +25,7 @@ too; other columns are ignored.
 
 from __future__ import annotations
 
+import warnings
 import hashlib
 from collections.abc import Iterator
 
@@ -210,9 +211,12 @@ class _Reader:
 def read_warc(spark: SparkSession, path: str, chunk: int = CHUNK, payload: bool = True) -> DataFrame:
     """A row for each chunk of each record of the gzip archives under ``path``; see FIELDS.
 
-    ``payload``: whether the rows carry the chunks' bytes.  Other files than ``*.gz`` are left out: they could be
-    split, and a part of an archive can't be read on its own.
+    ``payload``: whether the rows carry the chunks' bytes.  Other files than ``*.gz`` are left out with a warning that
+    names some: they could be split, and a part of an archive can't be read on its own.
     """
+    names = spark.read.format("binaryFile").load(path).select("path")  # names only: contents aren't read
+    if others := [r["path"] for r in names.where(~F.endswith(F.lower("path"), F.lit(".gz"))).limit(3).collect()]:
+        warnings.warn(f"only .gz archives are read, these and others of their kind are left out: {', '.join(others)}", stacklevel=2)
     lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("line"), F.xxhash64("_metadata.file_path").alias("file"))
     names = [f.split()[0] for f in FIELDS.split(", ")]

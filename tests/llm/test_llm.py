@@ -164,6 +164,19 @@ def test_corpus_scores(spark, rows, docs, none, monkeypatch, sizes):
     assert lm_scoring.corpus_scores(docs, labels.limit(0)).where("n_tokens > 0 and target_bits is null").count() == 0
 
 
+def test_corpus_scores_of_text_ids(spark, monkeypatch):
+    """Ids with line breaks, empty ids and many null ones leave their own counts out like any others."""
+    for name, size in zip(("BLOCK_BYTES", "PAIR_SHARD_BYTES", "WORD_SHARD_BYTES"), (300, 900, 900)):
+        monkeypatch.setattr(lm_scoring, name, size)
+    texts = [f"common words and {'good' if i % 2 else 'bad'}{i // 2} words" for i in range(20)]
+    for names in ([f"a{i}" for i in range(20)], [f"x\na{i}" for i in range(20)], ["", *(f"\n{i}" for i in range(19))], [None] * 5 + [f"{i}" for i in range(15)]):
+        docs = spark.createDataFrame(list(zip(names, texts)), "doc_id string, text string")
+        good = {n for i, n in enumerate(names) if i % 2 and n is not None}
+        labels = spark.createDataFrame([(n, 1) for n in good], "doc_id string, quality int")
+        found = sorted((str(r.doc_id), round(r.target_bits, 6), round(r.background_bits, 6)) for r in lm_scoring.corpus_scores(docs, labels).collect())
+        assert found == sorted((str(key), round(float(t), 6), round(float(b), 6)) for key, _, (t, b) in brute_scores(list(zip(names, texts)), good))
+
+
 def test_corpus_scores_tell_rare_words_apart(spark):
     """Beyond the 2,046 most frequent words too, those of the target score lower."""
     common = " ".join(f"w{i}" for i in range(3000))
@@ -533,6 +546,12 @@ def test_warc_payload_and_broken_records(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path), 1000, payload=False).where("data is not null").count() == 0
 
 
+def test_warc_names_other_files(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.0\r\n")
+    with pytest.warns(UserWarning, match="a.warc"):
+        assert warc.read_warc(spark, str(tmp_path)).count() == 0
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).count() == 0
@@ -595,6 +614,27 @@ def test_crf_score_from_weights(spark):
         assert np.isclose(score, 0.3 * mean / 0.45 if mean < 0.45 else 0.3 + 0.7 * (mean - 0.45) / 0.55), t
 
 
+def test_crf_learns_beside_a_long_text(spark, monkeypatch):
+    """A labelled text of more lines than are learned from is left out alone; repeats of an id are one row."""
+    r = random.Random(4)
+    texts = [(i, "\n".join(prose(r, 8) if i % 2 else "### $$$ |" for _ in range(4)), i % 2) for i in range(60) if i]
+    docs = spark.createDataFrame([t[:2] for t in texts] + [(1000, "a line\n" * 3_000)] + [texts[0][:2]] * 200, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts] + [(1000, 1)], "doc_id long, quality int")
+    model = quality_crf.fit(docs, labels, lines=2_500)
+    assert model is not None
+    scores = {row.doc_id: row.score for row in quality_crf.scored(docs.where("doc_id < 1000").distinct(), model).collect()}
+    assert min(scores[i] for i, _, q in texts if q) > max(scores[i] for i, _, q in texts if not q)
+
+
+def test_rules_learn_one_row_an_id(spark, monkeypatch):
+    """A repeated id is one row of what is learned from."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)] + [(3, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn_rules", lambda x, bad: seen.append(len(x)) or [])
+    assert quality_rules.fit(docs, labels) == [] and seen == [30]
+
+
 def test_crf_long_texts(spark, docs):
     """Texts of many lines are learned from and scored; a bound on lines takes whole texts."""
     texts = [(i, ("good words stand here.\n" if i % 2 else "$$ ## !!\n") * 400, i % 2) for i in range(40)] + [(99, "x" * 300_000, 1)]
