@@ -132,9 +132,14 @@ def related_pages(html: Column, url: Column, most: int = 20) -> Column:
 
 
 def sitemap_locs(xml: Column) -> Column:
-    """Locations of a sitemap or sitemap index, index entries first; a plain search where tags are broken."""
+    """Locations of a sitemap or sitemap index, index entries first, by XML; by pattern only where it isn't well formed."""
+    blank = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    entries = lambda tag: F.xpath(xml, F.lit(f"//*[local-name()='{tag}']/*[local-name()='loc']/text()"))
+    known = F.from_xml(xml, F.lit("_corrupt_record string"), {"mode": "PERMISSIVE"})
+    formed = known.isNotNull() & known["_corrupt_record"].isNull() & (blank(xml) != "")
+    by_xml = F.concat(entries("sitemap"), entries("url"))
     inside = lambda tag: F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}>(?:(?!</{tag}>).)*?<loc>([^<]+)</loc>"), F.lit(1))
     found = F.concat(inside("sitemap"), inside("url"))
     plain = F.regexp_extract_all(xml, F.lit("<loc>([^<]+)</loc>"), F.lit(1))
-    chosen = F.when(F.size(found) > 0, found).otherwise(plain)
-    return F.filter(F.transform(chosen, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    chosen = F.when(formed, by_xml).when(F.size(found) > 0, found).otherwise(plain)
+    return F.filter(F.transform(chosen, blank), lambda x: x != "")

@@ -8,6 +8,7 @@ Sizes of token strategies are in estimated tokens, four characters each.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterable
@@ -17,10 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeResult
 
 from pagemill.functions import text as T
 from pagemill.operators import strategy
 from pagemill.operators.extract import dom_chunks
+from pagemill.sources.cache import ContentCache
 
 PIECE = "array<struct<content:string,chunk_type:string,heading_path:array<string>,section_title:string>>"
 
@@ -129,6 +133,17 @@ def register_chunker(name: str, cut) -> None:
     CUTTERS[name] = cut
 
 
+@dataclass
+class ChunkFacts(AnalyzeResult):
+    """What the analysis of a call found out, for its rows."""
+
+    text: str = "text"
+    others: tuple[str, ...] = ()
+    strategy: str = "Paragraph"
+    options: ChunkOptions = ChunkOptions()
+    whole: bool = False
+
+
 def register_table_function(spark: SparkSession, name: str = "chunk_text", options: ChunkOptions = ChunkOptions()) -> None:
     """An SQL table function ``name(text, strategy)``: (sequence_number, content, chunk_type, heading_path, section_title)."""
     cutters = dict(CUTTERS)
@@ -142,6 +157,50 @@ def register_table_function(spark: SparkSession, name: str = "chunk_text", optio
     spark.udtf.register(name, made)
 
 
+def register_chunk_table(spark: SparkSession, name: str = "chunk_table") -> None:
+    """An SQL table function over a whole table, its options by name:
+
+        SELECT * FROM chunk_table(TABLE(docs) PARTITION BY site ORDER BY url, text => 'body', strategy => 'Smart', max_tokens => 256)
+
+    Gives the table's other columns and (sequence_number, content, chunk_type, heading_path, section_title).  Chunks are numbered
+    by row, with ``number_partition => true`` over the partition, in its order.  Unknown strategies, columns and wrong options are
+    errors when the query is analyzed.
+    """
+    cutters = dict(CUTTERS)
+    limits = ("max_tokens", "min_tokens", "overlap", "max_chars", "min_chars")
+
+    class ChunkTable:
+        def __init__(self, facts=None):
+            self.facts, self.number = facts, 0
+
+        @staticmethod
+        def analyze(rows, **options):
+            known = {k: v.value for k, v in options.items()}
+            text, chosen, whole = known.pop("text", "text"), known.pop("strategy", "Paragraph"), bool(known.pop("number_partition", False))
+            if not rows.isTable:
+                raise ValueError("the first argument must be TABLE(...)")
+            if text not in rows.dataType.names:
+                raise ValueError(f"no column {text}")
+            if chosen not in cutters:
+                raise ValueError(f"unknown strategy {chosen}: one of {', '.join(sorted(cutters))}")
+            if wrong := sorted(set(known) - set(limits)):
+                raise ValueError(f"unknown option {wrong[0]}: one of {', '.join(limits)}")
+            made = ChunkOptions(**{k: int(v) for k, v in known.items()}).validate()
+            others = [f for f in rows.dataType.fields if f.name != text]
+            text_type = StringType()
+            added = StructType().add("sequence_number", IntegerType()).add("content", text_type).add("chunk_type", text_type).add("heading_path", ArrayType(text_type)).add("section_title", text_type)
+            schema = StructType([*others, *added.fields])
+            return ChunkFacts(schema, text=text, others=tuple(f.name for f in others), strategy=chosen, options=made, whole=whole)
+
+        def eval(self, row, **options):
+            own = [row[c] for c in self.facts.others]
+            for k, piece in enumerate(cutters[self.facts.strategy](row[self.facts.text] or "", self.facts.options)):
+                yield (*own, self.number if self.facts.whole else k, *piece)
+                self.number += 1
+
+    spark.udtf.register(name, F.udtf(ChunkTable))
+
+
 def dom_structure(html: Column, options: ChunkOptions) -> Column:
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([dom_chunks(h, options.min_chars, options.max_chars) for h in pages.to_pylist()], KIND)
@@ -172,10 +231,50 @@ def chunk(docs: DataFrame, name: str = "Paragraph", options: ChunkOptions = Chun
     if name != "Auto":
         known = F.lit(name if name in CUTTERS else "Paragraph")
         return rows(docs, pieces(body, known, options), known, url)
+    scored, chosen = _with_choice(docs, text, url)
+    return rows(scored, pieces(body, chosen, options), chosen, url)
+
+
+def _with_choice(docs: DataFrame, text: str, url: str) -> tuple[DataFrame, Column]:
+    """``docs`` with the facts that Auto weighs, and the strategy that it takes."""
+    body = F.coalesce(F.col(text), F.lit(""))
     facts = docs.withColumns({"__h": F.size(T.markdown_headings(body)), "__i": F.size(T.markdown_images(body))})
     scored = strategy.scored(facts, text, url, "__h", "__i").withColumn("__best", strategy.best(F.col("scores"))["strategy"])
-    chosen = F.when(F.col("__best") == "Semantic", "Paragraph").otherwise(F.col("__best"))  # no embedder here
-    return rows(scored, pieces(body, chosen, options), chosen, url)
+    return scored, F.when(F.col("__best") == "Semantic", "Paragraph").otherwise(F.col("__best"))  # no embedder here
+
+
+RESULT = f"struct<strategy:string,pieces:{PIECE},rating:struct<chunks:int,size_consistency:double,cohesion:double,structure:double,efficiency:double,quality:double>>"
+
+
+def auto_rated(
+    docs: DataFrame, options: ChunkOptions = ChunkOptions(), text: str = "text", url: str = "url", count=None, store: ContentCache | None = None, now: Column | None = None, minutes: float = 60
+) -> DataFrame:
+    """Auto's chunk rows with the ``rating`` of their document's result, and ``from_cache``.
+
+    With a ``store`` results are kept by the digest of URL and text and by the options: a document that is met again within
+    ``minutes`` is not cut or rated a second time.  A blank text has no chunks.
+    """
+    options.validate()
+    own = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.withColumns({"__key": F.sha2(F.concat_ws("\n", F.col(url).cast("string"), own), 256), "__text": own, "__url": F.col(url).cast("string")})
+
+    def result(rows: DataFrame) -> DataFrame:
+        scored, chosen = _with_choice(rows.select("__key", "__text", "__url"), "__text", "__url")
+        cut = scored.select("__key", "__text", chosen.alias("s"), pieces(F.col("__text"), chosen, options).alias("p"))
+        return cut.select("__key", F.struct(F.col("s").alias("strategy"), F.col("p").alias("pieces"), strategy.rating(F.col("p"), F.length("__text"), count).alias("rating")).alias("r"))
+
+    if store is None:
+        known = result(keyed.dropDuplicates(["__key"])).withColumn("from_cache", F.lit(False))
+    else:
+        kind = "auto:" + hashlib.sha256(repr(options).encode()).hexdigest()[:16]
+        wanted = keyed.select(F.col("__key").alias("url"), "__key", "__text", "__url").dropDuplicates(["url"])
+        got = store.through(wanted, lambda rows: result(rows).select(F.col("__key").alias("url"), F.to_json("r").alias("content")), now, minutes, kind)
+        known = got.select("__key", F.from_json("content", RESULT).alias("r"), "from_cache")
+    each = keyed.select("__key", F.col("__url").alias("source_url")).join(known, "__key").select("source_url", "r", "from_cache", F.posexplode("r.pieces").alias("sequence_number", "__c"))
+    number = F.col("sequence_number").cast("long")
+    return each.select(
+        "source_url", number.alias("sequence_number"), "__c.*", "r.strategy", F.sha2(F.concat_ws("|", "source_url", "r.strategy", number.cast("string")), 256).alias("chunk_id"), "r.rating", "from_cache"
+    )
 
 
 def _plain_pieces(text: Column, options: ChunkOptions) -> Column:

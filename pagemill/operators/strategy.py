@@ -143,6 +143,40 @@ def chunk_quality(chunks: DataFrame, key: str, order: str, content: str) -> Data
     )
 
 
+def rating(pieces: Column, length: Column, count=None) -> Column:
+    """How well a document is cut, from its own chunks in its row: chunks, size_consistency, cohesion, structure, efficiency, quality.
+
+    .3 evenness of sizes, .4 likeness of neighbours' words, .2 mean size against the document's share, .1 mean tokens against
+    500 to 1,500, which is 0.8 without a counter ``count(text)``.  Without chunks all is 0.
+    """
+    from pagemill.functions.text import jaccard, let, words
+
+    n = F.size(pieces)
+    mean_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(xs), F.lit(0))
+    sizes = F.transform(pieces, lambda p: F.length(p["content"]).cast("double"))
+
+    def rated(facts: Column) -> Column:
+        mean = mean_of(facts["sizes"])
+        spread = F.sqrt(mean_of(F.transform(facts["sizes"], lambda x: (x - mean) * (x - mean))))
+        size = F.when(n < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - spread / F.nullif(mean, F.lit(0.0))))
+        cohesion = F.when(n < 2, 1.0).otherwise(mean_of(facts["alike"]))
+        share = F.floor(length / F.greatest(n, F.lit(1))).cast("double")
+        structure = F.least(mean, share) / F.greatest(mean, share)
+        tokens = facts["tokens"]
+        efficiency = F.when(tokens.isNull(), 0.8).when(tokens < 500, tokens / 500.0).when(tokens > 1500, 1500.0 / tokens).otherwise(1.0)
+        parts = [F.coalesce(x, F.lit(0.0)) for x in (size, cohesion, structure, efficiency)]
+        quality = 0.3 * parts[0] + 0.4 * parts[1] + 0.2 * parts[2] + 0.1 * parts[3]
+        some = lambda c: F.when(n > 0, c).otherwise(0.0)
+        names = ("size_consistency", "cohesion", "structure", "efficiency")
+        return F.struct(n.alias("chunks"), *[some(c).alias(k) for k, c in zip(names, parts)], some(quality).alias("quality"))
+
+    bags = F.transform(pieces, lambda p: words(p["content"]))
+    last = F.greatest(n - 1, F.lit(0))
+    alike = F.zip_with(F.slice(bags, F.lit(1), last), F.slice(bags, F.lit(2), last), jaccard)
+    tokens = F.lit(None).cast("double") if count is None else mean_of(F.transform(pieces, lambda p: count(p["content"]).cast("double")))
+    return let(F.struct(sizes.alias("sizes"), alike.alias("alike"), tokens.alias("tokens")), rated)
+
+
 def _metrics(text: str) -> dict[str, float]:
     sentences = [s for s in re.split(r"[.!?]", text) if s]
     words = [w for w in re.split(r"[ \t\n\r]+", text) if w]

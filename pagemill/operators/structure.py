@@ -29,7 +29,7 @@ def headings(md: Column) -> Column:
     bare = F.regexp_replace(md, r"(?s)```.*?```", "")
     return F.transform(
         F.regexp_extract_all(bare, F.lit(r"(?m)^#{1,6}[ \t]+.+$"), F.lit(0)),
-        lambda x: F.struct(F.length(F.regexp_extract(x, "^(#+)", 1)).alias("level"), T.trim_all(F.regexp_replace(x, "^#+", "")).alias("text"), slug(T.trim_all(F.regexp_replace(x, "^#+", ""))).alias("id")),
+        lambda x: F.named_struct(F.lit("level"), F.length(F.regexp_extract(x, "^(#+)", 1)), F.lit("text"), T.trim_all(F.regexp_replace(x, "^#+", "")), F.lit("id"), slug(T.trim_all(F.regexp_replace(x, "^#+", "")))),
     )
 
 

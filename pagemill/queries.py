@@ -369,12 +369,12 @@ def chunk_by_size(pages):
     return page_chunks_by_size(pages)
 
 
-def _auto_sql() -> str:
+def _auto_sql(url: str = "source") -> str:
     has = lambda text, words: _any(text, words)
     count = " + ".join(f"contains(lower(text), '{w}')::INT" for w in _TECHNICAL)
     return f"""WITH a AS (SELECT doc_id, length(text)::BIGINT AS length, ({count}) >= 3 AS technical,
    CASE WHEN {has('lower(text)', _ACADEMIC)} THEN 'Academic' WHEN {has('lower(text)', _NEWS)} THEN 'News' WHEN {has('lower(text)', _TECHNICAL)} THEN 'Technical'
-   WHEN contains(lower(source), 'doc') OR contains(lower(source), 'api') THEN 'Documentation' WHEN contains(lower(source), 'blog') THEN 'Blog' ELSE 'Article' END AS kind FROM documents),
+   WHEN contains(lower({url}), 'doc') OR contains(lower({url}), 'api') THEN 'Documentation' WHEN contains(lower({url}), 'blog') THEN 'Blog' ELSE 'Article' END AS kind FROM documents),
    s AS (SELECT a.*, s.name, s.place,
      CASE WHEN name = 'MemoryOptimized' AND length > 100000 THEN 0.9 WHEN name = 'Smart' AND length > 50000 THEN 0.8 WHEN name = 'Paragraph' AND length > 5000 THEN 0.7 WHEN name = 'FixedSize' AND length <= 5000 THEN 0.6 ELSE 0.3 END * 0.20
      + CASE WHEN name = 'FixedSize' THEN 0.5 ELSE 0.3 END * 0.25
@@ -592,8 +592,11 @@ def _chunk_sql(pieces: str, strategy: str) -> str:
 _PARTS = _packed_sql("SELECT doc_id AS id, text FROM documents", 1792)
 
 
-@query("documents", _chunk_sql(f"""SELECT id AS doc_id, seq, NULL::VARCHAR AS title, CASE WHEN seq = 0 THEN content
-   ELSE ltrim(regexp_extract(right(lag(content) OVER (PARTITION BY id ORDER BY seq), 256), '(?s)\\s(.*)$', 1) || ' ' || content, ' ') END AS content FROM {_PARTS}""", "FixedSize"))
+_FIXED_PIECES = f"""SELECT id AS doc_id, seq, NULL::VARCHAR AS title, CASE WHEN seq = 0 THEN content
+   ELSE ltrim(regexp_extract(right(lag(content) OVER (PARTITION BY id ORDER BY seq), 256), '(?s)\\s(.*)$', 1) || ' ' || content, ' ') END AS content FROM {_PARTS}"""
+
+
+@query("documents", _chunk_sql(_FIXED_PIECES, "FixedSize"))
 def chunk_fixed(docs):
     return _chunk_columns(chunking.chunk(_documents_as_pages(docs), "FixedSize"))
 
@@ -607,7 +610,10 @@ def _cut_sql(sections: str) -> str:
 _WHOLE = "SELECT doc_id AS id, trim(text, E' \\n\\t\\r') AS text FROM documents"
 
 
-@query("documents", _chunk_sql(f"SELECT id AS doc_id, seq, NULL::VARCHAR AS title, content FROM ({_cut_sql(_WHOLE)})", "Paragraph"))
+_PARAGRAPH_PIECES = f"SELECT id AS doc_id, seq, NULL::VARCHAR AS title, content FROM ({_cut_sql(_WHOLE)})"
+
+
+@query("documents", _chunk_sql(_PARAGRAPH_PIECES, "Paragraph"))
 def chunk_paragraph(docs):
     """The test documents have no blank lines, so the SQL has one paragraph each; cases cover several."""
     return _chunk_columns(chunking.chunk(_documents_as_pages(docs), "Paragraph"))
@@ -619,8 +625,11 @@ _SECTIONS = r"""SELECT (doc_id, section) AS id, trim(string_agg(line, E'\n' ORDE
    GROUP BY doc_id, section"""
 
 
-@query("documents", _chunk_sql(f"""SELECT id[1] AS doc_id, row_number() OVER (PARTITION BY id[1] ORDER BY id[2], seq) - 1 AS seq, content, nullif(title, '') AS title
-   FROM (SELECT c.id, seq, content, regexp_extract(text, '^#{{1,6}}\\s+([^\\n]+)', 1) AS title FROM ({_cut_sql(_SECTIONS)}) c JOIN ({_SECTIONS}) t ON c.id = t.id)""", "Smart"))
+_SMART_PIECES = f"""SELECT id[1] AS doc_id, row_number() OVER (PARTITION BY id[1] ORDER BY id[2], seq) - 1 AS seq, content, nullif(title, '') AS title
+   FROM (SELECT c.id, seq, content, regexp_extract(text, '^#{{1,6}}\\s+([^\\n]+)', 1) AS title FROM ({_cut_sql(_SECTIONS)}) c JOIN ({_SECTIONS}) t ON c.id = t.id)"""
+
+
+@query("documents", _chunk_sql(_SMART_PIECES, "Smart"))
 def chunk_smart(docs):
     return _chunk_columns(chunking.chunk(_documents_as_pages(docs), "Smart"))
 
@@ -637,11 +646,6 @@ def content_metrics(docs):
     return made.select("doc_id", *[F.round(f"m.{c}", 6).alias(c) for c in ("text_density", "semantic_cohesion", "readability")])
 
 
-@query("documents")
-def chunk_auto(docs):
-    return chunking.chunk(_documents_as_pages(docs), "Auto")
-
-
 @query("documents")
 def chunk_semantic(docs):
     return chunking.semantic(_documents_as_pages(docs), chunking.hash_embedder)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill import queries, source_queries
+from pagemill import derived_queries, queries
 from pagemill.functions import dom, text, urls
 from pagemill.operators import chunking, crawl, enrich, extract, metadata, stats, strategy, structure
 from pagemill.sources import pages
@@ -330,8 +330,8 @@ def test_next_rows_over_gaps(spark):
     assert found == {1: "v3", 3: "v10", 10: "v11", 11: "v500", 500: "v501", 501: "v90000", 90_000: None}
 
 
-QUERIES = queries.QUERIES | source_queries.QUERIES | cases.QUERIES
-SQL = queries.ORACLE_SQL | source_queries.ORACLE_SQL | cases.ORACLE_SQL
+QUERIES = queries.QUERIES | derived_queries.QUERIES | cases.QUERIES
+SQL = queries.ORACLE_SQL | derived_queries.ORACLE_SQL | cases.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
