@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import options
 from pagemill.functions import text as T
 from pagemill.functions import urls as U
-from pagemill.operators import chunking, crawl, enrich, metadata, models, stats, structure, structured
+from pagemill.operators import chunking, crawl, enrich, extract, metadata, models, stats, structure, structured
 from pagemill.queries import _ABS, _DECODE, _FIXED_PIECES, _HOST, _PARAGRAPH_PIECES, _SMART_PIECES, _auto_sql, _documents_as_pages, table
 from pagemill.source_queries import ORACLE_SQL, QUERIES, query  # noqa: F401  those of the sources, to which these are added
 from pagemill.sources.cache import ContentCache
@@ -117,6 +118,65 @@ def json_paths(spark, sf_dir):
     return structured.flattened_rows(table(spark, sf_dir, "events").select("event_id", made.alias("json")), "event_id", F.col("json"))
 
 
+# Articles
+
+_ARTICLE = (
+    '<html><head><title>T %1$s</title></head><body><nav><a href="/x">Home</a></nav><header>top</header><article><h1>Head %1$s</h1><p>Words <b>bold %1$s</b> %2$s.</p>'
+    '<div class="links"><a href="/a">One</a> <a href="/b">Two</a></div><ul><li>first item of the list %1$s</li><li>second item <i>of</i> the list</li></ul>'
+    "<table><tr><th>alpha column</th><th>beta column</th></tr><tr><td>%1$s</td><td>2</td></tr></table><pre>x = %1$s</pre>"
+    '<h2>More %1$s</h2><p>Last paragraph with a <a href="/l/%1$s">link</a> inside and enough words to stay.</p></article><footer>foot</footer></body></html>'
+)
+
+
+def articles(pages: DataFrame) -> DataFrame:
+    """Each page's letters as the first paragraph of an article with all kinds of blocks, between layout and links."""
+    letters = F.trim(F.regexp_replace(T.strip_tags(F.coalesce("html", F.lit(""))), r"[^\p{L}]+", " "))
+    return pages.select("page_id", "url", F.format_string(_ARTICLE, F.col("page_id").cast("string"), letters).alias("html"))
+
+
+_LETTERS = "trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g'), '[^\\p{L}]+', ' ', 'g'))"
+_ROOT = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+')"
+_LINKS_BLOCK = "'[One](' || root || '/a) [Two](' || root || E'/b)\\n\\n'"
+_MARKDOWN = f"""SELECT page_id, url, '# Head ' || page_id || E'\\n\\nWords **bold ' || page_id || '** ' || letters || E'.\\n\\n' AS before, {_LINKS_BLOCK} AS links,
+    '- first item of the list ' || page_id || E'\\n- second item *of* the list\\n\\n| alpha column | beta column |\\n| --- | --- |\\n| ' || page_id || E' | 2 |\\n\\n```\\nx = ' || page_id || E'\\n```\\n\\n## More ' || page_id
+    || E'\\n\\nLast paragraph with a [link](' || root || '/l/' || page_id || ') inside and enough words to stay.' AS rest FROM (SELECT page_id, url, {_LETTERS} AS letters, {_ROOT} AS root FROM pages)"""
+
+
+@query(
+    f"""WITH m AS ({_MARKDOWN}) SELECT page_id, 'Head ' || page_id AS title, before || links || rest AS raw_markdown, before || rest AS text, '# Head ' || page_id || '|## More ' || page_id AS headings,
+    length(before || rest)::BIGINT AS char_count FROM m"""
+)
+def extract_articles(spark, sf_dir):
+    """Title, Markdown before and after the density filter and headings of articles: layout goes, then the block of links."""
+    made = extract.extract_pages(articles(table(spark, sf_dir, "pages")))
+    return made.select("page_id", "title", "raw_markdown", "text", joined("headings").alias("headings"), "char_count")
+
+
+@query(
+    """SELECT page_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS place, unnest(['nav', 'header', 'article', 'div', 'ul', 'table', 'footer']) AS tag, unnest([true, false, false, true, false, false, false]) AS dropped,
+    unnest([-1.0, 0.3, NULL, -1.0, NULL, NULL, 0.3])::DOUBLE AS score FROM pages"""
+)
+def density_articles(spark, sf_dir):
+    """The containers of articles by the density rule: blocks of links fall below zero, layout with words counts little."""
+    made = extract.density_scores(articles(table(spark, sf_dir, "pages")), "page_id")
+    shown = F.when(F.col("tag").isin("nav", "header", "div", "footer"), F.round("score", 9))
+    return made.select("page_id", "place", "tag", (F.col("score") < 0).alias("dropped"), shown.alias("score"))
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, url, {_LETTERS} AS letters FROM pages)
+    SELECT page_id, unnest(range(11))::BIGINT AS sequence_number, unnest(['Text', 'Text', 'Text', 'Text', 'Text', 'List', 'Table', 'Code', 'Text', 'Text', 'Text']) AS chunk_type,
+    unnest(['Words', 'bold ' || page_id, trim(letters || '.'), 'One', 'Two', '• first item of the list ' || page_id || E'\\n• second item of the list', E'alpha column | beta column\\n' || page_id || ' | 2', 'x = ' || page_id,
+      'Last paragraph with a', 'link', 'inside and enough words to stay.']) AS content,
+    'Head ' || page_id || unnest(['', '', '', '', '', '', '', '', '|More ' || page_id, '|More ' || page_id, '|More ' || page_id]) AS path FROM t"""
+)
+def chunk_articles(spark, sf_dir):
+    """Articles cut along their structure, each chunk with the headings above it."""
+    pages = articles(table(spark, sf_dir, "pages")).withColumn("url", F.col("page_id").cast("string"))
+    made = chunking.chunk(pages, "DomStructure")
+    return made.select(F.col("source_url").cast("long").alias("page_id"), "sequence_number", "chunk_type", "content", joined("heading_path").alias("path"))
+
+
 # Sites
 
 
@@ -176,6 +236,89 @@ def markdown_elements(spark, sf_dir):
     return made.select("doc_id", "matter", "toc", "headings", "images", "e.kind", "e.text", "e.target", "e.level", "e.items")
 
 
+@query(
+    """WITH n AS (SELECT doc_id, doc_id::VARCHAR AS n FROM documents)
+    SELECT doc_id, unnest(['Link', 'Link', 'Link', 'Image', 'Link', 'Link', 'Link']) AS kind, unnest(['named ' || n, 'Ref', 'https://auto.example/' || n, 'pic', 'top', 'write', 'video']) AS text,
+    unnest(['https://ref.example/' || n, 'https://ref.example/' || n, 'https://auto.example/' || n, '/pics/' || n || '.png', '#top', 'mailto:a@b.c', 'https://youtu.be/' || n]) AS target,
+    unnest(['AutoLink', 'AutoLink', 'AutoLink', 'Inline', 'Internal', 'Email', 'AutoLink']) AS link_kind, 'YouTube=https://youtu.be/' || n AS embeds, 'give the document a title|add a description' AS advice, 'clear headings' AS strengths FROM n"""
+)
+def markdown_links(spark, sf_dir):
+    """Links by name, between brackets, to places and by mail, embeds, and what the quality rule advises."""
+    n = F.col("doc_id").cast("string")
+    md = F.format_string(
+        "# Head\n\n%2$s [named %1$s][ref], [Ref][], [not defined][x] `[code](c)` <https://auto.example/%1$s>\n\n![pic][pics] and [top](#top) [write](mailto:a@b.c) [video](https://youtu.be/%1$s)\n\n[ref]: https://ref.example/%1$s 'R'\n[PICS]: </pics/%1$s.png>\n",
+        n, F.repeat(F.lit("word "), 120),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", structure.element_rows(md).alias("e"))
+    none = F.lit(None).cast("string")
+    q = structure.quality(F.col("e"), F.lit(120), F.lit(0.5), none, none)
+    embedded = joined(F.transform(structure.embeds(F.col("e")), lambda x: F.concat(x["kind"], F.lit("="), x["url"])))
+    made = docs.select("doc_id", "e", embedded.alias("embeds"), joined(q["recommendations"]).alias("advice"), joined(q["strengths"]).alias("strengths"))
+    each = made.select("doc_id", "embeds", "advice", "strengths", F.explode("e").alias("x")).where("x.kind in ('Link', 'Image')")
+    return each.select("doc_id", "x.kind", "x.text", "x.target", structure.link_kind(F.col("x.target")).alias("link_kind"), "embeds", "advice", "strengths")
+
+
+# Settings
+
+
+@query(
+    f"""WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages), s AS (SELECT host, length(host) AS n FROM h)
+    SELECT host, 'Jekyll' AS kind, host AS title, CASE WHEN n % 2 = 0 THEN 'about ' || host END AS description, n % 3 = 0 AS drafts, 'jekyll-feed|redcarpet' AS plugins,
+    concat_ws('|', CASE WHEN n % 2 <> 0 THEN 'Warning description' END, CASE WHEN n % 3 = 0 THEN 'Warning show_drafts' END, CASE WHEN n % 5 <> 0 THEN 'Info compress_html' END, 'Info sass.style', 'Info google_analytics', 'Warning sitemap', 'Warning plugins: redcarpet') AS issues,
+    concat_ws('|', CASE WHEN n % 5 <> 0 THEN 'Performance Medium compress_html false true' END, 'Performance Medium sass.style nested compressed', CASE WHEN n % 3 = 0 THEN 'Security High show_drafts true false' END,
+      'Seo Medium google_analytics GA_TRACKING_ID', 'Seo High sitemap false true', 'BestPractice Medium plugins redcarpet kramdown') AS advice,
+    round((2 + CASE WHEN n % 2 = 0 THEN 2 ELSE 0 END + 1 + 1) / 10.0, 6)::DOUBLE AS completeness, CASE WHEN n % 3 = 0 THEN 0.8 ELSE 1.0 END::DOUBLE AS security, CASE WHEN n % 5 = 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS performance,
+    round(CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END / 6.0, 6)::DOUBLE AS seo, 0.9::DOUBLE AS practice, 'title: "' || host || '"' || CASE WHEN n % 2 = 0 THEN E'\\ndescription: "about ' || host || '"' ELSE '' END || E'\\nbaseURL: "https://' || host || '"' AS hugo, true AS to_hugo FROM s"""
+)
+def site_settings(spark, sf_dir):
+    """Settings of every host of the pages: sections, faults, advice, ratings, and the form for another generator."""
+    n = F.length("host")
+    paths = F.map_filter(
+        F.create_map(
+            F.lit("title"), F.col("host"), F.lit("description"), F.when(n % 2 == 0, F.concat(F.lit("about "), "host")), F.lit("url"), F.concat(F.lit("https://"), "host"), F.lit("environment"), F.lit("production"),
+            F.lit("show_drafts"), F.when(n % 3 == 0, "true").otherwise("false"), F.lit("compress_html"), F.when(n % 5 == 0, "yes").otherwise("no"), F.lit("sass.style"), F.lit("nested"),
+            F.lit("plugins[0]"), F.lit("jekyll-feed"), F.lit("plugins[1]"), F.lit("redcarpet"),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    sites = table(spark, sf_dir, "pages").select(U.domain_key(F.col("url")).alias("host")).distinct().withColumn("p", paths)
+    c = structure.site_config(F.lit("_config.yml"), F.lit(""), F.col("p"))
+    q = structure.site_quality(c)
+    listed = lambda rows, *names: joined(F.transform(rows, lambda r: F.concat_ws(" ", *[r[k] for k in names])))
+    return sites.select(
+        "host", c["kind"].alias("kind"), c["title"].alias("title"), c["description"].alias("description"), c["show_drafts"].alias("drafts"), joined(c["plugins"]).alias("plugins"),
+        listed(structure.site_issues(c), "severity", "key").alias("issues"), listed(structure.site_recommendations(c), "type", "priority", "setting", "current", "recommended").alias("advice"),
+        *[F.round(q[k], 6).alias(k) for k in ("completeness", "security", "performance", "seo", "practice")], structure.converted(c, "Hugo").alias("hugo"), structure.can_migrate(c["kind"], "Hugo").alias("to_hugo"),
+    )
+
+
+_FAULT = "CASE WHEN {0} THEN '{1}' END"
+
+
+@query(
+    "SELECT event_id, concat_ws('; ', "
+    + ", ".join(
+        _FAULT.format(*x)
+        for x in (
+            ("event_id % 5 - 1 <= 0", "crawl: max_pages must be greater than 0"), ("event_id % 3 - 1 < 0", "crawl: max_depth must be at least 0"), ("value / 10 > 1", "crawl: min_confidence must be from 0 to 1"),
+            ("event_id % 4 - 1 < 0", "extract: max_retries must be at least 0"), ("event_id % 7 <= 0", "extract: cache_minutes must be greater than 0"), ("event_id % 100 <= user_id % 100", "html_chunks: max_chunk_size must be greater than min_chunk_size"),
+            ("value / 20 <= 0 OR value / 20 > 1", "reconstruct: summary_ratio must be above 0 to 1"), ("value / 5 < 1", "reconstruct: expansion_ratio must be at least 1"), ("event_id % 6 > 2", "reconstruct: temperature must be from 0 to 2"),
+            ("event_id % 9 <= 0", "analysis: max_section_depth must be greater than 0"), ("event_id % 8 <= 0", "pipeline: total_timeout_ms must be greater than 0"),
+        )
+    )
+    + ") AS faults FROM events"
+)
+def option_faults(spark, sf_dir):
+    """Options made of the events' numbers, checked by class: every fault of a row at once."""
+    e, v = F.col("event_id"), F.col("value")
+    given = {
+        "crawl": {"max_pages": e % 5 - 1, "max_depth": e % 3 - 1, "min_confidence": v / 10}, "extract": {"max_retries": e % 4 - 1, "cache_minutes": e % 7},
+        "html_chunks": {"max_chunk_size": e % 100 + 1, "min_chunk_size": F.col("user_id") % 100 + 1}, "reconstruct": {"summary_ratio": v / 20, "expansion_ratio": v / 5, "temperature": e % 6},
+        "analysis": {"max_section_depth": e % 9}, "pipeline": {"total_timeout_ms": e % 8},
+    }
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(options.all_faults(given), "; ").alias("faults"))
+
+
 # Titles and contents
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import token_estimate, trim_all, word_count
+from pagemill.functions.text import let, token_estimate, trim_all, word_count
 
 #: Keyword lists of the quality rules.
 PAYWALL = (
@@ -33,7 +33,8 @@ AD_TAG = r"(?i)<(ins|iframe)[^>]*(adsense|doubleclick|googlesyndication)[^>]*>"
 
 
 def any_of(text: Column, keywords: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(map(re.escape, keywords)).replace("\\ ", " "))
+    """Whether a text holds any of some words; the text is made once, each word a plain search."""
+    return let(text, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in keywords]))
 
 
 def _both(html: Column, text: Column) -> Column:

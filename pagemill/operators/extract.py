@@ -133,11 +133,17 @@ def scored(root: Node) -> list[tuple[Node, float]]:
     return [(n, density(n, found[id(n)])) for n in root.walk() if n.tag in CONTAINERS and n.parent]
 
 
+def thinned(root: Node) -> int:
+    """Drop the containers of negative score; all are scored before any goes.  Returns how many there were."""
+    found = [node for node, score in reversed(scored(root)) if score < 0]
+    for node in found:
+        node.remove()
+    return len(found)
+
+
 def dense(root: Node) -> Node:
-    """Drop the containers of negative score; all are scored before any goes."""
-    for node, score in reversed(scored(root)):
-        if score < 0:
-            node.remove()
+    """The tree without its containers of negative score."""
+    thinned(root)
     return root
 
 
@@ -157,7 +163,7 @@ def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", main_o
         root = dom.parse(page)
         body = clean(root, address, main_only)
         raw = dom.markdown(body)
-        return raw, dom.markdown(dense(body))
+        return raw, dom.markdown(body) if thinned(body) else raw
 
     def convert(htmls: pa.Array, urls: pa.Array) -> pa.Array:
         rows = [one(h, u) for h, u in zip(htmls.to_pylist(), urls.to_pylist())]

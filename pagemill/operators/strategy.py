@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
+
 STRATEGIES = ("FixedSize", "Paragraph", "Smart", "Semantic", "MemoryOptimized")
 #: Keyword sets, weights and score tables.
 TECHNICAL = (
@@ -35,24 +38,21 @@ RECOMMEND_TECHNICAL = ("class ", "function ", "method ", "api ", "```", "code",
 RICH_SITES = ("github.com", "stackoverflow.com", "medium.com", "dev.to", "docs.", "api.", "learn.", "guide.", "manual.")
 
 
-FACTS = "struct<technical:int,academic:boolean,news:boolean,code:int>"
-
-
 def keyword_facts(text: Column) -> Column:
     """How many technical and code words a lower-case text holds anywhere, and whether it has academic or news words."""
-
-    def run(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in texts.to_pylist():
-            t = t or ""
-            rows.append({"technical": sum(w in t for w in TECHNICAL), "academic": any(w in t for w in ACADEMIC), "news": any(w in t for w in NEWS), "code": sum(w in t for w in RECOMMEND_TECHNICAL)})
-        return pa.array(rows, pa.struct([("technical", pa.int32()), ("academic", pa.bool_()), ("news", pa.bool_()), ("code", pa.int32())]))
-
-    return F.arrow_udf(run, FACTS).asNondeterministic()(text)
+    held = lambda t, words: [F.contains(t, F.lit(w)) for w in words]
+    count = lambda t, words: reduce(Column.__add__, [x.cast("int") for x in held(t, words)])
+    some = lambda t, words: reduce(Column.__or__, held(t, words))
+    return let(
+        F.coalesce(text, F.lit("")),
+        lambda t: F.named_struct(
+            F.lit("technical"), count(t, TECHNICAL), F.lit("academic"), some(t, ACADEMIC), F.lit("news"), some(t, NEWS), F.lit("code"), count(t, RECOMMEND_TECHNICAL),
+        ),
+    )
 
 
 def _has(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(map(re.escape, words)))
+    return let(text, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words]))
 
 
 def analysis(text: Column, url: Column, headings: Column, images: Column, facts: Column) -> dict[str, Column]:
@@ -149,7 +149,7 @@ def rating(pieces: Column, length: Column, count=None) -> Column:
     .3 evenness of sizes, .4 likeness of neighbours' words, .2 mean size against the document's share, .1 mean tokens against
     500 to 1,500, which is 0.8 without a counter ``count(text)``.  Without chunks all is 0.
     """
-    from pagemill.functions.text import jaccard, let, words
+    from pagemill.functions.text import jaccard, words
 
     n = F.size(pieces)
     mean_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(xs), F.lit(0))

@@ -39,7 +39,32 @@ def toc(md: Column) -> Column:
 
 
 def link_kind(url: Column) -> Column:
-    return F.when(F.startswith(url, F.lit("#")), "Internal").when(F.startswith(url, F.lit("mailto:")), "Email").otherwise("Inline")
+    """Internal, Email, AutoLink for a whole address, else Inline."""
+    whole = url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\s<>\"{}|\\^`]+$")
+    return F.when(F.startswith(url, F.lit("#")), "Internal").when(F.startswith(url, F.lit("mailto:")), "Email").when(whole, "AutoLink").otherwise("Inline")
+
+
+#: What is embedded, by the hosts that an address names anywhere.
+EMBEDS = {
+    "YouTube": ("youtube.com", "youtu.be"), "Vimeo": ("vimeo.com",), "Twitter": ("twitter.com", "x.com"), "GitHubGist": ("gist.github.com",), "CodePen": ("codepen.io",),
+}
+
+
+def embed_kind(url: Column) -> Column:
+    """The kind of what an address embeds; null for a plain link."""
+    chain = F
+    for kind, hosts in EMBEDS.items():
+        held = F.contains(url, F.lit(hosts[0]))
+        for host in hosts[1:]:
+            held = held | F.contains(url, F.lit(host))
+        chain = chain.when(held, kind)
+    return chain.otherwise(None)
+
+
+def embeds(elements: Column) -> Column:
+    """(kind, url, title) of the links and images of a document that embed something."""
+    found = F.filter(elements, lambda e: e["kind"].isin("Link", "Image") & embed_kind(e["target"]).isNotNull())
+    return F.transform(found, lambda e: F.named_struct(F.lit("kind"), embed_kind(e["target"]), F.lit("url"), e["target"], F.lit("title"), e["text"]))
 
 
 # Elements
@@ -50,6 +75,8 @@ _FENCE = re.compile(r"^ {0,3}(```+|~~~+)\s*([^\s`]*)")
 _ITEM = re.compile(r"^[ \t]*(?:[-*+]|\d+[.)])[ \t]+(\[[ xX]\][ \t]+)?\S")
 _RULE = re.compile(r"^\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*$")
 _LINK = re.compile(r"(!?)\[([^\]]*)\]\(\s*([^)\s]*)[^)]*\)|<((?:https?://|mailto:)[^>\s]+)>")
+_REFERENCE = re.compile(r"^ {0,3}\[([^\]^][^\]]*)\]:[ \t]*<?([^\s>]+)>?(?:[ \t]+.*)?$")
+_BY_REFERENCE = re.compile(r"(!?)\[([^\]]+)\](?:\[([^\]]*)\])?(?![\[(:])")
 _FRONT = re.compile(r"\A---\s*\n.*?\n---\s*\n", re.DOTALL)
 
 
@@ -58,6 +85,7 @@ def _scan(md: str) -> list[tuple[str, str, str | None, int, int, int]]:
     out: list[list] = []
     fence, run = None, None  # the open fence; the kind of the block that the line before belongs to
     lines = _FRONT.sub("", md).split("\n")
+    addresses = _references(lines)
     for k, line in enumerate(lines):
         mark = _FENCE.match(line)
         if fence:
@@ -84,6 +112,9 @@ def _scan(md: str) -> list[tuple[str, str, str | None, int, int, int]]:
             out[-1][4] += 1
             out[-1][5] += bool(item[1]) and item[1][1] in "xX"
             kind = "List"
+        elif _REFERENCE.match(line):
+            run = None
+            continue
         elif line.startswith(">"):
             if run != "Quote":
                 out.append(["Quote", line[1:].strip(), None, 0, 0, 0])
@@ -93,7 +124,7 @@ def _scan(md: str) -> list[tuple[str, str, str | None, int, int, int]]:
         elif run == "List" and line.startswith(("  ", "\t")):
             kind = "List"
         block, run = len(out), kind
-        found = [["Image" if m[1] else "Link", m[2] or m[4] or "", m[3] if m[4] is None else m[4], 0, 0, 0] for m in _LINK.finditer(re.sub(r"`[^`]*`", "", line))]
+        found = _links(re.sub(r"`[^`]*`", "", line), addresses)
         if kind in ("Table", "List") and found:  # the block stays the last, for its next line
             out[block - 1 : block - 1] = found
         else:
@@ -106,6 +137,29 @@ def _scan(md: str) -> list[tuple[str, str, str | None, int, int, int]]:
     return [tuple(x) for x in out]
 
 
+def _references(lines: list[str]) -> dict[str, str]:
+    """The addresses that a document defines by name, outside code; of several for a name the first."""
+    found: dict[str, str] = {}
+    fenced = False
+    for line in lines:
+        if _FENCE.match(line):
+            fenced = not fenced
+        elif not fenced and (m := _REFERENCE.match(line)):
+            found.setdefault(" ".join(m[1].lower().split()), m[2])
+    return found
+
+
+def _links(line: str, addresses: dict[str, str]) -> list[list]:
+    """Links and images of a line in order: with their address, between angle brackets, or by a name that the document defines."""
+    found = [(m.start(), ["Image" if m[1] else "Link", m[2] or m[4] or "", m[3] if m[4] is None else m[4], 0, 0, 0]) for m in _LINK.finditer(line)]
+    if addresses:
+        for m in _BY_REFERENCE.finditer(line):
+            target = addresses.get(" ".join((m[3] or m[2]).lower().split()))
+            if target is not None:
+                found.append((m.start(), ["Image" if m[1] else "Link", m[2], target, 0, 0, 0]))
+    return [e for _, e in sorted(found, key=lambda f: f[0])]
+
+
 def element_rows(md: Column) -> Column:
     """Every element of a document: headings, code, tables (rows as items, columns as level), lists, quotes, links, images, footnotes, math."""
     names = ("kind", "text", "target", "level", "items", "done")
@@ -172,7 +226,14 @@ def quality(elements: Column, words: Column, readable: Column, title: Column, de
             F.when(first, "Warning: first heading is not h1"), F.when(F.coalesce(title, F.lit("")) == "", "Warning: no title"),
         )
     )
-    return {**parts, "overall": sum((parts[k] * w for k, w in weights.items()), F.lit(0.0)), "issues": issues}
+    advice = F.array_compact(
+        F.array(
+            F.when(F.size(heads) == 0, "add headings"), F.when(words < 100, "write more"), F.when(bare > 0, "describe all images"), F.when(first, "begin with a heading of the first level"),
+            F.when(F.coalesce(title, F.lit("")) == "", "give the document a title"), F.when(F.coalesce(description, F.lit("")) == "", "add a description"),
+        )
+    )
+    strengths = F.array_compact(F.array(F.when(F.size(heads) > 0, "clear headings"), F.when(F.size(heads) > 3, "detailed table of contents")))
+    return {**parts, "overall": sum((parts[k] * w for k, w in weights.items()), F.lit(0.0)), "issues": issues, "recommendations": advice, "strengths": strengths}
 
 
 def to_html(md: Column) -> Column:
@@ -347,6 +408,42 @@ def site_issues(c: dict[str, Column]) -> Column:
     return F.concat(found, old)
 
 
+#: What takes the place of each plugin that is out of use.
+IN_PLACE_OF = {"jekyll-paginate": "jekyll-paginate-v2", "redcarpet": "kramdown"}
+
+
+def site_recommendations(c: dict[str, Column]) -> Column:
+    """(type, priority, setting, current, recommended) of each change that would improve the settings."""
+    names = ("type", "priority", "setting", "current", "recommended")
+
+    def advice(when: Column, *values: str | Column | None) -> Column:
+        columns = [v if isinstance(v, Column) else F.lit(v).cast("string") for v in values]
+        return F.when(when, F.named_struct(*[x for n, v in zip(names, columns) for x in (F.lit(n), v)]))
+
+    found = F.array(
+        advice(~c["compress_html"], "Performance", "Medium", "compress_html", "false", "true"),
+        advice(F.coalesce(c["sass_style"] != "compressed", F.lit(True)), "Performance", "Medium", "sass.style", F.coalesce(c["sass_style"], F.lit("expanded")), "compressed"),
+        advice(F.coalesce(c["show_drafts"] & (c["environment"] == "production"), F.lit(False)), "Security", "High", "show_drafts", "true", "false"),
+        advice(c["analytics"].isNull(), "Seo", "Medium", "google_analytics", None, "GA_TRACKING_ID"),
+        advice(~c["sitemap"], "Seo", "High", "sitemap", "false", "true"),
+    )
+    better = F.create_map(*[F.lit(x) for pair in IN_PLACE_OF.items() for x in pair])
+    old = F.transform(
+        F.filter(c["plugins"], lambda p: F.lower(p).isin(*DEPRECATED)),
+        lambda p: F.named_struct(*[x for n, v in zip(names, (F.lit("BestPractice"), F.lit("Medium"), F.lit("plugins"), p, F.try_element_at(better, F.lower(p)))) for x in (F.lit(n), v)]),
+    )
+    return F.concat(F.array_compact(found), old)
+
+
+#: Which generator's settings can be written for which other one.
+MIGRATIONS = {"Jekyll": ("Hugo", "GitBook"), "Hugo": ("Jekyll", "GitBook"), "GitBook": ("Jekyll", "Hugo")}
+
+
+def can_migrate(source: Column, target: str) -> Column:
+    """Whether settings of one generator have a form for another; to itself always."""
+    return (source == target) | source.isin(*[s for s, targets in MIGRATIONS.items() if target in targets])
+
+
 def site_quality(c: dict[str, Column]) -> dict[str, Column]:
     """Completeness, security, performance, SEO and practice of the settings, each from 0 to 1, and their mean."""
     total = lambda **parts: sum((F.when(F.coalesce(when, F.lit(False)), float(n)).otherwise(0.0) for when, n in parts.values()), F.lit(0.0))

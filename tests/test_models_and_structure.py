@@ -4,8 +4,8 @@ import pytest
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 
-from pagemill.functions import urls
-from pagemill.operators import chunking, models, strategy, structured
+from pagemill.functions import options, urls
+from pagemill.operators import chunking, models, strategy, structure, structured
 from pagemill.sources.cache import ContentCache
 
 
@@ -154,3 +154,27 @@ def test_sitemaps_by_xml_and_by_pattern(spark):
     df = spark.createDataFrame(list(enumerate(xml)), "id int, x string")
     found = {r.id: r.l for r in df.select("id", urls.sitemap_locs(F.col("x")).alias("l")).collect()}
     assert found == {0: ["https://a/1?x=1&y"], 1: ["https://a/s.xml", "https://a/u"], 2: ["https://a/deep"], 3: ["https://a/2", "https://a/3"], 4: ["https://a/4"], 5: [], 6: None}
+
+
+def test_options():
+    assert options.checked("crawl", max_pages=1, min_confidence=1.0, max_depth=0) == {"max_pages": 1, "min_confidence": 1.0, "max_depth": 0}
+    for kind, given, want in (
+        ("crawl", {"max_pages": 0, "min_confidence": 1.1, "max_retries": -1}, "max_pages must be greater than 0; min_confidence must be from 0 to 1; max_retries must be at least 0"),
+        ("reconstruct", {"summary_ratio": 0, "temperature": 2.5}, "summary_ratio must be above 0 to 1; temperature must be from 0 to 2"),
+        ("html_chunks", {"max_chunk_size": 5, "min_chunk_size": 5}, "max_chunk_size must be greater than min_chunk_size"), ("pipeline", {"speed": 1}, "unknown option speed"),
+    ):
+        with pytest.raises(ValueError, match=want):
+            options.checked(kind, **given)
+
+
+def test_option_columns(spark):
+    df = spark.createDataFrame([(0, 2.0), (1, 1.0), (None, None)], "a int, b double")
+    found = [r.f for r in df.select(options.faults("crawl", {"max_pages": F.col("a"), "min_confidence": F.col("b")}).alias("f")).collect()]
+    assert found == [["max_pages must be greater than 0", "min_confidence must be from 0 to 1"], [], []]
+
+
+def test_links_by_name():
+    md = "[a][X y] ![b][] [c]\n\n```\n[d]: http://code\n[a][x y]\n```\n- [x] task [B]\n\n[x  Y]: <http://x> \"T\"\n[b]: /b.png\n[b]: /second\n[c]: #c\ntext [d]: no [^1]\n\n[^1]: note\n"
+    found = [e[:3] for e in structure._scan(md)]
+    assert [e for e in found if e[0] in ("Link", "Image")] == [("Link", "a", "http://x"), ("Image", "b", "/b.png"), ("Link", "c", "#c"), ("Link", "B", "/b.png")]
+    assert [e[0] for e in found if e[0] not in ("Link", "Image")] == ["Code", "List", "Footnote"]
