@@ -15,6 +15,7 @@ from pagemill.functions import urls as U
 from pagemill.operators import chunking, crawl, enrich, extract, metadata, models, stats, structure, structured
 from pagemill.queries import _ABS, _DECODE, _FIXED_PIECES, _HOST, _PARAGRAPH_PIECES, _SMART_PIECES, _auto_sql, _documents_as_pages, table
 from pagemill.source_queries import ORACLE_SQL, QUERIES, query  # noqa: F401  those of the sources, to which these are added
+from pagemill.sources import pages as pages_source
 from pagemill.sources.cache import ContentCache
 from pagemill.sources.shared import shared_dir
 
@@ -436,3 +437,182 @@ def complete_batches(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "own").alias("title"), F.lit(None).cast("string").alias("description"))
     made = enrich.merged(enrich.with_metadata(docs, models.complete_with("first-words", FirstWords, rows=8)))
     return made.select("doc_id", F.when(F.col("title") != "", F.col("title")).alias("title"), joined("ai.topics").alias("topics"), F.col("metadata_source").alias("source"))
+
+
+# Crawls
+
+
+@query(
+    """WITH RECURSIVE p AS (SELECT DISTINCT page_id AS n FROM pages WHERE page_id >= 0),
+    w AS (SELECT n AS start, n, 0 AS depth, '' AS path FROM p UNION ALL SELECT start, p.n, depth + 1, path || CASE WHEN p.n % 2 = 1 THEN 'a' ELSE 'b' END FROM w JOIN p ON p.n IN (2 * w.n + 1, 2 * w.n + 2) WHERE depth < 2)
+    SELECT 'https://t.example/p' || start AS start, row_number() OVER (PARTITION BY start ORDER BY path) - 1 AS visit, depth, 'https://t.example/p' || n AS url FROM w"""
+)
+def tree_crawl(spark, sf_dir):
+    """A site whose page n links to pages 2n + 1 and 2n + 2 and back: from every page depth first, two steps deep."""
+    n = F.col("page_id")
+    address = lambda k: F.concat(F.lit("https://t.example/p"), k.cast("string"))
+    html = F.format_string('<a href="/p%d">a</a><a href="%s">b</a><a href="/p%d">up</a>', 2 * n + 1, address(2 * n + 2), F.floor((n - 1) / 2).cast("long"))
+    pages = table(spark, sf_dir, "pages").where("page_id >= 0").select("page_id").distinct().select(address(n).alias("url"), html.alias("html"), n)
+    down = pages.withColumn("html", F.regexp_replace("html", r'<a href="/p-?\d+">up</a>', ""))  # a link back leads to what was visited, or out of the subtree
+    return crawl.crawl_depth_first(down, down, max_depth=2)
+
+
+@query(
+    f"""WITH d AS (SELECT DISTINCT url FROM pages), l AS (SELECT {_HOST} AS host, url FROM d UNION ALL SELECT DISTINCT {_HOST}, 'https://missing.example/' || {_HOST} FROM d)
+    SELECT host || '/map.xml' AS sitemap, url, NOT starts_with(url, 'https://missing.') AS known FROM l"""
+)
+def sitemap_crawl(spark, sf_dir):
+    """Sitemaps of all hosts, each with one address more than there are pages, and the pages that they list."""
+    pages = table(spark, sf_dir, "pages")
+    addresses = pages.select(U.domain_key(F.col("url")).alias("host"), "url").distinct()
+    more = addresses.select("host", F.concat(F.lit("https://missing.example/"), "host").alias("url")).distinct()
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    parts = addresses.union(more).groupBy("host", F.pmod(F.xxhash64("url"), F.lit(64)).alias("part")).agg(F.concat_ws("", F.collect_list(entry)).alias("urls"))
+    maps = parts.select(F.concat("host", F.lit("/map.xml")).alias("url"), F.concat(F.lit("<urlset>"), "urls", F.lit("</urlset>")).alias("xml"))
+    return crawl.crawl_sitemap(maps, pages).select("sitemap", "url", F.col("html").isNotNull().alias("known"))
+
+
+# Addresses and texts
+
+
+@query("SELECT page_id, page_id % 2 = 0 AS same, CASE WHEN page_id % 2 = 0 THEN 'c.png' ELSE 'b' || page_id || '.png' END AS best FROM pages")
+def url_variants(spark, sf_dir):
+    """Addresses against a variant of themselves, the same but for writing or another page; the widest source of an image."""
+    url = F.col("url")
+    same = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^([a-z]+)://", "$1://www.")
+    n = F.col("page_id")
+    sources = F.concat(F.lit("a.png 320w, b"), n.cast("string"), F.lit(".png 640w"), F.when(n % 2 == 0, ", c.png 2x,").otherwise(", d.png 0.5x"))
+    bare = F.regexp_replace(url, "#.*$", "")
+    other = F.when(n % 2 == 0, F.regexp_replace(same, "//www[.]www[.]", "//www.")).otherwise(F.concat(bare, F.lit("x/"), n.cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", U.equivalent(url, other).alias("same"), U.srcset_best(sources).alias("best"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, text, list_filter([trim(x, E' \t\r\x0b\f') FOR x IN string_split(text, E'\n')], lambda x: x <> '') AS lines, list_filter([trim(x, E' \t\r\n\x0b\f') FOR x IN string_split_regex(text, '[.!?]')], lambda x: x <> '') AS parts,
+    len(list_filter(string_split_regex(text, '[ \t\n\r]+'), lambda x: x <> '')) AS n, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents)
+    SELECT doc_id, length(trim(regexp_replace(text, E'\n{3,}', E'\n\n', 'g'), E' \t\r\n\x0b\f'))::BIGINT AS normalized, length(replace(text, chr(13), chr(10)))::BIGINT AS cleaned, CASE WHEN length(flat) < 50 THEN 0 ELSE length(flat) END::BIGINT AS flat,
+    CASE WHEN length(lines[1]) > 100 THEN lines[1][1:100] || '...' ELSE lines[1] END AS title, CASE WHEN length(array_to_string(parts[1:2], '. ')) > 300 THEN array_to_string(parts[1:2], '. ')[1:300] || '...' ELSE array_to_string(parts[1:2], '. ') END AS description,
+    greatest(1.0, round_even(n / 200.0, 1))::DOUBLE AS minutes, length(text)::BIGINT AS own_tokens FROM t"""
+)
+def text_rules(spark, sf_dir):
+    """Cleaning, title, description, reading time and a token counter of the caller's own, for every document."""
+    text = F.col("text")
+    long = lambda c: F.length(c).cast("long")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", long(T.normalize_markdown(text)).alias("normalized"), long(T.preprocess(text)).alias("cleaned"), long(T.postprocess(text)).alias("flat"), T.title_from_text(text).alias("title"),
+        T.description_from_text(text).alias("description"), T.reading_minutes(T.word_count(text)).alias("minutes"), T.count_tokens(text, F.length).cast("long").alias("own_tokens"),
+    )
+
+
+_KINDS = ("text/html; charset=utf-8", "application/json", "text/xml", "text/markdown", "text/plain", "image/png")
+
+
+@query(
+    """SELECT page_id, unnest(['Html', 'Json', 'Xml', 'Markdown', 'Text', 'Default']) AS reader, unnest(['Text', 'Json', 'Xml', 'Markdown', 'Text', 'Text']) AS exact,
+    unnest(['Page ' || page_id || ' & more', 'JSON Content', 'XML Content', 'Markdown Content', 'Text Content', 'Text Content']) AS title,
+    unnest(['Page ' || page_id || ' & moretext ' || page_id, '{"n":' || page_id || ',"t":["a","b"]}', '<n>' || page_id || '</n>', '# ' || page_id, 'plain <b>' || page_id, 'x' || page_id]) AS text FROM pages"""
+)
+def content_kinds(spark, sf_dir):
+    """A reply of each kind for every page: its reader by either rule, its title and its text."""
+    n = F.col("page_id").cast("string")
+    bodies = ("<title>Page %s &amp; more</title><p>text %s</p>", ' {"n": %s, "t": ["a", "b"]}', "<n>%s</n>", "# %s", "plain <b>%s", "x%s")
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.format_string(b, *[n] * b.count("%s")).alias("body")) for k, b in zip(_KINDS, bodies)])
+    each = table(spark, sf_dir, "pages").select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
+    kind, body = F.col("kind"), F.col("body")
+    title = T.decode_entities(pages_source.basic_title(body, kind))
+    return each.select("page_id", pages_source.extractor_for(kind).alias("reader"), pages_source.exact_extractor(kind).alias("exact"), title.alias("title"), pages_source.basic_text(body, kind).alias("text"))
+
+
+# Chunks of special cases
+
+
+@query(f"SELECT doc_id::VARCHAR AS source_url, 'MemoryOptimized' AS strategy, seq::BIGINT AS sequence_number, content, sha256(doc_id || '|MemoryOptimized|' || seq) AS chunk_id FROM ({_FIXED_PIECES})")
+def chunk_memory(spark, sf_dir):
+    made = chunking.chunk(_documents_as_pages(table(spark, sf_dir, "documents")), "MemoryOptimized")
+    return made.select("source_url", "strategy", "sequence_number", "content", "chunk_id")
+
+
+@query(
+    """WITH p AS (SELECT page_id, 'A sentence that is repeated many times over here. ' AS s FROM pages),
+    k AS (SELECT *, (1500 + 1 - length('tiny ' || page_id) - 2) // length(s) AS a, (1500 + 1) // length(s) AS b FROM p)
+    SELECT page_id, unnest([0, 1, 2])::BIGINT AS sequence_number, unnest(['tiny ' || page_id || E'\\n\\n' || trim(repeat(s, a)), trim(repeat(s, b)), trim(repeat(s, 70 - a - b))]) AS content FROM k"""
+)
+def chunk_sections(spark, sf_dir):
+    """Sections of pages: a small chunk joins the next, a large one is cut after sentences."""
+    html = F.format_string("<article><section><p>tiny %s</p><p>%s</p></section></article>", F.col("page_id").cast("string"), F.repeat(F.lit("A sentence that is repeated many times over here. "), 70))
+    made = chunking.chunk(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), html.alias("html")), "DomStructure")
+    return made.select(F.col("source_url").cast("long").alias("page_id"), "sequence_number", "content")
+
+
+def first_letters(sentences):
+    """An embedder of columns for tests: whether a sentence begins with a, b or anything else."""
+    one = lambda s, letter: F.when(F.lower(F.substring(s, 1, 1)) == letter, 1.0).otherwise(0.0)
+    return F.transform(sentences, lambda s: F.array(one(s, "a"), one(s, "b"), 1.0 - one(s, "a") - one(s, "b")))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id::VARCHAR AS n, doc_id % 4 + 1 AS a, doc_id % 3 + 1 AS b FROM documents)
+    SELECT n AS source_url, unnest([0, 1, 2, 3])::BIGINT AS sequence_number, unnest([trim(repeat('Alpha ' || n || '. ', a)), trim(repeat('Beta? ', b)), trim(repeat('Gamma long enough to fill it all up! ', 55)), trim(repeat('Gamma long enough to fill it all up! ', 5))]) AS content FROM d"""
+)
+def semantic_runs(spark, sf_dir):
+    """Runs of like sentences of every document's own text; a run that would pass the largest size is two chunks."""
+    n = F.col("doc_id")
+    text = F.concat(F.repeat(F.concat(F.lit("Alpha "), n.cast("string"), F.lit(". ")), (n % 4 + 1).cast("int")), F.repeat(F.lit("Beta? "), (n % 3 + 1).cast("int")), F.repeat(F.lit("Gamma long enough to fill it all up! "), 60))
+    docs = table(spark, sf_dir, "documents").select(n.cast("string").alias("url"), text.alias("text"))
+    return chunking.semantic(docs, first_letters).select("source_url", "sequence_number", "content")
+
+
+# Rewriting, errors, ratings
+
+
+@query(
+    """WITH t AS (SELECT doc_id, length(text) AS n, doc_id % 3 AS k FROM documents),
+    r AS (SELECT *, CASE k WHEN 0 THEN n * 3 // 10 WHEN 1 THEN n * 11 // 20 ELSE n * 7 // 10 END AS m FROM t),
+    s AS (SELECT *, CASE WHEN m = 0 THEN n ELSE m END AS size FROM r)
+    SELECT doc_id, size::BIGINT AS size, round(size / nullif(n, 0), 6)::DOUBLE AS ratio, CASE WHEN n > 0 AND size / n BETWEEN 0.2 AND 0.5 THEN 0.9 WHEN n > 0 AND size / n BETWEEN 0.1 AND 0.6 THEN 0.7 ELSE 0.5 END::DOUBLE AS quality FROM s"""
+)
+def rewritten(spark, sf_dir):
+    """Every document summarized by a model that keeps a part of its letters: size, ratio and rating of the result; no reply keeps the text."""
+    letters, k = F.length("text"), F.col("doc_id") % 3
+    kept = F.when(k == 0, F.floor(letters * 3 / 10)).when(k == 1, F.floor(letters * 11 / 20)).otherwise(F.floor(letters * 7 / 10)).cast("int")
+    made = enrich.reconstruct(table(spark, sf_dir, "documents").select("doc_id", "text"), "Summarize", lambda prompt: F.repeat(F.lit("x"), kept))
+    return made.select("doc_id", F.length("result").cast("long").alias("size"), F.round("ratio", 6).alias("ratio"), F.col("result_quality").alias("quality"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'own ' || doc_id WHEN doc_id % 5 <> 0 THEN 'model ' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN 'Html' WHEN doc_id % 5 <> 0 THEN 'Ai' END AS title_from,
+    CASE WHEN doc_id % 5 <> 0 THEN 'D' END AS description, CASE WHEN doc_id % 5 <> 0 THEN 'a|b' END AS topics, CASE WHEN doc_id % 5 <> 0 THEN 'v' || doc_id END AS version, CASE WHEN doc_id % 5 <> 0 THEN 0.5 END::DOUBLE AS confidence FROM documents"""
+)
+def schema_metadata(spark, sf_dir):
+    """Metadata of every document by a schema: its own title first, the model's else, and what the schema asks for besides."""
+    n = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("url"), F.when(n % 2 == 0, F.concat(F.lit("own "), n.cast("string"))).otherwise(" ").alias("title"), F.lit(None).cast("string").alias("description"))
+    reply = F.format_string('ok {"title":"model %1$s","description":"D","topics":["a",""," ","b"],"confidence":0.5,"schemaSpecificData":{"apiVersion":"v%1$s"}} end', n.cast("string"))
+    made = enrich.with_schema(docs, "TechnicalDoc", lambda prompt: F.when(F.contains(prompt, F.lit("schemaSpecificData.apiVersion")) & (n % 5 != 0), reply).otherwise("none"))
+    return made.select("doc_id", "enriched.title", "enriched.title_from", "enriched.description", joined("enriched.topics").alias("topics"), F.try_element_at("enriched.specific", F.lit("apiVersion")).alias("version"), "enriched.confidence")
+
+
+_FAILURES = (("HttpRequest", "Network", "Error", True), ("Timeout", "Timeout", "Warning", True), ("UnauthorizedAccess", "Authentication", "Error", False), ("Argument", "Validation", "Warning", False), ("OutOfMemory", "Resource", "Critical", False), ("Format", "General", "Error", True))
+
+
+@query(
+    "SELECT f.category, f.severity, f.retryable, f.code, count(*)::BIGINT AS n FROM events JOIN (VALUES "
+    + ", ".join(f"({k}, '{c}', '{s}', {str(r).lower()}, '{n.upper()}')" for k, (n, c, s, r) in enumerate(_FAILURES))
+    + ") f(k, category, severity, retryable, code) ON event_id % 6 = f.k GROUP BY ALL"
+)
+def error_kinds(spark, sf_dir):
+    """What every event would mean as the failure whose name its number picks, counted."""
+    names = F.array(*[F.lit(n + ("Exception" if k % 2 else "")) for k, (n, *_) in enumerate(_FAILURES)])
+    facts = crawl.error_facts(F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")))
+    return table(spark, sf_dir, "events").select(facts.alias("f")).select("f.*").groupBy("category", "severity", "retryable", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, 0.92::DOUBLE AS accuracy, 0.095::DOUBLE AS complexity, 1.0::DOUBLE AS structural, CASE WHEN w < 100 THEN 0.75 ELSE 0.95 END::DOUBLE AS content, 0.5::DOUBLE AS accessibility, 0.8::DOUBLE AS seo, CASE WHEN w < 100 THEN 2 ELSE 1 END AS issues FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS w FROM documents)")
+def markdown_quality(spark, sf_dir):
+    """Accuracy, complexity and quality of Markdown made of the documents, by their numbers of words."""
+    docs = table(spark, sf_dir, "documents")
+    rated = as_markdown(docs).join(docs.select("doc_id", T.word_count(F.col("text")).alias("w")), "doc_id").withColumn("e", structure.element_rows(F.col("md")))
+    title = F.try_element_at(structure.front_matter(F.col("md")), F.lit("title"))
+    q = structure.quality(F.col("e"), F.col("w"), F.lit(0.5), title, F.lit(None).cast("string"))
+    parts = [F.round(q[n], 6).alias(n) for n in ("structural", "content", "accessibility", "seo")]
+    return rated.select("doc_id", F.round(structure.accuracy(F.col("e")), 6).alias("accuracy"), F.round(structure.complexity(F.col("e")), 6).alias("complexity"), *parts, F.size(q["issues"]).alias("issues"))

@@ -291,7 +291,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def semantic(docs: DataFrame, embed, options: ChunkOptions = ChunkOptions(), text: str = "text", url: str = "url") -> DataFrame:
-    """Sentences in runs of like meaning: a chunk ends where neighbours' cosine is under the threshold.
+    """Sentences in runs of like meaning: a chunk ends where neighbours' cosine is under the threshold, or where it would pass ``max_tokens``.
 
     ``embed``: column function from array<string> to array<array<double>>.
     """
@@ -299,14 +299,14 @@ def semantic(docs: DataFrame, embed, options: ChunkOptions = ChunkOptions(), tex
     seen = docs.select(url, sentences.alias("__s")).withColumn("__e", embed(F.col("__s")))
 
     def run(texts: pa.Array, vectors: pa.Array) -> pa.Array:
-        made = (_plain(_runs(s or [], v or [], options.threshold)) for s, v in zip(texts.to_pylist(), vectors.to_pylist()))
+        made = (_plain(_runs(s or [], v or [], options.threshold, 4 * options.max_tokens)) for s, v in zip(texts.to_pylist(), vectors.to_pylist()))
         return pa.array([[dict(zip(("content", "chunk_type", "heading_path", "section_title"), c)) for c in cs] for cs in made], KIND)
 
     return rows(seen, F.arrow_udf(run, PIECE).asNondeterministic()(F.col("__s"), F.col("__e")), F.lit("Semantic"), url)
 
 
-def _runs(sentences: list[str], vectors: list[list[float]], threshold: float) -> list[str]:
-    """Neighbours whose cosine is at least the threshold, joined; a vector of zeros is like nothing."""
+def _runs(sentences: list[str], vectors: list[list[float]], threshold: float, most: int) -> list[str]:
+    """Neighbours whose cosine is at least the threshold, joined to at most ``most`` characters; a vector of zeros is like nothing."""
     if not sentences:
         return []
     v = np.array(vectors, float)
@@ -315,11 +315,14 @@ def _runs(sentences: list[str], vectors: list[list[float]], threshold: float) ->
     alike = (v[1:] * v[:-1]).sum(axis=1) / np.where(both > 0, both, 1.0)
     joins = np.concatenate([[False], (both > 0) & (alike >= threshold)])
     out: list[list[str]] = []
+    size = 0
     for sentence, joined in zip(sentences, joins.tolist()):
-        if joined:
+        if joined and size + 1 + len(sentence) <= most:
             out[-1].append(sentence)
+            size += 1 + len(sentence)
         else:
             out.append([sentence])
+            size = len(sentence)
     return [" ".join(x) for x in out]
 
 
