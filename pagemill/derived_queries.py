@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import options
+from pagemill.functions import options, quality
 from pagemill.functions import text as T
 from pagemill.functions import urls as U
-from pagemill.operators import chunking, crawl, enrich, extract, metadata, models, stats, structure, structured
-from pagemill.queries import _ABS, _DECODE, _FIXED_PIECES, _HOST, _PARAGRAPH_PIECES, _SMART_PIECES, _auto_sql, _documents_as_pages, table
+from pagemill.operators import chunking, crawl, enrich, extract, metadata, models, stats, strategy, structure, structured
+from pagemill.queries import _ABS, _DECODE, _FIXED_PIECES, _HOST, _PARAGRAPH_PIECES, _SMART_PIECES, _auto_sql, _documents_as_pages, _page_text, _quality_sql, table
 from pagemill.source_queries import ORACLE_SQL, QUERIES, query  # noqa: F401  those of the sources, to which these are added
 from pagemill.sources import pages as pages_source
 from pagemill.sources.cache import ContentCache
@@ -389,6 +389,24 @@ def chunk_table(spark, sf_dir):
     return spark.sql("SELECT doc_id, source, sequence_number, content FROM chunk_table(TABLE(pagemill_chunk_documents), text => 'text', strategy => 'Paragraph')")
 
 
+@query(_auto_sql(headings="(doc_id % 9)", images="(doc_id % 5)"))
+def auto_select_full(spark, sf_dir):
+    """The choice of a strategy for documents with headings and images, by their numbers."""
+    n = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").withColumns({"__h": n % 9, "__i": n % 5})
+    made = strategy.scored(docs, "text", "source", "__h", "__i").withColumn("b", strategy.best(F.col("scores")))
+    return made.select("doc_id", "content_type", "technical", F.col("b.strategy").alias("best"), F.round("b.score", 6).alias("score"))
+
+
+@query(_quality_sql("(page_id % 4)", "page_id % 2 = 0"))
+def page_quality_full(spark, sf_dir):
+    """Quality of pages with headings and metadata, by their numbers."""
+    made, n = _page_text(table(spark, sf_dir, "pages")), F.col("page_id")
+    q = quality.quality(F.col("html"), F.col("text"), F.col("title"), F.col("url"), n % 4, n % 2 == 0)
+    scored = made.select("page_id", q["overall_score"].alias("o"), q["llm_suitability"].alias("l"))
+    return scored.select("page_id", F.round("o", 6).alias("overall"), F.round("l", 6).alias("llm_suitability"), quality.grade(F.round("o", 9)).alias("grade"))
+
+
 # Models
 
 

@@ -249,13 +249,18 @@ def page_measures(pages):
     )
 
 
-@query("pages", _PT + f""", m AS (SELECT page_id, {_ADS} AS ads, {_RATIO} AS ratio, {_WORDS.format('text')} AS words, {_TOKENS.format('text')} AS tokens,
+def _quality_sql(headings: str, metadata: str) -> str:
+    return _PT + f""", m AS (SELECT page_id, {_ADS} AS ads, {_RATIO} AS ratio, {_WORDS.format('text')} AS words, {_TOKENS.format('text')} AS tokens,
    {_any("lower(html || ' ' || text)", _PAYWALL)} AS paywall, {_any("lower(html || ' ' || text)", _LOGIN)} AS login FROM p),
    s AS (SELECT *, greatest(0.0, least(1.0, 0.5 - CASE WHEN paywall THEN 0.3 ELSE 0 END - CASE WHEN login THEN 0.2 ELSE 0 END - ads * 0.2 + ratio * 0.2
-     + CASE WHEN words BETWEEN 100 AND 5000 THEN 0.1 WHEN words > 5000 THEN 0.05 ELSE 0 END)) AS overall,
+     + CASE WHEN words BETWEEN 100 AND 5000 THEN 0.1 WHEN words > 5000 THEN 0.05 ELSE 0 END
+     + CASE WHEN {headings} >= 2 THEN 0.05 ELSE 0 END + CASE WHEN {metadata} THEN 0.05 ELSE 0 END)) AS overall,
      greatest(0.0, least(1.0, 0.5 + ratio * 0.3 - ads * 0.2 + CASE WHEN words BETWEEN 500 AND 3000 THEN 0.2 WHEN words < 500 THEN -0.1 ELSE 0 END
      + CASE WHEN tokens <= 8000 THEN 0.1 WHEN tokens > 32000 THEN -0.2 ELSE 0 END)) AS llm FROM m)
-   SELECT page_id, round(overall, 6)::DOUBLE AS overall, round(llm, 6)::DOUBLE AS llm_suitability, CASE WHEN round(overall, 9) >= 0.8 THEN 'Excellent' WHEN round(overall, 9) >= 0.6 THEN 'Good' WHEN round(overall, 9) >= 0.4 THEN 'Fair' WHEN round(overall, 9) >= 0.2 THEN 'Poor' ELSE 'VeryPoor' END AS grade FROM s""")
+   SELECT page_id, round(overall, 6)::DOUBLE AS overall, round(llm, 6)::DOUBLE AS llm_suitability, CASE WHEN round(overall, 9) >= 0.8 THEN 'Excellent' WHEN round(overall, 9) >= 0.6 THEN 'Good' WHEN round(overall, 9) >= 0.4 THEN 'Fair' WHEN round(overall, 9) >= 0.2 THEN 'Poor' ELSE 'VeryPoor' END AS grade FROM s"""
+
+
+@query("pages", _quality_sql("0", "false"))
 def page_quality(pages):
     made = _page_text(pages)
     q = Q.quality(F.col("html"), F.col("text"), F.col("title"), F.col("url"), F.lit(0), F.lit(False))
@@ -369,18 +374,19 @@ def chunk_by_size(pages):
     return page_chunks_by_size(pages)
 
 
-def _auto_sql(url: str = "source") -> str:
+def _auto_sql(url: str = "source", headings: str = "0", images: str = "0") -> str:
     has = lambda text, words: _any(text, words)
     count = " + ".join(f"contains(lower(text), '{w}')::INT" for w in _TECHNICAL)
-    return f"""WITH a AS (SELECT doc_id, length(text)::BIGINT AS length, ({count}) >= 3 AS technical,
+    return f"""WITH a AS (SELECT doc_id, length(text)::BIGINT AS length, ({count}) >= 3 AS technical, {images} AS images, ({headings} * 2 + {images}) / greatest(length(text) / 1000.0, 1.0) AS shape, {images} / greatest(length(text) // 1000, 1) AS shown,
    CASE WHEN {has('lower(text)', _ACADEMIC)} THEN 'Academic' WHEN {has('lower(text)', _NEWS)} THEN 'News' WHEN {has('lower(text)', _TECHNICAL)} THEN 'Technical'
    WHEN contains(lower({url}), 'doc') OR contains(lower({url}), 'api') THEN 'Documentation' WHEN contains(lower({url}), 'blog') THEN 'Blog' ELSE 'Article' END AS kind FROM documents),
    s AS (SELECT a.*, s.name, s.place,
      CASE WHEN name = 'MemoryOptimized' AND length > 100000 THEN 0.9 WHEN name = 'Smart' AND length > 50000 THEN 0.8 WHEN name = 'Paragraph' AND length > 5000 THEN 0.7 WHEN name = 'FixedSize' AND length <= 5000 THEN 0.6 ELSE 0.3 END * 0.20
-     + CASE WHEN name = 'FixedSize' THEN 0.5 ELSE 0.3 END * 0.25
+     + CASE WHEN name = 'Smart' AND shape >= 2 THEN 0.9 WHEN name = 'Semantic' AND shape >= 2 THEN 0.7 WHEN name = 'Smart' AND shape >= 0.5 AND shape < 2 THEN 0.8 WHEN name = 'Paragraph' AND shape >= 0.5 AND shape < 2 THEN 0.6
+       WHEN name = 'FixedSize' AND shape < 0.5 THEN 0.5 ELSE 0.3 END * 0.25
      + CASE WHEN name = 'Semantic' AND kind = 'Academic' THEN 0.9 WHEN name = 'Semantic' AND kind = 'Technical' THEN 0.8 WHEN name = 'Smart' AND kind = 'Documentation' THEN 0.9 WHEN name = 'Smart' AND kind = 'Technical' THEN 0.8
        WHEN name = 'Paragraph' AND kind = 'Blog' THEN 0.7 WHEN name = 'Paragraph' AND kind = 'Article' THEN 0.6 ELSE 0.4 END * 0.30
-     + 0.5 * 0.15
+     + CASE WHEN images = 0 THEN 0.5 WHEN name = 'Smart' AND shown > 0.3 THEN 0.9 WHEN name = 'Smart' THEN 0.7 WHEN name = 'Paragraph' AND shown <= 0.3 THEN 0.6 ELSE 0.4 END * 0.15
      + CASE WHEN name = 'Semantic' AND technical THEN 0.9 WHEN name = 'Smart' AND technical THEN 0.8 WHEN name = 'Paragraph' AND NOT technical THEN 0.6 WHEN name = 'FixedSize' AND NOT technical THEN 0.5 ELSE 0.4 END * 0.10 + 0.5 AS score
      FROM a, (VALUES ('FixedSize', 0), ('Paragraph', 1), ('Smart', 2), ('Semantic', 3), ('MemoryOptimized', 4)) s(name, place))
    SELECT doc_id, kind AS content_type, technical, name AS best, round(score, 6)::DOUBLE AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, place) = 1"""
