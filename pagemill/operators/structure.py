@@ -81,12 +81,30 @@ _FRONT = re.compile(r"\A---\s*\n.*?\n---\s*\n", re.DOTALL)
 
 
 def _scan(md: str) -> list[tuple[str, str, str | None, int, int, int]]:
-    """(kind, text, target, level, items, done) of each element, in order; one pass over the lines."""
+    """(kind, text, target, level, items, done) of each element, in order; what stands in a quote follows it."""
+    lines = _FRONT.sub("", md).split("\n")
+    out = _blocks(lines, _references(lines))
+    out += [["Math", m[1].strip(), None, 0, 0, 0] for m in re.finditer(r"(?s)\$\$(.+?)\$\$", md)]
+    return [tuple(x) for x in out]
+
+
+def _blocks(lines: list[str], addresses: dict[str, str], depth: int = 0) -> list[list]:
+    """The elements of some lines: one pass, and one more over the lines of quotes, to a depth of 20."""
     out: list[list] = []
     fence, run = None, None  # the open fence; the kind of the block that the line before belongs to
-    lines = _FRONT.sub("", md).split("\n")
-    addresses = _references(lines)
-    for k, line in enumerate(lines):
+    quoted: list[str] = []
+    for k, line in enumerate([*lines, ""]):
+        if not fence and line.startswith(">"):
+            if run != "Quote":
+                out.append(["Quote", line[1:].strip(), None, 0, 0, 0])
+            quoted.append(re.sub(r"^> ?", "", line))
+            run = "Quote"
+            continue
+        if quoted:
+            out += _blocks(quoted, addresses, depth + 1) if depth < 20 else []
+            quoted, run = [], None
+        if k == len(lines):
+            break
         mark = _FENCE.match(line)
         if fence:
             if mark and line.strip().startswith(fence[0]) and not mark[2]:
@@ -115,10 +133,6 @@ def _scan(md: str) -> list[tuple[str, str, str | None, int, int, int]]:
         elif _REFERENCE.match(line):
             run = None
             continue
-        elif line.startswith(">"):
-            if run != "Quote":
-                out.append(["Quote", line[1:].strip(), None, 0, 0, 0])
-            kind = "Quote"
         elif note := re.match(r"^\[\^([^\]]+)\]:\s*(.*)", line):
             out.append(["Footnote", note[2], note[1], 0, 0, 0])
         elif run == "List" and line.startswith(("  ", "\t")):
@@ -129,12 +143,9 @@ def _scan(md: str) -> list[tuple[str, str, str | None, int, int, int]]:
             out[block - 1 : block - 1] = found
         else:
             out += found
-        if kind == "Quote" and found:
-            run = None if out[-1][0] != "Quote" else run
     if fence:
         out.append(["Code", "\n".join(fence[2]), fence[1] or None, 0, len(fence[2]), 0])
-    out += [["Math", m[1].strip(), None, 0, 0, 0] for m in re.finditer(r"(?s)\$\$(.+?)\$\$", md)]
-    return [tuple(x) for x in out]
+    return out
 
 
 def _references(lines: list[str]) -> dict[str, str]:

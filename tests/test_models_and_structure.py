@@ -178,3 +178,10 @@ def test_links_by_name():
     found = [e[:3] for e in structure._scan(md)]
     assert [e for e in found if e[0] in ("Link", "Image")] == [("Link", "a", "http://x"), ("Image", "b", "/b.png"), ("Link", "c", "#c"), ("Link", "B", "/b.png")]
     assert [e[0] for e in found if e[0] not in ("Link", "Image")] == ["Code", "List", "Footnote"]
+
+
+def test_blocks_inside_quotes():
+    md = "> # Head\n> - a\n> - b\n>\n> > inner [l](u)\n> ```py\n> x\n> ```\nafter\n> again"
+    found = [(e[0], e[1], e[4]) for e in structure._scan(md)]
+    assert found == [("Quote", "# Head", 0), ("Heading", "Head", 0), ("List", "- a", 2), ("Quote", "inner [l](u)", 0), ("Link", "l", 0), ("Code", "x", 1), ("Quote", "again", 0)]
+    assert len(structure._scan(">" * 5_000)) == 21
