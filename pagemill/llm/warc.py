@@ -25,8 +25,8 @@ too; other columns are ignored.
 
 from __future__ import annotations
 
-import warnings
 import hashlib
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
