@@ -262,6 +262,21 @@ def markdown_links(spark, sf_dir):
 # Settings
 
 
+def _sites(spark, sf_dir):
+    """Settings of every host as paths, and their sections."""
+    n = F.length("host")
+    paths = F.map_filter(
+        F.create_map(
+            F.lit("title"), F.col("host"), F.lit("description"), F.when(n % 2 == 0, F.concat(F.lit("about "), "host")), F.lit("url"), F.concat(F.lit("https://"), "host"), F.lit("environment"), F.lit("production"),
+            F.lit("show_drafts"), F.when(n % 3 == 0, "true").otherwise("false"), F.lit("compress_html"), F.when(n % 5 == 0, "yes").otherwise("no"), F.lit("sass.style"), F.lit("nested"),
+            F.lit("plugins[0]"), F.lit("jekyll-feed"), F.lit("plugins[1]"), F.lit("redcarpet"),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    sites = table(spark, sf_dir, "pages").select(U.domain_key(F.col("url")).alias("host")).distinct().withColumn("p", paths)
+    return sites, structure.site_config(F.lit("_config.yml"), F.lit(""), F.col("p"))
+
+
 @query(
     f"""WITH h AS (SELECT DISTINCT {_HOST} AS host FROM pages), s AS (SELECT host, length(host) AS n FROM h)
     SELECT host, 'Jekyll' AS kind, host AS title, CASE WHEN n % 2 = 0 THEN 'about ' || host END AS description, n % 3 = 0 AS drafts, 'jekyll-feed|redcarpet' AS plugins,
@@ -273,17 +288,7 @@ def markdown_links(spark, sf_dir):
 )
 def site_settings(spark, sf_dir):
     """Settings of every host of the pages: sections, faults, advice, ratings, and the form for another generator."""
-    n = F.length("host")
-    paths = F.map_filter(
-        F.create_map(
-            F.lit("title"), F.col("host"), F.lit("description"), F.when(n % 2 == 0, F.concat(F.lit("about "), "host")), F.lit("url"), F.concat(F.lit("https://"), "host"), F.lit("environment"), F.lit("production"),
-            F.lit("show_drafts"), F.when(n % 3 == 0, "true").otherwise("false"), F.lit("compress_html"), F.when(n % 5 == 0, "yes").otherwise("no"), F.lit("sass.style"), F.lit("nested"),
-            F.lit("plugins[0]"), F.lit("jekyll-feed"), F.lit("plugins[1]"), F.lit("redcarpet"),
-        ),
-        lambda _, v: v.isNotNull(),
-    )
-    sites = table(spark, sf_dir, "pages").select(U.domain_key(F.col("url")).alias("host")).distinct().withColumn("p", paths)
-    c = structure.site_config(F.lit("_config.yml"), F.lit(""), F.col("p"))
+    sites, c = _sites(spark, sf_dir)
     q = structure.site_quality(c)
     listed = lambda rows, *names: joined(F.transform(rows, lambda r: F.concat_ws(" ", *[r[k] for k in names])))
     return sites.select(
@@ -293,6 +298,17 @@ def site_settings(spark, sf_dir):
     )
 
 
+@query(
+    f"""WITH s AS (SELECT DISTINCT {_HOST} AS host FROM pages), n AS (SELECT length(host) AS n FROM s),
+    c AS (SELECT sum((n % 2 <> 0)::INT + (n % 3 = 0)::INT + 2)::BIGINT AS warning, sum((n % 5 <> 0)::INT + 2)::BIGINT AS info FROM n)
+    SELECT warning + info AS total, 0::BIGINT AS critical, 0::BIGINT AS error, warning, info FROM c"""
+)
+def site_issue_counts(spark, sf_dir):
+    """The faults of all hosts' settings by severity."""
+    sites, c = _sites(spark, sf_dir)
+    return stats.issue_counts(sites.select(F.explode(structure.site_issues(c)).alias("i")).select("i.severity"))
+
+
 _FAULT = "CASE WHEN {0} THEN '{1}' END"
 
 
