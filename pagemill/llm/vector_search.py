@@ -56,7 +56,7 @@ class Sizes(NamedTuple):
     block_bytes: int = 4 << 20  # bytes of a block, which bounds long vectors
     group: int = 256  # queries of a group
     part: int = 32  # groups that meet a block in one task
-    leaf: int = 32  # points of a leaf
+    leaf: int = 64  # points of a leaf
     fanout: int = 16
     pairs: int = 1 << 10  # node pairs that are looked at at once
 
@@ -168,7 +168,7 @@ def _rounded_up(found: np.ndarray) -> np.ndarray:
 
 
 def _products(q: Side, d: Side):
-    """A function of two slices that gives exact inner products."""
+    """A function of places in both trees that gives exact inner products."""
     largest = q.most * d.most * q.tree.x.shape[1]
     if largest < 1 << 53:
         return lambda a, b: (q.real[a] @ d.real[b].T).astype(np.int64)
@@ -211,9 +211,12 @@ def dual_search(q: Side, d: Side, q_rows: np.ndarray, d_rows: np.ndarray, d_rank
             may = may[: sizes.pairs]
         p, o, top = p[may], o[may], top[may]
         leaves = (a.children[p] == 0) & (b.children[o] == 0)
-        for x, y, most in zip(p[leaves].tolist(), o[leaves].tolist(), top[leaves].tolist()):
-            own, other = slice(a.low[x], a.high[x]), slice(b.low[y], b.high[y])
-            if most < floors[own].min():
+        for x in np.unique(p[leaves]).tolist():  # a query leaf with all data leaves that it has left, in one product
+            mine, own = leaves & (p == x), slice(a.low[x], a.high[x])
+            found = o[mine][top[mine] >= floors[own].min()]
+            n = b.high[found] - b.low[found]
+            other = np.repeat(b.low[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            if not len(other):
                 continue
             score = times(own, other)
             same = q_rows[own, None] == d_rows[None, other]
@@ -226,11 +229,11 @@ def dual_search(q: Side, d: Side, q_rows: np.ndarray, d_rows: np.ndarray, d_rank
             if not reach.any():
                 continue
             i, j = np.nonzero(reach)
-            parts.append(np.stack([i + own.start, j + other.start, score[i, j]]))
+            parts.append(np.stack([i + own.start, other[j], score[i, j]]))
             waiting += len(i)
-            here = np.where(same, LEAST, score)
+            here = np.where(reach, score, LEAST)
             if here.shape[1] > k:
-                here = -np.partition(-here, k - 1, axis=1)[:, :k] if (here > LEAST).all() else np.sort(here, axis=1)[:, -k:]
+                here = np.partition(here, here.shape[1] - k, axis=1)[:, -k:]
             best[own] = np.sort(np.hstack([best[own], here]), axis=1)[:, -k:]
             floors[own] = np.maximum(floors[own], best[own, 0])
             if waiting > 1 << 17:
