@@ -14,7 +14,7 @@ Scores are whole numbers: a term's weight is ``floor(1000 ln((2 N + 2) / (2 df +
 impact in a document ``weight * (1e9 tf div (1000 tf + 8 m))`` with ``m`` growing with the
 document's length.  A pivot of equal sum is scored, so ties are exact.
 
-Bounds: a task holds one shard (``SHARD_BYTES`` of text or one longer document); the driver
+Bounds: a task makes one shard (``SHARD_BYTES`` of text or one longer document) at a time and reads two; the driver
 holds one block of items (``BLOCK_BYTES`` of text or one longer item) and a number for each of
 its terms, which is what is broadcast, and lets go of it when the block's rows are written.
 Rows shuffled: one for each task and term of a block, and ``k`` for each task and item.
@@ -31,6 +31,7 @@ import math
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 from operator import itemgetter
 from typing import NamedTuple
@@ -75,6 +76,18 @@ def shard_lists(split: list[list[bytes]]) -> tuple[bytes, bytes, bytes]:
     return b" ".join(ids), starts.astype(np.int32).tobytes(), pack(doc.astype(np.int32), count.astype(np.int32))
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 2):
+    """Jobs that run inside send ``rows`` rows at a time to Python: a row of the index is megabytes."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each shard: keys and lengths of its documents, and its posting lists."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where("text is not null")
@@ -149,7 +162,8 @@ def document_counts(index: DataFrame, terms: dict[bytes, int]) -> dict[int, int]
         yield pa.RecordBatch.from_pydict({"term": pa.array(list(totals), pa.int64()), "n": pa.array(list(totals.values()), pa.int64())})
 
     counts = index.select("words", "starts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    found = dict(map(tuple, counts.collect()))  # a row for each term of the block at most
+    with few_rows(index.sparkSession):
+        found = dict(map(tuple, counts.collect()))  # a row for each term of the block at most
     shared.destroy()
     return found
 
@@ -237,7 +251,8 @@ def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str
         weights = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * counts[t] + 1))) if t in counts else 0 for t in block.terms.values()}
         shared = spark.sparkContext.broadcast((block.first, block.items, dict(block.terms), weights))
         found = index.mapInArrow(_searching(shared, to_arrow_type(items.schema[item].dataType), n_docs, n_terms, most), schema)
-        parts.append(saved(_ranked(found, most)))
+        with few_rows(spark):
+            parts.append(saved(_ranked(found, most)))
         shared.destroy()
     if not parts:
         parts = [_ranked(spark.createDataFrame([], schema), most)]
