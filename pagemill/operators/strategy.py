@@ -38,21 +38,26 @@ RECOMMEND_TECHNICAL = ("class ", "function ", "method ", "api ", "```", "code",
 RICH_SITES = ("github.com", "stackoverflow.com", "medium.com", "dev.to", "docs.", "api.", "learn.", "guide.", "manual.")
 
 
+def _held(text: Column, words: tuple[str, ...]) -> list[Column]:
+    return [F.contains(text, F.lit(w)) for w in words]
+
+
+def _count(text: Column, words: tuple[str, ...]) -> Column:
+    """How many of the words a text holds anywhere."""
+    return reduce(Column.__add__, [x.cast("int") for x in _held(text, words)])
+
+
 def keyword_facts(text: Column) -> Column:
-    """How many technical and code words a lower-case text holds anywhere, and whether it has academic or news words."""
-    held = lambda t, words: [F.contains(t, F.lit(w)) for w in words]
-    count = lambda t, words: reduce(Column.__add__, [x.cast("int") for x in held(t, words)])
-    some = lambda t, words: reduce(Column.__or__, held(t, words))
+    """How many technical words a lower-case text holds anywhere, and whether it has academic or news words."""
+    some = lambda t, words: reduce(Column.__or__, _held(t, words))
     return let(
         F.coalesce(text, F.lit("")),
-        lambda t: F.named_struct(
-            F.lit("technical"), count(t, TECHNICAL), F.lit("academic"), some(t, ACADEMIC), F.lit("news"), some(t, NEWS), F.lit("code"), count(t, RECOMMEND_TECHNICAL),
-        ),
+        lambda t: F.named_struct(F.lit("technical"), _count(t, TECHNICAL), F.lit("academic"), some(t, ACADEMIC), F.lit("news"), some(t, NEWS)),
     )
 
 
 def _has(text: Column, words: tuple[str, ...]) -> Column:
-    return let(text, lambda t: reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words]))
+    return let(text, lambda t: reduce(Column.__or__, _held(t, words)))
 
 
 def analysis(text: Column, url: Column, headings: Column, images: Column, facts: Column) -> dict[str, Column]:
@@ -116,7 +121,7 @@ def best(scores: Column) -> Column:
 def recommend(text: Column, title: Column, url: Column, headings: Column, images: Column, little_memory: bool = False) -> Column:
     length = F.coalesce(F.length(text), F.lit(0))
     rich = _has(F.lower(F.coalesce(url, F.lit(""))), RICH_SITES) | (F.coalesce(title, F.lit("")) != "") | (headings > 0)
-    technical = keyword_facts(F.lower(F.coalesce(text, F.lit(""))))["code"] >= 3
+    technical = let(F.lower(F.coalesce(text, F.lit(""))), lambda t: _count(t, RECOMMEND_TECHNICAL)) >= 3
     return (
         F.when(F.lit(little_memory) | (length > 100_000), "MemoryOptimized").when(rich, "Auto").when((images > 0) & (length > 5_000), "Smart")
         .when(technical | (headings > 0), "Smart").when(length > 10_000, "Semantic").otherwise("Paragraph")
