@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.batches import by_slices
 from pagemill.functions.text import STOP_WORDS
 
 _STOP = frozenset(STOP_WORDS)
@@ -106,7 +107,7 @@ def keywords(docs: DataFrame, key: str, text: str = "text", most: int = 10) -> D
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([[{"word": w, "n": n} for w, n in _top_words(t or "", most)] for t in texts.to_pylist()], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
 
-    top = F.arrow_udf(run, "array<struct<word:string,n:long>>").asNondeterministic()(F.col(text))
+    top = by_slices(run, "array<struct<word:string,n:long>>", F.col(text))
     return docs.select(key, F.posexplode(top).alias("at", "w")).select(key, (F.col("at") + 1).cast("long").alias("rank"), "w.word", "w.n")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.batches import by_slices
 from pagemill.functions.text import let
 
 STRATEGIES = ("FixedSize", "Paragraph", "Smart", "Semantic", "MemoryOptimized")
@@ -203,5 +204,5 @@ def content_metrics(text: Column, headings: Column) -> Column:
 
     size = F.length(F.coalesce(text, F.lit("")))
     density = F.when(size == 0, 0.0).when(headings == 0, 0.5).otherwise(F.least(F.lit(1.0), headings / (size / 1000.0) * 0.1))
-    made = F.arrow_udf(run, "text_density double, semantic_cohesion double, readability double").asNondeterministic()(text)
+    made = by_slices(run, "text_density double, semantic_cohesion double, readability double", text)
     return F.transform(F.array(made), lambda m: F.struct(*[m[n].alias(n) for n in names], density.alias("structural_consistency")))[0]

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
+from pagemill.functions.batches import by_slices
 
 
 def front_matter(md: Column) -> Column:
@@ -179,7 +180,7 @@ def element_rows(md: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(names, e)) for e in _scan(t or "")] for t in texts.to_pylist()], kind)
 
-    return F.arrow_udf(run, ELEMENT).asNondeterministic()(md)
+    return by_slices(run, ELEMENT, md)
 
 
 def _of(elements: Column, kind: str) -> Column:
@@ -253,7 +254,7 @@ def to_html(md: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else _html(t) for t in texts.to_pylist()], pa.string())
 
-    return F.arrow_udf(run, "string").asNondeterministic()(md)
+    return by_slices(run, "string", md)
 
 
 def _inline(text: str) -> str:
@@ -379,7 +380,7 @@ def yaml_paths(yaml: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([list(_yaml_paths(t or "").items()) for t in texts.to_pylist()], pa.map_(pa.string(), pa.string()))
 
-    return F.arrow_udf(run, "map<string,string>").asNondeterministic()(yaml)
+    return by_slices(run, "map<string,string>", yaml)
 
 
 #: Plugins that are out of use.

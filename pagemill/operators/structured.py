@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import dom
+from pagemill.functions.batches import by_slices
 from pagemill.functions.text import none_if_blank, title_of
 from pagemill.functions.urls import host
 from pagemill.operators import metadata as M
@@ -98,7 +99,7 @@ def microdata(html: Column) -> Column:
         made = (microdata_of(h) if h and "itemscope" in h else {} for h in pages.to_pylist())
         return pa.array([list(m.items()) for m in made], pa.map_(pa.string(), pa.string()))
 
-    return F.arrow_udf(run, "map<string,string>").asNondeterministic()(html)
+    return by_slices(run, "map<string,string>", html)
 
 
 def structured(scripts: Column) -> Column:
@@ -113,7 +114,7 @@ def structured(scripts: Column) -> Column:
             out.append(list(fields.items()))
         return pa.array(out, pa.map_(pa.string(), pa.string()))
 
-    return F.arrow_udf(run, "map<string,string>").asNondeterministic()(scripts)
+    return by_slices(run, "map<string,string>", scripts)
 
 
 def schema_type(scripts: Column, items: Column) -> Column:
