@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeResult
 
 from pagemill.functions import text as T
+from pagemill.functions.batches import by_slices
 from pagemill.operators import strategy
 from pagemill.operators.extract import dom_chunks
 from pagemill.sources.cache import ContentCache
@@ -125,7 +126,7 @@ def pieces(text: Column, name: Column, options: ChunkOptions) -> Column:
         made = (cutters[n](t or "", options) for t, n in zip(texts.to_pylist(), names.to_pylist()))
         return pa.array([[dict(zip(("content", "chunk_type", "heading_path", "section_title"), c)) for c in cs] for cs in made], KIND)
 
-    return F.arrow_udf(run, PIECE).asNondeterministic()(text, name)
+    return by_slices(run, PIECE, text, name)
 
 
 def register_chunker(name: str, cut) -> None:
@@ -205,7 +206,7 @@ def dom_structure(html: Column, options: ChunkOptions) -> Column:
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([dom_chunks(h, options.min_chars, options.max_chars) for h in pages.to_pylist()], KIND)
 
-    return F.arrow_udf(run, PIECE).asNondeterministic()(html)
+    return by_slices(run, PIECE, html)
 
 
 def rows(docs: DataFrame, pieces: Column, name: Column, url: str) -> DataFrame:
@@ -302,7 +303,7 @@ def semantic(docs: DataFrame, embed, options: ChunkOptions = ChunkOptions(), tex
         made = (_plain(_runs(s or [], v or [], options.threshold, 4 * options.max_tokens)) for s, v in zip(texts.to_pylist(), vectors.to_pylist()))
         return pa.array([[dict(zip(("content", "chunk_type", "heading_path", "section_title"), c)) for c in cs] for cs in made], KIND)
 
-    return rows(seen, F.arrow_udf(run, PIECE).asNondeterministic()(F.col("__s"), F.col("__e")), F.lit("Semantic"), url)
+    return rows(seen, by_slices(run, PIECE, F.col("__s"), F.col("__e")), F.lit("Semantic"), url)
 
 
 def _runs(sentences: list[str], vectors: list[list[float]], threshold: float, most: int) -> list[str]:
@@ -339,4 +340,4 @@ def hash_embedder(sentences: Column, size: int = 16) -> Column:
             made.append(rows.tolist())
         return pa.array(made, pa.list_(pa.list_(pa.float64())))
 
-    return F.arrow_udf(run, "array<array<double>>").asNondeterministic()(sentences)
+    return by_slices(run, "array<array<double>>", sentences)

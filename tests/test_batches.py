@@ -39,3 +39,7 @@ def test_function_sees_slices_and_rows_stay_in_place(spark):
 
 def test_chunk_by_size_in_slices(spark):
     assert set(planned(spark, "chunk_by_size")) == {SLICED}
+
+
+def test_chunk_semantic_in_slices(spark):
+    assert set(planned(spark, "chunk_semantic")) == {SLICED}
