@@ -43,3 +43,14 @@ def test_chunk_by_size_in_slices(spark):
 
 def test_chunk_semantic_in_slices(spark):
     assert set(planned(spark, "chunk_semantic")) == {SLICED}
+
+
+def test_html_extract_in_slices(spark):
+    assert set(planned(spark, "html_extract")) == {SLICED}
+    assert len(planned(spark, "html_extract")) == 3  # a worker each for the pages, for all candidates of a title, and for plain text
+
+
+def test_titles_decoded_together(spark):
+    pages = ["<title>a &amp; b</title><h1>c</h1>", "<article><h1>&lt;x&gt;</h1></article><title>t</title>", "<title> </title><h1>&nbsp;</h1>", None]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(T.best_title(F.col("html"))).collect()]
+    assert got == ["a & b", "<x>", "Untitled", "Untitled"]
