@@ -233,8 +233,9 @@ def markdown_elements(spark, sf_dir):
     docs = as_markdown(table(spark, sf_dir, "documents"))
     md = F.col("md")
     pairs = joined(F.array_sort(F.transform(F.map_entries(structure.front_matter(md)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))))
-    made = docs.select("doc_id", pairs.alias("matter"), structure.toc(md).alias("toc"), joined(T.markdown_headings(md)).alias("headings"), joined(T.markdown_images(md)).alias("images"), F.explode(structure.element_rows(md)).alias("e"))
-    return made.select("doc_id", "matter", "toc", "headings", "images", "e.kind", "e.text", "e.target", "e.level", "e.items")
+    made = docs.select("doc_id", pairs.alias("matter"), structure.toc(md).alias("toc"), joined(T.markdown_headings(md)).alias("headings"), joined(T.markdown_images(md)).alias("images"), structure.element_rows(md).alias("es"))
+    each = made.select("doc_id", "matter", "toc", "headings", "images", F.explode("es").alias("e"))  # beside an explode the others would be made anew for each element
+    return each.select("doc_id", "matter", "toc", "headings", "images", "e.kind", "e.text", "e.target", "e.level", "e.items")
 
 
 @query(

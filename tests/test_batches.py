@@ -54,3 +54,12 @@ def test_titles_decoded_together(spark):
     pages = ["<title>a &amp; b</title><h1>c</h1>", "<article><h1>&lt;x&gt;</h1></article><title>t</title>", "<title> </title><h1>&nbsp;</h1>", None]
     got = [r[0] for r in spark.createDataFrame([(p,) for p in pages], "html string").select(T.best_title(F.col("html"))).collect()]
     assert got == ["a & b", "<x>", "Untitled", "Untitled"]
+
+
+def plan(spark, name):
+    return __spark_entry__.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_markdown_elements_once_a_document(spark):
+    above = plan(spark, "markdown_elements").split("Generate explode")[0]
+    assert "regexp" not in above and "format_string" not in above
