@@ -96,15 +96,15 @@ def json_ld_entities(spark, sf_dir):
 def page_context(spark, sf_dir):
     """Basic fields, Dublin Core, breadcrumbs, regions' links, class of page and the snapshot of annotated pages."""
     pages = annotated(table(spark, sf_dir, "pages"))
-    html = F.col("html")
-    metas, links = metadata.meta_tags(html), metadata.link_tags(html)
-    made = pages.select("page_id", metadata.basic(html, metas, links).alias("b"), metadata.dublin_core(metas).alias("d"), metadata.site_context(html, F.col("url")).alias("s"), metadata.navigation(html).alias("n"), metadata.classification(html, metas).alias("c"))
+    html, metas, links = F.col("html"), F.col("metas"), F.col("links")
+    made = pages.withColumns({"metas": metadata.meta_tags(html), "links": metadata.link_tags(html)})
+    b, d, s, n, c = metadata.basic(html, metas, links), metadata.dublin_core(metas), metadata.site_context(html, F.col("url"), links), metadata.navigation(html, links), metadata.classification(html, metas)
     addresses = lambda c: joined(F.transform(c, lambda x: x["url"]))
     shot = metadata.snapshot(pages, "page_id").select("page_id", F.size("metas").alias("metas"), joined(F.array_sort(F.map_keys("json_ld"))).alias("ld_types"))
-    crumbs = joined(F.transform("s.breadcrumbs", lambda b: F.concat(b["text"], F.lit("="), b["url"])))
-    each = made.select(
-        "page_id", "b.title", "b.canonical", F.date_format("b.published", "yyyy-MM-dd HH:mm:ss").alias("published"), "b.language", "d.creator", crumbs.alias("crumbs"), F.col("s.next").alias("next_page"), addresses("n.header").alias("header"),
-        addresses("n.nav").alias("nav"), addresses("n.aside").alias("aside"), addresses("n.footer").alias("footer"), "n.sitemap", "c.kind", joined("c.categories").alias("categories"),
+    crumbs = joined(F.transform(s["breadcrumbs"], lambda x: F.concat(x["text"], F.lit("="), x["url"])))
+    each = made.select(  # fields taken from the structs here, so that no other is made
+        "page_id", b["title"].alias("title"), b["canonical"].alias("canonical"), F.date_format(b["published"], "yyyy-MM-dd HH:mm:ss").alias("published"), b["language"].alias("language"), d["creator"].alias("creator"),
+        crumbs.alias("crumbs"), s["next"].alias("next_page"), *[addresses(n[k]).alias(k) for k in ("header", "nav", "aside", "footer")], n["sitemap"].alias("sitemap"), c["kind"].alias("kind"), joined(c["categories"]).alias("categories"),
     )
     return each.join(shot, "page_id")
 

@@ -63,3 +63,9 @@ def plan(spark, name):
 def test_markdown_elements_once_a_document(spark):
     above = plan(spark, "markdown_elements").split("Generate explode")[0]
     assert "regexp" not in above and "format_string" not in above
+
+
+def test_page_context_looks_for_tags_once(spark):
+    found = plan(spark, "page_context")
+    assert found.count("<(?:meta)") == 2  # the context's and the snapshot's
+    assert found.count("<(?:link)") == 1
