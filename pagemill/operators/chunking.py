@@ -271,10 +271,11 @@ def auto_rated(
         wanted = keyed.select(F.col("__key").alias("url"), "__key", "__text", "__url").dropDuplicates(["url"])
         got = store.through(wanted, lambda rows: result(rows).select(F.col("__key").alias("url"), F.to_json("r").alias("content")), now, minutes, kind)
         known = got.select("__key", F.from_json("content", RESULT).alias("r"), "from_cache")
-    each = keyed.select("__key", F.col("__url").alias("source_url")).join(known, "__key").select("source_url", "r", "from_cache", F.posexplode("r.pieces").alias("sequence_number", "__c"))
+    result_of = known.select("__key", "r.strategy", "r.rating", "r.pieces", "from_cache")
+    each = keyed.select("__key", F.col("__url").alias("source_url")).join(result_of, "__key").select("source_url", "strategy", "rating", "from_cache", F.posexplode("pieces").alias("sequence_number", "__c"))
     number = F.col("sequence_number").cast("long")
     return each.select(
-        "source_url", number.alias("sequence_number"), "__c.*", "r.strategy", F.sha2(F.concat_ws("|", "source_url", "r.strategy", number.cast("string")), 256).alias("chunk_id"), "r.rating", "from_cache"
+        "source_url", number.alias("sequence_number"), "__c.*", "strategy", F.sha2(F.concat_ws("|", "source_url", "strategy", number.cast("string")), 256).alias("chunk_id"), "rating", "from_cache"
     )
 
 

@@ -155,7 +155,7 @@ def rating(pieces: Column, length: Column, count=None) -> Column:
     .3 evenness of sizes, .4 likeness of neighbours' words, .2 mean size against the document's share, .1 mean tokens against
     500 to 1,500, which is 0.8 without a counter ``count(text)``.  Without chunks all is 0.
     """
-    from pagemill.functions.text import jaccard, words
+    from pagemill.functions.text import jaccard_of_sets, word_set, words
 
     n = F.size(pieces)
     mean_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(xs), F.lit(0))
@@ -176,9 +176,8 @@ def rating(pieces: Column, length: Column, count=None) -> Column:
         names = ("size_consistency", "cohesion", "structure", "efficiency")
         return F.struct(n.alias("chunks"), *[some(c).alias(k) for k, c in zip(names, parts)], some(quality).alias("quality"))
 
-    bags = F.transform(pieces, lambda p: words(p["content"]))
     last = F.greatest(n - 1, F.lit(0))
-    alike = F.zip_with(F.slice(bags, F.lit(1), last), F.slice(bags, F.lit(2), last), jaccard)
+    alike = let(F.transform(pieces, lambda p: word_set(words(p["content"]))), lambda sets: F.zip_with(F.slice(sets, F.lit(1), last), F.slice(sets, F.lit(2), last), jaccard_of_sets))
     tokens = F.lit(None).cast("double") if count is None else mean_of(F.transform(pieces, lambda p: count(p["content"]).cast("double")))
     return let(F.struct(sizes.alias("sizes"), alike.alias("alike"), tokens.alias("tokens")), rated)
 

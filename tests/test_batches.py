@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from pagemill.functions import batches
 from pagemill.functions import text as T
+from pagemill.operators import chunking, strategy
 
 SMALL = "/root/testdata/sf0.001"
 WHOLE, SLICED = 250, 251  # eval types of Arrow UDFs as Spark's plans show them: of a batch as one, and of an iterator
@@ -69,3 +70,17 @@ def test_page_context_looks_for_tags_once(spark):
     found = plan(spark, "page_context")
     assert found.count("<(?:meta)") == 2  # the context's and the snapshot's
     assert found.count("<(?:link)") == 1
+
+
+def test_rating_takes_words_once(spark):
+    pieces = "array<struct<content:string>>"
+    rows = spark.createDataFrame([([("a B b",), ("b c",), ("",), (" ",)],), ([("x",)],), ([],)], f"p {pieces}")
+    rated = rows.select(strategy.rating(F.col("p"), F.lit(10)).alias("r"))
+    assert rated._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r[0] for r in rated.select(F.round("r.cohesion", 6)).collect()] == [round((1 / 3 + 0 + 1) / 3, 6), 1.0, 0.0]
+
+
+def test_auto_quality_explodes_pieces_alone(spark):
+    docs = spark.createDataFrame([("u", "a b c")], "url string, text string")
+    above = chunking.auto_rated(docs)._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode(")[1].split("\n")[0]
+    assert above.startswith("pieces#")
