@@ -84,3 +84,7 @@ def test_auto_quality_explodes_pieces_alone(spark):
     docs = spark.createDataFrame([("u", "a b c")], "url string, text string")
     above = chunking.auto_rated(docs)._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode(")[1].split("\n")[0]
     assert above.startswith("pieces#")
+
+
+def test_chunk_fixed_in_slices(spark):
+    assert set(planned(spark, "chunk_fixed")) == {SLICED}
