@@ -88,3 +88,7 @@ def test_auto_quality_explodes_pieces_alone(spark):
 
 def test_chunk_fixed_in_slices(spark):
     assert set(planned(spark, "chunk_fixed")) == {SLICED}
+
+
+def test_chunk_articles_in_slices(spark):
+    assert set(planned(spark, "chunk_articles")) == {SLICED}
