@@ -92,3 +92,7 @@ def test_chunk_fixed_in_slices(spark):
 
 def test_chunk_articles_in_slices(spark):
     assert set(planned(spark, "chunk_articles")) == {SLICED}
+
+
+def test_extract_articles_in_slices(spark):
+    assert set(planned(spark, "extract_articles")) == {SLICED}
