@@ -96,3 +96,7 @@ def test_chunk_articles_in_slices(spark):
 
 def test_extract_articles_in_slices(spark):
     assert set(planned(spark, "extract_articles")) == {SLICED}
+
+
+def test_chunk_sections_in_slices(spark):
+    assert set(planned(spark, "chunk_sections")) == {SLICED}
