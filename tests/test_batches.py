@@ -9,6 +9,7 @@ import __spark_entry__
 from pagemill.functions import batches
 from pagemill.functions import text as T
 from pagemill.operators import chunking, strategy
+from pagemill.sources.pages import basic_text
 
 SMALL = "/root/testdata/sf0.001"
 WHOLE, SLICED = 250, 251  # eval types of Arrow UDFs as Spark's plans show them: of a batch as one, and of an iterator
@@ -100,3 +101,9 @@ def test_extract_articles_in_slices(spark):
 
 def test_chunk_sections_in_slices(spark):
     assert set(planned(spark, "chunk_sections")) == {SLICED}
+
+
+def test_basic_text_in_slices(spark):
+    """The step that cache_rounds and sink_results share; they run when they are built, so their own plans only read."""
+    text = basic_text(F.col("html"), F.lit("text/html"))
+    assert kinds(spark.read.parquet(f"{SMALL}/pages.parquet").select(text)) == [SLICED]
