@@ -107,3 +107,7 @@ def test_basic_text_in_slices(spark):
     """The step that cache_rounds and sink_results share; they run when they are built, so their own plans only read."""
     text = basic_text(F.col("html"), F.lit("text/html"))
     assert kinds(spark.read.parquet(f"{SMALL}/pages.parquet").select(text)) == [SLICED]
+
+
+def test_page_quality_in_slices(spark):
+    assert set(planned(spark, "page_quality")) == {SLICED}
