@@ -32,6 +32,15 @@ def test_slices_are_bounded_and_whole():
     assert list(batches.slices((texts.slice(0, 0),))) == []
 
 
+def test_slices_are_bounded_where_long_rows_stand_together():
+    texts = pa.array([*[""] * 9_000, *["x" * 100_000] * 600, *[None] * 400])
+    lists = pa.array([None if t is None else [t, t[:9]] for t in texts.to_pylist()])
+    parts = [(a, b) for a, b in batches.slices((texts, lists))]
+    assert pa.concat_arrays([a for a, _ in parts]).equals(texts) and pa.concat_arrays([b for _, b in parts]).equals(lists)
+    assert max(a.nbytes + b.nbytes for a, b in parts) <= 2 * batches.BYTES
+    assert max(len(a) for a, _ in parts) <= batches.ROWS
+
+
 def test_function_sees_slices_and_rows_stay_in_place(spark):
     rows = spark.range(0, 5000, 1, 1).withColumn("t", F.repeat(F.col("id").cast("string"), F.lit(500)))
     seen = rows.select("id", "t", batches.by_slices(lambda t: pa.array([t.nbytes] * len(t), pa.int64()), "long", F.col("t")).alias("n"), T.split_by_size(F.col("t"), 100_000).alias("s"))
