@@ -9,7 +9,7 @@ import __spark_entry__
 from pagemill.functions import batches
 from pagemill.functions import text as T
 from pagemill.operators import chunking, strategy
-from pagemill.sources.pages import basic_text
+from pagemill.sources.pages import basic_text, extract_results
 
 SMALL = "/root/testdata/sf0.001"
 WHOLE, SLICED = 250, 251  # eval types of Arrow UDFs as Spark's plans show them: of a batch as one, and of an iterator
@@ -120,3 +120,10 @@ def test_basic_text_in_slices(spark):
 
 def test_page_quality_in_slices(spark):
     assert set(planned(spark, "page_quality")) == {SLICED}
+
+
+def test_sink_rows_in_slices(spark):
+    """All columns of the rows that sink_results writes: no function takes a batch as one."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    replies = pages.select("url", F.lit("text/html").alias("content_type"), F.col("html").alias("content"), F.lit(None).cast("string").alias("error_code"))
+    assert kinds(extract_results(replies)) == [SLICED]
